@@ -37,3 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
 def held_out(doc_id: str = "doc_id"):
     """True where crc32 of the id as text leaves remainder 1 on division by 3. A null id counts as the empty text."""
     return F.expr(f"crc32(encode(coalesce(cast({doc_id} as string), ''), 'UTF-8')) % 3 = 1")
+
+
+def whole_texts(documents: DataFrame) -> DataFrame:
+    """doc_id as text (pandas would turn a long column with a null into floats) and text, null read as empty. Further columns are dropped."""
+    return documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def long_ids(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
