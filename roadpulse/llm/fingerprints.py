@@ -74,7 +74,7 @@ def tables() -> dict:
         pairs[chr(0x11A7 + t)] = {chr(0xAC00 + k * 28): chr(0xAC00 + k * 28 + t) for k in range(399)}
         uneasy.add(0x11A7 + t)
     return {
-        "uneasy": char_class(sorted(uneasy)),
+        "uneasy": "".join(map(chr, sorted(uneasy))),
         "marks": char_class(sorted(map(ord, marks))),
         "mark_text": "".join(marks),
         "mark_class": list(marks.values()),
@@ -116,6 +116,7 @@ def _composed_word(word: F.Column) -> F.Column:
     spread = F.array_join(F.transform(F.split(word, ""), apart), "")
     clusters = F.regexp_extract_all(spread, F.lit(f"[^{t['marks']}][{t['marks']}]*|[{t['marks']}]+"), F.lit(0))
     ordered = F.array_join(F.transform(clusters, in_order), "")
+    ordered = F.when(spread.rlike(r"\p{M}{2}"), ordered).otherwise(spread)
     return F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), ordered, lambda acc, _: F.aggregate(pairs, acc, join_mark))
 
 
@@ -124,9 +125,13 @@ def canonical(text: F.Column) -> F.Column:
     t = tables()
     folded = F.lower(F.upper(F.coalesce(text, F.lit(""))))
     spaced = F.trim(F.regexp_replace(folded, f" [{SPACES}]+|[{SPACES}&&[^ ]][{SPACES}]*", " "))
-    uneasy = f"[{t['uneasy']}]"
-    words = F.transform(F.split(spaced, " "), lambda w: F.when(w.rlike(uneasy), _composed_word(w)).otherwise(w))
-    return F.when(spaced.rlike(uneasy), F.array_join(words, " ")).otherwise(spaced)
+
+    def uneasy(part):
+        # below U+0300 everything is composed; a table that deletes characters is faster than a class of many ranges
+        return part.rlike(r"[^\x{0}-\x{2ff}]") & (F.length(F.translate(part, t["uneasy"], "")) < F.length(part))
+
+    words = F.transform(F.split(spaced, " "), lambda w: F.when(uneasy(w), _composed_word(w)).otherwise(w))
+    return F.when(uneasy(spaced), F.array_join(words, " ")).otherwise(spaced)
 
 
 def wide_hash(form: F.Column) -> F.Column:
