@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, packing, quality, secrets, simhash, topk, toxicity
+import corpus_pipeline
+
+from . import chat, fingerprints, lines, packing, pieces, quality, secrets, simhash, topk, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_exact_topk": topk.op3_exact_topk,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_line_dedup": lines.op8_line_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_quality": quality.op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {"op3_exact_topk": topk.OP3_SQL}
