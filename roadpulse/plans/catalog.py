@@ -7,12 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import aggregates, dedup, joins, latest, sequences, validate
+from ..sources import avro
+from ..streaming import machines
+from ..streaming.runner import over_table
 from .testbed import BASE, Testbed, enu_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -666,3 +670,59 @@ def _(t):
 @query("cumulative_ack", ", d as (select distinct vehicle_id, seq from e where seq <> 40), n as (select *, row_number() over (partition by vehicle_id order by seq) - 1 i from d) select vehicle_id, coalesce(max(seq) filter (seq = i), -1) ack from n group by 1")
 def _(t):
     return sequences.contiguous_ack(t.events().where("seq <> 40"), ["vehicle_id"])
+
+
+# ---- state machines over tables ----
+
+
+@query("stream_dedup", _ARRIVALS + "select vehicle_id, seq, verdict, count(*) n from ve group by all")
+def _(t):
+    judged = over_table(_arrivals(t), machines.SequenceWindow, "vehicle_id", ["offset"], window=32)
+    return judged.groupBy("vehicle_id", "seq", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_odd")
+def _(t):
+    poses = t.signals_raw().where("dup = 0").select("vehicle_id", "boot_id", "seq", F.floor(F.col("t_us") / 1000).alias("event_ms"), F.floor(F.col("t_us") / 1000).alias("received_ms"), "location", "lat", "lon", "offset")
+    return over_table(poses, machines.AreaMonitor, "vehicle_id", ["offset"], bounds=_BOUNDS, stale_ms=10**12, sustained_ms=10**9)
+
+
+@query("stream_monitor")
+def _(t):
+    status = _status(t).withColumn("boot_id", F.lit("b0")).withColumn("seq", F.col("event_id"))
+    return over_table(status, machines.VehicleMonitor, "vehicle_id", ["offset"], stop_ms=_LEAST, stale_ms=_GAP)
+
+
+@query("sampling_policy")
+def _(t):
+    rows = t.signals_raw().where("dup = 0").select("vehicle_id", "channel", F.floor(F.col("t_us") / 1000).alias("received_ms"), F.col("t_us").alias("event_us"), "values_num", "values_str", (F.col("k") == 0).alias("anomaly"), "offset")
+    return over_table(rows, machines.SamplingPolicy, "vehicle_id", ["offset"], normal_ms=60_000, thresholds={"speed": 20.0})
+
+
+@query("debounce")
+def _(t):
+    rows = t.events().selectExpr("user_id % 8 as shard", "concat('e', event_id) as id", "floor(t_us / 1000) as t", "vehicle_id", "channel as kind")
+    return over_table(rows, machines.Debounce, "shard", ["t", "id"], window_ms=3_600_000)
+
+
+@query("segment_rotation")
+def _(t):
+    rows = t.events().selectExpr("vehicle_id as key", "floor(t_us / 1000) as t", "cast(k as bigint) as size")
+    return over_table(rows, machines.GreedyCut, "key", ["t", "size"], span=86_400_000, budget=500)
+
+
+@query("ack_stream")
+def _(t):
+    rows = t.events().selectExpr("vehicle_id as key", "seq", "floor(t_us / 1000) as at_ms")
+    return over_table(rows, machines.AckTracker, "key", ["at_ms", "seq"], every=16, every_ms=10**12)
+
+
+@query("avro_decode", "select event_id, channel, t_us, value from e")
+def _(t):
+    def coded(vehicle: pd.Series, channel: pd.Series, t_us: pd.Series, value: pd.Series) -> pd.Series:
+        rows = zip(vehicle, channel, t_us, value)
+        return pd.Series([avro.encode({"record": avro.SIGNAL}, {"scene_id": v, "channel": c, "sensor_time": int(u), "log_time": int(u), "values_num": {"speed": float(x)}, "values_vec": {}, "values_str": {}}) for v, c, u, x in rows])
+
+    e = t.events().withColumn("payload", F.pandas_udf(coded, "binary")("vehicle_id", "channel", "t_us", "value"))
+    d = avro.decode_signals(e.select("event_id", "payload"), "payload")
+    return d.select("event_id", "signal.channel", us("signal.sensor_time").alias("t_us"), F.try_element_at(F.col("signal.values_num"), F.lit("speed")).alias("value"))
