@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.geo import enu_to_wgs84
 from ..operators import validate
 from ..sources.avro import decode_signals
-from .machines import AreaMonitor, SequenceWindow, VehicleMonitor
+from .machines import FleetMonitor, SequenceWindow
 from .runner import over_stream
 
 
@@ -53,12 +53,9 @@ def monitor_rows(live: DataFrame) -> DataFrame:
 
 
 def alert_stream(records: DataFrame, bounds: dict, timers: bool = True, **options) -> DataFrame:
-    """Both monitors' alerts as one stream; only the channels that they read are shuffled."""
-    rows = monitor_rows(decoded(records))
-    order = ["partition", "offset"]
-    area = over_stream(rows.where("channel = 'ego_pose'"), AreaMonitor, "vehicle_id", order, timers, bounds=bounds, **options)
-    status = over_stream(rows.where("channel = 'fleet_status'"), VehicleMonitor, "vehicle_id", order, timers, **options)
-    return area.unionByName(status)
+    """Alerts of both monitors: one stateful operator and one shuffle, of the channels that they read."""
+    rows = monitor_rows(decoded(records)).where(F.col("channel").isin("ego_pose", "fleet_status"))
+    return over_stream(rows, FleetMonitor, "vehicle_id", ["partition", "offset"], timers, bounds=bounds, **options)
 
 
 def alert_job(records: DataFrame, bounds: dict, path: str, checkpoint: str, timers: bool = True, trigger: dict | None = None, **options) -> StreamingQuery:
