@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import cut, read_table
 
 #: White space that a run is made of: Java's \\s, and what Unicode adds.
 SPACES = "\\s\\u001c-\\u001f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -140,12 +140,12 @@ def wide_hash(form: F.Column) -> F.Column:
 
 
 def shared_by_different(documents: DataFrame) -> DataFrame:
-    """(hash, least, most) of the hashes whose texts differ in canonical bytes: none, but for a collision of 128 bits.
+    """Hashes whose texts differ in canonical bytes: none, but for a collision of 128 bits.
 
-    Copies are reduced on the map side to the least and greatest form of each hash.
+    Grouping by hash and form compares bytes inside each bucket and reduces copies before they are moved.
     """
-    form = documents.select(canonical(F.col("text")).alias("form")).withColumn("hash", wide_hash(F.col("form")))
-    return form.groupBy("hash").agg(F.min("form").alias("least"), F.max("form").alias("most")).where("least <> most")
+    form = documents.select(canonical(F.col("text")).alias("form")).select(wide_hash(F.col("form")).alias("hash"), "form")
+    return form.distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
 
 
 def dealt_by_descending_id(documents: DataFrame, parts: int) -> DataFrame:
@@ -199,7 +199,8 @@ def edited_likeness(documents: DataFrame, parts: int) -> DataFrame:
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     made = edited_likeness(documents, int(spark.conf.get("spark.sql.shuffle.partitions"))).drop("form")
-    clashes = shared_by_different(documents).select(F.col("hash").alias("fingerprint"), F.lit(1).alias("clash"))
-    # a hash that stands for different texts is marked, so that it is never taken for proof of equality
-    marked = made.join(clashes, "fingerprint", "left").withColumn("fingerprint", F.concat("fingerprint", F.when(F.col("clash") == 1, F.concat(F.lit("-"), F.col("edited_fingerprint"))).otherwise(F.lit(""))))
-    return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    clashes = cut(shared_by_different(documents).select(F.col("hash").alias("fingerprint"), F.lit(1).alias("clash")))
+    if not clashes.isEmpty():
+        # a hash that stands for different texts is marked, so that it is never taken for proof of equality
+        made = made.join(clashes, "fingerprint", "left").withColumn("fingerprint", F.concat("fingerprint", F.when(F.col("clash") == 1, F.concat(F.lit("-"), F.col("edited_fingerprint"))).otherwise(F.lit(""))))
+    return made.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
