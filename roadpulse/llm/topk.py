@@ -98,7 +98,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     schema = "query_id long, vec_id long, score long"
     found = candidates.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     n, dim = found["n"], found["d"] or 0
-    dim = max(dim, queries.agg(F.max(F.size("v")).alias("d")).first()["d"] or 0)
+    of_queries = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    asked, dim = of_queries["n"], max(dim, of_queries["d"] or 0)
     if not n or not dim:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows = max(CHUNK_ROWS, -(-n // MOST_CHUNKS))
@@ -139,10 +140,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
 
     packed = "pack long, ids binary, v binary, longest double"
     parts = max(1, n // (rows * 4))
-    ordered = candidates.select("vec_id", "v", length).repartitionByRange(parts, F.desc("length"), "vec_id").sortWithinPartitions(F.desc("length"), "vec_id")
+    ordered = candidates.select("vec_id", "v", length).repartitionByRange(parts, F.desc("length"), "vec_id").coalesce(parts).sortWithinPartitions(F.desc("length"), "vec_id")
     chunks = cut(ordered.mapInPandas(pack(rows), packed))
     longest = sorted(((r["longest"], r["pack"]) for r in chunks.select("pack", "longest").collect()), reverse=True)  # MOST_CHUNKS at most, and one more a partition
-    single = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    single = queries.groupBy("vec_id").agg(F.min("v").alias("v")).coalesce(max(1, asked // (QUERY_BLOCK * 4)))  # else blocks would be as small as partitions
     blocks = cut(single.select("vec_id", "v", length).mapInPandas(pack(QUERY_BLOCK), packed).withColumnRenamed("pack", "block"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
