@@ -72,36 +72,43 @@ class Pieces:
     def byte_ids(self, text: str) -> tuple[int, ...]:
         return tuple(self.bytes_at + b for b in text.encode("utf-8", "surrogatepass"))
 
-    def search(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, ids) of a stretch."""
-        size, get = len(s), self.begun.get
-        far = 1 << 200
-        forward = [0] + [far] * size  # least cost of a way from the start
-        edges: list[list] = [[] for _ in range(size + 1)]  # by end: (start, cost, id or byte ids)
+    def lattice(self, s: str) -> tuple[list[int], list[list], list]:
+        """Least cost of a way to each position, the edges (start, cost, id or byte ids) by end, and the last edge of each best way."""
+        size, get, far = len(s), self.begun.get, 1 << 200
+        forward, last = [0] + [far] * size, [None] * (size + 1)
+        edges: list[list] = [[] for _ in range(size + 1)]
         for start in range(size):
             here = forward[start]
             for end in range(start + 1, size + 1):
                 p = get(s[start:end])
-                if p is None:
+                if not p:
                     if end == start + 1:
                         own = self.byte_ids(s[start])
-                        p = (own, self.cost(UNKNOWN, len(own)))
-                    else:
+                        edge = (start, self.cost(UNKNOWN, len(own)), own)
+                    elif p is None:
                         break  # no piece goes on like this
-                elif not p:
-                    if end > start + 1:
+                    else:
                         continue
-                    own = self.byte_ids(s[start])
-                    p = (own, self.cost(UNKNOWN, len(own)))
-                edges[end].append((start, p[1], p[0]))
-                if here + p[1] < forward[end]:
-                    forward[end] = here + p[1]
-        # (cost of the whole way at best, serial) and the way from here to the end
+                else:
+                    edge = (start, p[1], p[0])
+                edges[end].append(edge)
+                if here + edge[1] < forward[end]:
+                    forward[end], last[end] = here + edge[1], edge
+                if p is None:
+                    break
+        return forward, edges, last
+
+    def search(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The n best (score, ids) of a stretch: A* from the end, the forward costs being what is left to the start."""
+        forward, edges, _ = self.lattice(s)
+        size = len(s)
+        # (cost of the whole way at best, position, serial) and the way from here to the end; of equal costs the way that
+        # has come furthest goes on, else all equal ways of a long repetition would be built side by side
         push, pop, serial = heapq.heappush, heapq.heappop, 0
-        heap: list = [(forward[size], 0, size, 0, None)]
+        heap: list = [(forward[size], size, 0, 0, None)]
         out: list[tuple[float, tuple[int, ...]]] = []
         while heap:
-            total, _, at, behind, way = pop(heap)
+            total, at, _, behind, way = pop(heap)
             if not at:
                 ids: list[int] = []
                 while way is not None:
@@ -114,7 +121,7 @@ class Pieces:
             for start, cost, own in edges[at]:
                 serial += 1
                 held = behind + cost
-                push(heap, (held + forward[start], serial, start, held, (own, way)))
+                push(heap, (held + forward[start], start, serial, held, (own, way)))
         return out
 
     @staticmethod
@@ -136,8 +143,25 @@ class Pieces:
             one, two = (self.known.get(x) or self.first(x) for x in (s[:at], s[at:]))
             got = (one[0] + two[0], one[1] + two[1], min(one[2], two[2]))
         else:
-            found = self.search(s, 2)
-            got = (*found[0], found[0][0] - found[1][0] if len(found) > 1 else float("inf"))
+            forward, edges, last = self.lattice(s)
+            ids: list[int] = []
+            at, size, far = len(s), len(s), 1 << 200
+            backward, second = [far] * size + [0], far
+            # the second-best way has an edge that the best one lacks: the least cost of a way through each of these
+            for end in range(size, 0, -1):
+                beyond, best = backward[end], None
+                if end == at:
+                    best = last[end]
+                    at, own = best[0], best[2]
+                    ids += reversed(own) if type(own) is tuple else (own,)
+                for edge in edges[end]:
+                    cost = beyond + edge[1]
+                    if cost < backward[edge[0]]:
+                        backward[edge[0]] = cost
+                    if edge is not best and cost + forward[edge[0]] < second:
+                        second = cost + forward[edge[0]]
+            best_score = self.score(forward[size])
+            got = (best_score, tuple(ids[::-1]), best_score - self.score(second) if second < far else float("inf"))
         if len(s) < 64 and len(self.known) < self.remembered:
             self.known[s] = got
         return got
@@ -156,14 +180,17 @@ class Pieces:
         firsts = [known.get(s) or self.first(s) for s in stretches]
         scores, ways, gaps = zip(*firsts) if firsts else ((), (), ())
         total = sum(scores)
-        out = [(total, list(chain.from_iterable(ways)))]
         if n == 1 or not gaps:
-            return out
+            return [(total, list(chain.from_iterable(ways)))]
         # only the n - 1 stretches whose second-best costs least can differ in the n best
         cost = np.array(gaps)
         near = np.sort(np.lexsort((np.arange(len(cost)), cost))[: n - 1] if len(cost) < 4 * n else np.argpartition(cost, n - 2)[: n - 1]).tolist()
         near = [k for k in near if gaps[k] < float("inf")]
         choices = [self.search(stretches[k], n) for k in near]
+        ways = list(ways)
+        for k, c in zip(near, choices):
+            ways[k] = c[0][1]
+        out = [(total, list(chain.from_iterable(ways)))]
         # the same search over these: what stands before a place is at its best, so its exact cost beyond the best is zero
         heap, taken = [(0.0, ())], []
         while heap and len(taken) < n:
