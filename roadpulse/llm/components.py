@@ -18,7 +18,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Only nodes with an edge to another node are returned. Each round moves rows
     in proportion to the edges and nothing but a count and a checksum reaches
-    the driver. Neighbour minima are partial aggregates, so a hub is
+    the driver. Joins are merges by hint: estimates after a checkpoint are no bound
+    that a broadcast could rest on. Neighbour minima are partial aggregates, so a hub is
     pre-aggregated before the shuffle and its join is left to skew handling.
     Null ends and self links are ignored; repeated edges count once.
     """
@@ -32,10 +33,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large-star: every larger neighbour of a node goes to the node's smallest neighbour
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small-star: smaller neighbours and the node itself go to the smallest neighbour
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
-        kept = large.join(small_low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        kept = large.join(small_low.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(kept.union(small_low.select("a", F.col("m").alias("b"))).distinct())
         now = _shape(edges)
         if now == before:

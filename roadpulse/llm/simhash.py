@@ -106,7 +106,7 @@ def pairs_of(keyed: DataFrame, keys: list[tuple[int, tuple[int, ...]]]) -> DataF
     x = "(l.fp ^ r.fp)"
     first = "case " + " ".join(f"when {x} & {_literal(ring_mask(places))} = 0 then {i}" for i, (_, places) in enumerate(keys)) + " end"
     on = F.expr(f"l.k = r.k and l.v = r.v and l.fp < r.fp and {ring_test(x)} and bit_count({x}) <= {LINK_BITS} and {first} = l.k")
-    return keyed.alias("l").join(keyed.alias("r"), on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+    return keyed.alias("l").join(keyed.alias("r").hint("merge"), on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
 
 
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -128,7 +128,7 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
 def block_links(keyed: DataFrame) -> DataFrame:
     """Links of crowded buckets: members fall into blocks of a bounded size by hash, and every two blocks of a bucket meet in one task, which emits a spanning forest."""
     sizes = keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    placed = keyed.join(sizes, ["k", "v"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    placed = keyed.join(sizes.hint("merge"), ["k", "v"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     meet = placed.select("k", "v", "node", "fp", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, block) as i, greatest(o, block) as j))")).alias("m"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -150,9 +150,9 @@ def links(nodes: DataFrame) -> DataFrame:
         sizes = keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
         crowded = sizes.where(F.col("n") > CROWDED).select("k", "v")
         calm = sizes.where((F.col("n") > 1) & (F.col("n") <= CROWDED)).select("k", "v")
-        pairs = pairs_of(keyed.join(calm, ["k", "v"]), keys)
+        pairs = pairs_of(keyed.join(calm.hint("merge"), ["k", "v"]), keys)
         found = pairs if found is None else found.union(pairs)
-        in_crowds = cut(keyed.join(crowded, ["k", "v"], "left_semi"))
+        in_crowds = cut(keyed.join(crowded.hint("merge"), ["k", "v"], "left_semi"))
         if in_crowds.isEmpty():
             return found
         if equal == 4:
@@ -165,8 +165,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     marked = cut(fingerprints(documents))
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
     named = connected_components(links(nodes.where("node is not null")))
-    of_fp = nodes.join(named, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = nodes.join(named.hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return marked.join(of_fp.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
