@@ -68,13 +68,16 @@ def logistic(p: np.ndarray, u: np.ndarray, steps: int = 400) -> np.ndarray:
 
 
 def class_prior(p_scores: np.ndarray, u_scores: np.ndarray) -> float:
-    """Share of positives among the unlabelled: the least ratio of upper tails, with an allowance for chance."""
+    """Share of positives among the unlabelled: the least ratio of upper tails, with an allowance for chance, and its standard error above, as too small a share rejects good documents."""
     cuts = np.quantile(p_scores, np.linspace(0.02, 0.8, 40))
     above_p = np.array([(p_scores >= c).mean() for c in cuts])
     above_u = np.array([(u_scores >= c).mean() for c in cuts])
     allowance = np.sqrt(np.log(40) / (2 * len(p_scores))) + np.sqrt(np.log(40) / (2 * len(u_scores)))
     at = np.argmin((above_u + allowance) / above_p)
-    return float(np.clip(above_u[at] / above_p[at], 0.05, 0.98))
+    ratio = above_u[at] / above_p[at]
+    error = np.sqrt(above_u[at] * (1 - above_u[at]) / len(u_scores)) + ratio * np.sqrt(above_p[at] * (1 - above_p[at]) / len(p_scores))
+    error *= 1 + 20 / len(p_scores)  # of few positives the error is itself uncertain
+    return float(np.clip(ratio + error / above_p[at], 0.05, 0.98))
 
 
 class Network:
@@ -84,6 +87,7 @@ class Network:
         self.hidden, self.seed = hidden, seed
 
     def fit(self, p: np.ndarray, u: np.ndarray, prior: float, steps: int = 1500, batch: int = 512, rate: float = 0.01, beta: float = 0.0) -> Network:
+        decay = max(1e-4, 1 / len(p))  # few positives would be learned by heart
         r = np.random.default_rng(self.seed)
         d = p.shape[1]
         w = [r.normal(0, d**-0.5, (d, self.hidden)), np.zeros(self.hidden), r.normal(0, self.hidden**-0.5, self.hidden), np.zeros(())]
@@ -100,7 +104,7 @@ class Network:
             else:  # the negative part of the risk has gone below zero: step back on it alone
                 dz = np.concatenate([prior * slope[:batch], -slope[batch:]])
             da = dz[:, None] * w[2] * (1 - a**2)
-            grads = [x.T @ da + 1e-4 * w[0], da.sum(0), a.T @ dz + 1e-4 * w[2], dz.sum()]
+            grads = [x.T @ da + decay * w[0], da.sum(0), a.T @ dz + decay * w[2], dz.sum()]
             step = rate * min(1, 2 * (1 - t / (steps + 1)))
             for k, g in enumerate(grads):
                 m[k] = 0.9 * m[k] + 0.1 * g
