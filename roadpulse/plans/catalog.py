@@ -256,7 +256,7 @@ x as (select *, case when event_id % 19 = 0 then 'missing identity header' when
 """
 
 
-@query("envelope_check", _ENVELOPE + "select event_id, err validation_error, case when err is null then v end vehicle_id, case when err is null then s end seq, case when err is not null then 'invalid' when st then 'status' else 'legacy' end stream_id, case when err is null and st then k * 10 else 0 end report_interval_ms from x")
+@query("envelope_check", _ENVELOPE + "select event_id, err validation_error, case when err is null then v end vehicle_id, case when err is null then s end seq, case when err is not null then 'invalid' when st then 'status' else 'legacy' end stream_id, cast(case when err is null and st then k * 10 else 0 end as bigint) report_interval_ms from x")
 def _(t):
     return _envelopes(t).select("event_id", "validation_error", "vehicle_id", "seq", "stream_id", F.col("report_interval_ms").cast("long").alias("report_interval_ms"))
 
@@ -359,7 +359,7 @@ def _(t):
 pa as (select distinct vehicle_id, run, seq from ve where verdict in ('ACCEPT', 'LATE', 'BOOT_RESET')),
 bs as (select en.*, greatest(fs - 1, la - 32) base, (select count(*) from pa where pa.vehicle_id = en.vehicle_id and pa.run = en.run and seq between fs and la - 32) old from en),
 ct as (select *, coalesce((select max(seq) from (select seq, row_number() over (order by seq) n from pa where pa.vehicle_id = bs.vehicle_id and pa.run = bs.run and pa.seq > base) where seq - base = n), base) contiguous from bs)
-select vehicle_id, run, fs first_seq, la last_seen, greatest(0, la - 32 - fs + 1) - old lost, contiguous, la - contiguous - (select count(*) from pa where pa.vehicle_id = ct.vehicle_id and pa.run = ct.run and seq > contiguous) pending_holes from ct""")
+select vehicle_id, cast(run as bigint) run, fs first_seq, la last_seen, greatest(0, la - 32 - fs + 1) - old lost, contiguous, la - contiguous - (select count(*) from pa where pa.vehicle_id = ct.vehicle_id and pa.run = ct.run and seq > contiguous) pending_holes from ct""")
 def _(t):
     return dedup.loss(_judged(t), key="vehicle_id", window=32).withColumn("run", F.col("run").cast("long"))
 
