@@ -2,8 +2,8 @@
 
 Lines (lower case, white space folded, at least `LEAST_CHARS` characters) are sets
 of character shingles. One pass of hashes over a line, binned by value, gives one
-minimum per bin; short lines are hashed several times over, so that each bin has
-some. Rows of bins are band keys, lines that share one are candidates, and the
+minimum per bin; what a short line leaves empty is filled by further rounds of the
+same hashes. Rows of bins are band keys, lines that share one are candidates, and the
 Jaccard similarity of their shingle sets decides. Links are joined into
 components; of each the first line, by document and position, stays.
 
@@ -32,8 +32,11 @@ ANCHORED = 4
 SIMILARITY = 0.8
 #: Powers of two: a hash's leading bits are its bin, and the leading ones of these its band.
 BANDS, ROWS = 8, 4
-#: Hash values of a line at least: two a bin.
-LEAST_VALUES = 2 * BANDS * ROWS
+#: Hash values of a line at least, five a bin: one in 150 bins stays empty.
+LEAST_VALUES = 5 * BANDS * ROWS
+#: Hashing rounds at most. A value is five bits of bin, four of round, and the hash's lower ones.
+MOST_ROUNDS = 16
+HASH_BITS = 0x7C3FFFFFFFFFFFFF
 CALM = 32
 ROUNDS = 4
 
@@ -59,17 +62,20 @@ def band_rows(lines: DataFrame) -> DataFrame:
     Signatures take the shingles that begin with a word, or a character of a script without spaces, and reach
     ANCHORED characters into the next: a fifth of all, chosen by content, so that an insertion doesn't
     shift them. Similarity is decided on all shingles.
+
+    A bin's value is the least of the first round that has any. Every line's first round is the same, and later ones
+    fill empty bins alone, so that a bin of two lines agrees with the probability of their Jaccard similarity, whatever their sizes.
     """
     dense = "[\u3000-\u9fff\uac00-\ud7af]"
     spaced = F.when(F.col("form").rlike(dense), F.regexp_replace("form", f"({dense})", "$1 ")).otherwise(F.col("form"))
     words = lines.select(F.xxhash64("form").alias("node"), F.split(spaced, " ").alias("w"))
-    base = words.select("node", F.expr(f"zip_with(w, slice(w, 2, size(w)), (x, y) -> xxhash64(x, left(coalesce(y, ''), {ANCHORED})) & {(1 << 63) - 1}L)").alias("h"))
-    more = f"flatten(transform(sequence(1, cast(ceil({LEAST_VALUES} / size(h)) as int)), t -> transform(h, x -> xxhash64(x, t) & {(1 << 63) - 1}L)))"
-    values = base.where("size(h) > 0").select("node", F.expr(f"sort_array(if(size(h) >= {LEAST_VALUES}, h, {more}))").alias("v"))
+    base = words.select("node", F.expr(f"array_distinct(zip_with(w, slice(w, 2, size(w)), (x, y) -> xxhash64(x, left(coalesce(y, ''), {ANCHORED})) & {HASH_BITS}L))").alias("h"))
+    more = f"flatten(transform(sequence(1, cast(least({MOST_ROUNDS}, ceil({LEAST_VALUES} / size(h))) as int) - 1), t -> transform(h, x -> (xxhash64(x, t) & {HASH_BITS}L) | shiftleft(cast(t as bigint), 54))))"
+    values = base.where("size(h) > 0").select("node", F.expr(f"sort_array(if(size(h) >= {LEAST_VALUES}, h, concat(h, {more})))").alias("v"))
     of_bin, of_band = 64 - (BANDS * ROWS).bit_length(), 64 - BANDS.bit_length()
     least = values.select("node", F.expr(f"filter(v, (x, i) -> i = 0 or shiftright(x, {of_bin}) <> shiftright(get(v, i - 1), {of_bin}))").alias("m"))
-    keys = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, filter(m, x -> shiftright(x, {of_band}) = b)))")
-    return least.select("node", F.explode(keys).alias("key"))
+    bands = F.expr(f"filter(transform(sequence(0, {BANDS - 1}), b -> filter(m, x -> shiftright(x, {of_band}) = b)), x -> size(x) > 0)")
+    return least.select("node", F.explode(bands).alias("m")).select("node", F.xxhash64("m").alias("key"))
 
 
 def similar(pairs: DataFrame, forms: DataFrame) -> DataFrame:

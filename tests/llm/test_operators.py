@@ -363,6 +363,22 @@ def test_crowded_line_buckets(spark):
     assert got == len(near)
 
 
+def share_found(spark, pairs):
+    """Part of the pairs of lines that share a band."""
+    rows = [(f,) for pair in pairs for f in pair]
+    keys = lines.band_rows(spark.createDataFrame(rows, "form string")).groupBy("node").agg(F.collect_set("key").alias("keys"))
+    of = spark.createDataFrame(rows, "form string").withColumn("node", F.xxhash64("form")).join(keys, "node").collect()
+    of = {r["form"]: set(r["keys"]) for r in of}
+    return sum(bool(of[a] & of[b]) for a, b in pairs) / len(pairs)
+
+
+@pytest.mark.parametrize("long, short", [(64, 63), (66, 63), (63, 62), (32, 31), (32, 29), (22, 21), (13, 12)])
+def test_lines_of_unequal_size_share_bands(spark, long, short):
+    r = random.Random(long)
+    made = [["".join(r.choice("aeioubcdlnrst") for _ in range(r.randrange(2, 9))) for _ in range(long)] for _ in range(200)]
+    assert share_found(spark, [(" ".join(w), " ".join(w[:short])) for w in made]) >= 0.97
+
+
 # ---- 9 SimHash ----
 
 
