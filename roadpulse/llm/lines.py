@@ -27,8 +27,6 @@ from .components import connected_components
 
 LEAST_CHARS = 20
 SHINGLE = 8
-#: How far a signature's shingles, which begin with a word, reach into the next one.
-ANCHORED = 4
 SIMILARITY = 0.8
 #: Powers of two: a hash's leading bits are its bin, and the leading ones of these its band.
 BANDS, ROWS = 8, 4
@@ -59,17 +57,11 @@ def shingles(form: str) -> str:
 def band_rows(lines: DataFrame) -> DataFrame:
     """(form) -> node, key: one row per band.
 
-    Signatures take the shingles that begin with a word, or a character of a script without spaces, and reach
-    ANCHORED characters into the next: a fifth of all, chosen by content, so that an insertion doesn't
-    shift them. Similarity is decided on all shingles.
-
+    Signatures take every character shingle that similarity is decided on.
     A bin's value is the least of the first round that has any. Every line's first round is the same, and later ones
     fill empty bins alone, so that a bin of two lines agrees with the probability of their Jaccard similarity, whatever their sizes.
     """
-    dense = "[\u3000-\u9fff\uac00-\ud7af]"
-    spaced = F.when(F.col("form").rlike(dense), F.regexp_replace("form", f"({dense})", "$1 ")).otherwise(F.col("form"))
-    words = lines.select(F.xxhash64("form").alias("node"), F.split(spaced, " ").alias("w"))
-    base = words.select("node", F.expr(f"array_distinct(zip_with(w, slice(w, 2, size(w)), (x, y) -> xxhash64(x, left(coalesce(y, ''), {ANCHORED})) & {HASH_BITS}L))").alias("h"))
+    base = lines.select(F.xxhash64("form").alias("node"), F.expr(f"array_distinct(transform({shingles('form')}, x -> xxhash64(x) & {HASH_BITS}L))").alias("h"))
     more = f"flatten(transform(sequence(1, cast(least({MOST_ROUNDS}, ceil({LEAST_VALUES} / size(h))) as int) - 1), t -> transform(h, x -> (xxhash64(x, t) & {HASH_BITS}L) | shiftleft(cast(t as bigint), 54))))"
     values = base.where("size(h) > 0").select("node", F.expr(f"sort_array(if(size(h) >= {LEAST_VALUES}, h, concat(h, {more})))").alias("v"))
     of_bin, of_band = 64 - (BANDS * ROWS).bit_length(), 64 - BANDS.bit_length()

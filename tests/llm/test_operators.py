@@ -379,6 +379,25 @@ def test_lines_of_unequal_size_share_bands(spark, long, short):
     assert share_found(spark, [(" ".join(w), " ".join(w[:short])) for w in made]) >= 0.97
 
 
+def unspaced_pairs(r):
+    """Near copies of at least 0.9 whose words are few or one, by type of line."""
+    some = lambda n, of="abcdefghijklmnopqrstuvwxyz0123456789/_": "".join(r.choice(of) for _ in range(n))
+    thai = "".join(map(chr, range(0x0E01, 0x0E2F)))
+    rows = [[some(7) for _ in range(20)] for _ in range(200)]
+    long_words = [" ".join(some(14) for _ in range(3)) for _ in range(200)]
+    return {
+        "unspaced": [(s + "0", s + "1") for s in (some(59) for _ in range(200))],
+        "commas": [(",".join(w), ",".join([*w[:-1], "changed"])) for w in rows],
+        "long words": [(s, s + "s") for s in long_words],
+        "thai": [(s, s[1:]) for s in (some(60, thai) for _ in range(200))],
+    }
+
+
+def test_lines_with_few_spaces_share_bands(spark):
+    found = {kind: share_found(spark, pairs) for kind, pairs in unspaced_pairs(random.Random(5)).items()}
+    assert min(found.values()) >= 0.97, found
+
+
 # ---- 9 SimHash ----
 
 
