@@ -9,7 +9,8 @@ components; of each the first line, by document and position, stays.
 
 Copies count once: bands carry a line's hash and lines are pre-aggregated.
 Calm buckets are paired out, crowded ones are linked to their most
-frequent line, and what that does not explain goes round again. Text is moved once, for
+frequent lines first; then their members that are still in different components
+meet block by block. Text is moved once, for
 candidate lines' documents alone.
 
 Defined cases: null text is empty; lines that are too short always stay; rows of one
@@ -36,7 +37,11 @@ LEAST_VALUES = 5 * BANDS * ROWS
 MOST_ROUNDS = 16
 HASH_BITS = 0x7C3FFFFFFFFFFFFF
 CALM = 32
-ROUNDS = 4
+#: Turns in which a crowded bucket is linked to its most frequent line; they only spare comparisons.
+ROUNDS = 3
+BLOCK = 1024
+#: 64-bit words of a line's sketch.
+WORDS = 8
 
 
 def folded(text: F.Column) -> F.Column:
@@ -97,24 +102,48 @@ def line_links(documents: DataFrame, known: DataFrame) -> DataFrame:
 
     calm = multi.where(F.col("n") <= CALM).select("key", "node")
     pairs = calm.alias("l").join(calm.alias("r"), F.expr("l.key = r.key and l.node < r.node")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-    links = similar(pairs.distinct(), forms)
-    crowd = cut(multi.where(F.col("n") > CALM).select("key", "node").join(places.select("node", "copies"), "node"))
-    for turn in range(ROUNDS):
+    links = cut(similar(pairs.distinct(), forms))
+    everyone = cut(multi.where(F.col("n") > CALM).select("key", "node").join(places.select("node", "copies"), "node"))
+    crowd = everyone
+    for _ in range(ROUNDS):
         if crowd.isEmpty():
             break
         heads = crowd.groupBy("key").agg(F.max_by("node", F.struct("copies", "node")).alias("head"))
         spokes = crowd.join(heads, "key").where("node <> head")
-        last = turn == ROUNDS - 1
-        if last:  # what three heads have not explained is paired out
-            rest = crowd.select("key", "node")
-            tried = rest.alias("l").join(rest.alias("r"), F.expr("l.key = r.key and l.node < r.node")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-        else:
-            tried = spokes.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-        held = cut(similar(tried, forms))
+        held = cut(similar(spokes.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), forms))
         links = links.union(held)
         either = held.union(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
         crowd = cut(spokes.join(either, (F.col("node") == F.col("a")) & (F.col("head") == F.col("b")), "left_anti").select("key", "node", "copies"))
-    return links
+    if everyone.isEmpty():
+        return links
+    return links.union(similar(unjoined_pairs(everyone.select("key", "node"), links, forms), forms))
+
+
+def sketches(forms: DataFrame) -> DataFrame:
+    """(node, form) -> node, size, w0..: the number of shingles, and of each bit the parity of the shingles that fall on it."""
+    x = forms.select("node", F.expr(f"explode(array_distinct(transform({shingles('form')}, x -> xxhash64(x))))").alias("x"))
+    words = [F.expr(f"bit_xor(if(shiftright(x, 6) & {WORDS - 1} = {k}, shiftleft(1L, cast(x & 63 as int)), 0L))").alias(f"w{k}") for k in range(WORDS)]
+    return x.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *words)
+
+
+def unjoined_pairs(crowd: DataFrame, links: DataFrame, forms: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket that `links` leave in different components and that may be similar. With those that are, components are as if all pairs were compared.
+
+    Two lines of s shingles together are similar if d of these are in one alone and d (1 + SIMILARITY) <= s (1 - SIMILARITY);
+    their sketches differ in at most d bits, so what this drops isn't similar. Members fall into blocks by hash, and every two blocks meet under one key.
+    """
+    joined = connected_components(links)
+    placed = cut(crowd.join(joined.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
+    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    members = placed.join(split.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).hint("merge"), "key")
+    members = cut(members.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)")))
+    known = cut(sketches(forms.join(members.select("node").distinct().hint("merge"), "node", "left_semi")))
+    meet = members.withColumn("m", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, block) as i, greatest(o, block) as j))")))
+    met = meet.join(known.hint("merge"), "node").select("key", "m.i", "m.j", "block", "component", *known.columns)
+    differ = " + ".join(f"bit_count(l.w{k} ^ r.w{k})" for k in range(WORDS))
+    near = f"({differ}) * {1 + SIMILARITY} <= (l.size + r.size) * {1 - SIMILARITY} + 1e-6"
+    on = F.expr(f"l.key = r.key and l.i = r.i and l.j = r.j and l.node < r.node and l.component <> r.component and (l.i = l.j or l.block <> r.block) and {near}")
+    return met.alias("l").join(met.alias("r").hint("merge"), on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
 def distinct_lines(documents: DataFrame) -> DataFrame:

@@ -398,6 +398,35 @@ def test_lines_with_few_spaces_share_bands(spark):
     assert min(found.values()) >= 0.97, found
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_chains_in_crowded_line_buckets(spark, monkeypatch, block):
+    monkeypatch.setattr(lines, "BLOCK", block, raising=False)
+    monkeypatch.setattr(lines, "band_rows", lambda d: d.select(F.xxhash64("form").alias("node"), F.lit(1).alias("key")))
+    r = random.Random(12)
+    made = lambda n: "".join(r.choice("abcdefghijklmnopqrst") for _ in range(n))
+    texts = []
+    for _ in range(6):  # chains of which only neighbours are similar; their second lines are the frequent ones
+        base = made(100 + 36 * 8)
+        chain = [base[k : k + 100] for k in range(0, 80, 8)]
+        texts += chain + chain[1:2] * 3
+    texts += [made(80) for _ in range(20)]
+    r.shuffle(texts)
+    first, sets = {}, {}
+    for k, t in enumerate(texts):
+        first.setdefault(t, k)
+        sets[t] = {t[j : j + 8] for j in range(len(t) - 7)}
+    group = {t: {t} for t in first}
+    for a, b in itertools.combinations(first, 2):
+        n = len(sets[a] & sets[b])
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) and group[a] is not group[b]:
+            group[a] |= group[b]
+            for t in group[b]:
+                group[t] = group[a]
+    want = {k for k, t in enumerate(texts) if k != min(first[x] for x in group[t])}
+    assert {x["doc_id"] for x in lines.removed_lines(docs(spark, texts)).collect()} == want
+    assert len(texts) - len(want) == 26
+
+
 # ---- 9 SimHash ----
 
 
