@@ -2,9 +2,10 @@
 
 A candidate is a long run of key characters that stands close behind a sensitive
 word. Its novelty is the number of bytes that it adds to the compressed size of
-its surroundings, the compressor being primed with a dictionary of identifiers
-and code idioms. Words, identifiers and repeated strings cost few bytes; random
-keys cost nearly their own length, and these are reported.
+its surroundings, other occurrences of it blanked out, the compressor being primed
+with a dictionary of identifiers and code idioms. Words, identifiers and repetitive
+strings cost few bytes; random keys cost nearly their own length, and these are
+reported wherever they stand in the text.
 
 Defined cases: null text is empty and has no spans; every row gives one row,
 repeated or not; texts are scanned whole; spans count code points, end exclusive.
@@ -69,22 +70,28 @@ class Scanner:
 
     def marginal(self, text: str, start: int, end: int) -> float:
         """Bytes that the candidate adds to its surroundings, per byte of its own."""
-        around = text[max(0, start - SURROUNDINGS) : start].encode(), text[end : end + SURROUNDINGS].encode()
-        own = text[start:end].encode()
-        return (len(self.pack(around[0] + own + around[1])) - len(self.pack(around[0] + around[1]))) / len(own)
+        own = text[start:end]
+        # other occurrences, also those that reach over the edge, would make the string look known
+        blank, reach = " " * len(own), SURROUNDINGS + len(own) - 1
+        before = text[max(0, start - reach) : start].replace(own, blank)[-SURROUNDINGS:]
+        after = text[end : end + reach].replace(own, blank)[:SURROUNDINGS]
+        around = before.encode(), after.encode()
+        return (len(self.pack(around[0] + own.encode() + around[1])) - len(self.pack(around[0] + around[1]))) / len(own)
 
     def novel(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        found = []
+        """Every occurrence of a string that is found novel in one place, wherever the others stand."""
+        keys = {}
         for m in self.run.finditer(text):
             start, end = m.span()
-            if not self.near.search(text, max(0, start - CONTEXT), start):
+            own = m.group()
+            if own in keys or not self.near.search(text, max(0, start - CONTEXT), start):
                 continue
             if any(s < end and start < e for s, _, e in base):
                 continue
-            own = m.group()
             if any(c.isdigit() for c in own) and any(c.isalpha() for c in own) and self.marginal(text, start, end) >= self.novelty:
-                found.append((start, 3, end))
-        return found
+                keys[own] = None
+        found = {(m.start(), 3, m.end()) for own in keys for m in re.finditer(re.escape(own), text)}
+        return sorted(x for x in found if not any(s < x[2] and x[0] < e for s, _, e in base))
 
     def __call__(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         base = self.base(text)

@@ -168,6 +168,15 @@ def test_novel_strings():
     assert secrets.redact(f"credential {key}.", scan(f"credential {key}.")[1]).startswith("credential [secret]")
 
 
+def test_novel_strings_that_stand_twice():
+    r, scan = random.Random(8), secrets.Scanner()
+    for n in range(24, 64):
+        key = "a1" + "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(n - 2))
+        text = f"authorization bearer {key} and then\nauthorization bearer {key} again, {'far off ' * 40}{key}"
+        assert [text[s:e] for s, k, e in scan(text)[1] if k == 3] == [key] * 3
+        assert key not in secrets.redact(text, scan(text)[1])
+
+
 def test_redact_keeps_rows_and_columns(spark):
     d = docs(spark, [*ODD, "token = abcdefghijklmnop end"])
     out = secrets.redact_secrets(d)
