@@ -76,9 +76,9 @@ def band_rows(lines: DataFrame) -> DataFrame:
 
 
 def similar(pairs: DataFrame, forms: DataFrame) -> DataFrame:
-    """(a, b) nodes -> those whose shingle sets have a Jaccard similarity of SIMILARITY at least. Lengths rule most others out."""
+    """(a, b) nodes -> those whose shingle sets have a Jaccard similarity of SIMILARITY at least."""
     a, b = (forms.select(F.col("node").alias(c), F.col("form").alias(f"form_{c}")) for c in ("a", "b"))
-    near = pairs.join(a, "a").join(b, "b").where(F.least(F.length("form_a"), F.length("form_b")) >= 0.5 * F.greatest(F.length("form_a"), F.length("form_b")))
+    near = pairs.join(a, "a").join(b, "b")
     sets = near.select("a", "b", F.expr(f"array_distinct({shingles('form_a')})").alias("sa"), F.expr(f"array_distinct({shingles('form_b')})").alias("sb"))
     both = sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
     return both.where(F.col("n") >= SIMILARITY * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")

@@ -436,6 +436,10 @@ def test_chains_in_crowded_line_buckets(spark, monkeypatch, block):
     assert len(texts) - len(want) == 26
 
 
+def test_repetitive_lines_of_unequal_length(spark):
+    assert [(x["doc_id"], x["removed"]) for x in lines.removed_lines(docs(spark, ["ha " * 25, "ha " * 10])).collect()] == [(1, [0])]
+
+
 # ---- 9 SimHash ----
 
 
