@@ -163,9 +163,11 @@ def links(nodes: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, fp, component_id."""
     marked = cut(fingerprints(documents))
-    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    named = connected_components(links(nodes.where("node is not null")))
-    of_fp = nodes.join(named.hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    least = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    named = connected_components(links(least.select(F.col("fp").alias("node"), "fp")))  # by fingerprint: rows without an id connect too
+    placed = cut(least.join(named.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
+    names = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_fp = placed.join(names.hint("merge"), "component").select("fp", "component_id")
     return marked.join(of_fp.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 

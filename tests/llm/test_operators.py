@@ -503,3 +503,20 @@ def test_near_duplicates_of_odd_rows(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(d).collect()}
     assert got[0] == got[1] == got[3] == 0 and got[6] == got[7] == got[None] == 6
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_fingerprints_without_an_id_connect_others(spark, monkeypatch):
+    fps = {1: 0, None: 0b1111, 2: 0b11111111}
+    monkeypatch.setattr(simhash, "fingerprints", lambda d: spark.createDataFrame(list(fps.items()), "doc_id long, fp long"))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, [])).collect()}
+    assert got == {1: 1, None: 1, 2: 1}
+
+
+def test_the_pipeline_drops_near_copies_by_row(spark):
+    import corpus_pipeline
+
+    same, other = "one text that stands here many times over", "quite another text which nothing else in the table resembles"
+    d = docs(spark, [same, same, same, same, other], [4, 4, None, 3, 4])
+    kept = corpus_pipeline.drop_near_copies(spark, d, "")
+    assert kept.columns == d.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, same), (4, other)]
