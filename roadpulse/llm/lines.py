@@ -1,122 +1,149 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions alone.
 
-Lines (lower case, white space folded, at least `LEAST_CHARS` characters) are sets
-of character shingles. One pass of hashes over a line, binned by value, gives one
-minimum per bin; what a short line leaves empty is filled by further rounds of the
-same hashes. Rows of bins are band keys, lines that share one are candidates, and the
+Lines (lower case, white space folded) are sets of character shingles; a line shorter
+than a shingle is one shingle. A signature has one least value for each of BANDS * ROWS
+permutations of the shingles' hashes. A permutation is an exclusive or with a point of its own, so
+every value agrees with the probability of the Jaccard similarity, whatever the sizes.
+Rows of values are band keys, lines that share one are candidates, and the
 Jaccard similarity of their shingle sets decides. Links are joined into
 components; of each the first line, by document and position, stays.
 
-Copies count once: bands carry a line's hash and lines are pre-aggregated.
-Calm buckets are paired out, crowded ones are linked to their most
-frequent lines first; then their members that are still in different components
-meet block by block. Text is moved once, for
-candidate lines' documents alone.
+No pairs are made within a bucket. Its members are first compared with its most frequent line. Those that stay in other
+components are compared with further heads, and what is then still apart meets
+block by block, under a bound that no similar pair exceeds. So components are as if all pairs
+of a bucket were compared. Copies count once: signatures are reduced by
+line before they are moved, and lines that are very frequent are decided
+by a broadcast whose size is bounded.
 
-Defined cases: null text is empty; lines that are too short always stay; rows of one
-id and one text get the same result; rows without an id are returned as they are; rows of one id with different
-texts are decided line by line by position; an empty table gives an empty result.
+Defined cases: null text is empty; blank lines always stay; a line of any length goes if it equals
+an earlier one; rows of one id and one text get the same result, other rows are told apart by their texts;
+rows without an id come after all others; an empty table gives an empty result; columns of any name may stand beside doc_id and text.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, read_table
 from .components import connected_components
 
-LEAST_CHARS = 20
 SHINGLE = 8
 SIMILARITY = 0.8
-#: Powers of two: a hash's leading bits are its bin, and the leading ones of these its band.
+#: Band keys are found with a probability of 1 - (1 - s^ROWS)^BANDS: 0.985 at a similarity of 0.8, 0.9998 at 0.9.
 BANDS, ROWS = 8, 4
-#: Hash values of a line at least, five a bin: one in 150 bins stays empty.
-LEAST_VALUES = 5 * BANDS * ROWS
-#: Hashing rounds at most. A value is five bits of bin, four of round, and the hash's lower ones.
-MOST_ROUNDS = 16
-HASH_BITS = 0x7C3FFFFFFFFFFFFF
-CALM = 32
-#: Turns in which a crowded bucket is linked to its most frequent line; they only spare comparisons.
-ROUNDS = 3
+#: Shingles that one row carries while signatures are made.
+STEP = 4
+#: Members of a bucket, its most frequent lines, that all others of other components are compared with.
+HEADS = 4
 BLOCK = 1024
 #: 64-bit words of a line's sketch.
 WORDS = 8
+#: Lines that make up this share of all lines, at most one in it of them, are decided by broadcast.
+HOT_SHARE = 512
+#: The place of rows without an id.
+LAST = (1 << 63) - 1
+
+
+def points(n: int) -> list[int]:
+    """Signed 64-bit points of the n permutations: a fixed series, evenly spread in their leading bits."""
+    draw, lead = random.Random(8), (n - 1).bit_length()
+    return [(x - (1 << 64) if x >> 63 else x) for x in ((i << (64 - lead)) | draw.getrandbits(64 - lead) for i in range(n))]
+
 
+def folded(line: F.Column) -> F.Column:
+    """Lower case; runs of white space are one space, none at the ends."""
+    odd = [F.contains(line, F.lit(s)) for s in ("  ", "\t", "\r", "\f", "\x0b")]
+    spaced = F.when(odd[0] | odd[1] | odd[2] | odd[3] | odd[4], F.regexp_replace(line, r"[\t\f\r\x0B ]+", " ")).otherwise(line)
+    return F.trim(F.lower(spaced))
 
-def folded(text: F.Column) -> F.Column:
-    """Lower case; runs of white space other than line ends are one space."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r" [\t\f\r\x0B ]+|[\t\f\r\x0B][\t\f\r\x0B ]*", " ")
 
+def keyed(documents: DataFrame) -> DataFrame:
+    """(doc_id, text) -> place, row, text: the order of ids, and what tells rows apart that aren't equal."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("place"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), text.alias("text"))
 
-def occurrences(documents: DataFrame) -> DataFrame:
-    """doc_id, idx, form of the lines that take part."""
-    lines = documents.select("doc_id", F.posexplode(F.split(folded(F.col("text")), "\n")).alias("idx", "line"))
-    return lines.select("doc_id", "idx", F.trim("line").alias("form")).where(F.length("form") >= LEAST_CHARS)
+
+def line_rows(rows: DataFrame) -> DataFrame:
+    """place, row, idx, form of the lines that aren't blank."""
+    lines = rows.select("place", "row", F.posexplode(F.split("text", "\n", -1)).alias("idx", "line"))
+    return lines.select("place", "row", "idx", folded(F.col("line")).alias("form")).where("form <> ''")
 
 
 def shingles(form: str) -> str:
-    return f"regexp_extract_all({form}, '(?s)(?=(.{{{SHINGLE}}}))', 1)"
+    return f"if(length({form}) < {SHINGLE}, array({form}), regexp_extract_all({form}, '(?s)(?=(.{{{SHINGLE}}}))', 1))"
+
 
+def signatures(forms: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(form) -> node, m0, m1, ..: one row per distinct form. Each row of shingles is four bytes a character, STEP shingles wide."""
+    ends = F.expr(f"greatest(0, cast(octet_length(b) div 4 as int) - {SHINGLE})")
+    bare = forms.select(F.xxhash64("form").alias("node"), F.encode("form", "UTF-32").alias("b")).select("node", "b", ends.alias("z"))
+    starts = bare.select("node", "b", "z", F.explode(F.expr(f"sequence(0, z, {STEP})")).alias("i"))
+    hashes = starts.select("node", *[F.expr(f"xxhash64(substring(b, 4 * least(i + {k}, z) + 1, {4 * SHINGLE}))").alias(f"h{k}") for k in range(STEP)])
+    least = lambda p: F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(p)) for k in range(STEP)]))
+    return hashes.groupBy("node").agg(*[least(p).alias(f"m{i}") for i, p in enumerate(points(bands * rows))])
 
-def band_rows(lines: DataFrame) -> DataFrame:
-    """(form) -> node, key: one row per band.
 
-    Signatures take every character shingle that similarity is decided on.
-    A bin's value is the least of the first round that has any. Every line's first round is the same, and later ones
-    fill empty bins alone, so that a bin of two lines agrees with the probability of their Jaccard similarity, whatever their sizes.
-    """
-    base = lines.select(F.xxhash64("form").alias("node"), F.expr(f"array_distinct(transform({shingles('form')}, x -> xxhash64(x) & {HASH_BITS}L))").alias("h"))
-    more = f"flatten(transform(sequence(1, cast(least({MOST_ROUNDS}, ceil({LEAST_VALUES} / size(h))) as int) - 1), t -> transform(h, x -> (xxhash64(x, t) & {HASH_BITS}L) | shiftleft(cast(t as bigint), 54))))"
-    values = base.where("size(h) > 0").select("node", F.expr(f"sort_array(if(size(h) >= {LEAST_VALUES}, h, concat(h, {more})))").alias("v"))
-    of_bin, of_band = 64 - (BANDS * ROWS).bit_length(), 64 - BANDS.bit_length()
-    least = values.select("node", F.expr(f"filter(v, (x, i) -> i = 0 or shiftright(x, {of_bin}) <> shiftright(get(v, i - 1), {of_bin}))").alias("m"))
-    bands = F.expr(f"filter(transform(sequence(0, {BANDS - 1}), b -> filter(m, x -> shiftright(x, {of_band}) = b)), x -> size(x) > 0)")
-    return least.select("node", F.explode(bands).alias("m")).select("node", F.xxhash64("m").alias("key"))
+def band_rows(signed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(node, copies, m0, m1, ..) -> node, copies, key: one row per band."""
+    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{rows * b + r}" for r in range(rows)]) for b in range(bands)])
+    return signed.select("node", "copies", F.explode(keys).alias("key"))
 
 
 def similar(pairs: DataFrame, forms: DataFrame) -> DataFrame:
     """(a, b) nodes -> those whose shingle sets have a Jaccard similarity of SIMILARITY at least."""
     a, b = (forms.select(F.col("node").alias(c), F.col("form").alias(f"form_{c}")) for c in ("a", "b"))
-    near = pairs.join(a, "a").join(b, "b")
+    near = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
     sets = near.select("a", "b", F.expr(f"array_distinct({shingles('form_a')})").alias("sa"), F.expr(f"array_distinct({shingles('form_b')})").alias("sb"))
     both = sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
     return both.where(F.col("n") >= SIMILARITY * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
 
 
-def line_links(documents: DataFrame, known: DataFrame) -> DataFrame:
-    """Links (a, b) between the hashes of different lines of at least SIMILARITY."""
-    lines = occurrences(documents)
-    dealt = band_rows(lines.select("form")).repartition("key")
-    shared = dealt.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    rows = dealt.join(shared.hint("shuffle_hash"), "key").distinct()
-    rows = cut(rows)
-    multi = cut(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key"))
-    wanted = multi.select("node").distinct()
-    places = cut(known.join(wanted, "node").select("node", "copies", "at.doc_id", "at.idx"))
-    of_document = places.groupBy("doc_id").agg(F.collect_set(F.struct("idx", "node")).alias("lines"))  # lines of one text
-    texts = documents.where("doc_id is not null").select("doc_id", "text").join(of_document, "doc_id")
-    found = texts.select(F.split(folded(F.col("text")), "\n").alias("all"), F.explode("lines").alias("one"))
-    found = found.select("one.node", F.trim(F.get("all", F.col("one.idx"))).alias("form")).where(F.xxhash64("form") == F.col("node"))
-    forms = cut(found.distinct())
-
-    calm = multi.where(F.col("n") <= CALM).select("key", "node")
-    pairs = calm.alias("l").join(calm.alias("r"), F.expr("l.key = r.key and l.node < r.node")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-    links = cut(similar(pairs.distinct(), forms))
-    everyone = cut(multi.where(F.col("n") > CALM).select("key", "node").join(places.select("node", "copies"), "node"))
-    crowd = everyone
-    for _ in range(ROUNDS):
-        if crowd.isEmpty():
-            break
-        heads = crowd.groupBy("key").agg(F.max_by("node", F.struct("copies", "node")).alias("head"))
-        spokes = crowd.join(heads, "key").where("node <> head")
-        held = cut(similar(spokes.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), forms))
-        links = links.union(held)
-        either = held.union(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        crowd = cut(spokes.join(either, (F.col("node") == F.col("a")) & (F.col("head") == F.col("b")), "left_anti").select("key", "node", "copies"))
-    if everyone.isEmpty():
+def known_lines(occurrences: DataFrame) -> DataFrame:
+    """node, copies, mixed (two forms under one hash), and a place to read the form from; copies are reduced on the map side."""
+    of_node = occurrences.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.first("row").alias("row"), F.first("idx").alias("idx"))
+    return of_node.select("node", "copies", (F.col("c1") != F.col("c2")).alias("mixed"), "row", "idx")
+
+
+def line_links(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b) between the hashes of different lines of at least SIMILARITY; their components are those of all such links within buckets."""
+    keys = band_rows(signatures(line_rows(rows).select("form")).join(known.where("not mixed").select("node", "copies").hint("merge"), "node"))
+    order = W.partitionBy("key").orderBy(F.desc("copies"), "node")
+    # a bucket's members after its head, the most frequent line; lines that are alone in their buckets end here
+    members = cut(keys.withColumns({"head": F.first("node").over(order), "at": F.row_number().over(order)}).where("at > 1").select("key", "node", "head", "at"))
+    wanted = members.select("node").union(members.select("head")).distinct()
+    places = known.join(wanted.hint("merge"), "node", "left_semi").groupBy("row").agg(F.collect_list(F.struct("idx", "node")).alias("lines"))  # lines of one text
+    found = rows.join(places.hint("merge"), "row").select(F.split("text", "\n", -1).alias("all"), F.explode("lines").alias("one"))
+    found = found.select("one.node", folded(F.get("all", F.col("one.idx"))).alias("form")).where(F.xxhash64("form") == F.col("node"))
+    forms = cut(found.groupBy("node").agg(F.min("form").alias("form")))
+
+    links = cut(similar(members.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), forms))
+    left = still_apart(members, links)
+    if left.isEmpty():
+        return links
+    marks = cut(sketches(forms.join(left.select("node").distinct().hint("merge"), "node", "left_semi")))
+    more = left.groupBy("key").agg(F.collect_list(F.when(F.col("at") <= HEADS, F.struct("node", "component"))).alias("heads"))  # HEADS at most
+    aimed = left.join(more.hint("merge"), "key").select("node", "component", F.explode("heads").alias("h")).where("component <> h.component")
+    aimed = aimed.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
+    links = cut(links.union(similar(within_bound(aimed, marks), forms)))
+    left = still_apart(left.select("key", "node", "at"), links).where(f"n > {HEADS}")  # smaller buckets are done
+    if left.isEmpty():
         return links
-    return links.union(similar(unjoined_pairs(everyone.select("key", "node"), links, forms), forms))
+    return links.union(similar(cut(block_pairs(left, marks)), forms))
+
+
+def still_apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    """All members of the buckets that `links` leave in several components: key, node, at, component, and n, the bucket's size. Buckets of two are done."""
+    everyone = members.select("key", "node", "at")
+    if "head" in members.columns:
+        everyone = everyone.union(members.where("at = 2").select("key", "head", F.lit(1)))
+    named = everyone.join(connected_components(links).hint("merge"), "node", "left").select("key", "node", "at", F.coalesce("component", "node").alias("component"))
+    named = cut(named)
+    several = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2")
+    return cut(named.join(several.select("key", "n").hint("merge"), "key"))
 
 
 def sketches(forms: DataFrame) -> DataFrame:
@@ -126,60 +153,67 @@ def sketches(forms: DataFrame) -> DataFrame:
     return x.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *words)
 
 
-def unjoined_pairs(crowd: DataFrame, links: DataFrame, forms: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket that `links` leave in different components and that may be similar. With those that are, components are as if all pairs were compared.
+def bound(a: str, b: str) -> str:
+    """SQL: two lines of s shingles together are similar if d of these are in one alone and d (1 + SIMILARITY) <= s (1 - SIMILARITY); their sketches differ in at most d bits."""
+    differ = " + ".join(f"bit_count({a}.w{k} ^ {b}.w{k})" for k in range(WORDS))
+    return f"({differ}) * {1 + SIMILARITY} <= ({a}.size + {b}.size) * {1 - SIMILARITY} + 1e-6"
+
+
+def within_bound(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their sketches don't rule out."""
+    l, r = (marks.select(F.col("node").alias(c), F.struct("size", *[f"w{k}" for k in range(WORDS)]).alias(f"of_{c}")) for c in ("a", "b"))
+    return pairs.join(l.hint("merge"), "a").join(r.hint("merge"), "b").where(bound("of_a", "of_b")).select("a", "b")
+
 
-    Two lines of s shingles together are similar if d of these are in one alone and d (1 + SIMILARITY) <= s (1 - SIMILARITY);
-    their sketches differ in at most d bits, so what this drops isn't similar. Members fall into blocks by hash, and every two blocks meet under one key.
-    """
-    joined = connected_components(links)
-    placed = cut(crowd.join(joined.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    members = placed.join(split.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).hint("merge"), "key")
-    members = cut(members.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)")))
-    known = cut(sketches(forms.join(members.select("node").distinct().hint("merge"), "node", "left_semi")))
+def block_pairs(left: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket in different components that their sketches don't rule out. Members fall into blocks by hash, and every two blocks meet under one key."""
+    members = left.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     meet = members.withColumn("m", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, block) as i, greatest(o, block) as j))")))
-    met = meet.join(known.hint("merge"), "node").select("key", "m.i", "m.j", "block", "component", *known.columns)
-    differ = " + ".join(f"bit_count(l.w{k} ^ r.w{k})" for k in range(WORDS))
-    near = f"({differ}) * {1 + SIMILARITY} <= (l.size + r.size) * {1 - SIMILARITY} + 1e-6"
-    on = F.expr(f"l.key = r.key and l.i = r.i and l.j = r.j and l.node < r.node and l.component <> r.component and (l.i = l.j or l.block <> r.block) and {near}")
+    met = meet.join(marks.hint("merge"), "node").select("key", "m.i", "m.j", "block", "component", *marks.columns)
+    on = F.expr(f"l.key = r.key and l.i = r.i and l.j = r.j and l.node < r.node and l.component <> r.component and (l.i = l.j or l.block <> r.block) and {bound('l', 'r')}")
     return met.alias("l").join(met.alias("r").hint("merge"), on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
-def distinct_lines(documents: DataFrame) -> DataFrame:
-    """node, at (first place), copies, and two bounds of a second hash: one row per line hash, copies reduced on the map side."""
-    every = occurrences(documents).where("doc_id is not null").select("doc_id", "idx", F.xxhash64("form").alias("node"), F.xxhash64(F.lit("line"), "form").alias("check"))
-    return every.groupBy("node").agg(F.min(F.struct("doc_id", "idx")).alias("at"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("c1"), F.max("check").alias("c2"))
+def joined_by_share(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """Inner join on a unique key of `groups`. Groups of over 1 / HOT_SHARE of all `total` rows, HOT_SHARE of them at most, are broadcast; others are merged."""
+    hot = F.col(size) * HOT_SHARE > total
+    few = F.broadcast(groups.where(hot))
+    calm = rows.join(F.broadcast(groups.where(hot).select(*on)), on, "left_anti")
+    return rows.join(few, on).unionByName(calm.join(groups.where(~hot).hint("merge"), on))
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
-    """doc_id, removed: ascending positions of the lines that an earlier line of their component stands for."""
-    known = cut(distinct_lines(documents))
-    components = cut(connected_components(line_links(documents, known)))
-    every = occurrences(documents).where("doc_id is not null").select("doc_id", "idx", F.xxhash64("form").alias("node"))
-    lines = known.where("c1 = c2")  # different lines with one hash are left alone
-    of_component = lines.join(components, "node").withColumn("first", F.col("at"))
-    firsts = of_component.groupBy("component").agg(F.min("first").alias("first"))
-    fuzzy = components.join(firsts, "component").select(F.col("node").alias("n2"), "first")
-    decided = lines.join(fuzzy, F.col("node") == F.col("n2"), "left")
-    decided = decided.where("copies > 1 or first is not null").select("node", F.coalesce("first", "at").alias("keep"))
-    gone = every.join(decided, "node").where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("idx") != F.col("keep.idx")))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("idx")).alias("removed"))
+    """doc_id, row, removed: ascending positions of the lines that an earlier line of their component stands for. `keyed` tells what a row is."""
+    rows = keyed(documents)
+    occurrences = cut(line_rows(rows).select("place", "row", "idx", F.xxhash64("form").alias("node"), F.xxhash64(F.lit("line"), "form").alias("check")))
+    known = cut(known_lines(occurrences))
+    components = connected_components(line_links(rows, known))
+    total = known.agg(F.sum("copies")).first()[0] or 0
+    named = known.join(components.hint("merge"), "node", "left").where("copies > 1 or component is not null")
+    named = cut(named.select("node", "copies", "mixed", F.coalesce("component", "node").alias("component")))
+    touched = joined_by_share(occurrences, named, ["node"], "copies", total)
+    # different lines under one hash are told apart by a second one
+    touched = cut(touched.select("place", "row", "idx", "component", F.when(F.col("mixed"), F.col("check")).otherwise(0).alias("form")))
+    groups = cut(touched.groupBy("component", "form").agg(F.min(F.struct("place", "row", "idx")).alias("first"), F.count(F.lit(1)).alias("n")))
+    gone = joined_by_share(touched, groups, ["component", "form"], "n", total).where(F.struct("place", "row", "idx") != F.col("first"))
+    gone = gone.groupBy("place", "row").agg(F.sort_array(F.collect_set("idx")).alias("removed"))
+    return gone.select(F.nullif("place", F.lit(LAST)).alias("doc_id"), "row", "removed")
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """The same rows and columns, `text` without the removed lines."""
-    plain = documents.withColumn("text", F.coalesce("text", F.lit("")))
-    names = plain.columns
-    gone = removed_lines(plain).select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
-    joined = plain.join(gone, F.col("doc_id") == F.col("_doc"), "left")
-    kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(_removed, i)), '\\n')")
-    return joined.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)).select(*names)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    whole = documents.select(F.struct("*").alias("whole"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), text.alias("text"))
+    joined = whole.join(removed_lines(documents).select("row", "removed").hint("merge"), "row", "left")
+    stay = F.expr("array_join(transform(array_except(sequence(0, size(split(text, '\\n')) - 1), removed), i -> get(split(text, '\\n'), i)), '\\n')")
+    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(stay)
+    return joined.select(*[kept.alias("text") if c == "text" else F.col(f"whole.`{c}`").alias(c) for c in documents.columns])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, and the removed positions, comma-joined."""
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = removed_lines(documents)
-    counts = documents.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    return counts.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
+    text = F.coalesce("text", F.lit(""))
+    counts = documents.select("doc_id", F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"))
+    out = counts.join(removed_lines(documents).select("row", "removed").hint("merge"), "row", "left")
+    return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))

@@ -331,9 +331,9 @@ def test_line_dedup_against_brute_force(spark):
     forms = defaultdict(list)
     for i, t in enumerate(texts):
         for k, line in enumerate(re.sub(r"[ \t\f\r\x0b]+", " ", (t or "").lower()).split("\n")):
-            if len(line.strip(" ")) >= lines.LEAST_CHARS:
+            if line.strip(" "):
                 forms[line.strip(" ")].append((i, k))
-    sets = {f: {f[j : j + lines.SHINGLE] for j in range(len(f) - lines.SHINGLE + 1)} for f in forms}
+    sets = {f: {f[j : j + lines.SHINGLE] for j in range(max(1, len(f) - lines.SHINGLE + 1))} for f in forms}
     parent = {f: f for f in forms}
 
     def find(x):
@@ -357,11 +357,15 @@ def test_line_dedup_rows(spark):
     copied = "a line that is long enough to be compared"
     d = docs(spark, [copied + "\nown line of the first document", copied + "!\nshort", None, "", copied, copied], [5, 6, 7, 8, None, 9])
     out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(d).collect()}
-    assert out == {5: copied + "\nown line of the first document", 6: "short", 7: "", 8: "", None: copied, 9: ""}
+    assert out == {5: copied + "\nown line of the first document", 6: "short", 7: "", 8: "", None: "", 9: ""}
     assert lines.dedup_lines(d).columns == d.columns
     assert lines.removed_lines(docs(spark, [])).count() == 0
     again = lines.removed_lines(docs(spark, [copied, copied], [1, 1]))
     assert again.count() == 0  # one document, twice
+    d = docs(spark, [copied + "\nx", "alone, and long enough to be compared with others\nx", "x"], [7, 7, 3])
+    assert sorted(r["text"] for r in lines.dedup_lines(d).collect()) == ["a line that is long enough to be compared", "alone, and long enough to be compared with others", "x"]  # two texts of one id
+    named = docs(spark, [copied, copied], [1, 2]).selectExpr("doc_id", "text", "1 as row", "2 as removed", "3 as whole", "4 as place")
+    assert sorted(tuple(r) for r in lines.dedup_lines(named).collect()) == [(1, copied, 1, 2, 3, 4), (2, "", 1, 2, 3, 4)]
 
 
 def test_crowded_line_buckets(spark):
@@ -375,7 +379,7 @@ def test_crowded_line_buckets(spark):
 def share_found(spark, pairs):
     """Part of the pairs of lines that share a band."""
     rows = [(f,) for pair in pairs for f in pair]
-    keys = lines.band_rows(spark.createDataFrame(rows, "form string")).groupBy("node").agg(F.collect_set("key").alias("keys"))
+    keys = lines.band_rows(lines.signatures(spark.createDataFrame(rows, "form string")).withColumn("copies", F.lit(1))).groupBy("node").agg(F.collect_set("key").alias("keys"))
     of = spark.createDataFrame(rows, "form string").withColumn("node", F.xxhash64("form")).join(keys, "node").collect()
     of = {r["form"]: set(r["keys"]) for r in of}
     return sum(bool(of[a] & of[b]) for a, b in pairs) / len(pairs)
@@ -394,7 +398,13 @@ def unspaced_pairs(r):
     thai = "".join(map(chr, range(0x0E01, 0x0E2F)))
     rows = [[some(7) for _ in range(20)] for _ in range(200)]
     long_words = [" ".join(some(14) for _ in range(3)) for _ in range(200)]
+    phrases = [[some(r.randrange(2, 9)) for _ in range(20)] for _ in range(200)]
+    url = [some(200) for _ in range(200)]
     return {
+        "url": [(s, s[:90] + "#" + s[91:]) for s in url],
+        "one word in twenty": [(" ".join(w), " ".join([*w[:9], "changed", *w[10:]])) for w in phrases],
+        "repeats": [((x + " ") * 30, (x + " ") * 10) for x in (some(5) + " " + some(6) for _ in range(200))],
+        "short": [(s + "a", s) for s in (some(15) for _ in range(200))],
         "unspaced": [(s + "0", s + "1") for s in (some(59) for _ in range(200))],
         "commas": [(",".join(w), ",".join([*w[:-1], "changed"])) for w in rows],
         "long words": [(s, s + "s") for s in long_words],
@@ -410,7 +420,7 @@ def test_lines_with_few_spaces_share_bands(spark):
 @pytest.mark.parametrize("block", [1024, 8])
 def test_chains_in_crowded_line_buckets(spark, monkeypatch, block):
     monkeypatch.setattr(lines, "BLOCK", block, raising=False)
-    monkeypatch.setattr(lines, "band_rows", lambda d: d.select(F.xxhash64("form").alias("node"), F.lit(1).alias("key")))
+    monkeypatch.setattr(lines, "band_rows", lambda d: d.select("node", "copies", F.lit(1).alias("key")))
     r = random.Random(12)
     made = lambda n: "".join(r.choice("abcdefghijklmnopqrst") for _ in range(n))
     texts = []
