@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver find plans that nothing refers to any more, so that Spark's cleaner removes their shuffle files before the next job writes its own."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(doc_id: str = "doc_id"):
     """True where crc32 of the id as text leaves remainder 1 on division by 3. A null id counts as the empty text."""
     return F.expr(f"crc32(encode(coalesce(cast({doc_id} as string), ''), 'UTF-8')) % 3 = 1")
