@@ -7,9 +7,10 @@ best first. No piece has a space mark after another character, so the lattice
 falls apart at spaces; each stretch is searched once and remembered, and the N best of
 the text are found by the same search over the stretches whose second-best is nearest.
 
-Scores are the model's own, added up. A character without a piece becomes its
-bytes, at a cost below all others. Defined cases: null text is empty and has one
-segmentation without pieces; of equal scores the one with fewer pieces comes first; a text with fewer than N segmentations has
+Scores are the model's own, added up, held as exact integers with the number of ids as their lowest
+digits. A character without a piece becomes its bytes, at a cost below all others. Defined cases: null text is empty and has one
+segmentation without pieces; of equal scores the one with fewer pieces comes first, and of these the one that departs from the
+best earlier in the text; the first ranks are the same whatever N; a text with fewer than N segmentations has
 fewer rows; a literal space mark (U+2581) is kept apart from spaces as bytes; texts of any length are
 segmented whole.
 """
@@ -31,7 +32,11 @@ from .common import long_ids, read_table, tokenizer_file, whole_texts
 
 MARK = "▁"
 UNKNOWN = -2e9
+#: A cost above all others: no way.
+FAR = 1 << 200
 BEST = 3
+#: Models that this process has read, by file.
+KEPT: dict[str, Pieces] = {}
 
 
 class Pieces:
@@ -39,26 +44,31 @@ class Pieces:
 
     def __init__(self, pieces: dict[str, tuple[int, float]], bytes_at: int, remembered: int = 800_000):
         self.pieces, self.bytes_at = pieces, bytes_at
-        #: Every beginning of a piece: (id, cost) if it is one itself, else empty.
-        self.begun: dict[str, tuple] = {p[:k]: () for p in pieces for k in range(1, len(p))}
-        self.begun.update({p: (i, self.cost(score, 1)) for p, (i, score) in pieces.items()})
+        #: Beginnings of pieces, character by character: [id or -1, cost, how it goes on].
+        self.begun: dict[str, list] = {}
+        for p, (i, score) in pieces.items():
+            on = self.begun
+            for c in p:
+                node = on.setdefault(c, [-1, 0, {}])
+                on = node[2]
+            node[:2] = i, self.cost(score, 1)
+        self.longest = max(map(len, pieces), default=1)
         self.touching = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
-        self.texts: list[str | None] = [None] * (max(bytes_at + 256, *(i + 1 for i, _ in pieces.values())) if pieces else bytes_at + 256)
+        #: What each id stands for, in UTF-8: ids of bytes are joined with the others before any is read as text.
+        self.raw: list[bytes] = [b""] * max([bytes_at + 256, *(i + 1 for i, _ in pieces.values())])
+        self.raw[bytes_at : bytes_at + 256] = [bytes([b]) for b in range(256)]
         for p, (i, _) in pieces.items():
-            self.texts[i] = p.replace(MARK, " ")
-        self.known: dict[str, tuple[float, tuple[int, ...], float]] = {}
+            self.raw[i] = p.replace(MARK, " ").encode()
+        self.known: dict[str, tuple[int, bytes, int]] = {}
         self.remembered = remembered
         self.stretch = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
     @classmethod
     def load(cls, model_file: str) -> Pieces:
         """One model for each worker process: what a task has searched, the next ones there remember."""
-        import sentencepiece
-
-        kept = sentencepiece.__dict__.setdefault("_kept_pieces", {})
-        if model_file not in kept:
-            kept[model_file] = cls.read(model_file)
-        return kept[model_file]
+        if model_file not in KEPT:
+            KEPT[model_file] = cls.read(model_file)
+        return KEPT[model_file]
 
     @classmethod
     def read(cls, model_file: str) -> Pieces:
@@ -72,56 +82,58 @@ class Pieces:
     def byte_ids(self, text: str) -> tuple[int, ...]:
         return tuple(self.bytes_at + b for b in text.encode("utf-8", "surrogatepass"))
 
-    def lattice(self, s: str) -> tuple[list[int], list[list], list]:
-        """Least cost of a way to each position, the edges (start, cost, id or byte ids) by end, and the last edge of each best way."""
-        size, get, far = len(s), self.begun.get, 1 << 200
-        forward, last = [0] + [far] * size, [None] * (size + 1)
+    def lattice(self, s: str) -> tuple[list[int], list[list]]:
+        """Least cost of a way to each position, and the edges (start, cost, id or byte ids) by end."""
+        size, begun = len(s), self.begun
+        forward = [0] + [FAR] * size
         edges: list[list] = [[] for _ in range(size + 1)]
         for start in range(size):
             here = forward[start]
-            for end in range(start + 1, size + 1):
-                p = get(s[start:end])
-                if not p:
-                    if end == start + 1:
-                        own = self.byte_ids(s[start])
-                        edge = (start, self.cost(UNKNOWN, len(own)), own)
-                    elif p is None:
-                        break  # no piece goes on like this
-                    else:
+            on, end = begun, start
+            for c in s[start : start + self.longest]:
+                end += 1
+                node = on.get(c)
+                if node is None or node[0] < 0:
+                    if end > start + 1:
+                        if node is None:
+                            break  # no piece goes on like this
+                        on = node[2]
                         continue
+                    own = self.byte_ids(c)
+                    cost = self.cost(UNKNOWN, len(own))
                 else:
-                    edge = (start, p[1], p[0])
-                edges[end].append(edge)
-                if here + edge[1] < forward[end]:
-                    forward[end], last[end] = here + edge[1], edge
-                if p is None:
+                    own, cost, _ = node
+                edges[end].append((start, cost, own))
+                forward[end] = min(forward[end], here + cost)
+                if node is None:
                     break
-        return forward, edges, last
+                on = node[2]
+        return forward, edges
 
-    def search(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, ids) of a stretch: A* from the end, the forward costs being what is left to the start."""
-        forward, edges, _ = self.lattice(s)
+    def search(self, s: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """The n best (cost, ids) of a stretch: A* from the end, the forward costs being what is left to the start."""
+        forward, edges = self.lattice(s)
         size = len(s)
         # (cost of the whole way at best, position, serial) and the way from here to the end; of equal costs the way that
         # has come furthest goes on, else all equal ways of a long repetition would be built side by side
         push, pop, serial = heapq.heappush, heapq.heappop, 0
-        heap: list = [(forward[size], size, 0, 0, None)]
-        out: list[tuple[float, tuple[int, ...]]] = []
+        heap: list = [(forward[size], 0, 0, 0, size, None)]
+        out: list[tuple[int, tuple[int, ...]]] = []
         while heap:
-            total, at, _, behind, way = pop(heap)
+            total, _, _, behind, at, way = pop(heap)
             if not at:
                 ids: list[int] = []
                 while way is not None:
                     own, way = way
                     ids += own if type(own) is tuple else (own,)
-                out.append((self.score(total), tuple(ids)))
+                out.append((total, tuple(ids)))
                 if len(out) == n:
                     break
                 continue
             for start, cost, own in edges[at]:
                 serial += 1
                 held = behind + cost
-                push(heap, (held + forward[start], start, serial, held, (own, way)))
+                push(heap, (held + forward[start], start, serial, held, start, (own, way)))
         return out
 
     @staticmethod
@@ -133,36 +145,52 @@ class Pieces:
     def score(cost: int) -> float:
         return -(cost >> 24) / 1024
 
-    def first(self, s: str | None) -> tuple[float, tuple[int, ...], float]:
-        """Score and ids of the best segmentation of a stretch, and what the second-best costs beyond it."""
+    def first(self, s: str | None) -> tuple[int, bytes, int]:
+        """Cost and ids (four bytes each) of the best segmentation of a stretch, and what the second-best costs beyond it: one pass forward with the two least costs of each position."""
         if s is None:
-            return UNKNOWN, self.byte_ids(MARK), float("inf")
-        touching = self.touching
-        at = next((k for k in range(len(s) - 1, 0, -1) if s[k - 1 : k + 1] not in touching), 0) if len(s) < 64 else 0
+            own = self.byte_ids(MARK)
+            return self.cost(UNKNOWN, len(own)), array("I", own).tobytes(), FAR
+        touching, size = self.touching, len(s)
+        at = next((k for k in range(size - 1, 0, -1) if s[k - 1 : k + 1] not in touching), 0) if size < 64 else 0
         if at:  # no piece has these two characters side by side: the lattice falls apart here
             one, two = (self.known.get(x) or self.first(x) for x in (s[:at], s[at:]))
             got = (one[0] + two[0], one[1] + two[1], min(one[2], two[2]))
         else:
-            forward, edges, last = self.lattice(s)
+            least, second, last = [0] + [FAR] * size, [FAR] * (size + 1), [None] * (size + 1)
+            begun, longest = self.begun, self.longest
+            for start in range(size):
+                here, next_here = least[start], second[start]
+                on, end = begun, start
+                for c in s[start : start + longest]:
+                    end += 1
+                    node = on.get(c)
+                    if node is None or node[0] < 0:
+                        if end > start + 1:
+                            if node is None:
+                                break  # no piece goes on like this
+                            on = node[2]
+                            continue
+                        own = self.byte_ids(c)
+                        cost = self.cost(UNKNOWN, len(own))
+                    else:
+                        own, cost, _ = node
+                    held, old = here + cost, least[end]
+                    if held < old:
+                        least[end], last[end] = held, (start, own)
+                        held = next_here + cost
+                        second[end] = old if old < held else held
+                    elif held < second[end]:
+                        second[end] = held
+                    if node is None:
+                        break
+                    on = node[2]
             ids: list[int] = []
-            at, size, far = len(s), len(s), 1 << 200
-            backward, second = [far] * size + [0], far
-            # the second-best way has an edge that the best one lacks: the least cost of a way through each of these
-            for end in range(size, 0, -1):
-                beyond, best = backward[end], None
-                if end == at:
-                    best = last[end]
-                    at, own = best[0], best[2]
-                    ids += reversed(own) if type(own) is tuple else (own,)
-                for edge in edges[end]:
-                    cost = beyond + edge[1]
-                    if cost < backward[edge[0]]:
-                        backward[edge[0]] = cost
-                    if edge is not best and cost + forward[edge[0]] < second:
-                        second = cost + forward[edge[0]]
-            best_score = self.score(forward[size])
-            got = (best_score, tuple(ids[::-1]), best_score - self.score(second) if second < far else float("inf"))
-        if len(s) < 64 and len(self.known) < self.remembered:
+            at = size
+            while at:
+                at, own = last[at]
+                ids += reversed(own) if type(own) is tuple else (own,)
+            got = (least[size], array("I", ids[::-1]).tobytes(), min(FAR, second[size] - least[size]))
+        if size < 64 and len(self.known) < self.remembered:
             self.known[s] = got
         return got
 
@@ -173,58 +201,56 @@ class Pieces:
             out += ([None] if k else []) + self.stretch.findall(part.replace(" ", MARK))
         return out
 
-    def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
-        """The n best segmentations: (score, ids), best first."""
-        known = self.known
+    def packed(self, text: str, n: int = 1) -> list[tuple[float, bytes]]:
+        """The n best segmentations: (score, ids of four bytes each), best first."""
+        known = self.known.get
         stretches = self.marked(text)
-        firsts = [known.get(s) or self.first(s) for s in stretches]
-        scores, ways, gaps = zip(*firsts) if firsts else ((), (), ())
-        total = sum(scores)
-        if n == 1 or not gaps:
-            return [(total, list(chain.from_iterable(ways)))]
-        # only the n - 1 stretches whose second-best costs least can differ in the n best
-        cost = np.array(gaps)
-        near = np.sort(np.lexsort((np.arange(len(cost)), cost))[: n - 1] if len(cost) < 4 * n else np.argpartition(cost, n - 2)[: n - 1]).tolist()
-        near = [k for k in near if gaps[k] < float("inf")]
+        if not stretches:
+            return [(0.0, b"")]
+        costs, ways, gaps = zip(*[known(s) or self.first(s) for s in stretches])
+        total = sum(costs)
+        out = [(self.score(total), b"".join(ways))]
+        # only the n - 1 stretches whose second-best costs least can differ in the n best; of equal ones the earlier
+        near = sorted(k for k in least_places(gaps, n - 1) if gaps[k] < FAR)
+        if not near:
+            return out
         choices = [self.search(stretches[k], n) for k in near]
-        ways = list(ways)
-        for k, c in zip(near, choices):
-            ways[k] = c[0][1]
-        out = [(total, list(chain.from_iterable(ways)))]
         # the same search over these: what stands before a place is at its best, so its exact cost beyond the best is zero
-        heap, taken = [(0.0, ())], []
+        heap, taken = [(0, ())], []
         while heap and len(taken) < n:
             beyond, picks = heapq.heappop(heap)
             if len(picks) == len(near):
-                taken.append((beyond, picks))
+                taken.append((beyond, picks[::-1]))
                 continue
             options = choices[len(near) - 1 - len(picks)]
-            for j, (score, _) in enumerate(options):
-                heapq.heappush(heap, (beyond + options[0][0] - score, (j, *picks)))
+            for j, (cost, _) in enumerate(options):
+                heapq.heappush(heap, (beyond + cost - options[0][0], (*picks, j)))
         for beyond, picks in taken[1:]:
             other = list(ways)
             for k, c, j in zip(near, choices, picks):
-                other[k] = c[j][1]
-            out.append((total - beyond, list(chain.from_iterable(other))))
+                if j:
+                    other[k] = array("I", c[j][1]).tobytes()
+            out.append((self.score(total + beyond), b"".join(other)))
         return out
 
+    def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
+        """The n best segmentations: (score, ids), best first."""
+        return [(score, array("I", ids).tolist()) for score, ids in self.packed(text, n)]
+
     def decode(self, ids) -> str:
         """The text of any segmentation that `encode` gives."""
-        texts = self.texts
-        try:
-            return "".join([texts[i] for i in ids])[1:]
-        except TypeError:  # bytes among them
-            pass
-        out, held = [], bytearray()
-        for i in ids:
-            if texts[i] is None:
-                held.append(i - self.bytes_at)
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            out.append(texts[i])
-        return ("".join(out) + held.decode("utf-8", "replace"))[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
+
+
+def least_places(values: tuple, n: int) -> list[int]:
+    """Places of the n least values, of equal ones the first."""
+    if n > 8:
+        return sorted(range(len(values)), key=values.__getitem__)[:n]
+    left, out = list(values), []
+    for _ in range(min(n, len(left))):
+        out.append(left.index(min(left)))
+        left[out[-1]] = FAR + 1
+    return out
 
 
 def segment(documents: DataFrame, n: int = BEST, model_file: str | None = None) -> DataFrame:
@@ -265,9 +291,9 @@ def segment_digests(documents: DataFrame, n: int = BEST, model_file: str | None
         model = Pieces.load(model_file)
         for b in batches:
             rows = [
-                (doc, k, score, len(ids), zlib.crc32(array("I", ids).tobytes()), model.decode(ids) == text)
+                (doc, k, score, len(ids) // 4, zlib.crc32(ids), model.decode(memoryview(ids).cast("I")) == text)
                 for doc, text in zip(b["doc_id"], b["text"])
-                for k, (score, ids) in enumerate(model.encode(text, n), 1)
+                for k, (score, ids) in enumerate(model.packed(text, n), 1)
             ]
             yield pd.DataFrame(rows, columns=["doc_id", "rank", "score", "n_pieces", "ids_crc32", "round_trip"])
 

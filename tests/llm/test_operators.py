@@ -86,21 +86,31 @@ def lattice(model, s):
         return [(0.0, ())]
     out = [(p[1] + a, (p[0], *b)) for e in range(1, len(s) + 1) if (p := model.get(s[:e])) for a, b in lattice(model, s[e:])]
     if s[0] not in model:
-        out += [(pieces.UNKNOWN + a, (1, *b)) for a, b in lattice(model, s[1:])]
+        out += [(pieces.UNKNOWN + a, (*s[0].encode(), *b)) for a, b in lattice(model, s[1:])]
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_n_best_against_brute_force(seed):
+@pytest.mark.parametrize("seed, scores", [(0, 60), (1, 60), (2, 4), (3, 2), (4, 3)])
+def test_n_best_against_brute_force(seed, scores):
+    """Ids, in order of score and number; the fewer scores there are, the more ties."""
     r = random.Random(seed)
-    table = {w: (300 + i, -float(r.randrange(1, 60))) for i, w in enumerate({"".join(r.choice("ab▁" if k == 0 else "ab") for k in range(r.randrange(1, 4))) for _ in range(14)})}
+    table = {w: (300 + i, -float(r.randrange(1, scores))) for i, w in enumerate({"".join(r.choice("ab▁" if k == 0 else "ab") for k in range(r.randrange(1, 4))) for _ in range(14)})}
     model = pieces.Pieces(table, 0)
-    for _ in range(30):
+    for _ in range(60):
         text = "".join(r.choice("ab c") for _ in range(r.randrange(9)))
-        want = sorted((a for a, _ in lattice(table, (" " + text).replace(" ", "▁") if text else "")), reverse=True)[:4]
-        got = model.encode(text, 4)
-        assert [round(a, 3) for a, _ in got] == [round(a, 3) for a in want]
-        assert len({tuple(i) for _, i in got}) == len(got) and all(model.decode(i) == text for _, i in got)
+        every = [(-round(a), len(i), i) for a, i in lattice(table, (" " + text).replace(" ", "▁") if text else "")]
+        got = [(-round(a), len(i), tuple(i)) for a, i in model.encode(text, 4)]
+        assert [g[:2] for g in got] == sorted(w[:2] for w in every)[:4]
+        assert set(got) <= set(every) and len(set(got)) == len(got) and all(model.decode(i) == text for _, _, i in got)
+        assert all(model.encode(text, n) == model.encode(text, 4)[:n] for n in (1, 2, 3))
+
+
+def test_equal_gaps_go_by_score_then_pieces_then_place():
+    model = pieces.Pieces({"▁": (300, -1.0), "▁a": (301, -1.0), "a": (302, 0.0), "b": (303, 0.0), "bc": (304, -1.0), "c": (305, -1.0), "▁b": (306, -1.0), "▁bc": (307, -2.0)}, 0)
+    every = sorted((-round(a), len(i), i) for a, i in lattice(model.pieces, "▁a▁bc"))
+    got = [(-round(a), len(i), tuple(i)) for a, i in model.encode("a bc", 12)]
+    assert [g[:2] for g in got] == [w[:2] for w in every][:12] and set(got) == set(every)
+    assert [model.encode("a bc", n) for n in range(1, 5)] == [model.encode("a bc", 12)[:n] for n in range(1, 5)]
 
 
 def test_pieces_of_odd_texts(spark):
