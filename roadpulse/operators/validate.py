@@ -75,26 +75,32 @@ def signal_error(nums: str = "values_num", vecs: str = "values_vec") -> Column:
     return rule
 
 
-def box_error() -> Column:
-    """First failing rule of a box, or null. NaN sizes fail; zero lidar points pass."""
+def box_error(of: str = "") -> Column:
+    """First failing rule of a box, or null. NaN sizes fail; zero lidar points pass. `of` stands before the columns' names."""
     rule = None
     for side in ("size_w", "size_l", "size_h"):
-        bad = F.col(side).isNull() | F.isnan(side) | (F.col(side) <= 0)
+        v = F.col(of + side)
+        bad = v.isNull() | F.isnan(v) | (v <= 0)
         rule = F.when(bad, f"{side} <= 0") if rule is None else rule.when(bad, f"{side} <= 0")
-    return rule.when(_off_unit(F.array("rot_w", "rot_x", "rot_y", "rot_z")), "rotation is not a unit quaternion")
+    return rule.when(_off_unit(F.array(*[of + c for c in ("rot_w", "rot_x", "rot_y", "rot_z")])), "rotation is not a unit quaternion")
 
 
-def segment_error() -> Column:
+def segment_error(of: str = "") -> Column:
+    c = {n: F.col(of + n) for n in ("size_bytes", "sample_count", "checksum", "t_start", "t_end")}
     return (
-        F.when(F.col("size_bytes").isNull() | (F.col("size_bytes") <= 0), "size_bytes <= 0")
-        .when(F.col("sample_count").isNull() | (F.col("sample_count") <= 0), "sample_count <= 0")
-        .when(F.col("checksum").isNull() | (F.length("checksum") != 64), "checksum is not 64 hex digits")
-        .when(F.col("t_start").isNull() | F.col("t_end").isNull() | (F.col("t_end") < F.col("t_start")), "t_end before t_start")
+        F.when(c["size_bytes"].isNull() | (c["size_bytes"] <= 0), "size_bytes <= 0")
+        .when(c["sample_count"].isNull() | (c["sample_count"] <= 0), "sample_count <= 0")
+        .when(c["checksum"].isNull() | (F.length(c["checksum"]) != 64), "checksum is not 64 hex digits")
+        .when(c["t_start"].isNull() | c["t_end"].isNull() | (c["t_end"] < c["t_start"]), "t_end before t_start")
     )
 
 
+#: Kind header to the name that a record is routed by.
+ROUTES = {"RECORD_KIND_SIGNAL": "signal", "RECORD_KIND_PERCEPTION": "perception", "RECORD_KIND_SEGMENT_REF": "segment"}
+
+
 def route(kind: Column) -> Column:
-    return F.when(kind == "RECORD_KIND_SIGNAL", "signal").when(kind == "RECORD_KIND_PERCEPTION", "perception").when(kind == "RECORD_KIND_SEGMENT_REF", "segment")
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in ROUTES.items() for x in pair]), kind)
 
 
 def error_class(validation_error: Column, routed: Column, parsed: Column, rule: Column) -> Column:
@@ -106,6 +112,18 @@ def error_class(validation_error: Column, routed: Column, parsed: Column, rule:
     )
 
 
+def error_step(validation_error: Column, routed: Column, parsed: Column, rule: Column) -> Column:
+    """Where a bad record failed: envelope, route, decode, or validate- and its kind."""
+    return (
+        F.when(validation_error.isNotNull(), "envelope").when(routed.isNull(), "route").when(~parsed, "decode")
+        .when(rule.isNotNull(), F.concat(F.lit("validate-"), routed))
+    )
+
+
+def error_message(validation_error: Column, kind: Column, routed: Column, parsed: Column, rule: Column) -> Column:
+    return F.coalesce(validation_error, F.when(routed.isNull(), F.coalesce(F.concat(F.lit("unknown kind: "), kind), F.lit("no kind header"))), F.when(~parsed, "value can't be decoded"), rule)
+
+
 def live(stream: Column, event_ms: Column, interval_ms: Column, now_ms: Column, legacy_ms: int = 5_000) -> Column:
     """History never is; a record without a stream always is; others by their age."""
     age = now_ms - event_ms

@@ -26,7 +26,8 @@ ALERTS = (
     "eventId string, type string, severity string, vehicleId string, bootId string, sourceSeq long, eventTimeMs long, detectedAtMs long, location string, latitude double, longitude double, message string"
 )
 DEAD_LETTER = (
-    "error_class string, error_step string, error_message string, original_value binary, original_key binary, vehicle_id string, boot_id string, seq long, kind string, "
-    "source_topic string, source_partition int, source_offset long, failed_at timestamp, headers array<struct<key string, value binary>>, format_version int"
+    "error_class string, error_step string, error_message string, original_value binary, original_key binary, vehicle_id string, boot_id string, source_boot_id string, seq long, kind string, stream_id string, report_interval_ms long, "
+    "source_topic string, source_partition int, source_offset long, failed_at timestamp, headers array<struct<key string, value binary>>, attempt int, format_version int"
 )
+#: Tables of the storage job and the kind header of their records.
 KINDS = {"signals": "RECORD_KIND_SIGNAL", "perception": "RECORD_KIND_PERCEPTION", "segments": "RECORD_KIND_SEGMENT_REF"}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fields of the three record kinds, in order of their encoding.
@@ -17,9 +18,24 @@ PERCEPTION = [
     ("center_x", "double"), ("center_y", "double"), ("center_z", "double"), ("size_w", "double"), ("size_l", "double"), ("size_h", "double"),
     ("rot_w", "double"), ("rot_x", "double"), ("rot_y", "double"), ("rot_z", "double"), ("visibility", "string"), ("num_lidar_pts", "long"), ("num_radar_pts", "long"),
 ]
-BATCH = [("vehicle_id", "string"), ("boot_id", "string"), ("stream", {"enum": ["status", "event", "history"]}), ("records", {"array": {"record": [("seq", "long"), ("kind", "string"), ("payload", "bytes"), ("report_interval_ms", "long")]}})]
-
-SIGNAL_TYPE = "scene_id string, channel string, sensor_time timestamp, log_time timestamp, values_num map<string,double>, values_vec map<string,array<double>>, values_str map<string,string>"
+SEGMENT = [
+    ("segment_id", "string"), ("scene_id", {"union": ["null", "string"]}), ("blob_uri", "string"), ("t_start", "long"), ("t_end", "long"), ("sensor_channels", {"array": "string"}), ("size_bytes", "long"),
+    ("checksum", "string"), ("sample_count", "long"), ("state", {"enum": ["UPLOADED", "DROPPED"]}), ("drop_reason", {"union": ["null", "string"]}), ("calibration", {"map": "string"}),
+]
+BATCH = [
+    ("vehicle_id", "string"), ("boot_id", "string"), ("stream", {"enum": ["event", "status", "history"]}),
+    ("records", {"array": {"record": [("seq", "long"), ("kind", {"enum": ["signal", "perception"]}), ("payload", "bytes"), ("report_interval_ms", "long")]}}),
+]
+DEAD_LETTER = [
+    ("original_payload", {"union": ["bytes", "null"]}), ("error_class", {"enum": ["PARSE_FAILURE", "SCHEMA_VALIDATION_FAILURE", "BUSINESS_RULE_FAILURE", "SINK_WRITE_FAILURE"]}), ("error_detail", "string"),
+    ("source_subscription", "string"), ("pipeline_step", "string"), ("processing_time", "long"), ("attempt", "long"), ("format_version", "long"), ("source_partition", {"union": ["null", "long"]}),
+    ("source_offset", {"union": ["null", "long"]}), ("source_key", {"union": ["null", "bytes"]}), ("source_headers", {"array": {"record": [("key", "string"), ("value", {"union": ["null", "bytes"]})]}}),
+    ("vehicle_id", {"union": ["null", "string"]}), ("boot_id", {"union": ["null", "string"]}), ("source_boot_id", {"union": ["null", "string"]}), ("seq", {"union": ["null", "long"]}),
+    ("kind", {"union": ["null", "string"]}), ("stream_id", {"union": ["null", "string"]}), ("report_interval_ms", {"union": ["null", "long"]}),
+]
+KINDS = {"signal": SIGNAL, "perception": PERCEPTION, "segment": SEGMENT}
+#: Fields that count microseconds.
+TIMES = {"sensor_time", "log_time", "t_start", "t_end"}
 
 
 class Reader:
@@ -109,21 +125,99 @@ def encode(kind, v) -> bytes:
     return number(at) + encode(inner[at], v)
 
 
+def arrow_type(kind) -> pa.DataType:
+    """Arrow's type of a value as `Reader` gives it."""
+    if isinstance(kind, str):
+        return {"long": pa.int64(), "double": pa.float64(), "bytes": pa.binary(), "string": pa.string()}[kind]
+    ((shape, inner),) = kind.items()
+    if shape == "array":
+        return pa.list_(arrow_type(inner))
+    if shape == "map":
+        return pa.map_(pa.string(), arrow_type(inner))
+    if shape == "record":
+        return pa.struct([(n, pa.timestamp("us", "UTC") if n in TIMES else arrow_type(of)) for n, of in inner])
+    return pa.string() if shape == "enum" else arrow_type(next(b for b in inner if b != "null"))
+
+
+def sql_type(kind) -> str:
+    if isinstance(kind, str):
+        return {"long": "bigint", "double": "double", "bytes": "binary", "string": "string"}[kind]
+    ((shape, inner),) = kind.items()
+    if shape == "array":
+        return f"array<{sql_type(inner)}>"
+    if shape == "map":
+        return f"map<string,{sql_type(inner)}>"
+    if shape == "record":
+        return "struct<" + ",".join(f"{n}:{'timestamp' if n in TIMES else sql_type(of)}" for n, of in inner) + ">"
+    return "string" if shape == "enum" else sql_type(next(b for b in inner if b != "null"))
+
+
+def _read(data: bytes, fields: list) -> dict | None:
+    """A record, or None where its bytes are damaged. Trailing bytes are ignored."""
+    try:
+        return Reader(data).value({"record": fields})
+    except (ValueError, TypeError, struct.error):
+        return None
+
+
+def decoded(routed: Column, value: Column) -> Column:
+    """Struct signal, perception, segment: the one that `routed` names is decoded, null where that fails; the others are null. One pass over the bytes, Arrow to Arrow."""
+    types = [pa.field(k, arrow_type({"record": fields})) for k, fields in KINDS.items()]
+
+    def run(kinds: pa.Array, values: pa.Array) -> pa.Array:
+        out = {k: [None] * len(values) for k in KINDS}
+        for i, (k, v) in enumerate(zip(kinds.to_pylist(), values.to_pylist())):
+            if k in out and v is not None:
+                out[k][i] = _read(v, KINDS[k])
+        return pa.StructArray.from_arrays([pa.array(out[f.name], f.type) for f in types], fields=types)
+
+    shape = "struct<" + ",".join(f"{k}:{sql_type({'record': fields})}" for k, fields in KINDS.items()) + ">"
+    run.__annotations__ = {"kinds": pa.Array, "values": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, shape)(routed, value)
+
+
 def decode_signals(records: DataFrame, column: str = "value") -> DataFrame:
-    """Adds `signal`, a struct of the decoded record, null where decoding fails. Trailing bytes are ignored."""
-
-    def decoded(payloads: pd.Series) -> pd.Series:
-        out = []
-        for p in payloads:
-            try:
-                r = Reader(bytes(p)).value({"record": SIGNAL})
-                out.append(json.dumps(r))
-            except (ValueError, TypeError, UnicodeDecodeError):
-                out.append(None)
-        return pd.Series(out, dtype=object)
-
-    plain = SIGNAL_TYPE.replace("sensor_time timestamp, log_time timestamp", "sensor_time bigint, log_time bigint")
-    text = F.pandas_udf(decoded, "string")(F.col(column))
-    parsed = records.withColumn("_s", F.from_json(text, plain, {"allowNonNumericNumbers": "true"}))
-    fields = [F.timestamp_micros(F.col(f"_s.{n}")).alias(n) if n.endswith("_time") else F.col(f"_s.{n}").alias(n) for n, _ in SIGNAL]
-    return parsed.withColumn("signal", F.when(F.col("_s").isNotNull(), F.struct(*fields))).drop("_s")
+    """Adds `signal`, a struct of the decoded record, null where decoding fails."""
+    return records.withColumn("_d", decoded(F.lit("signal"), F.col(column))).withColumn("signal", F.col("_d.signal")).drop("_d")
+
+
+def _declared(kind, named: set) -> object:
+    """JSON of a schema as the container's header holds it."""
+    if isinstance(kind, str):
+        return kind
+    ((shape, inner),) = kind.items()
+    if shape == "array":
+        return {"type": "array", "items": _declared(inner, named)}
+    if shape == "map":
+        return {"type": "map", "values": _declared(inner, named)}
+    if shape == "union":
+        return [_declared(b, named) for b in inner]
+    name = f"{shape}{len(named)}"
+    named.add(name)
+    if shape == "enum":
+        return {"type": "enum", "name": name, "symbols": inner}
+    return {"type": "record", "name": name, "fields": [{"name": n, "type": _declared(of, named)} for n, of in inner]}
+
+
+def container(fields: list, record: dict) -> bytes:
+    """An object container file of one record, which holds its own schema."""
+    body, schema = encode({"record": fields}, record), json.dumps(_declared({"record": fields}, set())).encode()
+    sync = hashlib.md5(body).digest()
+    head = encode({"map": "bytes"}, {"avro.schema": schema, "avro.codec": b"null"})
+    return b"Obj\x01" + head + sync + encode("long", 1) + encode("long", len(body)) + body + sync
+
+
+def from_container(data: bytes, fields: list) -> list[dict]:
+    """The records of a container file written with the same fields."""
+    if data[:4] != b"Obj\x01":
+        raise ValueError("no container file")
+    r = Reader(data)
+    r.at = 4
+    r.value({"map": "bytes"})
+    sync, out = r.take(16), []
+    while r.at < len(data):
+        n, _ = r.number(), r.number()
+        out += [r.value({"record": fields}) for _ in range(n)]
+        if r.take(16) != sync:
+            raise ValueError("sync marker differs")
+    return out

@@ -29,10 +29,11 @@ def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
 
 
 def alerts_from_json(records: DataFrame) -> DataFrame:
-    """Alerts of a topic; a record that is no alert, or whose key isn't its vehicle, is skipped."""
+    """Alerts of a topic, under the names that the monitors give them; a record that is no alert, or whose key isn't its vehicle, is skipped."""
     a = records.withColumn("a", F.from_json(F.decode("value", "UTF-8"), ALERTS))
     fine = F.col("a.eventId").isNotNull() & F.col("a.type").isNotNull() & F.col("a.vehicleId").isNotNull() & (F.col("key").isNull() | (F.decode("key", "UTF-8") == F.col("a.vehicleId")))
-    return a.where(fine).select("a.*")
+    own = ("event_id", "type", "severity", "vehicle_id", "boot_id", "seq", "event_ms", "detected_ms", "location", "lat", "lon", "message")
+    return a.where(fine).select(*[F.col("a." + f.strip().split(" ")[0]).alias(n) for n, f in zip(own, ALERTS.split(","))])
 
 
 def frame_check(wire: Column) -> Column:

@@ -63,7 +63,8 @@ def over_table(df: DataFrame, machine: type[Machine], key: str, order: list[str]
 def over_stream(df: DataFrame, machine: type[Machine], key: str, order: list[str], timers: bool = False, **options) -> DataFrame:
     """The same for a streaming frame. State is one JSON text per key; deadlines fire by processing time.
 
-    Within a batch, rows are put in order first: a group's iterator has no order of its own.
+    Within a batch, rows are put in order first: a group's iterator has no order of its own. So one key's rows of a micro-batch
+    are held together; the source's limit on files or offsets a trigger bounds them.
     """
     schema, names = machine.schema, _names(machine.schema)
 
@@ -76,7 +77,7 @@ def over_stream(df: DataFrame, machine: type[Machine], key: str, order: list[str
             rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
             for row in rows.to_dict("records"):
                 out += current.step(_plain(row))
-        state.update((json.dumps(current.state),))
+        state.update((json.dumps(current.freeze()),))
         due = current.deadline() if timers else None
         if due is not None:
             state.setTimeoutDuration(max(1, int(due - state.getCurrentProcessingTimeMs())))

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from roadpulse import schemas
 from roadpulse.plans.replay import AlertHub, Replay
 from roadpulse.sources import avro, files
 from roadpulse.streaming import machines as M
@@ -40,7 +41,7 @@ def test_sequence_window(records, verdicts, last, base, lost):
     if verdicts:
         assert [v[0] for v in got] == verdicts.split()
     assert (m.state["last"], m.state["base"], m.state["lost"]) == (last, base, lost)
-    assert len(json.dumps(m.state)) < 200
+    assert len(json.dumps(m.freeze())) < 200
 
 
 def test_sequence_window_edges():
@@ -83,7 +84,7 @@ def test_gap_breaks_a_stop():
 def test_restore():
     m = M.VehicleMonitor(stop_ms=3000, stale_ms=2000)
     run(m, [status(1, 1000), status(2, 2000)])
-    again = M.VehicleMonitor(json.loads(json.dumps(m.state)), stop_ms=3000, stale_ms=2000)
+    again = M.VehicleMonitor(json.loads(json.dumps(m.freeze())), stop_ms=3000, stale_ms=2000)
     assert kinds(run(again, [status(i, 1000 * i) for i in (3, 4, 5)])) == ["UNPLANNED_STOP"]
 
 
@@ -138,6 +139,10 @@ def test_greedy_cut_and_ack():
     assert [e["group"] for e in run(M.GreedyCut(span=10, budget=10), rows)] == [0, 0, 1, 1, 2]
     ack = M.AckTracker(every=2, every_ms=1000)
     assert [e["ack"] for e in run(ack, [{"key": "k", "seq": s, "at_ms": 0} for s in (1, 0, 3, 2, 0)])] == [1, 3]
+    ack = M.AckTracker(every=100, every_ms=1000)
+    assert run(ack, [{"key": "k", "seq": s, "at_ms": 0} for s in (0, 1, 5)]) == [] and ack.advance(999) == []
+    assert [e["ack"] for e in ack.advance(1000)] == [1] and ack.advance(5000) == []
+    assert run(ack, [{"key": "k", "seq": 2, "at_ms": 1001}]) == [] and [e["ack"] for e in ack.drain(1002)] == [2] and ack.drain(1003) == []
 
 
 def test_table_runner_orders_rows(spark):
@@ -147,12 +152,23 @@ def test_table_runner_orders_rows(spark):
     assert {r["verdict"]: r["count"] for r in got.groupBy("verdict").count().collect()} == {"ACCEPT": 10, "DUPLICATE": 5, "LATE": 15}
 
 
-def record(offset, seq, channel, t_ms, nums, place="boston-seaport", xy=(0.0, 0.0), broken=False):
-    value = avro.encode({"record": avro.SIGNAL}, {"scene_id": "s", "channel": channel, "sensor_time": t_ms * 1000, "log_time": t_ms * 1000, "values_num": nums, "values_vec": {"translation": [*xy, 0.0]}, "values_str": {"location": place, "mission_id": "m"}})
-    headers = [(k, str(v).encode()) for k, v in {"vehicle_id": "v", "boot_id": "b", "seq": seq, "kind": "RECORD_KIND_SIGNAL"}.items()]
+def record(offset, seq, channel, t_ms, nums, place="boston-seaport", xy=(0.0, 0.0), broken=False, kind="SIGNAL", value=None, **more):
+    if value is None:
+        value = avro.encode({"record": avro.SIGNAL}, {"scene_id": "s", "channel": channel, "sensor_time": t_ms * 1000, "log_time": t_ms * 1000, "values_num": nums, "values_vec": {"translation": [*xy, 0.0]}, "values_str": {"location": place, "mission_id": "m"}})
+    headers = [(k, str(v).encode()) for k, v in ({"vehicle_id": "v", "boot_id": "b", "seq": seq, "kind": f"RECORD_KIND_{kind}"} | more).items()]
     return ("telemetry.records", 0, offset, b"v", value[:5] if broken else value, headers, t_ms)
 
 
+def box(seq, **more):
+    v = {n: 1.0 for n, t in avro.PERCEPTION if t == "double"} | {n: "x" for n, t in avro.PERCEPTION if t == "string"} | {"sensor_time": 5_000_000, "attribute": None, "rot_x": 0.0, "rot_y": 0.0, "rot_z": 0.0, "num_lidar_pts": 0, "num_radar_pts": 3}
+    return record(seq, seq, "", 1, {}, kind="PERCEPTION", value=avro.encode({"record": avro.PERCEPTION}, v | more))
+
+
+def clip(seq, **more):
+    v = {"segment_id": f"seg{seq}", "scene_id": None, "blob_uri": "s3://x", "t_start": 1_000_000, "t_end": 2_000_000, "sensor_channels": ["CAM_FRONT"], "size_bytes": 5, "checksum": "a" * 64, "sample_count": 1, "state": "DROPPED", "drop_reason": "queue_full", "calibration": {"k": "{}"}}
+    return record(seq, seq, "", 1, {}, kind="SEGMENT_REF", value=avro.encode({"record": avro.SEGMENT}, v | more))
+
+
 def table(spark, rows):
     return spark.createDataFrame(rows, "topic string, partition int, offset long, key binary, value binary, headers array<struct<key string, value binary>>, t long").withColumn("timestamp", F.timestamp_millis("t")).drop("t")
 
@@ -161,9 +177,13 @@ def test_jobs_over_a_stream(spark, tmp_path):
     good = {"speed_mps": 0.0, "mission_active": 1.0, "planned_stop": 0.0, "sensor_healthy": 1.0}
     rows = [record(i, i, "fleet_status", 1000 * (i + 1), good) for i in range(6)]
     rows += [record(10 + i, 10 + i, "ego_pose", 1000 * (i + 1), {}, xy=(x, 10.0)) for i, x in enumerate((10.0, 5000.0, 10.0))]
-    rows += [record(20, 20, "pose", 1, {"vehicle_speed": -1.0}), record(21, 21, "pose", 1, {}, broken=True), record(22, -1, "pose", 1, {}), record(23, 5, "pose", 1, {})]
+    rows += [record(20, 20, "pose", 1, {"vehicle_speed": -1.0}), record(21, 21, "pose", 1, {}, broken=True), record(22, -1, "pose", 1, {})]
+    rows += [box(30), box(31, size_w=0.0), clip(40), clip(41, size_bytes=0), record(42, 42, "", 1, {}, kind="OTHER"), record(43, 0, "", 1, {}, kind="SEGMENT_REF", value=clip(43)[4], boot_id="clip-1", producer_origin="clip-upload")]
+    copies = [record(50, 5, "pose", 1, {}), box(30)[:2] + (51,) + box(30)[3:], record(52, 7000, "pose", 1, {}), record(53, 1, "pose", 1, {})]  # the last is too old
+    late = [record(54 + k, s, "pose", 1, {}, boot_id="m", stream_id="status", source_boot_id="b", report_interval_ms=1000) for k, s in enumerate((7000, 1))]  # too old, of a named stream
+    sent = rows + copies + late
     for k in range(2):
-        table(spark, rows[k::2]).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+        table(spark, sent[k::2]).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
     source = lambda: files.file_stream(spark, str(tmp_path / "in" / "*"), 10)
     bounds = {"boston-seaport": (42.3, 42.4, -71.06, -71.05)}
     jobs = [
@@ -172,11 +192,26 @@ def test_jobs_over_a_stream(spark, tmp_path):
     ]
     for j in jobs:
         assert j.awaitTermination(120)
-    stored, dead = spark.read.parquet(str(tmp_path / "out" / "signals")), spark.read.parquet(str(tmp_path / "out" / "dead_letters"))
-    assert stored.count() == 10 and stored.where("channel = 'ego_pose' and lat is not null").count() == 3
-    assert {r["error_class"]: r["count"] for r in dead.groupBy("error_class").count().collect()} == {"BUSINESS_RULE_FAILURE": 1, "PARSE_FAILURE": 1, "SCHEMA_VALIDATION_FAILURE": 1}
-    alerts = [json.loads(r["value"])["type"] for r in spark.read.parquet(str(tmp_path / "alerts")).collect()]
-    assert sorted(alerts) == ["ODD_EXITED", "ODD_RETURNED", "UNPLANNED_STOP"]
+    read = {n: spark.read.parquet(str(tmp_path / "out" / n)) for n in ("signals", "perception", "segments", "dead_letters")}
+    counts = {n: d.count() for n, d in read.items()}
+    assert counts == {"signals": 12, "perception": 1, "segments": 2, "dead_letters": 6}
+    assert sum(counts.values()) == len(sent) - 3  # two copies and one that is too old without a named stream
+    assert read["signals"].where("channel = 'ego_pose' and lat is not null").count() == 3 and read["signals"].where("channel <> 'ego_pose' and lat is not null").isEmpty()
+    assert [len(read[n].columns) for n in ("signals", "perception", "segments")] == [12 + 2, 24 + 2, 15 + 2]
+    one = read["segments"].where("segment_id = 'seg40'").first()
+    assert (one["scene_id"], one["state"], one["calibration"], one["sensor_channels"], one["t_end"].timestamp()) == (None, "DROPPED", {"k": "{}"}, ["CAM_FRONT"], 2.0)
+    dead = {r["source_offset"]: (r["error_class"], r["error_step"], r["vehicle_id"]) for r in read["dead_letters"].collect()}
+    assert dead == {
+        20: ("BUSINESS_RULE_FAILURE", "validate-signal", "v"), 21: ("PARSE_FAILURE", "decode", "v"), 22: ("SCHEMA_VALIDATION_FAILURE", "envelope", None),
+        31: ("BUSINESS_RULE_FAILURE", "validate-perception", "v"), 41: ("BUSINESS_RULE_FAILURE", "validate-segment", "v"), 42: ("SCHEMA_VALIDATION_FAILURE", "route", "v"),
+    }
+    assert {n for n, _ in (c.strip().split(" ", 1) for c in schemas.DEAD_LETTER.replace("struct<key string, value binary>", "x").split(","))} == set(read["dead_letters"].columns)
+    packed = [avro.from_container(bytes(r["value"]), avro.DEAD_LETTER)[0] for r in pipelines.dead_letter_values(read["dead_letters"]).collect()]
+    assert {(p["source_offset"], p["error_class"], p["pipeline_step"], p["vehicle_id"]) for p in packed} == {(o, c, s, v) for o, (c, s, v) in dead.items()}
+    assert all(p["original_payload"] == sent_value and p["attempt"] == 1 for p in packed for sent_value in [next(r[4] for r in sent if r[2] == p["source_offset"])])
+    alerts = files.alerts_from_json(spark.read.parquet(str(tmp_path / "alerts"))).collect()
+    assert sorted(a["type"] for a in alerts) == ["ODD_EXITED", "ODD_RETURNED", "UNPLANNED_STOP"]
+    assert all(a["event_id"] and a["vehicle_id"] == "v" and a["message"] for a in alerts) and {a["location"] for a in alerts} == {"boston-seaport", None}
 
 
 def test_dedup_stream(spark, tmp_path):
