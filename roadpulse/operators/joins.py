@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 def nearest_asof(probes: DataFrame, samples: DataFrame, keys: list[str], time: str, payload: list[str], order: str) -> DataFrame:
     """Adds sample: a struct of time and payload of the sample nearest in time, null without any.
 
-    Ties go to the earlier sample, an exact match wins, and of samples at one time the first by `order`.
-    Both sides meet in one sorted pass: a sort a key, no range join.
+    Ties go to the earlier sample, and an exact match wins. Of samples at one time the last by `order` stands for those before
+    a probe, the first for those at its time or after. Both sides meet in two sorted passes of running extremes, one a direction of time,
+    so work is linear in a key's rows but for the sort; there is no range join. One key's rows are one task's.
     """
     v = F.struct(F.col(time).alias(time), F.col(order).alias("_order"), *[F.col(c).alias(c) for c in payload])
     left = probes.select(*[F.col(k) for k in keys], F.col(time), F.struct(*probes.columns).alias("_probe"))
     right = samples.select(*[F.col(k) for k in keys], F.col(time), v.alias("_sample"))
     both = left.unionByName(right, allowMissingColumns=True)
-    by = W.partitionBy(*keys).orderBy(time)
-    near = both.withColumn("_prev", F.max("_sample").over(by.rangeBetween(W.unboundedPreceding, -1))).withColumn("_next", F.min("_sample").over(by.rangeBetween(0, W.unboundedFollowing)))
+    ahead, back = (W.partitionBy(*keys).orderBy(o) for o in (F.asc(time), F.desc(time)))
+    # running extremes from an open end are kept up row by row; a frame that is open towards later rows would be computed anew for each
+    near = both.withColumn("_prev", F.max("_sample").over(ahead.rangeBetween(W.unboundedPreceding, -1))).withColumn("_next", F.min("_sample").over(back.rangeBetween(W.unboundedPreceding, 0)))
     earlier = F.col("_prev").isNotNull() & (F.col("_next").isNull() | (F.col(time) - F.col(f"_prev.{time}") <= F.col(f"_next.{time}") - F.col(time)))
-    # the last sample of a time stands for it in _prev; the first is wanted
     return near.where("_probe is not null").withColumn("sample", F.when(earlier, F.col("_prev")).otherwise(F.col("_next"))).select("_probe.*", "sample")
 
 
