@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 
 def _shape(edges: DataFrame) -> tuple[int, int]:
@@ -42,6 +42,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+        tidy(edges.sparkSession)  # each round leaves several shuffles behind
     else:
         raise RuntimeError("components did not settle")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

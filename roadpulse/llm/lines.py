@@ -41,8 +41,8 @@ STEP = 4
 #: Members of a bucket, its most frequent lines, that all others of other components are compared with.
 HEADS = 4
 BLOCK = 1024
-#: 64-bit words of a line's sketch.
-WORDS = 8
+#: 64-bit words of a line's bitmap, a power of two.
+WORDS = 32
 #: Lines that make up this share of all lines, at most one in it of them, are decided by broadcast.
 HOT_SHARE = 512
 #: The place of rows without an id.
@@ -127,7 +127,8 @@ def forms_of(members: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame
     wanted = members.select("node").union(members.select("head")).distinct()
     places = known.join(wanted.hint("merge"), "node", "left_semi").select("row", "idx", "node")
     lines = rows.select("row", F.posexplode(F.split("text", "\n", -1)).alias("idx", "line"))
-    found = lines.join(places.hint("merge"), ["row", "idx"]).select("node", folded(F.col("line")).alias("form")).where(F.xxhash64("form") == F.col("node"))
+    # one of twenty lines or so has a place: they are the side that is held, a partition at a time
+    found = lines.join(places.hint("shuffle_hash"), ["row", "idx"]).select("node", folded(F.col("line")).alias("form")).where(F.xxhash64("form") == F.col("node"))
     return cut(found.groupBy("node").agg(F.min("form").alias("form")))  # rows that are equal hold the line at one place
 
 
@@ -137,53 +138,65 @@ def line_links(rows: DataFrame, known: DataFrame) -> DataFrame:
     tidy(members.sparkSession)
     forms = forms_of(members, rows, known)
     tidy(members.sparkSession)
-    links = cut(similar(members.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), forms))
+    marks = cut(bitmaps(forms))
+    links = cut(similar(within_bound(members.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), marks), forms))
+
+    # what isn't like its bucket's head is compared with a few more members
+    unlike = members.join(links.hint("merge"), (F.col("node") == F.col("a")) & (F.col("head") == F.col("b")), "left_anti")
+    others = members.where(f"at <= {HEADS}").groupBy("key").agg(F.collect_list("node").alias("others"))  # HEADS at most
+    pairs = unlike.join(others.hint("merge"), "key").select("node", F.explode("others").alias("other")).where("node <> other")
+    more = similar(within_bound(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), marks), forms)
+    links = cut(links.union(more))
+    tidy(members.sparkSession)
+
     left = still_apart(members, links)
     if left.isEmpty():
         return links
-    marks = cut(sketches(forms.join(left.select("node").distinct().hint("merge"), "node", "left_semi")))
-    more = left.groupBy("key").agg(F.collect_list(F.when(F.col("at") <= HEADS, F.struct("node", "component"))).alias("heads"))  # HEADS at most
-    aimed = left.join(more.hint("merge"), "key").select("node", "component", F.explode("heads").alias("h")).where("component <> h.component")
-    aimed = aimed.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
-    links = cut(links.union(similar(within_bound(aimed, marks), forms)))
-    left = still_apart(left.select("key", "node", "at"), links).where(f"n > {HEADS}")  # smaller buckets are done
-    if left.isEmpty():
-        return links
-    return links.union(similar(cut(block_pairs(left, marks)), forms))
+    sharp = cut(sketches(forms.join(left.select("node").distinct().hint("merge"), "node", "left_semi")))
+    return links.union(similar(cut(block_pairs(left, sharp)), forms))
 
 
 def still_apart(members: DataFrame, links: DataFrame) -> DataFrame:
-    """All members of the buckets that `links` leave in several components: key, node, at, component, and n, the bucket's size. Buckets of two are done."""
-    everyone = members.select("key", "node", "at")
-    if "head" in members.columns:
-        everyone = everyone.union(members.where("at = 2").select("key", "head", F.lit(1)))
-    named = everyone.join(connected_components(links).hint("merge"), "node", "left").select("key", "node", "at", F.coalesce("component", "node").alias("component"))
+    """All members, heads too, of the buckets that `links` leave in several components: key, node, component, and n, the bucket's size. Buckets of at most HEADS are done by then."""
+    everyone = members.select("key", "node").union(members.where("at = 2").select("key", "head"))
+    named = everyone.join(connected_components(links).hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     named = cut(named)
-    several = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2")
+    several = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where(f"lo < hi and n > {HEADS}")
     return cut(named.join(several.select("key", "n").hint("merge"), "key"))
 
 
+def bitmaps(forms: DataFrame) -> DataFrame:
+    """(node, form) -> node, size, w0..: the number of shingles, repeats included, and the bits that they fall on."""
+    ends = F.expr(f"greatest(0, cast(octet_length(b) div 4 as int) - {SHINGLE})")
+    bare = forms.select("node", F.encode("form", "UTF-32").alias("b")).select("node", "b", ends.alias("z"))
+    starts = bare.select("node", "b", "z", F.explode(F.expr(f"sequence(0, z, {STEP})")).alias("i"))
+    hashes = starts.select("node", "z", *[F.expr(f"xxhash64(substring(b, 4 * least(i + {k}, z) + 1, {4 * SHINGLE}))").alias(f"h{k}") for k in range(STEP)])
+    bit = lambda k, w: f"if(shiftright(h{k}, 6) & {WORDS - 1} = {w}, shiftleft(1L, cast(h{k} & 63 as int)), 0L)"
+    words = [F.expr(f"bit_or({' | '.join(bit(k, w) for k in range(STEP))})").alias(f"w{w}") for w in range(WORDS)]
+    return hashes.groupBy("node").agg((F.max("z") + 1).alias("size"), *words)
+
+
 def sketches(forms: DataFrame) -> DataFrame:
-    """(node, form) -> node, size, w0..: the number of shingles, and of each bit the parity of the shingles that fall on it."""
-    x = forms.select("node", F.expr(f"explode(array_distinct(transform({shingles('form')}, x -> xxhash64(x))))").alias("x"))
-    words = [F.expr(f"bit_xor(if(shiftright(x, 6) & {WORDS - 1} = {k}, shiftleft(1L, cast(x & 63 as int)), 0L))").alias(f"w{k}") for k in range(WORDS)]
+    """The same, but sharper and dearer: size is the number of different shingles, and a bit the parity of those that fall on it, so that all but a few of the shingles that two lines don't share show."""
+    x = forms.select("node", F.explode(F.array_distinct(F.expr(shingles("form")))).alias("x")).select("node", F.xxhash64("x").alias("h"))
+    words = [F.expr(f"bit_xor(if(shiftright(h, 6) & {WORDS - 1} = {w}, shiftleft(1L, cast(h & 63 as int)), 0L))").alias(f"w{w}") for w in range(WORDS)]
     return x.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *words)
 
 
 def bound(a: str, b: str) -> str:
-    """SQL: two lines of s shingles together are similar if d of these are in one alone and d (1 + SIMILARITY) <= s (1 - SIMILARITY); their sketches differ in at most d bits."""
+    """SQL: two lines of s shingles together are similar only if d of these are in one alone and d (1 + SIMILARITY) <= s (1 - SIMILARITY); their words differ in at most d bits."""
     differ = " + ".join(f"bit_count({a}.w{k} ^ {b}.w{k})" for k in range(WORDS))
     return f"({differ}) * {1 + SIMILARITY} <= ({a}.size + {b}.size) * {1 - SIMILARITY} + 1e-6"
 
 
 def within_bound(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The pairs (a, b) that their sketches don't rule out."""
+    """The pairs (a, b) that their bitmaps don't rule out."""
     l, r = (marks.select(F.col("node").alias(c), F.struct("size", *[f"w{k}" for k in range(WORDS)]).alias(f"of_{c}")) for c in ("a", "b"))
     return pairs.join(l.hint("merge"), "a").join(r.hint("merge"), "b").where(bound("of_a", "of_b")).select("a", "b")
 
 
 def block_pairs(left: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket in different components that their sketches don't rule out. Members fall into blocks by hash, and every two blocks meet under one key."""
+    """Pairs (a, b) of a bucket in different components that their bitmaps don't rule out. Members fall into blocks by hash, and every two blocks meet under one key."""
     members = left.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     meet = members.withColumn("m", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, block) as i, greatest(o, block) as j))")))
     met = meet.join(marks.hint("merge"), "node").select("key", "m.i", "m.j", "block", "component", *marks.columns)
@@ -199,15 +212,24 @@ def joined_by_share(rows: DataFrame, groups: DataFrame, on: list[str], size: str
     return rows.join(few, on).unionByName(calm.join(groups.where(~hot).hint("merge"), on))
 
 
-def removed_lines(documents: DataFrame) -> DataFrame:
+def occurrences_of(rows: DataFrame) -> DataFrame:
+    """place, row, idx, node, check, n_lines of all lines that aren't blank, and of each row's first line, whose node is null if it is blank: so every row of the table has one at idx 0."""
+    lines = rows.select("place", "row", F.split("text", "\n", -1).alias("lines")).select("place", "row", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("idx", "line"))
+    hashed = lines.select("place", "row", "idx", "n_lines", folded(F.col("line")).alias("form")).where("form <> '' or idx = 0")
+    mark = lambda *c: F.when(F.col("form") != "", F.xxhash64(*c))
+    return hashed.select("place", "row", "idx", mark("form").alias("node"), mark(F.lit("line"), F.col("form")).alias("check"), "n_lines")
+
+
+def removed_lines(documents: DataFrame, occurrences: DataFrame | None = None) -> DataFrame:
     """doc_id, row, removed: ascending positions of the lines that an earlier line of their component stands for. `keyed` tells what a row is."""
     rows = keyed(documents)
-    occurrences = cut(line_rows(rows).select("place", "row", "idx", F.xxhash64("form").alias("node"), F.xxhash64(F.lit("line"), "form").alias("check")))
+    occurrences = (cut(occurrences_of(rows)) if occurrences is None else occurrences).where("node is not null")
     known = cut(known_lines(occurrences))
     components = connected_components(line_links(rows, known))
     total = known.agg(F.sum("copies")).first()[0] or 0
     named = known.join(components.hint("merge"), "node", "left").where("copies > 1 or component is not null")
     named = cut(named.select("node", "copies", "mixed", F.coalesce("component", "node").alias("component")))
+    tidy(rows.sparkSession)
     touched = joined_by_share(occurrences, named, ["node"], "copies", total)
     # different lines under one hash are told apart by a second one
     touched = cut(touched.select("place", "row", "idx", "component", F.when(F.col("mixed"), F.col("check")).otherwise(0).alias("form")))
@@ -230,7 +252,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, and the removed positions, comma-joined."""
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    text = F.coalesce("text", F.lit(""))
-    counts = documents.select("doc_id", F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"))
-    out = counts.join(removed_lines(documents).select("row", "removed").hint("merge"), "row", "left")
+    occurrences = cut(occurrences_of(keyed(documents)))
+    counts = occurrences.where("idx = 0").select(F.nullif("place", F.lit(LAST)).alias("doc_id"), "row", F.col("n_lines").cast("long").alias("n_lines"))
+    out = counts.join(removed_lines(documents, occurrences).select("row", "removed").hint("merge"), "row", "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
