@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
 def tidy(spark: SparkSession) -> None:
     """Lets the driver find plans that nothing refers to any more, so that Spark's cleaner removes their shuffle files before the next job writes its own."""
     gc.collect()
+    time.sleep(0.3)  # the bridge to the JVM lets go of collected objects in a thread of its own
     spark.sparkContext._jvm.System.gc()
 
 

@@ -100,13 +100,28 @@ def band_rows(signed: DataFrame) -> DataFrame:
     return signed.select("node", "copies", F.explode(keys).alias("key"))
 
 
+def shared_ends() -> dict[str, str]:
+    """SQL: lengths of the common start p and, after it, the common end e of form_a and form_b, each bit of a length from the highest down."""
+    grown = "aggregate(sequence(cast(log2({0} + 1) as int), 0, -1), 0, (k, i) -> if(k + shiftleft(1, i) <= {0} and {1}(form_a, k + shiftleft(1, i)) = {1}(form_b, k + shiftleft(1, i)), k + shiftleft(1, i), k))"
+    return {"p": grown.format("least(la, lb)", "left"), "e": grown.format("(least(la, lb) - p)", "right")}
+
+
 def similar(pairs: DataFrame, forms: DataFrame) -> DataFrame:
-    """(a, b) nodes -> those whose shingle sets have a Jaccard similarity of SIMILARITY at least."""
+    """(a, b, most) nodes and a number of shingles that their union has at least -> those whose shingle sets have a Jaccard similarity of SIMILARITY at least.
+
+    Shingles inside a common start or end are in both sets. If the others are few enough that the similarity can't fall below
+    SIMILARITY, the sets needn't be built; else they are.
+    """
     a, b = (forms.select(F.col("node").alias(c), F.col("form").alias(f"form_{c}")) for c in ("a", "b"))
-    near = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
-    sets = near.select("a", "b", F.expr(f"array_distinct({shingles('form_a')})").alias("sa"), F.expr(f"array_distinct({shingles('form_b')})").alias("sb"))
-    both = sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
-    return both.where(F.col("n") >= SIMILARITY * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
+    near = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").withColumns({"la": F.length("form_a"), "lb": F.length("form_b")})
+    ends = shared_ends()
+    near = near.withColumn("p", F.expr(ends["p"])).withColumn("e", F.expr(ends["e"]))
+    inside = f"(greatest(p - {SHINGLE - 1}, 0) + greatest(e - {SHINGLE - 1}, 0))"
+    outside = f"(greatest(la - {SHINGLE - 1}, 1) - {inside} + greatest(lb - {SHINGLE - 1}, 1) - {inside})"
+    sure = F.expr(f"{outside} <= {1 - SIMILARITY} * most - 1e-6")
+    sa, sb = shingles("form_a"), shingles("form_b")
+    both = F.expr(f"size(array_intersect({sa}, {sb})) >= {SIMILARITY} * size(array_union({sa}, {sb}))")
+    return near.where(F.when(sure, F.lit(True)).otherwise(both)).select("a", "b")
 
 
 def known_lines(occurrences: DataFrame) -> DataFrame:
@@ -125,11 +140,12 @@ def bucket_members(rows: DataFrame, known: DataFrame) -> DataFrame:
 def forms_of(members: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
     """node, form of all lines that have company in a bucket, read from one place each."""
     wanted = members.select("node").union(members.select("head")).distinct()
-    places = known.join(wanted.hint("merge"), "node", "left_semi").select("row", "idx", "node")
-    lines = rows.select("row", F.posexplode(F.split("text", "\n", -1)).alias("idx", "line"))
-    # one of twenty lines or so has a place: they are the side that is held, a partition at a time
-    found = lines.join(places.hint("shuffle_hash"), ["row", "idx"]).select("node", folded(F.col("line")).alias("form")).where(F.xxhash64("form") == F.col("node"))
-    return cut(found.groupBy("node").agg(F.min("form").alias("form")))  # rows that are equal hold the line at one place
+    places = known.join(wanted.hint("merge"), "node", "left_semi").groupBy("row").agg(F.collect_list(F.struct("idx", "node")).alias("places"))  # lines of one text
+    whole = rows.join(places.hint("merge"), "row").select(F.split("text", "\n", -1).alias("lines"), "places")
+    # n_lines is asked for so that the split stays a step of its own, done once a text
+    found = whole.select(F.size("lines").alias("n_lines"), F.explode(F.transform("places", lambda at: F.struct(at["node"].alias("node"), F.get("lines", at["idx"]).alias("line")))).alias("one"))
+    found = found.select("one.node", folded(F.col("one.line")).alias("form"), "n_lines").where(F.xxhash64("form") == F.col("node"))
+    return cut(found.groupBy("node").agg(F.min("form").alias("form"), F.max("n_lines").alias("n_lines")))  # rows that are equal hold the line at one place
 
 
 def line_links(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -189,19 +205,24 @@ def bound(a: str, b: str) -> str:
     return f"({differ}) * {1 + SIMILARITY} <= ({a}.size + {b}.size) * {1 - SIMILARITY} + 1e-6"
 
 
+def bits(of: str) -> F.Column:
+    """Bits that are set: no more than the line has different shingles, whether they stand for hits or for parities."""
+    return F.expr(" + ".join(f"bit_count({of}.w{k})" for k in range(WORDS)))
+
+
 def within_bound(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The pairs (a, b) that their bitmaps don't rule out."""
+    """The pairs (a, b) that their bitmaps don't rule out, and `most`, a number of shingles that one of them has at least."""
     l, r = (marks.select(F.col("node").alias(c), F.struct("size", *[f"w{k}" for k in range(WORDS)]).alias(f"of_{c}")) for c in ("a", "b"))
-    return pairs.join(l.hint("merge"), "a").join(r.hint("merge"), "b").where(bound("of_a", "of_b")).select("a", "b")
+    return pairs.join(l.hint("merge"), "a").join(r.hint("merge"), "b").where(bound("of_a", "of_b")).select("a", "b", F.greatest(bits("of_a"), bits("of_b")).alias("most"))
 
 
 def block_pairs(left: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket in different components that their bitmaps don't rule out. Members fall into blocks by hash, and every two blocks meet under one key."""
+    """Pairs (a, b, most) of a bucket in different components that their bitmaps don't rule out. Members fall into blocks by hash, and every two blocks meet under one key."""
     members = left.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     meet = members.withColumn("m", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, block) as i, greatest(o, block) as j))")))
     met = meet.join(marks.hint("merge"), "node").select("key", "m.i", "m.j", "block", "component", *marks.columns)
     on = F.expr(f"l.key = r.key and l.i = r.i and l.j = r.j and l.node < r.node and l.component <> r.component and (l.i = l.j or l.block <> r.block) and {bound('l', 'r')}")
-    return met.alias("l").join(met.alias("r").hint("merge"), on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    return met.alias("l").join(met.alias("r").hint("merge"), on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.greatest("l.size", "r.size").alias("most")).distinct()
 
 
 def joined_by_share(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
