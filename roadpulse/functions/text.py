@@ -37,6 +37,20 @@ def second_category(category: Column) -> Column:
     return F.coalesce(F.get(F.split(category, r"\."), F.lit(1)), category)
 
 
+#: How place names are shortened for display.
+SHORT_PLACES = {"singapore-": "sg-", "boston-": "bos-"}
+
+
+def location_label(location: Column) -> Column:
+    for long, short in SHORT_PLACES.items():
+        location = F.replace(location, F.lit(long), F.lit(short))
+    return location
+
+
+def metres_per_second(kmh: Column) -> Column:
+    return kmh / 3.6
+
+
 def utc_text(t: Column) -> Column:
     return F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 

@@ -25,17 +25,32 @@ def nearest_asof(probes: DataFrame, samples: DataFrame, keys: list[str], time: s
     return near.where("_probe is not null").withColumn("sample", F.when(earlier, F.col("_prev")).otherwise(F.col("_next"))).select("_probe.*", "sample")
 
 
+#: Bucket widths grow by this factor from level to level.
+STEP, LEVELS = 16, 6
+
+
 def interval_overlap(left: DataFrame, right: DataFrame, keys: list[str], width: int, left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
     """Inner join on keys where the half-open spans (longs) strictly overlap.
 
-    Spans are cut into buckets of `width`, which makes an equi-join of it; a pair is kept in the first bucket that
-    both touch, so that it comes once. Choose a width near the usual span.
+    A span belongs to the level whose buckets are just wide enough for it, so that it touches two of them at most, and is copied into two
+    buckets of each wider level too. Two spans meet on the wider one's level, in the first bucket that both touch: an equi-join,
+    each pair once, and at most 2 LEVELS copies of a span, however long it is, up to width * STEP ** (LEVELS - 1).
     """
     (a, b), (c, d) = left_span, right_span
-    bucket = lambda x: F.floor(F.col(x) / F.lit(width))
-    spread = lambda df, lo, hi: df.where(F.col(hi) > F.col(lo)).withColumn("_bucket", F.explode(F.sequence(bucket(lo), F.floor((F.col(hi) - 1) / F.lit(width)))))
-    joined = spread(left, a, b).join(spread(right, c, d), [*keys, "_bucket"])
-    return joined.where((F.col(a) < F.col(d)) & (F.col(b) > F.col(c)) & (F.col("_bucket") == F.greatest(bucket(a), bucket(c)))).drop("_bucket")
+    wide = [width * STEP**k for k in range(LEVELS)]
+    at = lambda x, level: F.floor(x / F.element_at(F.array(*map(F.lit, wide)), level + 1))
+
+    def spread(df: DataFrame, lo: str, hi: str, side: str) -> DataFrame:
+        span = F.col(hi) - F.col(lo)
+        own = sum(((span > w).cast("int") for w in wide[:-1]), F.lit(0))
+        placed = df.where(F.col(hi) > F.col(lo)).withColumn(f"_own_{side}", own)
+        placed = placed.withColumn("_level", F.explode(F.sequence(F.col(f"_own_{side}"), F.lit(LEVELS - 1))))
+        placed = placed.withColumn(f"_from_{side}", at(F.col(lo), F.col("_level")))
+        return placed.withColumn("_bucket", F.explode(F.sequence(F.col(f"_from_{side}"), at(F.col(hi) - 1, F.col("_level")))))
+
+    joined = spread(left, a, b, "l").join(spread(right, c, d, "r"), [*keys, "_level", "_bucket"])
+    first = (F.col("_level") == F.greatest("_own_l", "_own_r")) & (F.col("_bucket") == F.greatest("_from_l", "_from_r"))
+    return joined.where((F.col(a) < F.col(d)) & (F.col(b) > F.col(c)) & first).drop("_level", "_bucket", "_own_l", "_own_r", "_from_l", "_from_r")
 
 
 def coverage(pairs: DataFrame, request: list[str], start: str, end: str, lo: str, hi: str) -> DataFrame:

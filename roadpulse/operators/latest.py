@@ -30,3 +30,9 @@ def time_window(df: DataFrame, start, end, column: str = "sensor_time") -> DataF
 def of_vehicle(df: DataFrame, vehicle: str | None) -> DataFrame:
     """Blank or none means all vehicles."""
     return df if not vehicle or not vehicle.strip() else df.where(F.col("vehicle_id") == vehicle)
+
+
+def append_new(stored: DataFrame, arrived: DataFrame, keys: list[str]) -> DataFrame:
+    """What a table holds after an append that may be repeated: stored rows and those that arrived under keys it lacks, once each."""
+    fresh = arrived.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    return stored.unionByName(fresh)

@@ -5,10 +5,8 @@ Times are micro- or milliseconds as long; computed floats are cut to six places
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,31 +15,8 @@ from ..operators import aggregates, dedup, joins, latest, sequences, validate
 from ..sources import avro
 from ..streaming import machines
 from ..streaming.runner import over_table
-from .testbed import BASE, Testbed, enu_sql
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, base: bool = True):
-    def add(f: Callable[[Testbed], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(Testbed(spark, sf_dir))
-        if sql is not None:
-            ORACLE_SQL[name] = (BASE if base else "") + sql
-        return f
-
-    return add
-
-
-def cut6(c) -> F.Column:
-    return geo.round_half_up(F.col(c) if isinstance(c, str) else c, 6)
-
-
-def sql6(x: str) -> str:
-    return f"floor(({x}) * 1e6 + 0.5) / 1e6"
-
-
-us = lambda c: F.unix_micros(c)
+from .registry import ORACLE_SQL, QUERIES, cut6, query, sql6, us  # noqa: F401
+from .testbed import Testbed, enu_sql
 
 # ---- read queries ----
 
@@ -208,7 +183,7 @@ _points = [enu_sql(_cx.format(a, b), _cy.format(a, b), "'boston-seaport'") for a
 @query("box_footprint", ", b as (select *, 2 * asin(rot_z) yaw from perception) select l_orderkey, l_partkey, seq, center_x, " + ", ".join(f"{sql6(lon)} lon{i}, {sql6(lat)} lat{i}" for i, (lat, lon) in enumerate(_points)) + " from b")
 def _(t):
     ring = geo.box_footprint(F.col("center_x") / 10, F.col("center_y") / 10, F.col("size_w"), F.col("size_l"), geo.yaw_approx(F.col("rot_z")), F.lit("boston-seaport"))
-    b = t.perception().withColumn("ring", ring)
+    b = t.perception().select("*", F.explode(F.array(ring)).alias("ring"))  # a step of its own: the ring is worked out once, not once a corner
     return b.select("l_orderkey", "l_partkey", "seq", "center_x", *[cut6(F.col("ring")[i][j]).alias(f"{n}{i}") for i in range(4) for j, n in ((0, "lon"), (1, "lat"))])
 
 

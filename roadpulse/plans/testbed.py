@@ -77,7 +77,7 @@ class Testbed:
         """Recording requests around errors: a day before, two after."""
         day = 86_400_000_000
         e = self.events().where("channel = 'steeranglefeedback'")
-        shift = 9 * 365 * day  # into the years of the recordings
+        shift = 27 * 365 * day  # into the years of the recordings
         return e.selectExpr("concat('r', event_id) as request_id", "concat('v', user_id % 50) as vehicle_id", f"t_us - {shift} - (event_id % 2000) * {day} - {day} as req_start", f"t_us - {shift} - (event_id % 2000) * {day} + 2 * {day} as req_end")
 
 
@@ -125,6 +125,6 @@ segments as (
     repeat('a', case when o_orderkey % 9 = 0 then 63 else 64 end) checksum, cast(o_orderkey % 7 as int) sample_count, case when o_orderstatus = 'P' then 'DROPPED' else 'UPLOADED' end state, o_orderkey
   from orders),
 requests as (
-  select 'r' || event_id request_id, 'v' || (user_id % 50) vehicle_id, t_us - {9 * 365 * _day} - (event_id % 2000) * {_day} - {_day} req_start, t_us - {9 * 365 * _day} - (event_id % 2000) * {_day} + {2 * _day} req_end
+  select 'r' || event_id request_id, 'v' || (user_id % 50) vehicle_id, t_us - {27 * 365 * _day} - (event_id % 2000) * {_day} - {_day} req_start, t_us - {27 * 365 * _day} - (event_id % 2000) * {_day} + {2 * _day} req_end
   from e where channel = 'steeranglefeedback')
 """

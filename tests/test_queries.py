@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from roadpulse.plans import catalog
+from roadpulse.plans import catalog, extracts, ingest, registry  # noqa: F401
 
 from .oracle import compare, connect
 
@@ -17,11 +17,11 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", catalog.QUERIES)
+@pytest.mark.parametrize("name", registry.QUERIES)
 def test_query(spark, con, name):
-    df = catalog.QUERIES[name](spark, SF)
+    df = registry.QUERIES[name](spark, SF)
     assert len(set(df.columns)) == len(df.columns)
-    if name in catalog.ORACLE_SQL:
-        assert compare(df, con, catalog.ORACLE_SQL[name]) == ""
+    if name in registry.ORACLE_SQL:
+        assert compare(df, con, registry.ORACLE_SQL[name]) == ""
     else:
         assert df.count() > 0
