@@ -2,10 +2,11 @@
 
 A candidate is a long run of key characters that stands close behind a sensitive
 word. Its novelty is the number of bytes that it adds to the compressed size of
-its surroundings, other occurrences of it blanked out, the compressor being primed
-with a dictionary of identifiers and code idioms. Words, identifiers and repetitive
+its surroundings, other occurrences of it blanked out and case folded, the compressor being primed
+with a dictionary: the words that names in the standard library are made of, and code idioms. Words, identifiers and repetitive
 strings cost few bytes; random keys cost nearly their own length, and these are
-reported wherever they stand in the text.
+reported wherever they stand in the text. Letters of one case alone are told from
+invented words by a higher measure.
 
 Defined cases: null text is empty and has no spans; every row gives one row,
 repeated or not; texts are scanned whole; spans count code points, end exclusive.
@@ -13,9 +14,14 @@ repeated or not; texts are scanned whole; spans count code points, end exclusive
 
 from __future__ import annotations
 
+import builtins
 import hashlib
+import importlib
+import keyword
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -42,24 +48,46 @@ IDENTIFIERS = (
     "the and that with this from have were which their there would about other ing tion ment able ness ity ate ous "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 aaaaaaaaaaaaaaaa 0000000000000000 xxxxxxxxxxxxxxxx"
 )
+#: Modules of the standard library whose names, cut into words, make the dictionary.
+MODULES = (
+    "http.client http.server http.cookies urllib.request urllib.parse email.message socket ssl logging.config logging.handlers json configparser argparse sqlite3 threading subprocess tempfile pathlib shutil "
+    "zipfile tarfile hashlib hmac secrets base64 datetime decimal random statistics itertools functools collections inspect unittest xml.dom.minidom ftplib smtplib imaplib xmlrpc.client wsgiref.handlers "
+    "concurrent.futures contextlib dataclasses typing ast pickle gettext locale mailbox mimetypes netrc poplib queue selectors signal socketserver string textwrap traceback types uuid weakref webbrowser"
+)
 CONTEXT = 48
 SURROUNDINGS = 160
 NOVEL_LEAST = 20
-NOVELTY = 0.72
+#: Bytes that a candidate must add, per byte of its own. Letters of one case alone have limits of their own, up to LONG characters and beyond:
+#: short strings are stored as they are, long ones coded in less than five bits a letter.
+NOVELTY, LETTERS, LONG_LETTERS, LONG = 0.8, 0.9, 0.8, 40
+LEVEL = 12
+
+
+@lru_cache(maxsize=1)
+def vocabulary() -> str:
+    """Words of the names in MODULES, in lower case, in order: the same in every worker of one Python version."""
+    names = set(keyword.kwlist) | set(dir(builtins))
+    for module in MODULES.split():
+        for name, value in vars(importlib.import_module(module)).items():
+            names |= {name, *vars(value)} if isinstance(value, type) else {name}
+    return " ".join(sorted({w.lower() for n in names for w in re.findall("[A-Z]+(?![a-z])|[A-Z]?[a-z]+", n) if len(w) > 3}))
 
 
 class Scanner:
-    def __init__(self, sensitive: str = SENSITIVE, identifiers: str = IDENTIFIERS, novelty: float = NOVELTY):
+    def __init__(self, sensitive: str = SENSITIVE, identifiers: str | None = None, novelty: float = NOVELTY, letters: float = LETTERS):
         import zstandard
 
+        identifiers = f"{vocabulary()} {IDENTIFIERS}" if identifiers is None else identifiers
+
         self.assign = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
         self.access = re.compile(ACCESS)
         self.hex = re.compile("[0-9a-f]{%d,}" % HEX_LEAST)  # longest runs only, as [0-9a-f]+ finds them
-        self.run = re.compile("[A-Za-z0-9+/_.=-]{%d,}" % NOVEL_LEAST)
+        self.run = re.compile("[A-Za-z0-9+/_.-]{%d,}={0,2}" % NOVEL_LEAST)  # a sign of equality stands in front or pads the end
         self.near = re.compile("|".join(map(re.escape, sensitive.split())), re.IGNORECASE | re.ASCII)
-        self.novelty = novelty
-        primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.pack = zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False).compress
+        self.novelty, self.letters = novelty, letters
+        primed = zstandard.ZstdCompressionDict(identifiers.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=LEVEL)
+        self.pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False).compress
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind number, end), by start and kind."""
@@ -75,23 +103,38 @@ class Scanner:
         blank, reach = " " * len(own), SURROUNDINGS + len(own) - 1
         before = text[max(0, start - reach) : start].replace(own, blank)[-SURROUNDINGS:]
         after = text[end : end + reach].replace(own, blank)[:SURROUNDINGS]
-        around = before.encode(), after.encode()
-        return (len(self.pack(around[0] + own.encode() + around[1])) - len(self.pack(around[0] + around[1]))) / len(own)
+        around = before.lower().encode("utf-8", "replace"), after.lower().encode("utf-8", "replace")
+        return (len(self.pack(around[0] + own.lower().encode() + around[1])) - len(self.pack(around[0] + around[1]))) / len(own)
 
     def novel(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Every occurrence of a string that is found novel in one place, wherever the others stand."""
-        keys = {}
+        starts, ends = [], []  # the base spans, merged: in order and apart
+        for start, _, end in base:
+            if ends and start <= ends[-1]:
+                ends[-1] = max(ends[-1], end)
+            else:
+                starts.append(start)
+                ends.append(end)
+
+        def free(start: int, end: int) -> bool:
+            k = bisect_left(starts, end)
+            return not k or ends[k - 1] <= start
+
+        keys, known = [], set()
         for m in self.run.finditer(text):
             start, end = m.span()
             own = m.group()
-            if own in keys or not self.near.search(text, max(0, start - CONTEXT), start):
-                continue
-            if any(s < end and start < e for s, _, e in base):
+            if own in known or not self.near.search(text, max(0, start - CONTEXT), start) or not free(start, end):
                 continue
-            if any(c.isdigit() for c in own) and any(c.isalpha() for c in own) and self.marginal(text, start, end) >= self.novelty:
-                keys[own] = None
-        found = {(m.start(), 3, m.end()) for own in keys for m in re.finditer(re.escape(own), text)}
-        return sorted(x for x in found if not any(s < x[2] and x[0] < e for s, _, e in base))
+            one_case = own.isalpha() and (own.islower() or own.isupper())
+            least = self.novelty if not one_case else self.letters if len(own) <= LONG else LONG_LETTERS
+            if self.marginal(text, start, end) >= least:
+                keys.append(own)
+                known.add(own)
+        if not keys:
+            return []
+        every = re.compile("|".join(map(re.escape, sorted(keys, key=len, reverse=True))))
+        return [(m.start(), 3, m.end()) for m in every.finditer(text) if free(m.start(), m.end())]
 
     def __call__(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         base = self.base(text)
