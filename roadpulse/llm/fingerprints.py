@@ -3,8 +3,8 @@
 A text's canonical form is case-folded (upper, then lower case), composed (NFC)
 and has each run of white space as one space, none at the ends. Two chained
 64-bit xxHashes of it make a 128-bit fingerprint. Documents with equal hashes are
-grouped and their bytes compared: should different forms ever share a
-fingerprint, all but the least get a suffix.
+grouped and their bytes compared: should different forms of documents ever share a
+hash, each of them has its SHA-256 as a suffix, so that equal texts have equal fingerprints and others don't.
 
 Composition: a text without combining marks or characters that NFC replaces
 is composed already, which one pattern tells. In other texts the words that match
@@ -162,17 +162,14 @@ def dealt_by_descending_id(documents: DataFrame, parts: int) -> DataFrame:
         return documents.withColumns({"part": F.lit(0), "guest": F.lit(0)})
     ends = sorted({*found["ends"], found["top"]})
 
-    def find(lo: int, hi: int):
-        """Number of the first end that is at least the id: a tree of comparisons."""
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= F.lit(ends[mid]), find(lo, mid)).otherwise(find(mid + 1, hi))
-
-    placed = documents.withColumn("part", find(0, len(ends) - 1))
+    # the ends are one constant of the plan, searched by halving: the plan's size doesn't grow with the number of parts
+    held = F.split(F.lit(",".join(map(str, ends))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(ends).bit_length()))])
+    part = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(ends)) & (F.get(held, at + step - 1) < key), at + step).otherwise(at))
+    placed = documents.withColumn("part", part)
     here = F.struct("part", F.lit(0).alias("guest"))
     there = F.struct((F.pmod(F.col("part") + 1, F.lit(len(ends)))).alias("part"), F.lit(1).alias("guest"))
-    places = F.when(key.isin(ends), F.array(here, there)).otherwise(F.array(here))
+    places = F.when(key == F.get(held, F.col("part")), F.array(here, there)).otherwise(F.array(here))
     return placed.select(*documents.columns, F.explode(places).alias("at")).select(*documents.columns, "at.part", "at.guest").repartition(parts, "part")
 
 
@@ -192,15 +189,28 @@ def edited_likeness(documents: DataFrame, parts: int) -> DataFrame:
     same = lambda other: F.when(F.col("hash") == F.col(f"{other}_hash"), (F.col("form") == F.col(f"{other}_form")).cast("double")).otherwise(F.lit(0.0))
     return made.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.col("hash").alias("fingerprint"), F.col("edited_hash").alias("edited_fingerprint"), same("edited").alias("near_edited"), same("next").alias("near_next"), "form",
+        F.col("hash").alias("fingerprint"), F.col("edited_hash").alias("edited_fingerprint"), same("edited").alias("near_edited"), same("next").alias("near_next"), "form", "edited_form",
     )
 
 
+def told_apart(made: DataFrame, clashes: DataFrame) -> DataFrame:
+    """Fingerprints whose hash stands for different forms get the SHA-256 of their own form as a suffix, those of edited texts too. Clashes: hash."""
+    for column, form in (("fingerprint", "form"), ("edited_fingerprint", "edited_form")):
+        marked = clashes.select(F.col("hash").alias(column), F.lit(True).alias("_clash"))
+        suffix = F.when(F.col("_clash"), F.concat(F.lit("-"), F.sha2(F.col(form).cast("binary"), 256))).otherwise(F.lit(""))
+        made = made.join(marked.hint("merge"), column, "left").withColumn(column, F.concat(column, suffix)).drop("_clash")
+    return made
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    made = edited_likeness(documents, int(spark.conf.get("spark.sql.shuffle.partitions"))).drop("form")
-    clashes = cut(shared_by_different(documents).select(F.col("hash").alias("fingerprint"), F.lit(1).alias("clash")))
+    return fingerprinted(documents, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fingerprinted(documents: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, text) -> the columns of `edited_likeness`, collisions told apart."""
+    made = edited_likeness(documents, parts)
+    clashes = cut(shared_by_different(documents))
     if not clashes.isEmpty():
-        # a hash that stands for different texts is marked, so that it is never taken for proof of equality
-        made = made.join(clashes, "fingerprint", "left").withColumn("fingerprint", F.concat("fingerprint", F.when(F.col("clash") == 1, F.concat(F.lit("-"), F.col("edited_fingerprint"))).otherwise(F.lit(""))))
+        made = told_apart(made, clashes)
     return made.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

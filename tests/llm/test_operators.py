@@ -298,6 +298,37 @@ def test_edited_likeness(spark, parts):
     assert fingerprints.shared_by_different(base).count() == 0
 
 
+def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
+    """With a hash of three values, equal texts still have equal fingerprints, and different ones different."""
+    monkeypatch.setattr(fingerprints, "wide_hash", lambda form: F.lpad((F.crc32(form.cast("binary")) % 3).cast("string"), 32, "0"))
+    texts = [f"Text {k % 12}" for k in range(40)] + [None, "", "  "]
+    rows = fingerprints.fingerprinted(docs(spark, texts).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 4).collect()
+    of = {}
+    for r in rows:
+        of.setdefault((texts[r["doc_id"]] or "").strip().lower(), set()).add(r["fingerprint"])
+    assert all(len(f) == 1 for f in of.values()) and len(set.union(*of.values())) == len(of) == 13
+    following = {r["doc_id"]: r for r in rows}
+    for r in rows:
+        other = following.get(r["doc_id"] - 1)
+        if other:
+            assert r["near_next"] == float(r["fingerprint"] == other["fingerprint"])
+        assert (r["edited_fingerprint"] == r["fingerprint"]) == (r["near_edited"] == 1.0)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_next_documents_over_parts(spark, parts):
+    r = random.Random(parts)
+    ids = [r.choice([None, *range(-20, 30)]) for _ in range(60)]
+    texts = [f"text {k} " + "x" * r.randrange(40) for k in range(60)]
+    got = {(x["n_chars"], x["fingerprint"], x["edited_sha256"]) for x in fingerprints.fingerprinted(docs(spark, texts, ids).select("doc_id", "text"), parts).collect()}
+    order = sorted(zip(ids, texts), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    want = set()
+    for (_, t), (_, n) in zip(order, order[1:] + order[:1]):
+        third = len(t) // 3
+        want.add((len(t), hashlib.sha256((t[: len(t) - third] + n[:third]).encode()).hexdigest()))
+    assert {(a, c) for a, _, c in got} == want
+
+
 # ---- 7 and 10 classifiers ----
 
 
