@@ -33,6 +33,10 @@ CHUNK_ROWS = 8192
 #: Chunks are made larger rather than more than this, so that their lengths, the one list held on the driver, stay bounded.
 MOST_CHUNKS = 16_384
 LEADING = 16
+#: Bytes of the longest vectors that every worker gets.
+SEED_BYTES = 4 << 20
+#: Tasks that the work of one chunk is spread over, at most.
+GROUPS = 256
 
 
 def integer_vectors(df: DataFrame, scale: int = 256) -> DataFrame:
@@ -143,56 +147,49 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     ordered = candidates.select("vec_id", "v", length).repartitionByRange(parts, F.desc("length"), "vec_id").coalesce(parts).sortWithinPartitions(F.desc("length"), "vec_id")
     chunks = cut(ordered.mapInPandas(pack(rows), packed))
     longest = sorted(((r["longest"], r["pack"]) for r in chunks.select("pack", "longest").collect()), reverse=True)  # MOST_CHUNKS at most, and one more a partition
+    lengths = np.array([x for x, _ in longest])
     single = queries.groupBy("vec_id").agg(F.min("v").alias("v")).coalesce(max(1, asked // (QUERY_BLOCK * 4)))  # else blocks would be as small as partitions
     blocks = cut(single.select("vec_id", "v", length).mapInPandas(pack(QUERY_BLOCK), packed).withColumnRenamed("pack", "block"))
 
+    # the longest vectors, SEED_BYTES of them at most, go to every worker: the k-th best score among them is a query's floor
+    held = max(k + 1, min(rows, SEED_BYTES // (8 * dim)))
+    first = chunks.where(F.col("pack") == longest[0][1]).select(F.substring("ids", 1, 8 * held).alias("ids"), F.substring("v", 1, 8 * dim * held).alias("v")).first()
+    seed_ids, seeds = np.frombuffer(first["ids"], np.int64), _unpack(bytes(first["v"]), dim)
+
+    def aim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A block with its floors, and how many of the chunks, the longest first, may hold something for one of its queries."""
+        for b in batches:
+            for block, q_ids, q in zip(b["block"], b["ids"], b["v"]):
+                ids, rows_ = np.frombuffer(q_ids, np.int64), _unpack(q, dim)
+                best = search_chunk(ids, rows_, np.full(len(ids), -np.inf), seed_ids, seeds, turn, k)
+                floor = np.array([s[-1] if len(s) == k else -np.inf for _, s in best], dtype=np.float64)
+                size = np.sqrt((rows_.astype(np.float64) ** 2).sum(1))
+                reach = (size[:, None] * lengths[None, :] * (1 + 1e-9) + 1e-6 >= floor[:, None]).any(0)
+                yield pd.DataFrame({"block": [block], "q_ids": [q_ids], "q": [q], "floor": [floor.tobytes()], "upto": [int(reach.sum())]})
+
+    aimed = cut(blocks.mapInPandas(aim, "block long, q_ids binary, q binary, floor binary, upto int"))
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for q_ids, q, floor, c_ids, c in zip(b["q_ids"], b["q"], b["floor"], b["ids"], b["v"]):
                 q_ids, c_ids = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64)
-                floors = np.full(len(q_ids), -np.inf) if floor is None else np.frombuffer(floor, np.float64)
-                best = search_chunk(q_ids, _unpack(q, dim), floors, c_ids, _unpack(c, dim), turn, k)
+                best = search_chunk(q_ids, _unpack(q, dim), np.frombuffer(floor, np.float64), c_ids, _unpack(c, dim), turn, k)
                 yield pd.DataFrame({
                     "query_id": np.repeat(q_ids, [len(x) for x, _ in best]),
                     "vec_id": np.concatenate([x for x, _ in best]) if best else [],
                     "score": np.concatenate([s for _, s in best]) if best else [],
                 })
 
-    side = [F.col("block"), F.col("ids").alias("q_ids"), F.col("v").alias("q")]
-    first = longest[0][1]
-    seed_pairs = blocks.select(*side, F.lit(first).alias("pack"), F.lit(None).cast("binary").alias("floor")).join(chunks, "pack")
-    seeds = cut(seed_pairs.mapInPandas(search, schema))
-
-    # the k-th best score from the chunk of the longest vectors is each query's floor
+    # a chunk meets blocks group by group, so that the longest ones, which every block needs, are spread over up to GROUPS tasks
+    group = F.pmod(F.xxhash64("block"), F.lit(max(1, min(GROUPS, asked // QUERY_BLOCK)))).cast("int").alias("group")
+    needs = aimed.select(group, "upto").groupBy("group").agg(F.max("upto").alias("upto")).collect()  # GROUPS at most
+    place = spark.createDataFrame([(p, i) for i, (_, p) in enumerate(longest)], "pack long, place int")  # a row a chunk
+    wanting = F.array(*[F.struct(F.lit(r["group"]).alias("group"), F.lit(r["upto"]).alias("upto")) for r in needs])
+    copies = chunks.join(F.broadcast(place), "pack").select("place", "ids", "v", F.explode(F.transform(F.filter(wanting, lambda w: w["upto"] > F.col("place")), lambda w: w["group"])).alias("group"))
+    asking = aimed.where("upto > 0").select("q_ids", "q", "floor", group, F.explode(F.expr("sequence(0, upto - 1)")).alias("place"))
+    found = asking.join(copies.hint("merge"), ["place", "group"]).select("q_ids", "q", "floor", "ids", "v").mapInPandas(search, schema)
     rank = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    floors = seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).where(F.col("n") >= k)
-    lengths = np.array([x for x, _ in longest])
-    numbers = [p for _, p in longest]
-
-    def aim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A block with its floors for every chunk that may hold something for one of its queries: a prefix of the chunks."""
-        for b in batches:
-            for block, q_ids, q, ids_low, low in zip(b["block"], b["q_ids"], b["q"], b["low_ids"], b["low"]):
-                ids = np.frombuffer(q_ids, np.int64)
-                known = dict(zip(ids_low if ids_low is not None else [], low if low is not None else []))
-                floor = np.array([known.get(i, -np.inf) for i in ids.tolist()], dtype=np.float64)
-                size = np.sqrt((_unpack(q, dim).astype(np.float64) ** 2).sum(1))
-                for j in range(1, len(numbers)):
-                    if not (size * lengths[j] * (1 + 1e-9) + 1e-6 >= floor).any():
-                        break
-                    yield pd.DataFrame({"block": [block], "q_ids": [q_ids], "q": [q], "floor": [floor.tobytes()], "pack": [numbers[j]]})
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for block, ids in zip(b["block"], b["ids"]):
-                ids = np.frombuffer(ids, np.int64)
-                yield pd.DataFrame({"block": np.full(len(ids), block), "query_id": ids})
-
-    of_block = blocks.mapInPandas(members, "block long, query_id long").join(floors, "query_id").groupBy("block").agg(F.collect_list("query_id").alias("low_ids"), F.collect_list("low").alias("low"))  # QUERY_BLOCK at most
-    aimed = blocks.select(*side).join(of_block, "block", "left").mapInPandas(aim, "block long, q_ids binary, q binary, floor binary, pack long")
-    later = aimed.repartition("pack", "block").join(chunks, "pack").mapInPandas(search, schema)
-    ranked = seeds.union(later).withColumn("rank", F.row_number().over(rank))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
