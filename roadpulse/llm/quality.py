@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, long_ids, read_table, whole_texts
-from .training import labelled, thinned
+from .training import labelled, sampled
 
 MOST_TRAINING = 10_000
 THRESHOLD = 0.5
@@ -86,6 +86,22 @@ class Network:
     def __init__(self, hidden: int = 16, seed: int = 7):
         self.hidden, self.seed = hidden, seed
 
+    @staticmethod
+    def gradient(w: list[np.ndarray], xp: np.ndarray, xu: np.ndarray, prior: float, decay: float, beta: float = 0.0) -> list[np.ndarray]:
+        """Of the risk over a batch of positives and one of unlabelled rows, of one size; where its negative part is below -beta, of minus that part alone."""
+        batch = len(xp)
+        x = np.concatenate([xp, xu])
+        a = np.tanh(x @ w[0] + w[1])
+        s = 1 / (1 + np.exp(-np.clip(a @ w[2] + w[3], -30, 30)))
+        slope = s * (1 - s) / batch
+        negative = s[batch:].mean() - prior * s[:batch].mean()
+        if negative >= -beta:  # d/dz of prior * E_p[1 - s] + E_u[s] - prior * E_p[s]
+            dz = np.concatenate([-2 * prior * slope[:batch], slope[batch:]])
+        else:  # the negative part of the risk has gone below zero: step back on it alone
+            dz = np.concatenate([prior * slope[:batch], -slope[batch:]])
+        da = dz[:, None] * w[2] * (1 - a**2)
+        return [x.T @ da + decay * w[0], da.sum(0), a.T @ dz + decay * w[2], dz.sum()]
+
     def fit(self, p: np.ndarray, u: np.ndarray, prior: float, steps: int = 1500, batch: int = 512, rate: float = 0.01, beta: float = 0.0) -> Network:
         decay = max(1e-4, 1 / len(p))  # few positives would be learned by heart
         r = np.random.default_rng(self.seed)
@@ -94,17 +110,7 @@ class Network:
         m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
         for t in range(1, steps + 1):
             xp, xu = p[r.integers(len(p), size=batch)], u[r.integers(len(u), size=batch)]
-            x = np.concatenate([xp, xu])
-            a = np.tanh(x @ w[0] + w[1])
-            s = 1 / (1 + np.exp(-np.clip(a @ w[2] + w[3], -30, 30)))
-            slope = s * (1 - s) / batch
-            negative = s[batch:].mean() - prior * s[:batch].mean()
-            if negative >= -beta:  # d/dz of prior * E_p[1 - s] + E_u[s] - prior * E_p[s]
-                dz = np.concatenate([-2 * prior * slope[:batch], slope[batch:]])
-            else:  # the negative part of the risk has gone below zero: step back on it alone
-                dz = np.concatenate([prior * slope[:batch], -slope[batch:]])
-            da = dz[:, None] * w[2] * (1 - a**2)
-            grads = [x.T @ da + decay * w[0], da.sum(0), a.T @ dz + decay * w[2], dz.sum()]
+            grads = self.gradient(w, xp, xu, prior, decay, beta)
             step = rate * min(1, 2 * (1 - t / (steps + 1)))
             for k, g in enumerate(grads):
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -126,6 +132,8 @@ class Model:
 
 
 def fit_matrices(p: np.ndarray, u: np.ndarray) -> Model:
+    if min(len(p), len(u)) < 10:
+        return Model(None, None, None, 0.5)
     p, u = (x[np.lexsort(x.T)] for x in (p, u))  # the arrival order of rows must not matter
     both = np.concatenate([p, u])
     mean, spread = both.mean(0), both.std(0) + 1e-6
@@ -133,8 +141,6 @@ def fit_matrices(p: np.ndarray, u: np.ndarray) -> Model:
     r = np.random.default_rng(11)
     p, u = p[r.permutation(len(p))], u[r.permutation(len(u))]
     half_p, half_u = len(p) // 2, len(u) // 2
-    if min(half_p, half_u) < 5:
-        return Model(None, None, None, 0.5)
     w = logistic(p[:half_p], u[:half_u])
     prior = class_prior(p[half_p:] @ w[:-1], u[half_u:] @ w[:-1])
     return Model(Network().fit(p, u, prior), mean, spread, prior)
@@ -148,10 +154,10 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> M
             yield pd.DataFrame({"x": [features(t or "") for t in b["text"]]})
 
     def matrix(rows: DataFrame) -> np.ndarray:
-        got = rows.select("text").mapInPandas(make, "x array<double>").limit(2 * most).toPandas()
+        got = rows.select("text").mapInPandas(make, "x array<double>").toPandas()  # `most` rows at the most
         return np.stack(got["x"].to_list()) if len(got) else np.zeros((0, len(NAMES)))
 
-    return fit_matrices(matrix(labelled(documents, labels, "quality", most, wanted=1)), matrix(thinned(documents.select("doc_id", "text"), most)))
+    return fit_matrices(matrix(labelled(documents, labels, "quality", most, wanted=1)), matrix(sampled(documents.select("doc_id", "text"), most)))
 
 
 def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

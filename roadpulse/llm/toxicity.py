@@ -190,7 +190,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> M
             yield pd.DataFrame({"fold": b["fold"], "label": b["label"], "x": [make(t or "") for t in b["text"]]})
 
     fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(3)).cast("int").alias("fold")
-    rows = sample.select(fold, "label", "text").mapInPandas(features, "fold int, label int, x array<double>").limit(2 * most).toPandas()
+    rows = sample.select(fold, "label", "text").mapInPandas(features, "fold int, label int, x array<double>").toPandas()  # `most` rows at the most
     y = rows["label"].to_numpy(float) if len(rows) else np.zeros(0)
     if len(set(y)) < 2:
         return Model(lexicon, None, None, float(y.mean()) if len(y) else 0.0)

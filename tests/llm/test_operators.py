@@ -380,6 +380,72 @@ def test_calibration_is_monotone():
     assert (np.diff(x) >= 0).all() and (np.diff(p) >= 0).all() and 0 <= p[0] and p[-1] <= 1
 
 
+def test_trees_split_as_an_exhaustive_search_does():
+    r = np.random.default_rng(4)
+    x = r.integers(0, 10, (300, 4)).astype(float)
+    y = ((x[:, 2] > 6) ^ (r.random(300) < 0.1)).astype(float)
+    trees = toxicity.Trees(rounds=1, depth=1, rate=1.0).fit(x, y)
+    p = y.mean()
+    g, h = y - p, np.full(300, p * (1 - p))
+
+    def gain(side):
+        parts = [(g[m].sum(), h[m].sum()) for m in (side, ~side)]
+        return -1 if min(b for _, b in parts) < 1 else sum(a * a / (b + 2.0) for a, b in parts) - g.sum() ** 2 / (h.sum() + 2.0)
+
+    best = max(((gain(x[:, f] <= t), f, t) for f in range(4) for t in range(10)))
+    got = trees.margin(x) - trees.start
+    left = x[:, best[1]] <= best[2]
+    for side in (left, ~left):
+        assert np.allclose(got[side], g[side].sum() / (h[side].sum() + 2.0))
+    deep = toxicity.Trees(rounds=30).fit(x, y)
+    loss = lambda m: np.mean(np.log1p(np.exp(-np.where(y == 1, m, -m))))
+    assert loss(deep.margin(x)) < loss(trees.margin(x)) < loss(np.full(300, trees.start))
+
+
+def test_risk_gradient_against_differences():
+    r = np.random.default_rng(5)
+    w = [r.normal(size=(3, 4)), r.normal(size=4), r.normal(size=4), np.array(0.3)]
+    xp, xu = r.normal(size=(20, 3)), r.normal(size=(20, 3))
+
+    def risk(w, prior, decay):
+        s = lambda x: 1 / (1 + np.exp(-(np.tanh(x @ w[0] + w[1]) @ w[2] + w[3])))
+        negative = s(xu).mean() - prior * s(xp).mean()
+        own = prior * (1 - s(xp)).mean() + negative if negative >= 0 else -negative
+        return own + decay / 2 * ((w[0] ** 2).sum() + (w[2] ** 2).sum()), negative
+
+    signs = set()
+    for prior in (0.1, 0.97):
+        w[3] = np.array(0.3)
+        signs.add(risk(w, prior, 0.01)[1] >= 0)
+        got = quality.Network.gradient(w, xp, xu, prior, 0.01)
+        for k, part in enumerate(w):
+            for at in np.ndindex(part.shape):
+                ends = []
+                for e in (1e-5, -1e-5):
+                    moved = [a.copy() for a in w]
+                    moved[k][at] += e
+                    ends.append(risk(moved, prior, 0.01)[0])
+                assert abs((ends[0] - ends[1]) / 2e-5 - np.asarray(got[k])[at]) < 1e-6
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_class_prior_of_a_known_mixture(share):
+    r = np.random.default_rng(6)
+    p, u = r.normal(2, 1, 2000), np.where(r.random(4000) < share, r.normal(2, 1, 4000), r.normal(-2, 1, 4000))
+    assert abs(quality.class_prior(p, u) - share) < 0.08
+
+
+def test_samples_do_not_follow_arrival_or_repeats(spark):
+    from roadpulse.llm.training import labelled, sampled
+
+    d = docs(spark, ["same"] * 500 + [f"text {k}" for k in range(100)], [7] * 500 + list(range(100, 200))).select("doc_id", "text")
+    one, two = ({tuple(r) for r in sampled(x, 50).collect()} for x in (d, d.repartition(7)))
+    assert one == two and 30 <= len(one) <= 50
+    labels = spark.createDataFrame([(7, 1)] * 3 + [(k, k % 2) for k in range(100, 200)], "doc_id long, toxic int")
+    got = labelled(d, labels, "toxic", 40).collect()
+    assert len(got) == 40 == len({r["doc_id"] for r in got})
+
+
 # ---- 8 lines ----
 
 
