@@ -39,14 +39,14 @@ CROWDED = 64
 BLOCK = 1024
 
 
-def fingerprint(text: str) -> int:
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash of a text's word shingles."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()  # both treat ASCII alone
     if not words:
         return 0
-    shingles = [b" ".join(words)] if len(words) < SHINGLE else map(b" ".join, zip(*(words[k:] for k in range(SHINGLE))))
+    shingles = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[k:] for k in range(shingle))))
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8")
     ones = np.zeros(64, dtype=np.int64)
@@ -55,39 +55,45 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
+def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text) -> doc_id, fp (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64).view(np.int64)})
 
     return long_ids(whole_texts(documents).mapInPandas(run, "doc_id string, fp long"))
 
 
-def ring_mask(segments) -> int:
+def ring_mask(places, segments: int = SEGMENTS) -> int:
     """Signed 64-bit mask of the given segments."""
-    mask = sum(((1 << WIDTH) - 1) << (WIDTH * (s % SEGMENTS)) for s in segments)
+    width = 64 // segments
+    mask = sum(((1 << width) - 1) << (width * (s % segments)) for s in places)
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def chain_keys(equal: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(start, equal segments) of every chain of 2 * equal - 1 segments within budget; one of each set of segments."""
+def chain_keys(equal: int, bits: int = LINK_BITS, segments: int = SEGMENTS) -> list[tuple[int, tuple[int, ...]]]:
+    """(start, equal segments) of every shortest chain within budget that has `equal` equal segments; one of each set of segments.
+
+    Of the first l segments of such a chain at most l * bits // segments differ, so all others are equal.
+    """
+    sure = [n - n * bits // segments for n in range(segments + 1)]  # equal ones among the first n
+    length = next(n for n in range(1, segments + 1) if sure[n] >= equal)
     found: dict[frozenset, tuple[int, tuple[int, ...]]] = {}
-    for start in range(SEGMENTS):
-        for rest in combinations(range(1, 2 * equal - 1), equal - 1):
+    for start in range(segments):
+        for rest in combinations(range(1, length), equal - 1):
             chain = (0, *rest)
-            if all(sum(s <= 2 * t - 2 for s in chain) >= t for t in range(1, equal + 1)):
-                places = tuple((start + s) % SEGMENTS for s in chain)
+            if all(sum(s < n for s in chain) >= sure[n] for n in range(1, length + 1)):
+                places = tuple((start + s) % segments for s in chain)
                 found.setdefault(frozenset(places), (start, places))
     return list(found.values())
 
 
-def ring_test(x: str) -> str:
-    """SQL: some chain of x, the differing bits, keeps its budget at each length. True of every pair with at most LINK_BITS."""
+def ring_test(x: str, bits: int = LINK_BITS, segments: int = SEGMENTS) -> str:
+    """SQL: some chain of x, the differing bits, keeps its budget at each length. True of every pair with at most `bits`."""
     return "(" + " or ".join(
-        "(" + " and ".join(f"bit_count({x} & {_literal(ring_mask(range(start, start + l)))}) <= {l * LINK_BITS // SEGMENTS}" for l in range(1, SEGMENTS)) + ")"
-        for start in range(SEGMENTS)
+        "(" + " and ".join(f"bit_count({x} & {_literal(ring_mask(range(start, start + l), segments))}) <= {l * bits // segments}" for l in range(1, segments)) + ")"
+        for start in range(segments)
     ) + ")"
 
 
@@ -95,21 +101,24 @@ def _literal(mask: int) -> str:
     return f"cast('{mask}' as bigint)" if mask == -(1 << 63) else f"({mask}L)"
 
 
-def keyed_by(nodes: DataFrame, keys: list[tuple[int, tuple[int, ...]]]) -> DataFrame:
+def keyed_by(nodes: DataFrame, keys: list[tuple[int, tuple[int, ...]]], segments: int = SEGMENTS) -> DataFrame:
     """(node, fp) -> node, fp, k, v: one row for each key."""
-    each = ", ".join(f"struct({i} as k, fp & {_literal(ring_mask(places))} as v)" for i, (_, places) in enumerate(keys))
+    each = ", ".join(f"struct({i} as k, fp & {_literal(ring_mask(places, segments))} as v)" for i, (_, places) in enumerate(keys))
     return nodes.select("node", "fp", F.expr(f"inline(array({each}))"))
 
 
-def pairs_of(keyed: DataFrame, keys: list[tuple[int, tuple[int, ...]]]) -> DataFrame:
+def pairs_of(keyed: DataFrame, keys: list[tuple[int, tuple[int, ...]]], bits: int = LINK_BITS, segments: int = SEGMENTS) -> DataFrame:
     """Links (a, b) within the buckets (k, v), found through chains; each in the first key that it shares."""
     x = "(l.fp ^ r.fp)"
-    first = "case " + " ".join(f"when {x} & {_literal(ring_mask(places))} = 0 then {i}" for i, (_, places) in enumerate(keys)) + " end"
-    on = F.expr(f"l.k = r.k and l.v = r.v and l.fp < r.fp and {ring_test(x)} and bit_count({x}) <= {LINK_BITS} and {first} = l.k")
+    masks = ",".join(str(ring_mask(places, segments)) for _, places in keys)  # one constant of the plan, however many keys there are
+    first = f"array_position(transform(cast(split('{masks}', ',') as array<bigint>), m -> {x} & m = 0L), true) = l.k + 1"
+    # with many segments the test of all chains is too long to be compiled; the keys are chains already, and the full count comes next
+    ring = ring_test(x, bits, segments) if segments <= SEGMENTS else "true"
+    on = F.expr(f"l.k = r.k and l.v = r.v and l.fp < r.fp and if({ring} and bit_count({x}) <= {bits}, {first}, false)")
     return keyed.alias("l").join(keyed.alias("r").hint("merge"), on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
 
 
-def forest(fps: np.ndarray) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, bits: int = LINK_BITS) -> list[tuple[int, int]]:
     """Spanning forest (positions) of the links among fps: a search that compares each fingerprint only with those not reached yet."""
     left = np.arange(len(fps))
     edges, front = [], []
@@ -118,14 +127,14 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
             front, left = [left[0]], left[1:]
             continue
         at = front.pop()
-        near = np.bitwise_count((fps[left] ^ fps[at]).view(np.uint64)) <= LINK_BITS
+        near = np.bitwise_count((fps[left] ^ fps[at]).view(np.uint64)) <= bits
         edges += [(int(at), int(i)) for i in left[near]]
         front += list(left[near])
         left = left[~near]
     return edges
 
 
-def block_links(keyed: DataFrame) -> DataFrame:
+def block_links(keyed: DataFrame, bits: int = LINK_BITS) -> DataFrame:
     """Links of crowded buckets: members fall into blocks of a bounded size by hash, and every two blocks of a bucket meet in one task, which emits a spanning forest."""
     sizes = keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     placed = keyed.join(sizes.hint("merge"), ["k", "v"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
@@ -133,44 +142,89 @@ def block_links(keyed: DataFrame) -> DataFrame:
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         fps, nodes = g["fp"].to_numpy(np.int64), g["node"].to_numpy(np.int64)
-        edges = forest(fps)
+        edges = forest(fps, bits)
         return pd.DataFrame({"a": [nodes[i] for i, _ in edges], "b": [nodes[j] for _, j in edges]}, dtype=np.int64)
 
     return meet.select("k", "v", "m.i", "m.j", "node", "fp").groupBy("k", "v", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """(node, fp), one row per fingerprint -> (a, b) links whose components are those of all links of at most LINK_BITS bits."""
-    n = nodes.count()
-    equal = next((z for z in (2, 3) if n <= 1 << (8 * z + 2)), 4)
+def links(nodes: DataFrame, bits: int = LINK_BITS, segments: int = SEGMENTS) -> DataFrame:
+    """(node, fp), one row per fingerprint -> (a, b) links whose components are those of all links of at most `bits` bits."""
+    n, width = nodes.count(), 64 // segments
+    least, deepest = 16 // width, (32 if width >= 8 else 24) // width  # keys of 16 bits or more
+    equal = next((z for z in range(least, deepest) if n <= 1 << (width * z + 2)), deepest)
+    if segments > SEGMENTS:
+        deepest = equal  # keys are so many that a crowd is cheaper in blocks than under more of them
     found = None
     while True:
-        keys = chain_keys(equal)
-        keyed = keyed_by(nodes, keys)
+        keys = chain_keys(equal, bits, segments)
+        keyed = keyed_by(nodes, keys, segments)
         sizes = keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
         crowded = sizes.where(F.col("n") > CROWDED).select("k", "v")
         calm = sizes.where((F.col("n") > 1) & (F.col("n") <= CROWDED)).select("k", "v")
-        pairs = pairs_of(keyed.join(calm.hint("merge"), ["k", "v"]), keys)
+        pairs = pairs_of(keyed.join(calm.hint("merge"), ["k", "v"]), keys, bits, segments)
         found = pairs if found is None else found.union(pairs)
         in_crowds = cut(keyed.join(crowded.hint("merge"), ["k", "v"], "left_semi"))
         if in_crowds.isEmpty():
             return found
-        if equal == 4:
-            return found.union(block_links(in_crowds))
+        if equal >= deepest or segments - bits <= equal:
+            return found.union(block_links(in_crowds, bits))
         nodes, equal = in_crowds.select("node", "fp").distinct(), equal + 1
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc_id, fp, component_id."""
-    marked = cut(fingerprints(documents))
+def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, bits: int = LINK_BITS, segments: int = SEGMENTS) -> DataFrame:
+    """(doc_id, text) -> doc_id, fp, component_id. Shingles are of `shingle` words, links of `bits` bits at the most, found in a ring of `segments`."""
+    marked = cut(fingerprints(documents, shingle))
     least = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    named = connected_components(links(least.select(F.col("fp").alias("node"), "fp")))  # by fingerprint: rows without an id connect too
+    named = connected_components(links(least.select(F.col("fp").alias("node"), "fp"), bits, segments))  # by fingerprint: rows without an id connect too
     placed = cut(least.join(named.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
     names = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     of_fp = placed.join(names.hint("merge"), "component").select("fp", "component_id")
     return marked.join(of_fp.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
+def jaccard(a: str, b: str, shingle: int) -> float:
+    """Of the word shingles of two texts, as `fingerprint` takes them."""
+    sets = []
+    for text in (a, b):
+        words = text.encode("utf-8", "surrogatepass").lower().split()
+        sets.append({tuple(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def near_copies(rows: DataFrame, order: list, shingle: int = 5, similarity: float = 0.8, words: int = 2, bits: int = 7, segments: int = 16) -> DataFrame:
+    """(row, text, and what `order` names) -> row: those that an earlier row of their group stands for.
+
+    Candidates are links between fingerprints of `words` words: the fewer words a shingle has, the fewer bits an edit turns. Their texts
+    are then compared by shingles of `shingle` words, and those of at least `similarity` are joined into groups. Equal texts count once, and
+    texts of one fingerprint are compared with its first one.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked = cut(fingerprints(rows.select(F.col("row").alias("doc_id"), "text"), words)).select(F.col("doc_id").alias("row"), "fp")
+    form = F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("copy"), text).alias("h2")).alias("form")
+    named = cut(rows.select("row", F.struct(*order, "row").alias("first"), form).join(marked.hint("merge"), "row"))
+    texts = cut(named.groupBy("form").agg(F.min("first").alias("first"), F.min("fp").alias("fp")).select("first", "fp", F.col("first.row").alias("row")))
+    again = named.select("row").join(texts.select("row").hint("merge"), "row", "left_anti")
+    of_fp = cut(texts.groupBy("fp").agg(F.min("first").alias("first")).select("fp", F.col("first.row").alias("row")))
+    found = links(of_fp.select(F.col("fp").alias("node"), "fp"), bits, segments).distinct()
+    ends = [of_fp.select(F.col("fp").alias(c), F.col("row").alias(f"row_{c}")) for c in ("a", "b")]
+    between = found.join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b").select("row_a", "row_b")
+    within = texts.select("fp", F.col("row").alias("row_a")).join(of_fp.select("fp", F.col("row").alias("row_b")).hint("merge"), "fp").where("row_a <> row_b").select("row_a", "row_b")
+    pairs = cut(between.union(within))
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            near = [jaccard(x or "", y or "", shingle) >= similarity for x, y in zip(b["text_a"], b["text_b"])]
+            yield b.loc[near, ["a", "b"]]
+
+    sides = [rows.select(F.col("row").alias(f"row_{c}"), F.col("text").alias(f"text_{c}")) for c in ("a", "b")]
+    both = pairs.join(sides[0].hint("merge"), "row_a").join(sides[1].hint("merge"), "row_b").select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), "text_a", "text_b")
+    groups = connected_components(both.mapInPandas(alike, "a long, b long")).hint("merge")
+    members = texts.join(groups, texts["row"] == groups["node"]).select("row", "first", "component")
+    leads = members.groupBy("component").agg(F.min("first").alias("lead"))
+    return again.union(members.join(leads.hint("merge"), "component").where("row <> lead.row").select("row"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -604,19 +604,20 @@ def test_fingerprint():
         assert simhash.fingerprint(t or "") == naive(t or "")
 
 
-@pytest.mark.parametrize("equal", [2, 3, 4])
-def test_chain_keys_cover_every_pair(equal):
+@pytest.mark.parametrize("equal, bits, segments", [(2, 4, 8), (3, 4, 8), (4, 4, 8), (4, 7, 16), (5, 7, 16), (6, 7, 16)])
+def test_chain_keys_cover_every_pair(equal, bits, segments):
     r = random.Random(equal)
-    keys = [simhash.ring_mask(p) & (1 << 64) - 1 for _, p in simhash.chain_keys(equal)]
+    keys = [simhash.ring_mask(p, segments) & (1 << 64) - 1 for _, p in simhash.chain_keys(equal, bits, segments)]
+    assert len(keys) <= 700
     for _ in range(4000):
         x = 0
-        for b in r.sample(range(64), r.randrange(5)):
+        for b in r.sample(range(64), r.randrange(bits + 1)):
             x |= 1 << b
         assert any(not x & k for k in keys)
 
 
-@pytest.mark.parametrize("crowded, block", [(64, 1024), (2, 1024), (2, 4)])
-def test_links(spark, monkeypatch, crowded, block):
+@pytest.mark.parametrize("crowded, block, bits, segments", [(64, 1024, 4, 8), (2, 1024, 4, 8), (2, 4, 4, 8), (64, 1024, 7, 16), (2, 4, 7, 16)])
+def test_links(spark, monkeypatch, crowded, block, bits, segments):
     monkeypatch.setattr(simhash, "CROWDED", crowded)
     monkeypatch.setattr(simhash, "BLOCK", block)
     r = random.Random(7)
@@ -629,7 +630,7 @@ def test_links(spark, monkeypatch, crowded, block):
             fps.add(f)
     fps = sorted(fps)
     df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "node long, fp long")
-    got = {x["node"]: x["component"] for x in connected_components(simhash.links(df)).collect()}
+    got = {x["node"]: x["component"] for x in connected_components(simhash.links(df, bits, segments)).collect()}
     parent = list(range(len(fps)))
 
     def find(x):
@@ -638,7 +639,7 @@ def test_links(spark, monkeypatch, crowded, block):
         return x
 
     for i, j in itertools.combinations(range(len(fps)), 2):
-        if (fps[i] ^ fps[j]).bit_count() <= 4:
+        if (fps[i] ^ fps[j]).bit_count() <= bits:
             a, b = sorted((find(i), find(j)))
             parent[b] = a
     assert all(got.get(i, i) == find(i) for i in range(len(fps)))
@@ -653,7 +654,7 @@ def test_near_duplicates_of_odd_rows(spark):
 
 def test_fingerprints_without_an_id_connect_others(spark, monkeypatch):
     fps = {1: 0, None: 0b1111, 2: 0b11111111}
-    monkeypatch.setattr(simhash, "fingerprints", lambda d: spark.createDataFrame(list(fps.items()), "doc_id long, fp long"))
+    monkeypatch.setattr(simhash, "fingerprints", lambda d, shingle: spark.createDataFrame(list(fps.items()), "doc_id long, fp long"))
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, [])).collect()}
     assert got == {1: 1, None: 1, 2: 1}
 
@@ -666,3 +667,28 @@ def test_the_pipeline_drops_near_copies_by_row(spark):
     kept = corpus_pipeline.drop_near_copies(spark, d, "")
     assert kept.columns == d.columns
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, same), (4, other)]
+
+
+def test_the_pipeline_keeps_what_is_like_nothing_that_stays(spark):
+    """Near copies of 0.8 and more go, each with its like among those that stay; texts below that stay, and no chain takes a document away."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    words = ["".join(r.choice("aeiounrst") for _ in range(r.randrange(3, 9))) for _ in range(900)]
+    texts = []
+    for _ in range(12):
+        base = [r.choice(words) for _ in range(240)]
+        for edits in (0, 0, 1, 2, 3, 30):
+            w = list(base)
+            for at in r.sample(range(len(w)), edits):
+                w[at] = r.choice(words)
+            texts.append(" ".join(w))
+    texts += [None, "", "one", "two words"]
+    kept = {x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs(spark, texts), "").collect()}
+    gone = set(range(len(texts))) - kept
+    like = lambda i, j: simhash.jaccard(texts[i] or "", texts[j] or "", 5)
+    assert all(any(like(i, j) >= 0.8 for j in kept) for i in gone) and all(6 * k in kept and 6 * k + 5 in kept and 6 * k + 1 in gone for k in range(12))
+    near = [6 * k + e for k in range(12) for e in (2, 3, 4) if like(6 * k, 6 * k + e) >= 0.9]
+    assert len(gone & set(near)) >= 0.8 * len(near)
+    empty = {i for i, t in enumerate(texts) if not t}
+    assert len(empty & kept) == 1
