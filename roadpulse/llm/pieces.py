@@ -201,8 +201,12 @@ class Pieces:
             out += ([None] if k else []) + self.stretch.findall(part.replace(" ", MARK))
         return out
 
-    def packed(self, text: str, n: int = 1) -> list[tuple[float, bytes]]:
-        """The n best segmentations: (score, ids of four bytes each), best first."""
+    def spelled(self, ids) -> bytes:
+        """What ids stand for, in UTF-8."""
+        return b"".join(map(self.raw.__getitem__, ids))
+
+    def packed(self, text: str, n: int = 1, alike: list | None = None) -> list[tuple[float, bytes]]:
+        """The n best segmentations: (score, ids of four bytes each), best first. `alike` gets of each but the best whether its ids spell what the best one's do: only stretches that differ need be spelled for that."""
         known = self.known.get
         stretches = self.marked(text)
         if not stretches:
@@ -226,11 +230,14 @@ class Pieces:
             for j, (cost, _) in enumerate(options):
                 heapq.heappush(heap, (beyond + cost - options[0][0], (*picks, j)))
         for beyond, picks in taken[1:]:
-            other = list(ways)
+            other, same = list(ways), True
             for k, c, j in zip(near, choices, picks):
                 if j:
                     other[k] = array("I", c[j][1]).tobytes()
+                    same = same and self.spelled(c[j][1]) == self.spelled(memoryview(ways[k]).cast("I"))
             out.append((self.score(total + beyond), b"".join(other)))
+            if alike is not None:
+                alike.append(same)
         return out
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
@@ -239,7 +246,7 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of any segmentation that `encode` gives."""
-        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        return self.spelled(ids).decode("utf-8", "replace")[1:]
 
 
 def least_places(values: tuple, n: int) -> list[int]:
@@ -290,11 +297,13 @@ def segment_digests(documents: DataFrame, n: int = BEST, model_file: str | None
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Pieces.load(model_file)
         for b in batches:
-            rows = [
-                (doc, k, score, len(ids) // 4, zlib.crc32(ids), model.decode(memoryview(ids).cast("I")) == text)
-                for doc, text in zip(b["doc_id"], b["text"])
-                for k, (score, ids) in enumerate(model.packed(text, n), 1)
-            ]
+            rows = []
+            for doc, text in zip(b["doc_id"], b["text"]):
+                alike: list[bool] = []
+                best, *others = model.packed(text, n, alike)
+                back = model.decode(memoryview(best[1]).cast("I")) == text
+                for k, ((score, ids), same) in enumerate(zip([best, *others], [True, *alike]), 1):
+                    rows.append((doc, k, score, len(ids) // 4, zlib.crc32(ids), back and same))
             yield pd.DataFrame(rows, columns=["doc_id", "rank", "score", "n_pieces", "ids_crc32", "round_trip"])
 
     return long_ids(whole_texts(documents).mapInPandas(run, "doc_id string, rank int, score double, n_pieces long, ids_crc32 long, round_trip boolean"))
