@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, long_ids, read_table, whole_texts
+from .common import cut, long_ids, read_table, tidy, whole_texts
 from .components import connected_components
 
 SHINGLE = 4
@@ -211,18 +211,23 @@ def near_copies(rows: DataFrame, order: list, shingle: int = 5, similarity: floa
     between = found.join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b").select("row_a", "row_b")
     within = texts.select("fp", F.col("row").alias("row_a")).join(of_fp.select("fp", F.col("row").alias("row_b")).hint("merge"), "fp").where("row_a <> row_b").select("row_a", "row_b")
     pairs = cut(between.union(within))
+    tidy(rows.sparkSession)
+    # texts that are compared are moved once and kept; all others stay where they are from here on
+    wanted = pairs.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct()
+    compared = cut(rows.select("row", "text").join(wanted.hint("merge"), "row", "left_semi"))
+    tidy(rows.sparkSession)
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             near = [jaccard(x or "", y or "", shingle) >= similarity for x, y in zip(b["text_a"], b["text_b"])]
             yield b.loc[near, ["a", "b"]]
 
-    sides = [rows.select(F.col("row").alias(f"row_{c}"), F.col("text").alias(f"text_{c}")) for c in ("a", "b")]
+    sides = [compared.select(F.col("row").alias(f"row_{c}"), F.col("text").alias(f"text_{c}")) for c in ("a", "b")]
     both = pairs.join(sides[0].hint("merge"), "row_a").join(sides[1].hint("merge"), "row_b").select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), "text_a", "text_b")
-    groups = connected_components(both.mapInPandas(alike, "a long, b long")).hint("merge")
-    members = texts.join(groups, texts["row"] == groups["node"]).select("row", "first", "component")
+    groups = connected_components(both.mapInPandas(alike, "a long, b long")).select(F.col("node").alias("row"), "component")
+    members = texts.join(groups.hint("merge"), "row").select("row", "first", "component")
     leads = members.groupBy("component").agg(F.min("first").alias("lead"))
-    return again.union(members.join(leads.hint("merge"), "component").where("row <> lead.row").select("row"))
+    return cut(again.union(members.join(leads.hint("merge"), "component").where("row <> lead.row").select("row")))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
