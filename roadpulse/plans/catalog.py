@@ -587,9 +587,12 @@ _BOUNDS = {"boston-seaport": (42.335, 42.338, -71.06, -71.055), "singapore-oneno
 _INSIDE = "case location when 'boston-seaport' then lat between 42.335 and 42.338 and lon between -71.06 and -71.055 when 'singapore-onenorth' then lat between 1.286 and 1.289 and lon between 103.783 and 103.785 end"
 
 
-@query("odd_transitions", f""", u as (select vehicle_id, event_id, t_us // 1000 ms, location, not ({_INSIDE}) outside from e join (select event_id, lat, lon from signals_raw where dup = 0) using (event_id) where location in ('boston-seaport', 'singapore-onenorth') and lat is not null),
+_ODD_ROWS = f""", u as (select vehicle_id, event_id, boot_id, seq, t_us // 1000 ms, location, not ({_INSIDE}) outside from e join (select event_id, lat, lon from signals_raw where dup = 0) using (event_id) where location in ('boston-seaport', 'singapore-onenorth') and lat is not null),
 m as (select *, max(ms) over (partition by vehicle_id order by event_id rows between unbounded preceding and 1 preceding) most from u), t as (select * from m where most is null or ms > most),
-w as (select *, case when lag(location) over (partition by vehicle_id order by event_id) = location then lag(outside) over (partition by vehicle_id order by event_id) end was from t)
+w as (select *, case when lag(location) over (partition by vehicle_id order by event_id) = location then lag(outside) over (partition by vehicle_id order by event_id) end was from t)"""
+
+
+@query("odd_transitions", f"""{_ODD_ROWS}
 select vehicle_id, event_id, case when outside and not coalesce(was, false) then 'ODD_EXITED' else 'ODD_RETURNED' end as type from w where (outside and not coalesce(was, false)) or (not outside and was)""")
 def _(t):
     poses = t.signals_raw().where("dup = 0").withColumn("event_ms", F.floor(F.col("t_us") / 1000).cast("long"))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import control
-from ..sources import avro, frames
-from ..streaming import pipelines
-from .catalog import _ARRIVALS, _BOX, _SEG, _arrivals
+from ..sources import avro, files, frames
+from ..streaming import machines, pipelines
+from ..streaming.runner import over_table
+from .catalog import _ARRIVALS, _BOUNDS, _BOX, _ODD_ROWS, _SEG, _arrivals
 from .registry import query
 from .testbed import Testbed
 
@@ -38,29 +39,14 @@ def _signal_bytes():
     return F.pandas_udf(coded, "binary")(F.struct("scene_id", "channel", "t_us", "value", "k", "location", "event_id"))
 
 
-def _bytes(fields: list, columns: dict):
-    """Encoded records of columns that have the fields' names."""
-
-    def coded(d: pd.DataFrame) -> pd.Series:
-        def plain(v, of):
-            if hasattr(v, "tolist"):
-                v = v.tolist()
-            return {"long": int, "double": float}.get(of, lambda x: x)(v) if isinstance(of, str) else v
-
-        return pd.Series([avro.encode({"record": fields}, {n: plain(r[n], of) for n, of in fields}) for r in d.to_dict("records")], dtype=object)
-
-    coded.__annotations__ = {"d": pd.DataFrame, "return": pd.Series}
-    return F.pandas_udf(coded, "binary")(F.struct(*[columns.get(n, F.col(n)).alias(n) for n, _ in fields]))
-
-
 def _signals(t: Testbed) -> DataFrame:
     return t.events().select(*_record("RECORD_KIND_SIGNAL", _signal_bytes(), "event_id"))
 
 
 def _all_kinds(t: Testbed) -> DataFrame:
     real = {n: F.col(n).cast("double") for n, of in avro.PERCEPTION if of == "double"}
-    boxes = _bytes(avro.PERCEPTION, real | {"sensor_time": F.unix_micros("sensor_time"), "attribute": F.lit(None).cast("string")})
-    clips = _bytes(avro.SEGMENT, {"t_start": F.col("start_us"), "t_end": F.col("end_us"), "drop_reason": F.lit(None).cast("string"), "calibration": F.create_map(F.lit("CAM_FRONT"), F.lit("{}"))})
+    boxes = avro.encoded(avro.PERCEPTION, real | {"sensor_time": F.unix_micros("sensor_time"), "attribute": F.lit(None).cast("string")})
+    clips = avro.encoded(avro.SEGMENT, {"t_start": F.col("start_us"), "t_end": F.col("end_us"), "drop_reason": F.lit(None).cast("string"), "calibration": F.create_map(F.lit("CAM_FRONT"), F.lit("{}"))})
     p = t.perception().select(*_record("RECORD_KIND_PERCEPTION", boxes, "seq"))
     s = t.segments().select(*_record("RECORD_KIND_SEGMENT_REF", clips, "seq"))
     return _signals(t).unionByName(p).unionByName(s)
@@ -116,6 +102,21 @@ def _(t):
     return pipelines.dead_letter_values(letters).mapInPandas(unpacked, "source_offset long, vehicle_id string, seq long")
 
 
+@query("alerts_read_back", f"""{_ODD_ROWS}
+select vehicle_id, case when outside and not coalesce(was, false) then 'ODD_EXITED' else 'ODD_RETURNED' end as type, boot_id, seq, ms event_ms, location from w where (outside and not coalesce(was, false)) or (not outside and was)""")
+def _(t):
+    """Alerts of the area monitor, written as a topic's values and read by the library's own source."""
+    poses = t.signals_raw().where("dup = 0").select("vehicle_id", "boot_id", "seq", F.floor(F.col("t_us") / 1000).alias("event_ms"), F.floor(F.col("t_us") / 1000).alias("received_ms"), "location", "lat", "lon", "offset")
+    alerts = over_table(poses, machines.AreaMonitor, "vehicle_id", ["offset"], bounds=_BOUNDS, stale_ms=10**12, sustained_ms=10**9)
+    read = files.alerts_from_json(pipelines.alert_values(alerts))
+    return read.where("type <> 'ODD_SUSTAINED' and message is not null").select("vehicle_id", "type", "boot_id", "seq", "event_ms", "location")
+
+
+@query("clip_lines", """select '{"clip_id":"' || segment_id || '","vehicle_id":"' || vehicle_id || '","size_bytes":' || size_bytes || ',"state":"' || state || '"}' as line from segments where o_orderkey % 8 = 0""")
+def _(t):
+    return files.json_lines(t.segments().where("o_orderkey % 8 = 0").select(F.col("segment_id").alias("clip_id"), "vehicle_id", "size_bytes", "state"))
+
+
 # ---- frames of the uplink ----
 
 
@@ -243,9 +244,6 @@ def _(t):
 @query("ack_batches_closed", ", d as (select distinct vehicle_id, seq from e where seq <> 40), n as (select *, row_number() over (partition by vehicle_id order by seq) - 1 i from d) select vehicle_id, max(seq) filter (seq = i) ack from n group by 1 having max(seq) filter (seq = i) is not null")
 def _(t):
     """What an acknowledging machine has told in the end, drained: the contiguous prefix."""
-    from ..streaming import machines
-    from ..streaming.runner import over_table
-
     rows = t.events().where("seq <> 40").selectExpr("vehicle_id as key", "seq", "floor(t_us / 1000) as at_ms")
     told = over_table(rows, machines.AckTracker, "key", ["at_ms", "seq"], close_ms=1 << 60, every=16, every_ms=10**12)
     last = told.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy(F.desc("ack")))).where("r = 1")

@@ -8,16 +8,20 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.aggregates import keyframes
 from ..operators.latest import of_vehicle, time_window
 
 STEP_US = 250_000
 
 
 class Replay:
-    """A cursor over `signals` (with t_us). Each push gives (cursor, cursor + step]; it jumps over gaps and starts again at the end."""
+    """A cursor over `signals` (with t_us). Each push gives (cursor, cursor + step]; it jumps over gaps and starts again at the end, with the next epoch.
 
-    def __init__(self, signals: DataFrame, step_us: int = STEP_US, limit: int = 200):
-        self.signals, self.step_us, self.limit = signals, step_us, limit
+    With `boxes` (with t_us), `push_all` adds the keyframes of the step.
+    """
+
+    def __init__(self, signals: DataFrame, step_us: int = STEP_US, limit: int = 200, boxes: DataFrame | None = None, keyframes: int = 50):
+        self.signals, self.step_us, self.limit, self.boxes, self.keyframes = signals, step_us, limit, boxes, keyframes
         self.cursor: int | None = None
         self.epoch = 0
 
@@ -38,6 +42,20 @@ class Replay:
         self.cursor, self.epoch = end, epoch
         return at, end, rows
 
+    def push_all(self, vehicle: str | None = None) -> dict | None:
+        """What a client gets of a step: epoch and whether it is new, the span, a batch of signals for each vehicle, and the step's keyframes, `keyframes` of them at the most, in order of time."""
+        before = self.epoch if self.cursor is not None else -1
+        step = self.push(vehicle)
+        if step is None:
+            return None
+        at, end, rows = step
+        batches = rows.groupBy("vehicle_id").agg(F.min("t_us").alias("t_us"), F.count(F.lit(1)).alias("n"))
+        frames = None
+        if self.boxes is not None:
+            mine = of_vehicle(time_window(self.boxes, at, end, "t_us"), vehicle)
+            frames = keyframes(mine).withColumn("t_us", F.unix_micros("sensor_time")).orderBy("t_us", "vehicle_id", "sample_id").limit(self.keyframes)
+        return {"epoch": self.epoch, "new_epoch": self.epoch != before, "from": at, "to": end, "signals": rows, "batches": batches, "keyframes": frames}
+
     def frames(self, n: int) -> Iterator[tuple[int, int, DataFrame]]:
         for _ in range(n):
             step = self.push()

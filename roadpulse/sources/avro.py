@@ -7,6 +7,7 @@ import json
 import struct
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -181,6 +182,21 @@ def decode_signals(records: DataFrame, column: str = "value") -> DataFrame:
     return records.withColumn("_d", decoded(F.lit("signal"), F.col(column))).withColumn("signal", F.col("_d.signal")).drop("_d")
 
 
+def encoded(fields: list, columns: dict[str, Column] | None = None) -> Column:
+    """Bytes of records whose fields are columns of the fields' names, or those of `columns`: signals, boxes, and references to clips."""
+    columns = columns or {}
+
+    def plain(v, of):
+        v = v.tolist() if hasattr(v, "tolist") else v
+        return {"long": int, "double": float}[of](v) if of in ("long", "double") else v
+
+    def run(d: pd.DataFrame) -> pd.Series:
+        return pd.Series([encode({"record": fields}, {n: plain(r[n], of) for n, of in fields}) for r in d.to_dict("records")], dtype=object)
+
+    run.__annotations__ = {"d": pd.DataFrame, "return": pd.Series}
+    return F.pandas_udf(run, "binary")(F.struct(*[columns.get(n, F.col(n)).alias(n) for n, _ in fields]))
+
+
 def _declared(kind, named: set) -> object:
     """JSON of a schema as the container's header holds it."""
     if isinstance(kind, str):

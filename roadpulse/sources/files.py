@@ -17,9 +17,13 @@ from ..schemas import ALERTS, ENVELOPE
 MAGIC_V2 = b"FSMQ\x02"
 
 
-def broker_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    """Records with headers from the earliest offset on; the checkpoint stands for a consumer group's offsets. Needs the Kafka package."""
-    options = {"kafka.bootstrap.servers": servers, "subscribe": topic, "includeHeaders": "true", "startingOffsets": "earliest"}
+def broker_stream(spark: SparkSession, servers: str, topic: str, group: str | None = None, starting: str = "earliest", most_per_trigger: int | None = None) -> DataFrame:
+    """Records with headers. The checkpoint holds the offsets that are done; `starting` (earliest, latest, or offsets by partition as JSON, such as a group's committed ones) counts for a first start alone. Needs the Kafka package."""
+    options = {"kafka.bootstrap.servers": servers, "subscribe": topic, "includeHeaders": "true", "startingOffsets": starting}
+    if group:
+        options["kafka.group.id"] = group
+    if most_per_trigger:
+        options["maxOffsetsPerTrigger"] = str(most_per_trigger)
     return spark.readStream.format("kafka").options(**options).load()
 
 
@@ -84,6 +88,11 @@ def lidar_points(spark: SparkSession, path: str, most: int = 40_000) -> DataFram
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, x float, y float, z float, intensity float")
 
 
+def json_lines(df: DataFrame) -> DataFrame:
+    """`line`: each row as JSON, fields in the columns' order, nulls written out; to be written as text."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
+
+
 def merged_timeline(signals: DataFrame, perception: DataFrame, time: str = "t_us") -> DataFrame:
     """Both kinds on one axis, signals first at equal times."""
     a = signals.withColumn("_kind", F.lit(0))

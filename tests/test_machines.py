@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from roadpulse import schemas
+from roadpulse import jobs, schemas
 from roadpulse.plans.replay import AlertHub, Replay
 from roadpulse.sources import avro, files
 from roadpulse.streaming import machines as M
@@ -214,6 +214,19 @@ def test_jobs_over_a_stream(spark, tmp_path):
     assert all(a["event_id"] and a["vehicle_id"] == "v" and a["message"] for a in alerts) and {a["location"] for a in alerts} == {"boston-seaport", None}
 
 
+def test_jobs_from_the_command_line(spark, tmp_path):
+    good = {"speed_mps": 0.0, "mission_active": 1.0, "planned_stop": 0.0, "sensor_healthy": 1.0}
+    table(spark, [record(i, i, "fleet_status", 1000 * (i + 1), good) for i in range(6)]).coalesce(1).write.parquet(str(tmp_path / "in"))
+    common = ["--path", str(tmp_path / "in"), "--once"]
+    assert jobs.start(spark, ["storage", *common, "--out", str(tmp_path / "out"), "--checkpoint", str(tmp_path / "c1"), "--window", "64"]).awaitTermination(120)
+    assert jobs.start(spark, ["alerts", *common, "--out", str(tmp_path / "alerts"), "--checkpoint", str(tmp_path / "c2"), "--odd-bounds", "boston-seaport=42,43,-72,-71", "--stop-ms", "3000", "--stale-ms", "2000"]).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out" / "signals")).count() == 6
+    assert [r["type"] for r in files.alerts_from_json(spark.read.parquet(str(tmp_path / "alerts"))).collect()] == ["UNPLANNED_STOP"]
+    for bad in (["storage"], ["alerts", *common, "--out", "x", "--checkpoint", "y", "--odd-bounds", "z"], ["other"]):
+        with pytest.raises(SystemExit):
+            jobs.parser().parse_args(bad)
+
+
 def test_dedup_stream(spark, tmp_path):
     rows = [record(o, s, "pose", 1, {}) for o, s in enumerate((0, 5, 3, 3, 1))]
     table(spark, rows).coalesce(1).write.parquet(str(tmp_path / "in"))
