@@ -276,6 +276,17 @@ def test_replay_wraps_and_jumps(spark):
     assert Replay(df.where("false")).push() is None
 
 
+def test_replay_with_keyframes(spark):
+    df = spark.createDataFrame([(v, t, t) for v in "ab" for t in (0, 100, 1_000_000)], "vehicle_id string, seq long, t_us long")
+    box = "seq long, vehicle_id string, boot_id string, sample_id string, t_us long, category string, center_x double, center_y double, size_w double, size_l double, rot_z double, visibility string, num_lidar_pts int, track_id string"
+    boxes = spark.createDataFrame([(i, "a", "b", f"k{i % 2}", 100 * (i % 2), "x.car", 1.0, 1.0, 1.0, 1.0, 0.0, "v", i % 3, "t") for i in range(6)], box).withColumn("sensor_time", F.timestamp_micros("t_us"))
+    replay = Replay(df, 250, boxes=boxes)
+    one, two, three = replay.push_all(), replay.push_all("a"), replay.push_all()
+    assert [(s["epoch"], s["new_epoch"], s["from"], s["to"]) for s in (one, two, three)] == [(0, True, -1, 249), (0, False, 999_999, 1_000_000), (1, True, -1, 249)]
+    assert {(r["vehicle_id"], r["t_us"], r["n"]) for r in one["batches"].collect()} == {("a", 0, 2), ("b", 0, 2)} and two["signals"].count() == 1
+    assert [(r["sample_id"], r["n_objects"], r["n_zero_lidar"]) for r in one["keyframes"].collect()] == [("k0", 3, 1), ("k1", 3, 1)] and two["keyframes"].count() == 0
+
+
 def test_hub():
     hub = AlertHub(2)
     assert [hub.publish({"event_id": i, "vehicle_id": "v"}) for i in "aabc"] == [True, False, True, True]
