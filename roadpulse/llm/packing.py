@@ -1,10 +1,12 @@
 """Bounded-space online best-fit packing of tokenised documents.
 
-Each task packs what it reads, so nothing is shuffled: a fixed number of bins is
+Texts are tokenised where they are read. Their pieces, a short row each, are then dealt to as few packing tasks as
+hold TASK_PIECES each, so that bins left part-filled at a task's end don't grow with the number of files. In a task a fixed number of bins is
 open, an integer used as a bitset tells which amounts of free space occur among
 them, and the lowest set bit at or above a piece's length is the best fit. When
 no open bin has room and all are taken, the fullest is closed. Within a batch of
-the stream longer pieces come first, which leaves short ones to fill the gaps.
+the stream longer pieces come first, which leaves short ones to fill the gaps: a departure
+from packing one by one, for fewer sequences.
 
 Defined cases: a null or empty text is the end id alone; null and repeated ids
 are packed like any other row; text of any length is tokenised whole; an empty
@@ -22,11 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import load_encoding
-from .common import long_ids, read_table, tokenizer_file, whole_texts
+from .common import cut, long_ids, read_table, tokenizer_file, whole_texts
 
 CAPACITY = 1024
 OPEN_BINS = 4096
 END_ID = 2
+#: Pieces that one packing task takes.
+TASK_PIECES = 1 << 18
 SCHEMA = "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -109,21 +113,26 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, open_bins: in
     ranks_file = ranks_file or tokenizer_file("byte_bpe_50k.tiktoken")
     end = END_ID.to_bytes(4, "little")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = ChunkEncoder(ranks_file)
-        bins = BestFit(capacity, open_bins)
-        base = TaskContext.get().partitionId() << 36
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"], b["text"]):
                 ids = encode(text) + end
                 for k, (start, length) in enumerate(pieces(len(ids) // 4, capacity)):
                     rows.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-            rows.sort(key=lambda r: -r[3])
-            placed = [(*r, base + at, offset) for r in rows for at, offset in [bins.add(r[3])]]
-            yield pd.DataFrame(placed, columns=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bins = BestFit(capacity, open_bins)
+        base = TaskContext.get().partitionId() << 36
+        for b in batches:
+            b = b.sort_values("length", ascending=False, kind="stable")
+            placed = [bins.add(length) for length in b["length"].tolist()]
+            yield b.assign(sequence_id=[base + at for at, _ in placed], offset=[offset for _, offset in placed])
 
-    return long_ids(whole_texts(documents).mapInPandas(run, SCHEMA))
+    found = cut(whole_texts(documents).mapInPandas(split, SCHEMA.rsplit(", ", 2)[0]))
+    return long_ids(found.repartition(max(1, -(-found.count() // TASK_PIECES))).mapInPandas(pack, SCHEMA))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,6 +267,17 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
+def test_packing_does_not_follow_the_number_of_partitions(spark):
+    r = random.Random(2)
+    d = docs(spark, ["word " * r.randrange(1, 700) for _ in range(600)])
+    counts, total = set(), 0
+    for parts in (1, 40):
+        got = packing.pack_documents(d.repartition(parts)).select("sequence_id", "length").collect()
+        counts.add(len({x["sequence_id"] for x in got}))
+        total = sum(x["length"] for x in got)
+    assert max(counts) <= 1.03 * -(-total // packing.CAPACITY) + 1
+
+
 # ---- 6 fingerprints ----
 
 
