@@ -109,19 +109,24 @@ def shared_ends() -> dict[str, str]:
 def similar(pairs: DataFrame, forms: DataFrame) -> DataFrame:
     """(a, b, most) nodes and a number of shingles that their union has at least -> those whose shingle sets have a Jaccard similarity of SIMILARITY at least.
 
-    Shingles inside a common start or end are in both sets. If the others are few enough that the similarity can't fall below
-    SIMILARITY, the sets needn't be built; else they are.
+    Shingles inside a common start or end are in both sets. If the others, or those of them that only one line has, are few enough that the
+    similarity can't fall below SIMILARITY, the whole sets needn't be built; else they are.
     """
     a, b = (forms.select(F.col("node").alias(c), F.col("form").alias(f"form_{c}")) for c in ("a", "b"))
     near = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").withColumns({"la": F.length("form_a"), "lb": F.length("form_b")})
     ends = shared_ends()
-    near = near.withColumn("p", F.expr(ends["p"])).withColumn("e", F.expr(ends["e"]))
+    # steps of their own: a filter above would else be put in place of them, and they be worked out again wherever it names them
+    near = near.select("*", F.explode(F.array(F.expr(ends["p"]))).alias("p"))
+    near = near.select("*", F.explode(F.array(F.expr(ends["e"]))).alias("e"))
     inside = f"(greatest(p - {SHINGLE - 1}, 0) + greatest(e - {SHINGLE - 1}, 0))"
     outside = f"(greatest(la - {SHINGLE - 1}, 1) - {inside} + greatest(lb - {SHINGLE - 1}, 1) - {inside})"
     sure = F.expr(f"{outside} <= {1 - SIMILARITY} * most - 1e-6")
-    sa, sb = shingles("form_a"), shingles("form_b")
-    both = F.expr(f"size(array_intersect({sa}, {sb})) >= {SIMILARITY} * size(array_union({sa}, {sb}))")
-    return near.where(F.when(sure, F.lit(True)).otherwise(both)).select("a", "b")
+    near = near.withColumns({f"m{c}": F.expr(f"substring(form_{c}, greatest(p - {SHINGLE - 1}, 0) + 1, least(l{c}, l{c} - e + {SHINGLE - 1}) - greatest(p - {SHINGLE - 1}, 0))") for c in ("a", "b")})
+    # both sets are built once for either question, and what stands between the common ends is asked first
+    sets = "transform(array(struct({} as sa, {} as sb)), s -> {})[0]"
+    middle = F.expr(sets.format(shingles("ma"), shingles("mb"), f"size(array_union(s.sa, s.sb)) - size(array_intersect(s.sa, s.sb)) <= {1 - SIMILARITY} * most - 1e-6"))
+    whole = F.expr(sets.format(shingles("form_a"), shingles("form_b"), f"size(array_intersect(s.sa, s.sb)) >= {SIMILARITY} * size(array_union(s.sa, s.sb))"))
+    return near.where(F.when(sure, F.lit(True)).when(middle, F.lit(True)).otherwise(whole)).select("a", "b")
 
 
 def known_lines(occurrences: DataFrame) -> DataFrame:
