@@ -36,7 +36,7 @@ LINK_BITS = 4
 SEED = 42
 SEGMENTS, WIDTH = 8, 8
 CROWDED = 64
-BLOCK = 1024
+BLOCK = 8192
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
