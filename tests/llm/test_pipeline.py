@@ -81,3 +81,22 @@ def test_query(spark, name):
         assert compare(df, connect(SF), queries.ORACLE_SQL[name]) == ""
     else:
         assert df.count() > 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows and ids, clashing names, and no rows at all."""
+    from .test_operators import ODD, docs
+
+    texts = [*ODD, ODD[6], "token = abcdefghijklmnop end"]
+    odd = docs(spark, texts, [None, 1, 1, 2, 3, 4, 5, 5, 6, 5, 7])
+    for d, n in ((odd, len(texts)), (odd.where("false"), 0)):
+        for _, stage in corpus_pipeline.STAGES[1:-1]:
+            before, d = d, stage(spark, d, SF)
+            assert d.columns == before.columns and d.dtypes == before.dtypes and d.count() <= before.count()
+        kept = d.collect()
+        assert len({r["text"] for r in kept}) == len(kept) and all(r["text"] is not None for r in kept)
+        packed = corpus_pipeline.pack(spark, d, SF)
+        assert packed.select("doc_id").distinct().count() == len({r["doc_id"] for r in kept})
+        assert n == 0 or any("[secret]" in r["text"] for r in kept)
+    assert corpus_pipeline.keep_good(spark, odd.where("false"), SF).count() == 0
+    assert corpus_pipeline.keep_good(spark, odd, SF).columns == odd.columns
