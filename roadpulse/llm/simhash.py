@@ -36,6 +36,8 @@ LINK_BITS = 4
 SEED = 42
 SEGMENTS, WIDTH = 8, 8
 CROWDED = 64
+#: Crowded buckets that may be broadcast: sixteen bytes each.
+FEW = 10_000
 BLOCK = 8192
 
 
@@ -164,9 +166,12 @@ def links(nodes: DataFrame, bits: int = LINK_BITS, segments: int = SEGMENTS) ->
         calm = sizes.where((F.col("n") > 1) & (F.col("n") <= CROWDED)).select("k", "v")
         pairs = pairs_of(keyed.join(calm.hint("merge"), ["k", "v"]), keys, bits, segments)
         found = pairs if found is None else found.union(pairs)
-        in_crowds = cut(keyed.join(crowded.hint("merge"), ["k", "v"], "left_semi"))
-        if in_crowds.isEmpty():
+        crowded = cut(crowded)
+        few = crowded.count()
+        if not few:
             return found
+        # a list of checked size goes to the rows; a longer one is met by key
+        in_crowds = cut(keyed.join(F.broadcast(crowded) if few <= FEW else crowded.hint("merge"), ["k", "v"], "left_semi"))
         if equal >= deepest or segments - bits <= equal:
             return found.union(block_links(in_crowds, bits))
         nodes, equal = in_crowds.select("node", "fp").distinct(), equal + 1
@@ -192,7 +197,7 @@ def jaccard(a: str, b: str, shingle: int) -> float:
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
-def near_copies(rows: DataFrame, order: list, shingle: int = 5, similarity: float = 0.8, words: int = 2, bits: int = 7, segments: int = 16) -> DataFrame:
+def near_copies(rows: DataFrame, order: list, shingle: int = 5, similarity: float = 0.8, words: int = 2, bits: int = 6, segments: int = 16) -> DataFrame:
     """(row, text, and what `order` names) -> row: those that an earlier row of their group stands for.
 
     Candidates are links between fingerprints of `words` words: the fewer words a shingle has, the fewer bits an edit turns. Their texts
