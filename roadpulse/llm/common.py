@@ -56,3 +56,10 @@ def whole_texts(documents: DataFrame) -> DataFrame:
 
 def long_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL: unsigned crc32 of an ASCII text, bit by bit."""
+    codes = f"list_transform(list_filter(string_split({text}, ''), lambda c: c <> ''), lambda c: ascii(c)::ubigint)"
+    bits = "list_reduce(list_prepend(xor(crc, b), range(8)::ubigint[]), lambda x, y: if(x & 1 = 1, xor(x >> 1, 3988292384::ubigint), x >> 1))"
+    return f"xor(list_reduce(list_prepend(4294967295::ubigint, {codes}), lambda crc, b: {bits}), 4294967295::ubigint)"

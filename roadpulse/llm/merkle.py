@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import crc32_sql, cut, read_table
 
 FANOUT = 3
 #: Levels that are reduced in one step.
@@ -205,12 +205,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: crc32 by its definition, bit by bit; trees by levels, each from the one before.
-OP11_SQL = """
+OP11_SQL = f"""
 with recursive docs as (
     select row_number() over () as k, doc_id, source, text, lang, n_chars,
         dense_rank() over (order by source nulls first) as g,
-        xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::ubigint)),
-            lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)::ubigint[]), lambda x, y: if(x & 1 = 1, xor(x >> 1, 3988292384::ubigint), x >> 1))), 4294967295::ubigint) % 2 = 0 as even
+        {crc32_sql("coalesce(doc_id::varchar, '')")} % 2 = 0 as even
     from documents
 ), fields as (
     select k, g, doc_id, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
