@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, fingerprints, lines, merkle, packing, pieces, quality, repair, secrets, simhash, topk, toxicity
+from . import chat, fingerprints, jaccard, lines, merkle, packing, pieces, quality, repair, secrets, simhash, topk, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -18,8 +18,9 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_quality": quality.op10_quality,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_ngram_jaccard": jaccard.op12_ngram_jaccard,
     "op13_conversation_repair": repair.op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op3_exact_topk": topk.OP3_SQL, "op11_merkle_manifest": merkle.OP11_SQL, "op13_conversation_repair": repair.OP13_SQL}
+ORACLE_SQL = {"op3_exact_topk": topk.OP3_SQL, "op11_merkle_manifest": merkle.OP11_SQL, "op12_ngram_jaccard": jaccard.OP12_SQL, "op13_conversation_repair": repair.OP13_SQL}
