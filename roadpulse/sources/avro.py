@@ -37,6 +37,8 @@ DEAD_LETTER = [
 KINDS = {"signal": SIGNAL, "perception": PERCEPTION, "segment": SEGMENT}
 #: Fields that count microseconds.
 TIMES = {"sensor_time", "log_time", "t_start", "t_end"}
+#: Times that the tables take, in microseconds: the years 1900 to 2299. Beyond them no file format agrees with another on what a time is.
+FIRST_TIME, END_TIME = -2_208_988_800_000_000, 10_413_792_000_000_000
 
 
 class Reader:
@@ -57,6 +59,8 @@ class Reader:
             b = self.take(1)[0]
             out |= (b & 127) << shift
             if b < 128:
+                if out >> 64:
+                    raise ValueError("number has more than 64 bits")
                 return out >> 1 ^ -(out & 1)
             shift += 7
             if shift > 63:
@@ -154,11 +158,23 @@ def sql_type(kind) -> str:
 
 
 def _read(data: bytes, fields: list) -> dict | None:
-    """A record, or None where its bytes are damaged. Trailing bytes are ignored."""
+    """A record, or None where its bytes are damaged or a time is one that no table takes. Trailing bytes are ignored."""
     try:
-        return Reader(data).value({"record": fields})
-    except (ValueError, TypeError, struct.error):
+        record = Reader(data).value({"record": fields})
+    except (ValueError, TypeError, OverflowError, struct.error):
         return None
+    return record if all(FIRST_TIME <= record[n] < END_TIME for n, _ in fields if n in TIMES) else None
+
+
+def _column(records: list[dict | None], of: pa.DataType) -> pa.Array:
+    """An Arrow column; records that Arrow won't take become null one by one, so that one of them never stops the others."""
+    try:
+        return pa.array(records, of)
+    except (pa.ArrowException, OverflowError, TypeError, ValueError):
+        if len(records) == 1:
+            return pa.nulls(1, of)
+    half = len(records) // 2
+    return pa.concat_arrays([_column(records[:half], of), _column(records[half:], of)])
 
 
 def decoded(routed: Column, value: Column) -> Column:
@@ -170,7 +186,7 @@ def decoded(routed: Column, value: Column) -> Column:
         for i, (k, v) in enumerate(zip(kinds.to_pylist(), values.to_pylist())):
             if k in out and v is not None:
                 out[k][i] = _read(v, KINDS[k])
-        return pa.StructArray.from_arrays([pa.array(out[f.name], f.type) for f in types], fields=types)
+        return pa.StructArray.from_arrays([_column(out[f.name], f.type) for f in types], fields=types)
 
     shape = "struct<" + ",".join(f"{k}:{sql_type({'record': fields})}" for k, fields in KINDS.items()) + ">"
     run.__annotations__ = {"kinds": pa.Array, "values": pa.Array, "return": pa.Array}

@@ -1,6 +1,7 @@
 """The state machines on the vectors of their contract, and the same machines over tables and streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -246,6 +247,67 @@ def test_avro_round_trip_and_damage():
     assert avro.Reader(avro.encode({"record": avro.BATCH}, batch)).value({"record": avro.BATCH}) == batch
 
 
+def damaged(rng, value):
+    """Bytes changed, cut out, doubled, or made into long numbers."""
+    value = bytearray(value)
+    for _ in range(rng.randrange(1, 4)):
+        at = rng.randrange(len(value))
+        kind = rng.randrange(4)
+        if kind == 0:
+            value[at] = rng.randrange(256)
+        elif kind == 1:
+            del value[at : at + rng.randrange(1, 9)]
+        elif kind == 2:
+            value[at:at] = bytes([255] * rng.randrange(1, 10)) + bytes([rng.randrange(128)])
+        else:
+            value[at:at] = value[at : at + rng.randrange(1, 20)]
+        if not value:
+            value = bytearray(b"\0")
+    return bytes(value)
+
+
+def test_damaged_records_never_stop_a_batch():
+    """100,000 damaged payloads of all kinds: each is a row or null, and what is sound beside them stays."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    kinds = {"signal": record(1, 1, "pose", 1, {"a": 1.0})[4], "perception": box(1)[4], "segment": clip(1)[4]}
+    for name, value in kinds.items():
+        fields, of = avro.KINDS[name], avro.arrow_type({"record": avro.KINDS[name]})
+        sound = avro._read(value, fields)
+        for _ in range(34):
+            values = [damaged(rng, value) for _ in range(1000)]
+            values[500] = value
+            got = avro._column([avro._read(v, fields) for v in values], of)
+            assert len(got) == 1000 and got[500].as_py() == pa.array([sound], of)[0].as_py()
+
+
+def test_numbers_beyond_64_bits():
+    for raw in (b"\xff" * 9 + b"\x02", b"\xff" * 9 + b"\x7f", b"\x80" * 10 + b"\0"):
+        with pytest.raises(ValueError):
+            avro.Reader(raw).number()
+    assert [avro.Reader(b"\xff" * 9 + b"\x01").number(), avro.Reader(b"\xfe" + b"\xff" * 8 + b"\x01").number()] == [-(2**63), 2**63 - 1]
+    # what Arrow itself refuses is null alone
+    import pyarrow as pa
+
+    assert avro._column([{"x": 1}, {"x": 2**70}, {"x": "y"}, {"x": 2}], pa.struct([("x", pa.int64())])).to_pylist() == [{"x": 1}, None, None, {"x": 2}]
+
+
+def test_storage_job_over_damaged_records(spark, tmp_path):
+    """Every damaged record ends as a row or a dead letter, down to the files and their dates."""
+    rng = random.Random(9)
+    values = [record(1, 1, "pose", 1, {"a": 1.0})[4], box(1)[4], clip(1)[4]]
+    kinds = ["SIGNAL", "PERCEPTION", "SEGMENT_REF"]
+    rows = [record(i, i, "", 1, {}, kind=kinds[i % 3], value=damaged(rng, values[i % 3])) for i in range(3000)]
+    far = avro.encode({"record": avro.SIGNAL}, {"scene_id": "s", "channel": "pose", "sensor_time": 2**62, "log_time": -(2**62), "values_num": {}, "values_vec": {}, "values_str": {}})
+    rows.append(record(3000, 3000, "", 1, {}, value=far))
+    table(spark, rows).coalesce(2).write.parquet(str(tmp_path / "in"))
+    assert pipelines.storage_job(files.file_stream(spark, str(tmp_path / "in"), 2), str(tmp_path / "out"), str(tmp_path / "c"), availableNow=True).awaitTermination(180)
+    read = {n: spark.read.parquet(str(tmp_path / "out" / n)) for n in ("signals", "perception", "segments", "dead_letters")}
+    assert sum(d.count() for d in read.values()) == len(rows) and all(d.schema["date"].dataType.simpleString() == "date" for n, d in read.items() if n != "dead_letters")
+    assert read["dead_letters"].where("source_offset = 3000").first()["error_class"] == "PARSE_FAILURE"
+
+
 def test_frames_and_blobs(spark, tmp_path):
     import hashlib
     import struct
