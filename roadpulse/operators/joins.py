@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,29 +28,49 @@ def nearest_asof(probes: DataFrame, samples: DataFrame, keys: list[str], time: s
 
 
 #: Bucket widths grow by this factor from level to level.
-STEP, LEVELS = 16, 6
+STEP = 16
+#: Widths end here; above them one bucket holds all.
+WIDEST = 1 << 62
+
+
+def level_of(lo: str, hi: str, width: int) -> Column:
+    """The first level whose buckets are as wide as the span, by the logarithm of its length; rounding may cost a bucket more, never a pair."""
+    length = F.col(hi).cast("double") - F.col(lo).cast("double")
+    return F.greatest(F.lit(0), F.ceil(F.log(length / float(width)) / math.log(STEP))).cast("int")
 
 
 def interval_overlap(left: DataFrame, right: DataFrame, keys: list[str], width: int, left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
-    """Inner join on keys where the half-open spans (longs) strictly overlap.
+    """Inner join on keys where the half-open spans (longs) strictly overlap. `width` is that of the narrowest buckets.
 
-    A span belongs to the level whose buckets are just wide enough for it, so that it touches two of them at most, and is copied into two
-    buckets of each wider level too. Two spans meet on the wider one's level, in the first bucket that both touch: an equi-join,
-    each pair once, and at most 2 LEVELS copies of a span, however long it is, up to width * STEP ** (LEVELS - 1).
+    A span belongs to the level whose buckets are just wide enough for it, so that it touches two of them, rarely three. Two spans meet on the
+    wider one's level, in the first bucket that both touch: an equi-join, each pair once. A side is copied to a wider level only if
+    the other side has spans that belong there, and to its own only if the other has some as narrow, which two small subqueries tell. Spans of
+    any length are taken: levels go on until one bucket holds every long, so open ends may be the greatest of them.
     """
     (a, b), (c, d) = left_span, right_span
-    wide = [width * STEP**k for k in range(LEVELS)]
-    at = lambda x, level: F.floor(x / F.element_at(F.array(*map(F.lit, wide)), level + 1))
-
-    def spread(df: DataFrame, lo: str, hi: str, side: str) -> DataFrame:
-        span = F.col(hi) - F.col(lo)
-        own = sum(((span > w).cast("int") for w in wide[:-1]), F.lit(0))
-        placed = df.where(F.col(hi) > F.col(lo)).withColumn(f"_own_{side}", own)
-        placed = placed.withColumn("_level", F.explode(F.sequence(F.col(f"_own_{side}"), F.lit(LEVELS - 1))))
-        placed = placed.withColumn(f"_from_{side}", at(F.col(lo), F.col("_level")))
-        return placed.withColumn("_bucket", F.explode(F.sequence(F.col(f"_from_{side}"), at(F.col(hi) - 1, F.col("_level")))))
-
-    joined = spread(left, a, b, "l").join(spread(right, c, d, "r"), [*keys, "_level", "_bucket"])
+    if width < 1:
+        raise ValueError("width must be positive")
+    widths = [width * STEP**k for k in range(64) if width * STEP**k < WIDEST]
+    whole = len(widths)  # the level of one bucket
+
+    def placed(df: DataFrame, lo: str, hi: str, side: str) -> DataFrame:
+        return df.where(F.col(hi) > F.col(lo)).withColumn(f"_own_{side}", F.least(F.lit(whole), level_of(lo, hi, width)))
+
+    l, r = placed(left, a, b, "l"), placed(right, c, d, "r")
+    # one bit for each level that occurs, by subqueries of the same query
+    used = {s: F.coalesce(df.select(F.bit_or(F.expr(f"shiftleft(1L, _own_{s})"))).scalar(), F.lit(0)) for s, df in (("l", l), ("r", r))}
+
+    def spread(df: DataFrame, lo: str, hi: str, side: str, others: Column) -> DataFrame:
+        own = F.col(f"_own_{side}")
+        at = [F.struct(F.lit(k).alias("level"), F.lit(widths[k] if k < whole else None).cast("long").alias("w"), F.lit(1 << k).cast("long").alias("bit")) for k in range(whole + 1)]
+        df = df.withColumn("_others", others)
+        wider = F.filter(F.array(*at), lambda s: F.when(s["level"] == own, F.col("_others") % (s["bit"] * 2) != 0).otherwise((s["level"] > own) & (F.col("_others").bitwiseAND(s["bit"]) != 0)))
+        copies = df.withColumn("_at", F.explode(wider)).withColumn("_level", F.col("_at.level"))
+        bucket = lambda x: f"if(_at.w is null, 0L, ({x}) div _at.w - if(({x}) % _at.w < 0, 1, 0))"
+        copies = copies.withColumn(f"_from_{side}", F.expr(bucket(f"`{lo}`")))
+        return copies.withColumn("_bucket", F.explode(F.expr(f"sequence(_from_{side}, {bucket(f'`{hi}` - 1')})"))).drop("_at", "_others")
+
+    joined = spread(l, a, b, "l", used["r"]).join(spread(r, c, d, "r", used["l"]), [*keys, "_level", "_bucket"])
     first = (F.col("_level") == F.greatest("_own_l", "_own_r")) & (F.col("_bucket") == F.greatest("_from_l", "_from_r"))
     return joined.where((F.col(a) < F.col(d)) & (F.col(b) > F.col(c)) & first).drop("_level", "_bucket", "_own_l", "_own_r", "_from_l", "_from_r")
 

@@ -106,3 +106,18 @@ def test_overlap_of_spans_of_all_lengths(spark):
     left, right = spark.createDataFrame(one, "k string, i long, a long, b long"), spark.createDataFrame(two, "k string, j long, c long, d long")
     got = sorted((x["i"], x["j"]) for x in joins.interval_overlap(left, right, ["k"], 4, ("a", "b"), ("c", "d")).collect())
     assert got == sorted((i, j) for k, i, a, b in one for q, j, c, d in two if k == q and a < d and b > c and a < b and c < d)
+
+
+def test_overlap_of_open_ends(spark):
+    """Spans as long as longs go, beside short ones: no level explodes, and a side is copied to levels of the other alone."""
+    top = (1 << 63) - 1
+    one = [("a", 0, -(1 << 63), top), ("a", 1, 5, 1 << 62), ("a", 2, 10, 12), ("b", 3, -(1 << 62), 0), ("a", 4, top - 1, top), ("a", 5, 7, 7)]
+    two = [("a", 0, 11, 13), ("a", 1, -(1 << 63), -(1 << 63) + 1), ("a", 2, 0, top), ("b", 3, -1, 1), ("a", 4, 12, 10**16), ("b", 5, 0, 9)]
+    left, right = spark.createDataFrame(one, "k string, i long, a long, b long"), spark.createDataFrame(two, "k string, j long, c long, d long")
+    for width in (1, 1000, 10**6):
+        got = sorted((x["i"], x["j"]) for x in joins.interval_overlap(left, right, ["k"], width, ("a", "b"), ("c", "d")).collect())
+        assert got == sorted((i, j) for k, i, a, b in one for q, j, c, d in two if k == q and a < d and b > c and a < b and c < d)
+    same = left.where("i = 2")
+    assert joins.interval_overlap(same, right.where("false"), ["k"], 4, ("a", "b"), ("c", "d")).isEmpty()
+    with pytest.raises(ValueError):
+        joins.interval_overlap(left, right, ["k"], 0, ("a", "b"), ("c", "d"))
