@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scans import Running, dealt, previous, running
+
 WINDOW = 4096
 PASSES = ("ACCEPT", "LATE", "BOOT_RESET")
 
@@ -16,38 +18,50 @@ def check_window(window: int) -> int:
     return window
 
 
-def verdicts(df: DataFrame, key: str = "dedup_key", boot: str = "boot_id", seq: str = "seq", order: str = "offset", window: int = WINDOW) -> DataFrame:
-    """Adds run (how often the boot has changed so far) and verdict, in arrival order within a key."""
+def verdicts(df: DataFrame, key: str = "dedup_key", boot: str = "boot_id", seq: str = "seq", order: str = "offset", window: int = WINDOW, ranges: int | None = None) -> DataFrame:
+    """Adds run (how often the boot has changed so far) and verdict, in arrival order within a key.
+
+    One key's rows are one task's, unless `ranges` are given: then keys are cut by arrival, see `scans`, and whether a number has been before
+    is asked of its first arrival, an aggregate.
+    """
     w = check_window(window)
-    arrival = W.partitionBy(key).orderBy(order)
-    flip = F.when(F.col(boot) != F.lag(boot).over(arrival), 1).otherwise(0)
-    run = df.withColumn("_flip", flip).withColumn("run", F.sum("_flip").over(arrival.rowsBetween(W.unboundedPreceding, 0)))
-    before = W.partitionBy(key, "run").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    seen = W.partitionBy(key, "run", seq).orderBy(order)
-    most = run.withColumn("_most", F.max(seq).over(before)).withColumn("_times", F.row_number().over(seen))
+    if ranges is None:
+        arrival = W.partitionBy(key).orderBy(order)
+        flip = F.when(F.col(boot) != F.lag(boot).over(arrival), 1).otherwise(0)
+        run = df.withColumn("_flip", flip).withColumn("run", F.sum("_flip").over(arrival.rowsBetween(W.unboundedPreceding, 0)))
+        seen = W.partitionBy(key, "run", seq).orderBy(order)
+        most = running(run, [key, "run"], [order], {"_most": Running("max", F.col(seq), strict=True)}).withColumn("_again", F.row_number().over(seen) > 1)
+    else:
+        before = running(dealt(df, [key], [order], ranges), [key], [order], {"_before": previous([order], boot)})
+        flips = before.withColumn("_flip", F.when(F.col(boot) != F.col("_before.value"), 1).otherwise(0)).drop("_before")
+        run = running(flips, [key], [order], {"run": Running("sum", F.col("_flip"))})
+        # a run's rows in one range of its key
+        most = running(run, [key, "run"], [order], {"_most": Running("max", F.col(seq), strict=True)}).drop("_range")
+        first = run.groupBy(F.col(key).alias("_k"), F.col("run").alias("_r"), F.col(seq).alias("_s")).agg(F.min(order).alias("_first"))
+        same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("run") == F.col("_r")) & F.col(seq).eqNullSafe(F.col("_s"))
+        most = most.join(first.hint("merge"), same).withColumn("_again", F.col(order) > F.col("_first")).drop("_k", "_r", "_s", "_first")
     verdict = (
         F.when(F.col("_most").isNull(), F.when(F.col("run") == 0, "ACCEPT").otherwise("BOOT_RESET"))
         .when(F.col(seq) > F.col("_most"), "ACCEPT")
         .when(F.col(seq) <= F.col("_most") - w, "TOO_OLD")
-        .when(F.col("_times") > 1, "DUPLICATE")
+        .when(F.col("_again"), "DUPLICATE")
         .otherwise("LATE")
     )
-    return most.withColumn("verdict", verdict).drop("_flip", "_most", "_times")
+    return most.withColumn("verdict", verdict).drop("_flip", "_most", "_again")
 
 
 def passed(judged: DataFrame) -> DataFrame:
     return judged.where(F.col("verdict").isin(*PASSES))
 
 
-def loss(judged: DataFrame, key: str = "dedup_key", seq: str = "seq", order: str = "offset", window: int = WINDOW) -> DataFrame:
+def loss(judged: DataFrame, key: str = "dedup_key", seq: str = "seq", order: str = "offset", window: int = WINDOW, ranges: int | None = None) -> DataFrame:
     """Per key and run: first_seq, last_seen, lost, contiguous, pending_holes, as the bitmap has them at the end."""
     w = check_window(window)
     ends = judged.groupBy(key, "run").agg(F.min_by(seq, order).alias("first_seq"), F.max(seq).alias("last_seen"))
     low = F.col("last_seen") - w
     seqs = passed(judged).select(key, "run", F.col(seq).alias("s")).distinct()
     held = seqs.join(ends, [key, "run"]).withColumn("base", F.greatest(F.col("first_seq") - 1, low))
-    ahead = W.partitionBy(key, "run").orderBy("s")
-    chain = held.withColumn("nth", F.sum(F.when(F.col("s") > F.col("base"), 1).otherwise(0)).over(ahead.rowsBetween(W.unboundedPreceding, 0)))
+    chain = running(held, [key, "run"], ["s"], {"nth": Running("sum", F.when(F.col("s") > F.col("base"), 1).otherwise(0))}, ranges)
     unbroken = (F.col("s") > F.col("base")) & (F.col("s") - F.col("base") == F.col("nth"))
     sums = chain.groupBy(key, "run", "first_seq", "last_seen", "base").agg(
         F.count(F.when((F.col("s") >= F.col("first_seq")) & (F.col("s") <= low), 1)).alias("old"), F.max(F.when(unbroken, F.col("s"))).alias("end"), F.count(F.when(F.col("s") > F.col("base"), 1)).alias("new")

@@ -8,21 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scans import Running, dealt, following, running
 
-def nearest_asof(probes: DataFrame, samples: DataFrame, keys: list[str], time: str, payload: list[str], order: str) -> DataFrame:
+def nearest_asof(probes: DataFrame, samples: DataFrame, keys: list[str], time: str, payload: list[str], order: str, ranges: int | None = None) -> DataFrame:
     """Adds sample: a struct of time and payload of the sample nearest in time, null without any.
 
     Ties go to the earlier sample, and an exact match wins. Of samples at one time the last by `order` stands for those before
     a probe, the first for those at its time or after. Both sides meet in two sorted passes of running extremes, one a direction of time,
-    so work is linear in a key's rows but for the sort; there is no range join. One key's rows are one task's.
+    so work is linear in a key's rows but for the sort; there is no range join. One key's rows are one task's, unless `ranges` are given: then
+    keys are cut by time, see `scans`.
     """
     v = F.struct(F.col(time).alias(time), F.col(order).alias("_order"), *[F.col(c).alias(c) for c in payload])
     left = probes.select(*[F.col(k) for k in keys], F.col(time), F.struct(*probes.columns).alias("_probe"))
     right = samples.select(*[F.col(k) for k in keys], F.col(time), v.alias("_sample"))
     both = left.unionByName(right, allowMissingColumns=True)
-    ahead, back = (W.partitionBy(*keys).orderBy(o) for o in (F.asc(time), F.desc(time)))
     # running extremes from an open end are kept up row by row; a frame that is open towards later rows would be computed anew for each
-    near = both.withColumn("_prev", F.max("_sample").over(ahead.rangeBetween(W.unboundedPreceding, -1))).withColumn("_next", F.min("_sample").over(back.rangeBetween(W.unboundedPreceding, 0)))
+    sample = F.col("_sample")
+    near = running(both, keys, [time], {"_prev": Running("max", sample, strict=True, peers=True), "_next": Running("min", sample, peers=True, back=True)}, ranges)
     earlier = F.col("_prev").isNotNull() & (F.col("_next").isNull() | (F.col(time) - F.col(f"_prev.{time}") <= F.col(f"_next.{time}") - F.col(time)))
     return near.where("_probe is not null").withColumn("sample", F.when(earlier, F.col("_prev")).otherwise(F.col("_next"))).select("_probe.*", "sample")
 
@@ -75,20 +77,24 @@ def interval_overlap(left: DataFrame, right: DataFrame, keys: list[str], width:
     return joined.where((F.col(a) < F.col(d)) & (F.col(b) > F.col(c)) & first).drop("_level", "_bucket", "_own_l", "_own_r", "_from_l", "_from_r")
 
 
-def coverage(pairs: DataFrame, request: list[str], start: str, end: str, lo: str, hi: str) -> DataFrame:
-    """Merged covered stretches of each request: request columns, start, end, lo, hi. Touching stretches merge."""
+def coverage(pairs: DataFrame, request: list[str], start: str, end: str, lo: str, hi: str, ranges: int | None = None) -> DataFrame:
+    """Merged covered stretches of each request: request columns, start, end, lo, hi. Touching stretches merge. `ranges` as in `scans`, for requests with very many stretches."""
     cut = pairs.select(*request, start, end, F.greatest(F.col(start), F.col(lo)).alias("lo"), F.least(F.col(end), F.col(hi)).alias("hi"))
-    order = W.partitionBy(*request).orderBy("lo", "hi")
-    fresh = F.when(F.col("lo") <= F.max("hi").over(order.rowsBetween(W.unboundedPreceding, -1)), 0).otherwise(1)
-    island = cut.withColumn("_fresh", fresh).withColumn("_island", F.sum("_fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    order = ["lo", "hi"]
+    cut = cut if ranges is None else dealt(cut, request, order, ranges)
+    fresh = running(cut, request, order, {"_most": Running("max", F.col("hi"), strict=True)}).withColumn("_fresh", F.when(F.col("lo") <= F.col("_most"), 0).otherwise(1))
+    island = running(fresh, request, order, {"_island": Running("sum", F.col("_fresh"))})
     return island.groupBy(*request, start, end, "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_island")
 
 
-def missing(requests: DataFrame, covered: DataFrame, request: list[str], start: str, end: str) -> DataFrame:
+def missing(requests: DataFrame, covered: DataFrame, request: list[str], start: str, end: str, ranges: int | None = None) -> DataFrame:
     """Stretches of each request that nothing covers."""
-    order = W.partitionBy(*request).orderBy("hi")
     marks = covered.select(*request, start, end, "lo", "hi").unionByName(requests.select(*request, start, end, F.col(start).alias("lo"), F.col(start).alias("hi")))
-    gaps = marks.withColumn("gap_end", F.coalesce(F.lead("lo").over(order), F.col(end)))
+    if ranges is None:
+        ahead = F.lead("lo").over(W.partitionBy(*request).orderBy("hi", "lo"))
+        gaps = marks.withColumn("gap_end", F.coalesce(ahead, F.col(end)))
+    else:
+        gaps = running(marks, request, ["hi", "lo"], {"_ahead": following(["hi"], "lo")}, ranges).withColumn("gap_end", F.coalesce("_ahead.value", F.col(end)))
     return gaps.where("hi < gap_end").select(*request, F.col("hi").alias("gap_start"), "gap_end")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import bearing
+from .scans import Running, running
 
 
 def tumbling(time_us: Column, width_us: int = 100_000) -> Column:
@@ -36,17 +37,23 @@ def harsh_brakes(signals: DataFrame, least: float = 3.0) -> DataFrame:
     return signals.where((F.col("channel") == "pose") & (F.abs(F.try_element_at(accel, F.lit(1))) > least))
 
 
-def ring_budget(df: DataFrame, keys: list[str], order: list[Column], size: str, budget: int, pinned: str | None = None) -> DataFrame:
+def ring_budget(df: DataFrame, keys: list[str], order: list[Column] | list[str], size: str, budget: int, pinned: str | None = None, ranges: int | None = None) -> DataFrame:
     """What oldest-first eviction leaves: the newest rows whose sizes fit the budget, and every pinned row.
 
-    `order` is newest first. Pinned rows use up budget but are never evicted.
+    `order` is newest first; names of columns mean their greatest first. Pinned rows use up budget but are never evicted.
+    With `ranges`, which want names, a busy key is cut by them, see `scans`.
     """
-    pin = F.col(pinned) if pinned else F.lit(False)
-    held = df.withColumn("_pin", pin)
-    by = W.partitionBy(*keys)
-    fixed = F.coalesce(F.sum(F.when(F.col("_pin"), F.col(size))).over(by), F.lit(0))
-    free = F.coalesce(F.sum(F.when(~F.col("_pin"), F.col(size)).otherwise(0)).over(by.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
-    return held.withColumn("_used", fixed + free).where(F.col("_pin") | (F.col("_used") <= budget)).drop("_pin", "_used")
+    held = df.withColumn("_pin", F.col(pinned) if pinned else F.lit(False))
+    free, fixed = F.when(~F.col("_pin"), F.col(size)).otherwise(0), F.when(F.col("_pin"), F.col(size))
+    if ranges is None:
+        by = W.partitionBy(*keys)
+        newest = [F.desc(c) if isinstance(c, str) else c for c in order]
+        used = held.withColumn("_used", F.coalesce(F.sum(fixed).over(by), F.lit(0)) + F.coalesce(F.sum(free).over(by.orderBy(*newest).rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
+    else:
+        # pinned rows before and after a row, whatever it is itself
+        ways = {"_free": Running("sum", free, back=True), "_later": Running("sum", fixed, back=True), "_earlier": Running("sum", fixed, strict=True)}
+        used = running(held, keys, order, ways, ranges).withColumn("_used", sum((F.coalesce(c, F.lit(0)) for c in ways), F.lit(0))).drop(*ways)
+    return used.where(F.col("_pin") | (F.col("_used") <= budget)).drop("_pin", "_used")
 
 
 def contiguous_ack(done: DataFrame, keys: list[str], seq: str = "seq", first: int = 0) -> DataFrame:

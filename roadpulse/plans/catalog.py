@@ -14,6 +14,7 @@ from ..functions import geo, text
 from ..operators import aggregates, dedup, joins, latest, sequences, validate
 from ..sources import avro
 from ..streaming import machines
+from ..session import cut
 from ..streaming.runner import over_table
 from .registry import ORACLE_SQL, QUERIES, cut6, query, sql6, us  # noqa: F401
 from .testbed import Testbed, enu_sql
@@ -339,6 +340,35 @@ def _(t):
     return dedup.loss(_judged(t), key="vehicle_id", window=32).withColumn("run", F.col("run").cast("long"))
 
 
+_ONE_ARRIVALS = """, ar as (select boot_id, event_id // 3 seq, event_id + case when event_id % 5 = 0 then 40 else 0 end ord, 0 again, event_id from e union all select boot_id, event_id // 3, event_id + 25, 1, event_id from e where event_id % 9 = 0),
+o as (select event_id, again, event_id // 5000 boot, seq, (ord * 10 + again * 5) * 1000000 + event_id ofs from ar),
+ru as (select *, sum(flip) over (order by ofs rows unbounded preceding) run from (select *, case when boot <> lag(boot) over (order by ofs) then 1 else 0 end flip from o)),
+pm as (select *, max(seq) over (partition by run order by ofs rows between unbounded preceding and 1 preceding) pm, row_number() over (partition by run, seq order by ofs) rn from ru),
+ve as (select *, case when pm is null then case when run = 0 then 'ACCEPT' else 'BOOT_RESET' end when seq > pm then 'ACCEPT' when seq <= pm - 32 then 'TOO_OLD' when rn > 1 then 'DUPLICATE' else 'LATE' end verdict from pm)
+"""
+
+
+def _one_judged(t: Testbed) -> DataFrame:
+    """All events as the records of one sender, copies and late ones among them."""
+    e = t.events().select(F.lit("fleet").alias("fleet"), "event_id", F.expr("event_id div 5000").alias("boot"), F.expr("event_id div 3").alias("seq"))
+    sent = e.withColumns({"again": F.lit(0), "ord": F.expr("event_id + if(event_id % 5 = 0, 40, 0)")}).unionByName(e.where("event_id % 9 = 0").withColumns({"again": F.lit(1), "ord": F.expr("event_id + 25")}))
+    arrived = sent.withColumn("offset", F.expr("cast((ord * 10 + again * 5) * 1000000 + event_id as bigint)"))
+    return dedup.verdicts(arrived.drop("ord"), "fleet", "boot", window=32, ranges=RANGES)
+
+
+@query("dedup_one_key", _ONE_ARRIVALS + "select event_id, again, cast(run as bigint) run, verdict from ve")
+def _(t):
+    return _one_judged(t).select("event_id", F.col("again").cast("int").alias("again"), F.col("run").cast("long").alias("run"), "verdict")
+
+
+@query("loss_one_key", _ONE_ARRIVALS + """, en as (select run, arg_min(seq, ofs) fs, max(seq) la from ve group by 1), pa as (select distinct run, seq from ve where verdict in ('ACCEPT', 'LATE', 'BOOT_RESET')),
+bs as (select en.*, greatest(fs - 1, la - 32) base, (select count(*) from pa where pa.run = en.run and seq between fs and la - 32) old from en),
+ct as (select *, coalesce((select max(seq) from (select seq, row_number() over (order by seq) n from pa where pa.run = bs.run and pa.seq > base) where seq - base = n), base) contiguous from bs)
+select cast(run as bigint) run, fs first_seq, la last_seen, greatest(0, la - 32 - fs + 1) - old lost, contiguous, la - contiguous - (select count(*) from pa where pa.run = ct.run and seq > contiguous) pending_holes from ct""")
+def _(t):
+    return dedup.loss(_one_judged(t), key="fleet", window=32, ranges=RANGES).drop("fleet").withColumn("run", F.col("run").cast("long"))
+
+
 # ---- joins ----
 
 _ASOF = """, pr as (select vehicle_id, event_id, t_us from e where channel = 'ego_pose'), sa as (select vehicle_id, event_id sid, t_us st from e where channel = 'pose'),
@@ -354,6 +384,22 @@ def _(t):
     return near.select("event_id", F.col("sample.event_id").alias("sample_event"))
 
 
+#: Ranges that the queries over one busy key cut it into.
+RANGES = 64
+
+_ONE_ASOF = """, pr as (select event_id, t_us from e where channel = 'ego_pose'), sa as (select t_us st, max(event_id) last, min(event_id) first from e where channel = 'pose' group by 1),
+pv as (select pr.*, sa.st pst, sa.last psid from pr asof left join sa on pr.t_us > sa.st), nx as (select pv.*, sa.st nst, sa.first nsid from pv asof left join sa on pv.t_us <= sa.st)
+select event_id, case when psid is null then nsid when nsid is null then psid when t_us - pst <= nst - t_us then psid else nsid end sample_event from nx"""
+
+
+@query("asof_one_key", _ONE_ASOF)
+def _(t):
+    """The sample of the whole fleet that is nearest in time: one key holds all rows."""
+    e = t.events().select(F.lit("fleet").alias("fleet"), "channel", "event_id", "t_us")
+    near = joins.nearest_asof(e.where("channel = 'ego_pose'"), e.where("channel = 'pose'"), ["fleet"], "t_us", ["event_id"], "event_id", RANGES)
+    return near.select("event_id", F.col("sample.event_id").alias("sample_event"))
+
+
 def _overlap(t: Testbed) -> DataFrame:
     s = t.segments().where("state = 'UPLOADED'").select("vehicle_id", "segment_id", "start_us", "end_us")
     return joins.interval_overlap(s, t.requests(), ["vehicle_id"], 172_800_000_000, ("start_us", "end_us"), ("req_start", "req_end"))
@@ -386,6 +432,23 @@ def _(t):
     return joins.missing(t.requests(), covered, ["request_id"], "req_start", "req_end")
 
 
+_WHOLE = """, q as (select min(start_us) + 1 lo0, max(end_us) + 500 hi0 from segments), cl as (select lo0, hi0, greatest(lo0, start_us) lo, least(hi0, end_us) hi from segments, q where state = 'UPLOADED' and start_us < hi0 and end_us > lo0 and end_us > start_us),
+fr as (select *, case when lo <= max(hi) over (order by lo, hi rows between unbounded preceding and 1 preceding) then 0 else 1 end f from cl), isl as (select *, sum(f) over (order by lo, hi rows unbounded preceding) i from fr),
+cv as (select lo0, hi0, min(lo) lo, max(hi) hi from isl group by lo0, hi0, i), mk as (select * from cv union all select lo0, hi0, lo0, lo0 from q), gp as (select lo0, hi0, hi gap_start, coalesce(lead(lo) over (order by hi, lo), hi0) gap_end from mk)
+"""
+
+
+@query("fleet_coverage", _WHOLE + "select 'covered' as kind, lo, hi from cv union all select 'missing', gap_start, gap_end from gp where gap_start < gap_end")
+def _(t):
+    """What all uploaded clips of the fleet cover together, and what they leave open: one request over all of them."""
+    s = t.segments()
+    request = s.agg((F.min("start_us") + 1).alias("lo0"), (F.max("end_us") + 500).alias("hi0")).withColumn("request_id", F.lit("fleet"))
+    pairs = s.where("state = 'UPLOADED' and end_us > start_us").join(F.broadcast(request), F.expr("start_us < hi0 and end_us > lo0"))
+    covered = cut(joins.coverage(pairs, ["request_id"], "lo0", "hi0", "start_us", "end_us", RANGES))
+    gaps = joins.missing(request, covered, ["request_id"], "lo0", "hi0", RANGES)
+    return covered.select(F.lit("covered").alias("kind"), "lo", "hi").union(gaps.select(F.lit("missing"), "gap_start", "gap_end"))
+
+
 @query("semi_pinned", _OVERLAP + " select segment_id, size_bytes from segments where segment_id in (select segment_id from ov)")
 def _(t):
     return t.segments().join(_overlap(t).select("segment_id"), "segment_id", "left_semi").select("segment_id", "size_bytes")
@@ -645,6 +708,14 @@ def _(t):
     return sequences.ring_budget(e, ["vehicle_id"], [F.desc("t_us"), F.desc("event_id")], "size", 2000, "pin").select("vehicle_id", "event_id")
 
 
+@query("ring_one_key", ", p as (select event_id, t_us, k + 1 size, event_id % 10 = 0 pin from e), q as (select *, coalesce((select sum(size) from p where pin), 0) + coalesce(sum(case when pin then 0 else size end) over (order by t_us desc, event_id desc rows unbounded preceding), 0) used, sum(size) over () whole from p) select event_id from q where pin or used <= whole // 2")
+def _(t):
+    """One ring for the whole fleet, which keeps half of what it was given."""
+    e = t.events().selectExpr("'fleet' as fleet", "event_id", "t_us", "cast(k + 1 as bigint) as size", "event_id % 10 = 0 as pin")
+    half = e.agg(F.sum("size")).first()[0] // 2
+    return sequences.ring_budget(e, ["fleet"], ["t_us", "event_id"], "size", half, "pin", RANGES).select("event_id")
+
+
 @query("cumulative_ack", ", d as (select distinct vehicle_id, seq from e where seq <> 40), n as (select *, row_number() over (partition by vehicle_id order by seq) - 1 i from d) select vehicle_id, coalesce(max(seq) filter (seq = i), -1) ack from n group by 1")
 def _(t):
     return sequences.contiguous_ack(t.events().where("seq <> 40"), ["vehicle_id"])
