@@ -12,6 +12,7 @@ from .functions.geo import parse_bounds
 from .session import session
 from .sources import files
 from .streaming import pipelines
+from .streaming.ledger import supervised
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
         j.add_argument("--out", required=True, help="root of the tables, or folder of the alerts")
         j.add_argument("--once", action="store_true", help="take what is there and end")
         j.add_argument("--interval", default="1 second", help="between micro-batches")
+        j.add_argument("--failures", type=int, default=3, help="failures in a row after which the job is given up")
     jobs.choices["storage"].add_argument("--window", type=int, default=4096, help="sequence numbers that dedup remembers, a power of two")
     a = jobs.choices["alerts"]
     a.add_argument("--odd-bounds", required=True, type=parse_bounds, help="place=minLat,maxLat,minLon,maxLon, separated by semicolons")
@@ -57,4 +59,5 @@ def start(spark: SparkSession, arguments: Sequence[str]) -> StreamingQuery:
 if __name__ == "__main__":
     import sys
 
-    start(session("roadpulse"), sys.argv[1:]).awaitTermination()
+    spark = session("roadpulse")
+    supervised(lambda: start(spark, sys.argv[1:]), parser().parse_args(sys.argv[1:]).failures)

@@ -14,6 +14,7 @@ from ..functions.geo import enu_to_wgs84
 from ..operators import validate
 from ..schemas import ALERTS, KINDS
 from ..sources import avro
+from .ledger import Ledger
 from .machines import FleetMonitor, Gate, SequenceWindow
 from .runner import over_stream, over_table
 
@@ -100,7 +101,7 @@ def dead_letter_values(letters: DataFrame) -> DataFrame:
 
 
 def write_batch(batch: DataFrame, root: str) -> None:
-    """One micro-batch: an append to each kind's table and one to the dead letters. A repeated batch is undone by the final views' keys."""
+    """One micro-batch: an append to each kind's table and one to the dead letters."""
     held = batch.persist()
     try:
         for name, kind in KINDS.items():
@@ -111,8 +112,21 @@ def write_batch(batch: DataFrame, root: str) -> None:
 
 
 def storage_job(records: DataFrame, root: str, checkpoint: str, window: int = 4096, **trigger) -> StreamingQuery:
+    """Stores every batch once, however often it is begun: see `ledger`."""
     rows = decoded(deduplicated(records, window))
-    return rows.writeStream.foreachBatch(lambda batch, _: write_batch(batch, root)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+    def store(batch: DataFrame, number: int) -> None:
+        written = []
+
+        def write(staged: str) -> None:
+            write_batch(batch, staged)
+            written.append(staged)
+
+        Ledger.of_checkpoint(batch.sparkSession, root, checkpoint).commit(number, write)
+        if not written:  # a repeated batch is still read, for the state of dedup goes on with it
+            batch.write.format("noop").mode("overwrite").save()
+
+    return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
 def monitor_rows(live: DataFrame) -> DataFrame:
