@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..operators import aggregates, dedup, joins, latest, sequences, validate
+from ..operators import aggregates, dedup, joins, latest, marks, sequences, validate
 from ..sources import avro
 from ..streaming import machines
 from ..session import cut
@@ -775,3 +775,56 @@ def _(t):
     e = t.events().withColumn("payload", F.pandas_udf(coded, "binary")("vehicle_id", "channel", "t_us", "value"))
     d = avro.decode_signals(e.select("event_id", "payload"), "payload")
     return d.select("event_id", "signal.channel", us("signal.sensor_time").alias("t_us"), F.try_element_at(F.col("signal.values_num"), F.lit("speed")).alias("value"))
+
+
+# ---- marks, counters, upload jobs ----
+
+_SENSORS = ["ego_pose", "pose", "fleet_status", "steeranglefeedback"]
+_BITS = " + ".join(f"case when bool_or(channel = '{c}') then {1 << i} else 0 end" for i, c in enumerate(_SENSORS))
+
+
+@query("sensor_completeness", f", m as (select vehicle_id, scene_id, t_us // 3600000000 as hour, {_BITS} as s from e group by all) select vehicle_id, scene_id, hour, s::bigint sensors, (7 & ~s)::bigint wanting, 7 & ~s = 0 complete from m")
+def _(t):
+    """Which of its sensors a vehicle's frame of an hour holds, and which of the required ones it wants."""
+    frames = t.events().withColumn("hour", F.expr("t_us div 3600000000"))
+    return marks.sensor_mask(frames, ["vehicle_id", "scene_id", "hour"], "channel", _SENSORS, _SENSORS[:3])
+
+
+@query("time_runs_back", ", a as (select *, (event_id * 7919) % 1000 + event_id ord from e), m as (select vehicle_id, event_id, t_us, max(t_us) over (partition by vehicle_id order by ord, event_id rows between unbounded preceding and 1 preceding) most from a) select vehicle_id, event_id, most - t_us behind from m where most > t_us")
+def _(t):
+    arrived = t.events().selectExpr("vehicle_id", "event_id", "t_us", "(event_id * 7919) % 1000 + event_id as ord")
+    return marks.backward_time(arrived, "vehicle_id", "t_us", ["ord", "event_id"]).where("behind is not null").select("vehicle_id", "event_id", "behind")
+
+
+@query("usage_counters", ", s as (select vehicle_id, channel, k + 1 size, t_us from e) select vehicle_id, channel, count(*) n, sum(size)::bigint size, min(t_us) first, max(t_us) as last from s group by 1, 2")
+def _(t):
+    """Counters from the deltas of thirteen batches; equal to the sums over everything."""
+    e = t.events().withColumn("batch", F.expr("event_id % 13"))
+    added = marks.deltas(e, ["batch", "vehicle_id", "channel"], "t_us", (F.col("k") + 1).cast("long"))
+    return marks.merged(added, ["vehicle_id", "channel"])
+
+
+_UPLOADS = """, uj as (select event_id // 9 as job_id, event_id as ofs, ['REQUESTED', 'LEASED', 'UPLOADING', 'UPLOADING', 'UPLOADED', 'REQUESTED', 'FAILED', 'EXPIRED', 'CANCELLED'][1 + cast((event_id % 9 + (event_id // 9) % 3 * (event_id % 2)) % 9 as int)] as state, (event_id % 9) // 3 + case when (event_id // 9) % 4 = 0 and event_id % 9 = 4 then -1 else 0 end as token from e),
+uf as (select *, coalesce(token < max(token) over (partition by job_id order by ofs rows between unbounded preceding and 1 preceding), false) fenced from uj),
+ub as (select *, coalesce(last_value(case when not fenced then state end ignore nulls) over (partition by job_id order by ofs rows between unbounded preceding and 1 preceding), '') as before from uf),
+ul as (select *, case when not fenced then before || '>' || state in (""" + ", ".join(f"'{a}>{b}'" for a, after in marks.STEPS.items() for b in after) + """) end legal from ub)
+"""
+
+
+def _uploads(t: Testbed) -> DataFrame:
+    """Nine events a job, some of them out of turn, some of a worker whose lease is over."""
+    names = "array('REQUESTED', 'LEASED', 'UPLOADING', 'UPLOADING', 'UPLOADED', 'REQUESTED', 'FAILED', 'EXPIRED', 'CANCELLED')"
+    return t.events().selectExpr(
+        "event_id div 9 as job_id", "event_id as offset", f"element_at({names}, 1 + cast((event_id % 9 + (event_id div 9) % 3 * (event_id % 2)) % 9 as int)) as state",
+        "(event_id % 9) div 3 + case when (event_id div 9) % 4 = 0 and event_id % 9 = 4 then -1 else 0 end as token",
+    )
+
+
+@query("upload_steps", _UPLOADS + "select job_id, ofs as arrival, state, before, legal, fenced from ul")
+def _(t):
+    return marks.upload_log(_uploads(t)).select("job_id", F.col("offset").alias("arrival"), "state", "before", "legal", "fenced")
+
+
+@query("upload_states", _UPLOADS + "select job_id, arg_max(state, ofs) filter (not fenced) state, max(token) token, count(*) filter (legal = false) illegal, count(*) filter (fenced) fenced from ul group by 1")
+def _(t):
+    return marks.upload_states(marks.upload_log(_uploads(t)))

@@ -6,7 +6,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
-from roadpulse.operators import dedup, joins, sequences
+from roadpulse.operators import dedup, joins, marks, sequences
 from roadpulse.operators.scans import Running, dealt, following, previous, running
 
 
@@ -58,3 +58,40 @@ def test_one_busy_key_is_cut_evenly(spark):
     assert len(sizes) == 32 and max(sizes) <= 3 * median(sizes)
     got = running(df, ["k"], ["t", "v"], {"s": Running("sum", F.col("v"))}, 32).agg(F.max("s"), F.count(F.lit(1))).first()
     assert tuple(got) == (500_000 * 499_999 // 2, 500_000)
+
+
+def test_marks_in_ranges(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(rng.choice("ab"), rng.randrange(500), i) for i in range(400)], "k string, t long, i long")
+    assert rows_of(marks.backward_time(df, "k", "t", ["i"], 7)) == rows_of(marks.backward_time(df, "k", "t", ["i"]))
+    states = [*marks.STEPS["UPLOADING"], "LEASED", "OTHER", None]
+    log = spark.createDataFrame([(rng.randrange(3), i, rng.choice(states), rng.choice([None, i // 20, i // 20 - 1])) for i in range(300)], "job_id long, offset long, state string, token long")
+    order = ["job_id", "offset", "state", "token", "fenced", "before", "legal"]
+    assert rows_of(marks.upload_log(log, ranges=9).select(order)) == rows_of(marks.upload_log(log).select(order))
+
+
+def test_upload_steps(spark):
+    """A worker whose lease is over changes nothing; a step that isn't in the table is told."""
+    rows = [("REQUESTED", None), ("LEASED", 1), ("LEASED", 2), ("UPLOADING", 1), ("UPLOADING", 2), ("UPLOADED", 2), ("FAILED", 2)]
+    log = marks.upload_log(spark.createDataFrame([(7, i, s, t) for i, (s, t) in enumerate(rows)], "job_id long, offset long, state string, token long"))
+    got = [(r["before"], r["fenced"], r["legal"]) for r in log.orderBy("offset").collect()]
+    assert got == [("", False, True), ("REQUESTED", False, True), ("LEASED", False, True), ("LEASED", True, None), ("LEASED", False, True), ("UPLOADING", False, True), ("UPLOADED", False, False)]
+    assert tuple(marks.upload_states(log).first()) == (7, "FAILED", 2, 1, 1)
+
+
+def test_counters_of_any_split(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), rng.randrange(99), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, t long, size long")
+    whole = rows_of(marks.merged(marks.deltas(df, ["k"], "t", F.col("size")), ["k"]))
+    for n in (1, 7, 300):
+        parts = marks.deltas(df.withColumn("batch", F.expr(f"size % {n}")), ["batch", "k"], "t", F.col("size"))
+        assert rows_of(marks.merged(parts, ["k"])) == whole == rows_of(marks.merged(marks.merged(parts, ["k", "batch"]).drop("batch"), ["k"]))
+
+
+def test_sensor_masks(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "c"), (2, "b"), (2, "a"), (2, "a"), (3, None), (3, "z")], "frame long, sensor string")
+    got = {r["frame"]: (r["sensors"], r["wanting"], r["complete"]) for r in marks.sensor_mask(df, ["frame"], "sensor", ["a", "b", "c"], ["a", "b"]).collect()}
+    assert got == {1: (5, 2, False), 2: (3, 0, True), 3: (0, 3, False)}
+    with pytest.raises(ValueError):
+        marks.sensor_mask(df, ["frame"], "sensor", ["a", "a"], [])
