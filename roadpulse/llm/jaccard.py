@@ -8,11 +8,11 @@ Two sets of the wanted similarity share one of the rarest tenth of their n-grams
 fall into classes; classes next to each other form a chain, and the smallest node of a chain is the head of all its sets. What
 may be similar therefore meets under one head at least, and a family of near copies under few. Under a head the sets stand in
 a path-compressed trie, the commonest n-grams first. A probe walks it with its overlap so far, which all sets below a node share, and leaves
-out every subtree that can't reach the overlap it needs with what remains of its longest set. This is done with the keys alone, to
-drop sets that no other is like, and then with whole sets. Two sets that earlier links connect needn't be compared, so a
-family costs one walk from its head, not all pairs.
+out every subtree that can't reach the overlap it needs with what remains of its longest set. This is done with the keys alone first, which
+drops most sets and joins the others into clusters, and then with the whole sets of each cluster, so that a set moves once. Two sets that
+earlier links connect needn't be compared: a family costs one walk from its first set, not all pairs.
 
-Groups too large for a task are dealt to parts that all hold one set, the first. Only what isn't connected with it in its own part, then
+A cluster too large for a task is taken apart again by heads, and what is still too large is dealt to parts that all hold one set, the first. Only what isn't connected with it in its own part, then
 meets the other parts, block by block.
 
 Words, n-grams and sets are compared by hashes of 64, 64 and 128 bits.
@@ -41,26 +41,47 @@ WORDS = 3
 LEAST = (9, 10)
 #: Entries of the table of word counts.
 SLOTS = 1 << 18
+#: A set's rarest n-grams that clusters are made by, as a multiple of its keys: the more, the fewer sets seem alike that aren't.
+EXTENT = 2
+#: Words, 64 bits each, of the bitmap that texts must pass before they are moved.
+BITMAP = 1 << 18
 #: N-grams, eight bytes each, that one task holds of a group.
 PART = 4_000_000
-#: Words whose hashes a task remembers.
-KNOWN = 1_000_000
-SEED = 42
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= KNOWN:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return value
-
-
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()  # both treat ASCII alone
+class WordHashes:
+    """Hashes of a text's words: of each word's bytes a polynomial, by differences of one running sum over the text, then mixed."""
+
+    BASE = 0x9FB21C651E98DF25
+    LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
+    SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def powers(self, n: int) -> None:
+        """Powers of BASE and of its inverse, modulo 2 ** 64."""
+        if n > len(self.up):
+            size = max(n, 2 * len(self.up), 4096)
+            steps = [np.full(size, b, dtype=np.uint64) for b in (self.BASE, pow(self.BASE, -1, 1 << 64))]
+            for s in steps:
+                s[0] = 1
+            self.up, self.down = map(np.cumprod, steps)
+
+    def of(self, text: str) -> np.ndarray:
+        data = self.LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+        inside = np.zeros(len(data) + 2, dtype=bool)
+        inside[1:-1] = ~self.SPACE[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        self.powers(len(data))
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=sums[1:])
+        found = (sums[ends] - sums[starts]) * self.down[starts]
+        for mix in _MIX[:2]:
+            found = (found ^ (found >> np.uint64(32))) * mix
+        return found ^ (found >> np.uint64(29))
 
 
 def ngrams(words: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
@@ -94,8 +115,7 @@ def word_weights(documents: DataFrame) -> np.ndarray:
         hashes, counts = WordHashes(), np.zeros(SLOTS, dtype=np.int64)
         for b in batches:
             for text in b["text"]:
-                at = np.fromiter(map(hashes.__getitem__, words_of(text)), dtype=np.uint64)
-                used, n = np.unique(at & np.uint64(SLOTS - 1), return_counts=True)
+                used, n = np.unique(hashes.of(text) & np.uint64(SLOTS - 1), return_counts=True)
                 counts[used] += n
         used = np.flatnonzero(counts)
         yield pd.DataFrame({"slot": used, "n": counts[used]})
@@ -112,7 +132,7 @@ def key_count(size: int, least: tuple[int, int] = LEAST) -> int:
 
 
 def sets_of(documents: DataFrame, weights: np.ndarray, n: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
-    """-> doc_id, mark, size, h1, h2 (the set's digest), keys (its rarest n-grams, eight bytes each)."""
+    """-> doc_id, mark, size, h1, h2 (the set's digest), keys (its rarest n-grams, eight bytes each, EXTENT times as many as are keys), fp (bits that more than half of its hashes have)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -121,24 +141,45 @@ def sets_of(documents: DataFrame, weights: np.ndarray, n: int = WORDS, least: tu
         for b in batches:
             rows = []
             for text in b["text"]:
-                found = ngrams(np.fromiter(map(hashes.__getitem__, words_of(text)), dtype=np.uint64), weights, n)
+                found = ngrams(hashes.of(text), weights, n)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), dtype=np.int64)
-                rows.append((len(found), digest[0], digest[1], found[: key_count(len(found), least)].tobytes() if len(found) else b""))
-            yield pd.concat([b[["doc_id", "mark"]].reset_index(drop=True), pd.DataFrame(rows, columns=["size", "h1", "h2", "keys"])], axis=1)
+                ones = sum((np.unpackbits(found[at : at + PART // 64].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for at in range(0, len(found), PART // 64)), np.zeros(64, dtype=np.int64))
+                fp = np.packbits(ones * 2 > len(found), bitorder="little").view(np.int64)[0]
+                rows.append((len(found), digest[0], digest[1], found[: EXTENT * key_count(len(found), least)].tobytes() if len(found) else b"", fp))
+            yield pd.concat([b[["doc_id", "mark"]].reset_index(drop=True), pd.DataFrame(rows, columns=["size", "h1", "h2", "keys", "fp"])], axis=1)
+
+    return long_ids(texts_of(documents).mapInPandas(run, "doc_id string, mark long, size long, h1 long, h2 long, keys binary, fp long"))
 
-    return long_ids(texts_of(documents).mapInPandas(run, "doc_id string, mark long, size long, h1 long, h2 long, keys binary"))
 
+def passing(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows whose mark may be among `marks`: those that a bitmap of BITMAP words, sent to every task, doesn't rule out. So most texts that nobody asks for stay where they are."""
+    word = lambda c: F.expr(f"cast(pmod({c}, {BITMAP}) as int)")
+    bit = "shiftleft(1L, cast(pmod(shiftright(mark, 32), 64) as int))"
+    bitmap = marks.groupBy(word("mark").alias("word")).agg(F.bit_or(F.expr(bit)).alias("bits"))  # BITMAP rows at most
+    return rows.withColumn("word", word("mark")).join(F.broadcast(bitmap), "word").where(F.expr(f"bits & {bit} <> 0")).drop("word", "bits")
 
-def whole_sets(documents: DataFrame, nodes: DataFrame, weights: np.ndarray, n: int = WORDS) -> DataFrame:
-    """(node, mark) -> node, grams: all n-grams of the text that the mark belongs to."""
+
+def with_grams(documents: DataFrame, seats: DataFrame, weights: np.ndarray, n: int = WORDS) -> DataFrame:
+    """(node, mark, ..) -> the same columns without mark, size and grams: all n-grams of the text that the mark belongs to. Texts are moved once, their n-grams are not kept."""
+    rest = [c for c in seats.columns if c != "mark"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, node, grams = WordHashes(), None, b""
         for b in batches:
-            yield pd.DataFrame({"node": b["node"], "grams": [ngrams(np.fromiter(map(hashes.__getitem__, words_of(t)), dtype=np.uint64), weights, n).tobytes() for t in b["text"]]})
-
-    wanted = texts_of(documents).select("mark", "text").join(nodes.select("node", "mark").hint("merge"), "mark").select("node", "text")
-    return wanted.mapInPandas(run, "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))  # a row may be repeated
+            made = []
+            for at, text in zip(b["node"], b["text"]):
+                if at != node:  # a node's seats follow each other
+                    node, grams = at, ngrams(hashes.of(text), weights, n).tobytes()
+                made.append(grams)
+            yield b.drop(columns="text").assign(size=[len(g) // 8 for g in made], grams=made)
+
+    of_mark = seats.groupBy("mark").agg(F.collect_list(F.struct(*rest)).alias("seats"))  # one a set, but for the seats of what a large cluster shares
+    texts = passing(texts_of(documents).select("mark", "text"), seats.select("mark"))
+    met = texts.join(of_mark.hint("merge"), "mark")
+    once = met.groupBy("mark").agg(F.first("text").alias("text"), F.first("seats").alias("seats"))  # a row may be repeated
+    each = once.select("text", F.explode("seats").alias("seat")).select("seat.*", "text")
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seats.schema.fields if f.name != "mark")
+    return each.mapInPandas(run, f"{types}, size long, grams binary")
 
 
 def shared_heads(nodes: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -146,7 +187,7 @@ def shared_heads(nodes: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts = [np.frombuffer(k, dtype=np.int64) for k in b["keys"]]
+            parts = [np.frombuffer(k, dtype=np.int64)[: key_count(size, least)] if size else np.zeros(0, dtype=np.int64) for size, k in zip(b["size"], b["keys"])]
             counts = [len(p) for p in parts]
             if sum(counts):
                 yield pd.DataFrame({"key": np.concatenate(parts), "node": np.repeat(b["node"].to_numpy(), counts), "size": np.repeat(b["size"].to_numpy(), counts)})
@@ -314,69 +355,85 @@ def _sequences(column) -> list[np.ndarray]:
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
-    """The (head, node) pairs whose keys don't rule out that another set of the group is similar. Groups too large for one task pass whole."""
+    """(head, node) pairs -> (head, top, node): under each head the sets that keys alone connect, called by the first of them. What no other set may be like is gone.
+
+    Groups too large for one task are taken as they are.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (head,), g in groups_of(batches, ["head"]):
             if len(g) < 2:
                 continue
-            trie = Trie(_sequences(g["keys"]), g["size"].tolist(), least)
+            ids, trie = g["node"].to_numpy(), Trie(_sequences(g["keys"]), g["size"].tolist(), least)
             trie.whole = False
-            kept = np.zeros(len(g), dtype=bool)
-            at = int(np.flatnonzero(g["node"].to_numpy() == head)[0])
-            for i in [at, *range(len(g))]:
-                if not kept[i]:
-                    found = trie.like(i)
-                    kept[found] = True
-                    kept[i] |= bool(found)
-            yield pd.DataFrame({"head": head, "node": g["node"].to_numpy()[kept]})
-
-    sized = pairs.join(nodes.select("node", "size", "keys").hint("merge"), "node")
-    loads = sized.groupBy("head").agg(F.sum(F.octet_length("keys") / 8).alias("load"))
-    large = cut(loads.where(F.col("load") > PART).select("head"))
-    calm = sized.join(large.hint("merge"), "head", "left_anti").select("head", "node", "size", "keys")
-    return sorted_by(calm, "head").mapInPandas(run, "head long, node long").union(pairs.join(large.hint("merge"), "head", "left_semi").select("head", "node"))
-
-
-def set_links(documents: DataFrame, nodes: DataFrame, weights: np.ndarray, n: int = WORDS, least: tuple[int, int] = LEAST, all_pairs: bool = False) -> DataFrame:
-    """(node, mark, size, keys), one row a set -> links (a, b): all of them, or as many as connect what all of them connect."""
-    pairs = cut(likely(cut(shared_heads(nodes, least)), nodes, least))
-    wanted = nodes.join(pairs.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "mark", "size")
-    sets = cut(whole_sets(documents, wanted, weights, n).join(wanted.select("node", "size").hint("merge"), "node"))
-    loads = cut(pairs.join(wanted.select("node", "size").hint("merge"), "node").groupBy("head").agg(F.ceil(F.sum("size") / PART).cast("int").alias("parts"), F.min("node").alias("lead")))
-    dealt = pairs.join(loads.hint("merge"), "head").withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
-    # every part holds the first of the sets that are left, which leads the group from here on
-    seats = dealt.where("node <> lead").select("head", "node", "part", "parts", "lead").union(loads.select("head", F.col("lead").alias("node"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "parts", "lead"))
+            _, joined = forest(trie, int(np.flatnonzero(ids == head)[0]))
+            tops = np.array([joined.of(i) for i in range(len(g))])
+            kept = np.bincount(tops)[tops] > 1
+            yield pd.DataFrame({"head": head, "top": ids[tops[kept]], "node": ids[kept]}, dtype=np.int64)
+
+    sized = pairs.join(nodes.select("node", "size").hint("merge"), "node")
+    large = cut(sized.groupBy("head").agg(F.sum("size").alias("load")).where(F.col("load") * (least[1] - least[0]) * EXTENT > PART * least[1]).select("head"))
+    calm = pairs.join(large.hint("merge"), "head", "left_anti").join(nodes.select("node", "size", "keys").hint("merge"), "node").select("head", "node", "size", "keys")
+    whole = pairs.join(large.hint("merge"), "head", "left_semi").select("head", F.col("head").alias("top"), "node")
+    return sorted_by(calm, "head").mapInPandas(run, "head long, top long, node long").union(whole)
+
+
+def clusters(local: DataFrame, nodes: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(head, top, node) -> the same, and mark, size and parts: groups that all possible links stand in, `top` being one of each.
+
+    Groups that share a set become one, so that a set moves once, as long as one task holds the whole; else they stay apart. `more` are
+    further pairs (a, b) that may be similar.
+    """
+    edges = local.where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b"))
+    named = cut(connected_components(edges if more is None else edges.union(more)).select("node", F.col("component").alias("cluster")))
+    known = nodes.select("node", "mark", "size")
+    member = cut(named.join(known.hint("merge"), "node"))
+    loads = cut(member.groupBy("cluster").agg(F.sum("size").alias("load")).where(F.col("load") > PART).select("cluster"))
+    small = member.join(loads.hint("merge"), "cluster", "left_anti").select(F.col("cluster").alias("head"), F.col("cluster").alias("top"), "node", "mark", "size", F.lit(1).alias("parts"))
+    of_large = member.join(loads.hint("merge"), "cluster", "left_semi").select("node", "mark", "size")
+    apart = cut(local.join(of_large.hint("merge"), "node").select("head", "top", "node", "mark", "size"))
+    parts = apart.groupBy("head", "top").agg(F.ceil(F.sum("size") / PART).cast("int").alias("parts"))
+    return small.union(apart.join(parts.hint("merge"), ["head", "top"]).select(*small.columns))
+
+
+def set_links(documents: DataFrame, nodes: DataFrame, weights: np.ndarray, n: int = WORDS, least: tuple[int, int] = LEAST, all_pairs: bool = False, more: DataFrame | None = None) -> DataFrame:
+    """(node, mark, size, keys), one row a set -> links (a, b): all of them, or as many as connect what all of them connect. `more` are candidates (a, b) from elsewhere."""
+    local = cut(likely(cut(shared_heads(nodes, least)), nodes, least))
+    dealt = cut(clusters(local, nodes, more).withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)")))
+    # every part holds the group's first set
+    columns = ["head", "top", "node", "mark", "part", "parts"]
+    seats = dealt.where("node <> top").select(*columns).union(dealt.where("node = top").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select(*columns))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (head, _), g in groups_of(batches, ["head", "part"]):
-            ids, several, lead = g["node"].to_numpy(), int(g["parts"].iloc[0]) > 1, int(g["lead"].iloc[0])
-            trie, first = Trie(_sequences(g["grams"]), g["size"].tolist(), least), int(np.flatnonzero(ids == lead)[0])
+        for (head, top, _), g in groups_of(batches, ["head", "top", "part"]):
+            ids, several = g["node"].to_numpy(), int(g["parts"].iloc[0]) > 1
+            trie, first = Trie(_sequences(g["grams"]), g["size"].tolist(), least), int(np.flatnonzero(ids == top)[0])
             links, joined = forest(trie, first, all_pairs=all_pairs)
-            rows = [(ids[i], ids[j], None) for i, j in links]
+            rows = [(ids[i], ids[j], None, None) for i, j in links]
             if several:
-                rows += [(i, None, head) for k, i in enumerate(ids) if i != lead and (all_pairs or joined.of(k) != joined.of(first))]
-            yield pd.DataFrame(rows, columns=["a", "b", "head"]).astype("Int64")
+                rows += [(i, None, head, top) for k, i in enumerate(ids) if i != top and (all_pairs or joined.of(k) != joined.of(first))]
+            yield pd.DataFrame(rows, columns=["a", "b", "head", "top"]).astype("Int64")
 
-    sized = sorted_by(seats.join(sets.hint("merge"), "node").select("head", "part", "parts", "lead", "node", "size", "grams"), "head", "part")
-    found = cut(sized.mapInPandas(run, "a long, b long, head long"))
+    sized = sorted_by(with_grams(documents, seats, weights, n), "head", "top", "part")
+    found = cut(sized.mapInPandas(run, "a long, b long, head long, top long"))
     links = found.where("b is not null").select("a", "b")
-    loose = found.where("b is null").select("head", F.col("a").alias("node"))
+    loose = found.where("b is null").select("head", "top", F.col("a").alias("node"))
     if not loose.isEmpty():
-        links = links.union(loose_links(cut(loose), dealt, sets, least, all_pairs))
+        links = links.union(loose_links(documents, cut(loose), dealt, weights, n, least, all_pairs))
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def loose_links(loose: DataFrame, dealt: DataFrame, sets: DataFrame, least: tuple[int, int], all_pairs: bool) -> DataFrame:
+def loose_links(documents: DataFrame, loose: DataFrame, dealt: DataFrame, weights: np.ndarray, n: int, least: tuple[int, int], all_pairs: bool) -> DataFrame:
     """Links between sets that aren't connected with their group's first one in their own part, and sets of other parts: blocks of the former meet every part."""
-    of = loose.join(sets.select("node", "size").hint("merge"), "node").join(dealt.select("head", "node", "part", "parts").hint("merge"), ["head", "node"])
-    blocks = of.groupBy("head").agg(F.ceil(F.sum("size") / PART).cast("int").alias("blocks"), F.max("parts").alias("parts"))
-    placed = of.drop("parts").join(blocks.hint("merge"), "head").withColumn("block", F.expr("cast(pmod(xxhash64(node, 1), blocks) as int)"))
-    probes = placed.select("head", "node", F.col("part").alias("home"), "block", F.explode(F.expr("filter(sequence(0, parts - 1), p -> p <> part)")).alias("part"), F.lit(True).alias("probe"))
-    members = dealt.join(blocks.drop("parts").hint("merge"), "head").select("head", "node", F.col("part").alias("home"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "part", F.lit(False).alias("probe"))
+    of = dealt.join(loose.hint("merge"), ["head", "top", "node"], "left_semi")
+    blocks = cut(of.groupBy("head", "top").agg(F.ceil(F.sum("size") / PART).cast("int").alias("blocks")))
+    columns = ["head", "top", "node", "mark", "part", "block", "probe"]
+    placed = of.join(blocks.hint("merge"), ["head", "top"]).withColumns({"block": F.expr("cast(pmod(xxhash64(node, 1), blocks) as int)"), "probe": F.lit(True)})
+    probes = placed.withColumn("part", F.explode(F.expr("filter(sequence(0, parts - 1), p -> p <> part)"))).select(*columns)
+    members = dealt.join(blocks.hint("merge"), ["head", "top"]).withColumns({"block": F.explode(F.expr("sequence(0, blocks - 1)")), "probe": F.lit(False)}).select(*columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, g in groups_of(batches, ["head", "part", "block"]):
+        for _, g in groups_of(batches, ["head", "top", "part", "block"]):
             asks, ids = g["probe"].to_numpy(dtype=bool), g["node"].to_numpy()
             if asks.all() or not asks.any():
                 continue
@@ -387,15 +444,16 @@ def loose_links(loose: DataFrame, dealt: DataFrame, sets: DataFrame, least: tupl
                     joined.join(int(i), j)
             yield pd.DataFrame(rows, columns=["a", "b"], dtype=np.int64)
 
-    met = probes.unionByName(members.select(*probes.columns)).join(sets.hint("merge"), "node")
-    return sorted_by(met.select("head", "part", "block", "node", "size", "grams", "probe"), "head", "part", "block").mapInPandas(run, "a long, b long")
+    met = with_grams(documents, probes.union(members), weights, n)
+    return sorted_by(met, "head", "top", "part", "block").mapInPandas(run, "a long, b long")
 
 
 def named_sets(documents: DataFrame, weights: np.ndarray, n: int = WORDS, least: tuple[int, int] = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, size, h1, h2), and one row per set that isn't empty: node, h1, h2, low (the smallest id), mark, size, keys."""
+    """Rows (doc_id, mark, size, h1, h2), and one row per set, the empty one too: node, h1, h2, low (the smallest id), mark, size, keys, fp."""
     rows = cut(sets_of(documents, weights, n, least))
-    groups = rows.where("size > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.min("mark").alias("mark"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    return rows.select("doc_id", "size", "h1", "h2"), cut(groups).withColumn("node", F.monotonically_increasing_id())
+    same = ["size", "keys", "fp"]
+    groups = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.min("mark").alias("mark"), *[F.first(c).alias(c) for c in same])
+    return rows.select("doc_id", "mark", "size", "h1", "h2"), cut(groups).withColumn("node", F.monotonically_increasing_id())
 
 
 def similar_documents(documents: DataFrame, n: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -406,9 +464,9 @@ def similar_documents(documents: DataFrame, n: int = WORDS, least: tuple[int, in
     found = connected_components(set_links(documents, nodes, weights, n, least))
     placed = cut(nodes.select("node", "h1", "h2", "low").join(found.hint("merge"), "node", "left").select("h1", "h2", "low", F.coalesce("component", "node").alias("component")))
     names = placed.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_set = placed.join(names.hint("merge"), "component").select("h1", "h2", "component_id", F.lit(True).alias("named"))
-    out = rows.join(of_set.hint("merge"), ["h1", "h2"], "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_set = placed.join(names.hint("merge"), "component").select("h1", "h2", "component_id")
+    out = rows.join(of_set.hint("merge"), ["h1", "h2"])
+    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def similar_pairs(documents: DataFrame, n: int = WORDS, least: tuple[int, int] = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -417,7 +475,7 @@ def similar_pairs(documents: DataFrame, n: int = WORDS, least: tuple[int, int] =
     weights = word_weights(documents)
     rows, nodes = named_sets(documents, weights, n, least)
     links = set_links(documents, nodes, weights, n, least, all_pairs=True)
-    return links, rows.join(nodes.select("h1", "h2", "node").hint("merge"), ["h1", "h2"], "left").select("doc_id", "node", "size")
+    return links, rows.join(nodes.select("h1", "h2", "node").hint("merge"), ["h1", "h2"]).select("doc_id", "node", "size")
 
 
 def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

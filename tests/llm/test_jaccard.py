@@ -114,3 +114,18 @@ def test_order_of_ngrams_changes_nothing(spark, monkeypatch):
     assert jaccard.word_weights(docs).max() > 0 == jaccard.word_weights(docs.where("false")).max()
     monkeypatch.setattr(jaccard, "word_weights", lambda _: np.zeros(jaccard.SLOTS, dtype=np.uint8))
     assert sorted(map(tuple, jaccard.similar_documents(docs).collect()), key=str) == plain(rows)
+
+
+def test_hashes_of_words():
+    """Equal for equal words wherever they stand, different for all others, as bytes in small letters split at white space."""
+    rng, hashes = random.Random(7), jaccard.WordHashes()
+    known = {}
+    for text in ODD[1:] + ["".join(rng.choice("abAB é\t\x00\u2003\x1c\n") for _ in range(rng.randrange(60))) for _ in range(3000)]:
+        words = text.encode().lower().split()
+        got = hashes.of(text).tolist()
+        assert len(got) == len(words)
+        for w, h in zip(words, got):
+            assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known) > 2000
+    many = hashes.of(" ".join(f"w{i}" for i in range(200_000)))
+    assert len(np.unique(many)) == 200_000
