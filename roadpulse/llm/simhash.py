@@ -28,7 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, long_ids, read_table, tidy, whole_texts
+from . import jaccard as ngrams
+from .common import cut, long_ids, read_table, whole_texts
 from .components import connected_components
 
 SHINGLE = 4
@@ -197,42 +198,31 @@ def jaccard(a: str, b: str, shingle: int) -> float:
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
-def near_copies(rows: DataFrame, order: list, shingle: int = 5, similarity: float = 0.8, words: int = 2, bits: int = 6, segments: int = 16) -> DataFrame:
-    """(row, text, and what `order` names) -> row: those that an earlier row of their group stands for.
+def without_copies(documents: DataFrame, shingle: int = 5, least: tuple[int, int] = (4, 5)) -> DataFrame:
+    """One row of each group of near copies, with all columns: that of the smallest id, rows without an id last.
 
-    Candidates are links between fingerprints of `words` words: the fewer words a shingle has, the fewer bits an edit turns. Their texts
-    are then compared by shingles of `shingle` words, and those of at least `similarity` are joined into groups. Equal texts count once, and
-    texts of one fingerprint are compared with its first one.
+    Texts are alike whose sets of shingles have a Jaccard similarity of at least `least`, and groups are what such pairs connect. Links between
+    fingerprints are candidates, but few pairs at 0.8 have them; the n-gram join has every pair that is alike. Both are decided on the whole sets.
+    Texts without words are all alike. Of equal rows one stays.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = cut(fingerprints(rows.select(F.col("row").alias("doc_id"), "text"), words)).select(F.col("doc_id").alias("row"), "fp")
-    form = F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("copy"), text).alias("h2")).alias("form")
-    named = cut(rows.select("row", F.struct(*order, "row").alias("first"), form).join(marked.hint("merge"), "row"))
-    texts = cut(named.groupBy("form").agg(F.min("first").alias("first"), F.min("fp").alias("fp")).select("first", "fp", F.col("first.row").alias("row")))
-    again = named.select("row").join(texts.select("row").hint("merge"), "row", "left_anti")
-    of_fp = cut(texts.groupBy("fp").agg(F.min("first").alias("first")).select("fp", F.col("first.row").alias("row")))
-    found = links(of_fp.select(F.col("fp").alias("node"), "fp"), bits, segments).distinct()
-    ends = [of_fp.select(F.col("fp").alias(c), F.col("row").alias(f"row_{c}")) for c in ("a", "b")]
-    between = found.join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b").select("row_a", "row_b")
-    within = texts.select("fp", F.col("row").alias("row_a")).join(of_fp.select("fp", F.col("row").alias("row_b")).hint("merge"), "fp").where("row_a <> row_b").select("row_a", "row_b")
-    pairs = cut(between.union(within))
-    tidy(rows.sparkSession)
-    # texts that are compared are moved once and kept; all others stay where they are from here on
-    wanted = pairs.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct()
-    compared = cut(rows.select("row", "text").join(wanted.hint("merge"), "row", "left_semi"))
-    tidy(rows.sparkSession)
-
-    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            near = [jaccard(x or "", y or "", shingle) >= similarity for x, y in zip(b["text_a"], b["text_b"])]
-            yield b.loc[near, ["a", "b"]]
-
-    sides = [compared.select(F.col("row").alias(f"row_{c}"), F.col("text").alias(f"text_{c}")) for c in ("a", "b")]
-    both = pairs.join(sides[0].hint("merge"), "row_a").join(sides[1].hint("merge"), "row_b").select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), "text_a", "text_b")
-    groups = connected_components(both.mapInPandas(alike, "a long, b long")).select(F.col("node").alias("row"), "component")
-    members = texts.join(groups.hint("merge"), "row").select("row", "first", "component")
-    leads = members.groupBy("component").agg(F.min("first").alias("lead"))
-    return cut(again.union(members.join(leads.hint("merge"), "component").where("row <> lead.row").select("row")))
+    base = documents.select("doc_id", "text")
+    weights = ngrams.word_weights(base)
+    rows, nodes = ngrams.named_sets(base, weights, shingle, least)
+    prints = cut(nodes.where("size > 0").groupBy("fp").agg(F.min("node").alias("node")))  # sets of one fingerprint are candidates too
+    of_print = nodes.where("size > 0").select("fp", F.col("node").alias("a")).join(prints.select("fp", F.col("node").alias("b")).hint("merge"), "fp").where("a <> b").select("a", "b")
+    found = ngrams.set_links(base, nodes, weights, shingle, least, more=links(prints).union(of_print))
+    named = connected_components(found)
+    placed = nodes.select("node", "h1", "h2").join(named.hint("merge"), "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
+    of_row = cut(rows.join(placed.hint("merge"), ["h1", "h2"]).select("component", "mark", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark").alias("place")))
+    stay = of_row.groupBy("component").agg(F.min("place").alias("place")).select(F.col("place.mark").alias("mark"))
+    marked = documents.select(F.struct("*").alias("whole"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("mark"))
+    kept = marked.join(stay.hint("merge"), "mark", "left_semi")
+    repeated = of_row.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
+    repeated = cut(repeated.join(stay.hint("merge"), "mark", "left_semi"))
+    if not repeated.isEmpty():
+        several = kept.join(repeated.hint("merge"), "mark", "left_semi").groupBy("mark").agg(F.first("whole").alias("whole")).select("whole", "mark")
+        kept = kept.join(repeated.hint("merge"), "mark", "left_anti").select("whole", "mark").union(several)
+    return kept.select(*[F.col(f"whole.`{c}`").alias(c) for c in documents.columns])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
