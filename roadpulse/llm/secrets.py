@@ -4,9 +4,8 @@ A candidate is a long run of key characters that stands close behind a sensitive
 word. Its novelty is the number of bytes that it adds to the compressed size of
 its surroundings, other occurrences of it blanked out and case folded, the compressor being primed
 with a dictionary: the words that names in the standard library are made of, and code idioms. Words, identifiers and repetitive
-strings cost few bytes; random keys cost nearly their own length, and these are
-reported wherever they stand in the text. Letters of one case alone are told from
-invented words by a higher measure.
+strings cost few bytes. What random characters of the string's own alphabet cost at least is the measure, so that long keys of few characters
+count as those of many do; keys that cost clearly more than that are reported wherever they stand in the text.
 
 Defined cases: null text is empty and has no spans; every row gives one row,
 repeated or not; texts are scanned whole; spans count code points, end exclusive.
@@ -18,6 +17,7 @@ import builtins
 import hashlib
 import importlib
 import keyword
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -57,9 +57,9 @@ MODULES = (
 CONTEXT = 48
 SURROUNDINGS = 160
 NOVEL_LEAST = 20
-#: Bytes that a candidate must add, per byte of its own. Letters of one case alone have limits of their own, up to LONG characters and beyond:
-#: short strings are stored as they are, long ones coded in less than five bits a letter.
-NOVELTY, LETTERS, LONG_LETTERS, LONG = 0.8, 0.9, 0.8, 40
+#: Bytes that a candidate must add beyond what its characters cost at least, if each of the letters, digits and signs that it draws from were as
+#: likely as any other: this share of that cost, EXTRA at the most. Short strings are stored as they are, long ones coded nearly at that cost.
+NOVELTY, EXTRA = 0.3, 15
 LEVEL = 12
 
 
@@ -73,8 +73,16 @@ def vocabulary() -> str:
     return " ".join(sorted({w.lower() for n in names for w in re.findall("[A-Z]+(?![a-z])|[A-Z]?[a-z]+", n) if len(w) > 3}))
 
 
+def bytes_a_character(own: str) -> float:
+    """What a character of the string's alphabet costs if all are as likely: digits, letters up to f or all, cases folded, and the signs that occur."""
+    used = set(own.lower())
+    letters = 0 if not any(map(str.isalpha, used)) else 6 if all(c in "abcdef" for c in used if c.isalpha()) else 26
+    size = letters + 10 * any(map(str.isdigit, used)) + sum(not c.isalnum() for c in used)
+    return math.log2(max(size, 2)) / 8
+
+
 class Scanner:
-    def __init__(self, sensitive: str = SENSITIVE, identifiers: str | None = None, novelty: float = NOVELTY, letters: float = LETTERS):
+    def __init__(self, sensitive: str = SENSITIVE, identifiers: str | None = None, novelty: float = NOVELTY, extra: float = EXTRA):
         import zstandard
 
         identifiers = f"{vocabulary()} {IDENTIFIERS}" if identifiers is None else identifiers
@@ -84,7 +92,7 @@ class Scanner:
         self.hex = re.compile("[0-9a-f]{%d,}" % HEX_LEAST)  # longest runs only, as [0-9a-f]+ finds them
         self.run = re.compile("[A-Za-z0-9+/_.-]{%d,}={0,2}" % NOVEL_LEAST)  # a sign of equality stands in front or pads the end
         self.near = re.compile("|".join(map(re.escape, sensitive.split())), re.IGNORECASE | re.ASCII)
-        self.novelty, self.letters = novelty, letters
+        self.novelty, self.extra = novelty, extra
         primed = zstandard.ZstdCompressionDict(identifiers.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         primed.precompute_compress(level=LEVEL)
         self.pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False).compress
@@ -126,9 +134,8 @@ class Scanner:
             own = m.group()
             if own in known or not self.near.search(text, max(0, start - CONTEXT), start) or not free(start, end):
                 continue
-            one_case = own.isalpha() and (own.islower() or own.isupper())
-            least = self.novelty if not one_case else self.letters if len(own) <= LONG else LONG_LETTERS
-            if self.marginal(text, start, end) >= least:
+            least = bytes_a_character(own) * len(own)
+            if self.marginal(text, start, end) * len(own) >= least + min(self.novelty * least, self.extra):
                 keys.append(own)
                 known.add(own)
         if not keys:
