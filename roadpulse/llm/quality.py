@@ -103,7 +103,7 @@ class Network:
         return [x.T @ da + decay * w[0], da.sum(0), a.T @ dz + decay * w[2], dz.sum()]
 
     def fit(self, p: np.ndarray, u: np.ndarray, prior: float, steps: int = 1500, batch: int = 512, rate: float = 0.01, beta: float = 0.0) -> Network:
-        decay = max(1e-4, 1 / len(p))  # few positives would be learned by heart
+        decay = max(1e-4, 1 / (len(p) + 20))  # few positives would be learned by heart
         r = np.random.default_rng(self.seed)
         d = p.shape[1]
         w = [r.normal(0, d**-0.5, (d, self.hidden)), np.zeros(self.hidden), r.normal(0, self.hidden**-0.5, self.hidden), np.zeros(())]
@@ -123,6 +123,10 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(np.tanh(x @ self.w[0] + self.w[1]) @ self.w[2] + self.w[3], -30, 30)))
 
 
+#: Rows that the class prior's first guess, a half, counts as.
+SHRINK = 10
+
+
 class Model:
     def __init__(self, network: Network | None, mean: np.ndarray | None, spread: np.ndarray | None, prior: float):
         self.network, self.mean, self.spread, self.prior = network, mean, spread, prior
@@ -132,7 +136,7 @@ class Model:
 
 
 def fit_matrices(p: np.ndarray, u: np.ndarray) -> Model:
-    if min(len(p), len(u)) < 10:
+    if not len(p) or not len(u):
         return Model(None, None, None, 0.5)
     p, u = (x[np.lexsort(x.T)] for x in (p, u))  # the arrival order of rows must not matter
     both = np.concatenate([p, u])
@@ -141,8 +145,10 @@ def fit_matrices(p: np.ndarray, u: np.ndarray) -> Model:
     r = np.random.default_rng(11)
     p, u = p[r.permutation(len(p))], u[r.permutation(len(u))]
     half_p, half_u = len(p) // 2, len(u) // 2
-    w = logistic(p[:half_p], u[:half_u])
-    prior = class_prior(p[half_p:] @ w[:-1], u[half_u:] @ w[:-1])
+    known = min(len(p) - half_p, len(u) - half_u) if half_p and half_u else 0
+    w = logistic(p[:half_p], u[:half_u]) if known else None
+    estimate = class_prior(p[half_p:] @ w[:-1], u[half_u:] @ w[:-1]) if known else 0.5
+    prior = (known * estimate + SHRINK * 0.5) / (known + SHRINK)  # of few rows little can be told
     return Model(Network().fit(p, u, prior), mean, spread, prior)
 
 
