@@ -35,8 +35,7 @@ def test_every_pair_at_0_8_and_above_is_found(spark, size):
         texts += [one, other]
     kept = {x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs(spark, texts), "").collect()}
     assert all(i in kept and (j in kept) == (s < 0.8) for i, j, s in pairs)
-    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1)):
-        assert size == 60 and high > 0.95 or sum(low <= s <= high for _, _, s in pairs) >= 8
+    assert sum(s >= 0.8 for _, _, s in pairs) >= 40 and sum(0.8 <= s < 0.85 for _, _, s in pairs) >= 10 and any(s < 0.8 for _, _, s in pairs)
 
 
 def test_a_chain_is_one_group(spark):
