@@ -123,8 +123,8 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(np.tanh(x @ self.w[0] + self.w[1]) @ self.w[2] + self.w[3], -30, 30)))
 
 
-#: Rows that the class prior's first guess, a half, counts as.
-SHRINK = 10
+#: Rows that the class prior's first guess, a half, counts as: one of either class.
+SHRINK = 2
 
 
 class Model:
