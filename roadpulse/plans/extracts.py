@@ -37,9 +37,9 @@ def _(t):
     return rows.select("scene_id", "event_id", F.col("at").alias("pos"))
 
 
-@query("native_channels", """select scene_id, channel, t_us, '{"value":' || k || '}' as "values" from e where channel in ('ego_pose', 'ms_imu', 'steeranglefeedback', 'pose') and user_id % 2 = 0""")
+@query("native_channels", """select scene_id, channel, t_us, '{"value":' || k || '}' as "values" from e where channel in ('ego_pose', 'ms_imu', 'steeranglefeedback', 'pose')""")
 def _(t):
-    e = t.events().where("user_id % 2 = 0").withColumn("values", F.to_json(F.struct(F.col("k").alias("value"))))
+    e = t.events().withColumn("values", F.to_json(F.struct(F.col("k").alias("value"))))
     channels = {c: e.where(F.col("channel") == c) for c in ("ms_imu", "steeranglefeedback", "pose")}  # three of six are recorded
     return scenes.native_channels(channels, e.where("channel = 'ego_pose'"), e.select("scene_id").distinct())
 
@@ -66,18 +66,18 @@ def _(t):
 
 
 def _recordings(t: Testbed) -> DataFrame:
-    rows = t.events().where("user_id % 4 = 0").select(
+    rows = t.events().select(
         "vehicle_id", F.concat_ws("/", F.lit(""), "vehicle_id", "channel").alias("topic"), F.lit("json").alias("encoding"), F.col("seq").alias("sequence"), (F.col("t_us") * 1000).alias("log_time"), F.encode(F.to_json(F.struct("event_id", "k")), "UTF-8").alias("data")
     )
     return mcap.write_segments(rows, "vehicle_id", 4096)
 
 
-@query("recording_manifest", "select vehicle_id segment, count(*) n_messages, count(distinct channel) n_channels, min(t_us) * 1000 as first, max(t_us) * 1000 as last from e where user_id % 4 = 0 group by 1")
+@query("recording_manifest", "select vehicle_id segment, count(*) n_messages, count(distinct channel) n_channels, min(t_us) * 1000 as first, max(t_us) * 1000 as last from e group by 1")
 def _(t):
     return _recordings(t).select("segment", "n_messages", "n_channels", "first", "last")
 
 
-@query("recording_topics", "select '/' || vehicle_id || '/' || channel topic, count(*) n, min(t_us) * 1000 lo, max(t_us) * 1000 hi from e where user_id % 4 = 0 group by 1")
+@query("recording_topics", "select '/' || vehicle_id || '/' || channel topic, count(*) n, min(t_us) * 1000 lo, max(t_us) * 1000 hi from e group by 1")
 def _(t):
     import pandas as pd
 
@@ -89,7 +89,7 @@ def _(t):
     return _recordings(t).select("content").mapInPandas(read, "topic string, log_time long").groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.min("log_time").alias("lo"), F.max("log_time").alias("hi"))
 
 
-@query("recording_window", "select vehicle_id, seq, event_id, k from e where user_id % 4 = 0 and channel in ('pose', 'ego_pose') and t_us >= 1705000000000000 and t_us < 1705900000000000")
+@query("recording_window", "select vehicle_id, seq, event_id, k from e where channel in ('pose', 'ego_pose') and t_us >= 1705000000000000 and t_us < 1705900000000000")
 def _(t):
     import pandas as pd
 
@@ -140,20 +140,21 @@ def _(t):
     return r.select("vehicle_id", cut6(F.col("home")[0]).alias("home_lat"), cut6(F.col("home")[1]).alias("home_lon"))
 
 
-@query("merged_timeline", "select t_us, 0 kind, event_id id from signals where vehicle_id = 'v4' union all select t_us, 1, seq from perception where vehicle_id = 'v4'")
+@query("merged_timeline", "select vehicle_id, t_us, 0 kind, event_id id from signals union all select vehicle_id, t_us, 1, seq from perception")
 def _(t):
-    a = t.signals().where("vehicle_id = 'v4'").select("t_us", F.col("event_id").alias("id"), F.lit(0).alias("kind"))
-    b = t.perception().where("vehicle_id = 'v4'").select(us("sensor_time").alias("t_us"), F.col("seq").alias("id"), F.lit(1).alias("kind"))
-    return files.merged_timeline(a, b).select("t_us", "kind", "id")
+    a = t.signals().select("vehicle_id", "t_us", F.col("event_id").alias("id"), F.lit(0).alias("kind"))
+    b = t.perception().select("vehicle_id", us("sensor_time").alias("t_us"), F.col("seq").alias("id"), F.lit(1).alias("kind"))
+    return files.merged_timeline(a, b).select("vehicle_id", "t_us", "kind", "id")
 
 
-@query("timeline_order", ", m as (select t_us, 0 kind, event_id id from signals where user_id = 4 union all select t_us, 1, t_us + 1 from signals where user_id = 4) select id, row_number() over (order by t_us, kind, id) n from m")
+@query("timeline_order", ", m as (select vehicle_id, t_us, 0 kind, event_id id from signals union all select vehicle_id, t_us, 1, t_us + 1 from signals) select vehicle_id, id, row_number() over (partition by vehicle_id order by t_us, kind, id) n from m")
 def _(t):
-    s = t.signals().where("vehicle_id = 'v4'")
-    a = s.select("t_us", F.col("event_id").alias("id"))
-    b = s.select("t_us", (F.col("t_us") + 1).alias("id"))
+    """Each vehicle's places in the one order that the timeline of the whole fleet has."""
+    s = t.signals()
+    a = s.select("vehicle_id", "t_us", F.col("event_id").alias("id"))
+    b = s.select("vehicle_id", "t_us", (F.col("t_us") + 1).alias("id"))
     both = files.merged_timeline(a, b).withColumn("_n", F.monotonically_increasing_id())
-    return both.select("id", F.row_number().over(W.orderBy("_n")).cast("long").alias("n"))
+    return both.select("vehicle_id", "id", F.row_number().over(W.partitionBy("vehicle_id").orderBy("_n")).cast("long").alias("n"))
 
 
 # ---- whole boxes and final views of all layers ----

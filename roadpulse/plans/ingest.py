@@ -112,9 +112,9 @@ def _(t):
     return read.where("type <> 'ODD_SUSTAINED' and message is not null").select("vehicle_id", "type", "boot_id", "seq", "event_ms", "location")
 
 
-@query("clip_lines", """select '{"clip_id":"' || segment_id || '","vehicle_id":"' || vehicle_id || '","size_bytes":' || size_bytes || ',"state":"' || state || '"}' as line from segments where o_orderkey % 8 = 0""")
+@query("clip_lines", """select '{"clip_id":"' || segment_id || '","vehicle_id":"' || vehicle_id || '","size_bytes":' || size_bytes || ',"state":"' || state || '"}' as line from segments""")
 def _(t):
-    return files.json_lines(t.segments().where("o_orderkey % 8 = 0").select(F.col("segment_id").alias("clip_id"), "vehicle_id", "size_bytes", "state"))
+    return files.json_lines(t.segments().select(F.col("segment_id").alias("clip_id"), "vehicle_id", "size_bytes", "state"))
 
 
 # ---- frames of the uplink ----
