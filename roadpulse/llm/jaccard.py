@@ -41,8 +41,8 @@ WORDS = 3
 LEAST = (9, 10)
 #: Entries of the table of word counts.
 SLOTS = 1 << 18
-#: A set's rarest n-grams that clusters are made by, as a multiple of its keys: the more, the fewer sets seem alike that aren't.
-EXTENT = 2
+#: A set's rarest n-grams that clusters are made by are one in so many of all, its keys at the least: the more, the fewer sets seem alike that aren't.
+CLUSTERED = 5
 #: Words, 64 bits each, of the bitmap that texts must pass before they are moved.
 BITMAP = 1 << 18
 #: N-grams, eight bytes each, that one task holds of a group.
@@ -132,7 +132,7 @@ def key_count(size: int, least: tuple[int, int] = LEAST) -> int:
 
 
 def sets_of(documents: DataFrame, weights: np.ndarray, n: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
-    """-> doc_id, mark, size, h1, h2 (the set's digest), keys (its rarest n-grams, eight bytes each, EXTENT times as many as are keys), fp (bits that more than half of its hashes have)."""
+    """-> doc_id, mark, size, h1, h2 (the set's digest), keys (its rarest n-grams, eight bytes each, the first of which are keys), fp (bits that more than half of its hashes have)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -145,7 +145,7 @@ def sets_of(documents: DataFrame, weights: np.ndarray, n: int = WORDS, least: tu
                 digest = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), dtype=np.int64)
                 ones = sum((np.unpackbits(found[at : at + PART // 64].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for at in range(0, len(found), PART // 64)), np.zeros(64, dtype=np.int64))
                 fp = np.packbits(ones * 2 > len(found), bitorder="little").view(np.int64)[0]
-                rows.append((len(found), digest[0], digest[1], found[: EXTENT * key_count(len(found), least)].tobytes() if len(found) else b"", fp))
+                rows.append((len(found), digest[0], digest[1], found[: max(key_count(len(found), least), len(found) // CLUSTERED + 2)].tobytes() if len(found) else b"", fp))
             yield pd.concat([b[["doc_id", "mark"]].reset_index(drop=True), pd.DataFrame(rows, columns=["size", "h1", "h2", "keys", "fp"])], axis=1)
 
     return long_ids(texts_of(documents).mapInPandas(run, "doc_id string, mark long, size long, h1 long, h2 long, keys binary, fp long"))
@@ -372,7 +372,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, least: tuple[int, int] = LEAST) -
             yield pd.DataFrame({"head": head, "top": ids[tops[kept]], "node": ids[kept]}, dtype=np.int64)
 
     sized = pairs.join(nodes.select("node", "size").hint("merge"), "node")
-    large = cut(sized.groupBy("head").agg(F.sum("size").alias("load")).where(F.col("load") * (least[1] - least[0]) * EXTENT > PART * least[1]).select("head"))
+    large = cut(sized.groupBy("head").agg(F.sum("size").alias("load")).where(F.col("load") * max(1 - least[0] / least[1], 1 / CLUSTERED) > PART).select("head"))
     calm = pairs.join(large.hint("merge"), "head", "left_anti").join(nodes.select("node", "size", "keys").hint("merge"), "node").select("head", "node", "size", "keys")
     whole = pairs.join(large.hint("merge"), "head", "left_semi").select("head", F.col("head").alias("top"), "node")
     return sorted_by(calm, "head").mapInPandas(run, "head long, top long, node long").union(whole)
