@@ -24,11 +24,11 @@ an empty table gives an empty result; further columns are ignored, whatever thei
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,16 +111,16 @@ def texts_of(documents: DataFrame) -> DataFrame:
 def word_weights(documents: DataFrame) -> np.ndarray:
     """Logarithmic counts of all words of all documents, by the low bits of their hashes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = WordHashes(), np.zeros(SLOTS, dtype=np.int64)
         for b in batches:
-            for text in b["text"]:
-                used, n = np.unique(hashes.of(text) & np.uint64(SLOTS - 1), return_counts=True)
+            for text in b["text"]:  # one text at a time leaves Arrow's memory
+                used, n = np.unique(hashes.of(text.as_py()) & np.uint64(SLOTS - 1), return_counts=True)
                 counts[used] += n
         used = np.flatnonzero(counts)
-        yield pd.DataFrame({"slot": used, "n": counts[used]})
+        yield pa.record_batch({"slot": used, "n": counts[used]})
 
-    counted = texts_of(documents).select("text").mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
+    counted = texts_of(documents).select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
     weights = np.zeros(SLOTS, dtype=np.uint8)
     weights[counted["slot"].to_numpy(dtype=np.int64)] = np.round(4 * np.log2(1.0 + counted["n"].to_numpy(dtype=np.float64))).astype(np.uint8)
     return weights
@@ -134,21 +134,23 @@ def key_count(size: int, least: tuple[int, int] = LEAST) -> int:
 def sets_of(documents: DataFrame, weights: np.ndarray, n: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
     """-> doc_id, mark, size, h1, h2 (the set's digest), keys (its rarest n-grams, eight bytes each, the first of which are keys), fp (bits that more than half of its hashes have)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hashes = WordHashes()
         for b in batches:
             rows = []
             for text in b["text"]:
-                found = ngrams(hashes.of(text), weights, n)
+                found = ngrams(hashes.of(text.as_py()), weights, n)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), dtype=np.int64)
                 ones = sum((np.unpackbits(found[at : at + PART // 64].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for at in range(0, len(found), PART // 64)), np.zeros(64, dtype=np.int64))
                 fp = np.packbits(ones * 2 > len(found), bitorder="little").view(np.int64)[0]
                 rows.append((len(found), digest[0], digest[1], found[: max(key_count(len(found), least), len(found) // CLUSTERED + 2)].tobytes() if len(found) else b"", fp))
-            yield pd.concat([b[["doc_id", "mark"]].reset_index(drop=True), pd.DataFrame(rows, columns=["size", "h1", "h2", "keys", "fp"])], axis=1)
+            size, h1, h2, keys, fp = zip(*rows) if rows else [()] * 5
+            long = lambda x: np.array(x, dtype=np.int64)
+            yield pa.record_batch({"doc_id": b["doc_id"], "mark": b["mark"], "size": long(size), "h1": long(h1), "h2": long(h2), "keys": pa.array(keys, pa.binary()), "fp": long(fp)})
 
-    return long_ids(texts_of(documents).mapInPandas(run, "doc_id string, mark long, size long, h1 long, h2 long, keys binary, fp long"))
+    return long_ids(texts_of(documents).mapInArrow(run, "doc_id string, mark long, size long, h1 long, h2 long, keys binary, fp long"))
 
 
 def passing(rows: DataFrame, marks: DataFrame) -> DataFrame:
@@ -159,40 +161,33 @@ def passing(rows: DataFrame, marks: DataFrame) -> DataFrame:
     return rows.withColumn("word", word("mark")).join(F.broadcast(bitmap), "word").where(F.expr(f"bits & {bit} <> 0")).drop("word", "bits")
 
 
-def with_grams(documents: DataFrame, seats: DataFrame, weights: np.ndarray, n: int = WORDS) -> DataFrame:
-    """(node, mark, ..) -> the same columns without mark, size and grams: all n-grams of the text that the mark belongs to. Texts are moved once, their n-grams are not kept."""
+def with_texts(documents: DataFrame, seats: DataFrame) -> DataFrame:
+    """(mark, ..) -> the same columns without mark, and the text that the mark belongs to. A text moves in place of its n-grams, which are several times as long and can't be compressed."""
     rest = [c for c in seats.columns if c != "mark"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, node, grams = WordHashes(), None, b""
-        for b in batches:
-            made = []
-            for at, text in zip(b["node"], b["text"]):
-                if at != node:  # a node's seats follow each other
-                    node, grams = at, ngrams(hashes.of(text), weights, n).tobytes()
-                made.append(grams)
-            yield b.drop(columns="text").assign(size=[len(g) // 8 for g in made], grams=made)
-
     of_mark = seats.groupBy("mark").agg(F.collect_list(F.struct(*rest)).alias("seats"))  # one a set, but for the seats of what a large cluster shares
     texts = passing(texts_of(documents).select("mark", "text"), seats.select("mark"))
     met = texts.join(of_mark.hint("merge"), "mark")
     once = met.groupBy("mark").agg(F.first("text").alias("text"), F.first("seats").alias("seats"))  # a row may be repeated
-    each = once.select("text", F.explode("seats").alias("seat")).select("seat.*", "text")
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seats.schema.fields if f.name != "mark")
-    return each.mapInPandas(run, f"{types}, size long, grams binary")
+    return once.select("text", F.explode("seats").alias("seat")).select("seat.*", "text")
+
+
+def trie_of(texts: Iterable[pa.StringScalar], hashes: WordHashes, weights: np.ndarray, n: int, least: tuple[int, int]) -> Trie:
+    sets = [ngrams(hashes.of(t.as_py()), weights, n) for t in texts]
+    return Trie(sets, [len(s) for s in sets], least)
 
 
 def shared_heads(nodes: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     """(node, size, keys) -> distinct (head, node) pairs, heads with themselves included, under which all sets that may be similar meet."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [np.frombuffer(k, dtype=np.int64)[: key_count(size, least)] if size else np.zeros(0, dtype=np.int64) for size, k in zip(b["size"], b["keys"])]
+            sizes = b["size"].to_numpy()
+            parts = [k[: key_count(size, least)] if size else k for size, k in zip(sizes.tolist(), _sequences(b["keys"], np.int64))]
             counts = [len(p) for p in parts]
             if sum(counts):
-                yield pd.DataFrame({"key": np.concatenate(parts), "node": np.repeat(b["node"].to_numpy(), counts), "size": np.repeat(b["size"].to_numpy(), counts)})
+                yield pa.record_batch({"key": np.concatenate(parts), "node": np.repeat(b["node"].to_numpy(), counts), "size": np.repeat(sizes, counts)})
 
-    keyed = nodes.select("node", "size", "keys").mapInPandas(run, "key long, node long, size long")
+    keyed = nodes.select("node", "size", "keys").mapInArrow(run, "key long, node long, size long")
     often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi")).where("n > 1").select("key", "lo", "hi")
     ratio = least[1] / least[0]
     # sizes of similar sets are within `ratio`, so in one class or in two next to each other; the small term keeps rounding on the safe side
@@ -326,32 +321,43 @@ def forest(trie: Trie, first: int, probes: list[int] | None = None, all_pairs: b
     return links, joined
 
 
-def groups_of(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Groups of rows that arrive sorted by `by`; one is held at a time."""
-    held: list[pd.DataFrame] = []
+def groups_of(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple, dict]]:
+    """Groups of rows that arrive sorted by `by`, as columns: numbers in arrays of numpy, texts and bytes in Arrow's. One is held at a time."""
+    held: list[dict] = []
     key = None
+
+    def whole() -> dict:
+        if len(held) == 1:
+            return held[0]
+        return {c: np.concatenate([h[c] for h in held]) if isinstance(v, np.ndarray) else pa.chunked_array([h[c] for h in held]) for c, v in held[0].items()}
+
     for b in batches:
-        if not len(b):
+        if not b.num_rows:
             continue
-        marks = b[by].to_numpy()
-        edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), len(b)]
+        columns = {n: c if pa.types.is_string(c.type) or pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for n, c in zip(b.schema.names, b.columns)}
+        marks = np.column_stack([columns[c] for c in by])
+        edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), len(marks)]
         for a, e in zip(edges, edges[1:]):
             now = tuple(marks[a].tolist())
             if now != key and held:
-                yield key, pd.concat(held)
+                yield key, whole()
                 held = []
             key = now
-            held.append(b.iloc[a:e])
+            held.append({n: c[a:e] for n, c in columns.items()})
     if held:
-        yield key, pd.concat(held)
+        yield key, whole()
 
 
 def sorted_by(rows: DataFrame, *by: str) -> DataFrame:
     return rows.repartition(*by).sortWithinPartitions(*by)
 
 
-def _sequences(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype=np.uint64) for x in column]
+def _sequences(column, of: type = np.uint64) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype=of) for x in column]
+
+
+def _rows(rows: list[tuple], *names: str) -> pa.RecordBatch:
+    return pa.record_batch({n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*rows) if rows else [()] * len(names))})
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -360,22 +366,23 @@ def likely(pairs: DataFrame, nodes: DataFrame, least: tuple[int, int] = LEAST) -
     Groups too large for one task are taken as they are.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (head,), g in groups_of(batches, ["head"]):
-            if len(g) < 2:
+            ids = g["node"]
+            if len(ids) < 2:
                 continue
-            ids, trie = g["node"].to_numpy(), Trie(_sequences(g["keys"]), g["size"].tolist(), least)
+            trie = Trie(_sequences(g["keys"]), g["size"].tolist(), least)
             trie.whole = False
             _, joined = forest(trie, int(np.flatnonzero(ids == head)[0]))
-            tops = np.array([joined.of(i) for i in range(len(g))])
+            tops = np.array([joined.of(i) for i in range(len(ids))])
             kept = np.bincount(tops)[tops] > 1
-            yield pd.DataFrame({"head": head, "top": ids[tops[kept]], "node": ids[kept]}, dtype=np.int64)
+            yield pa.record_batch({"head": np.full(int(kept.sum()), head), "top": ids[tops[kept]], "node": ids[kept]})
 
     sized = pairs.join(nodes.select("node", "size").hint("merge"), "node")
     large = cut(sized.groupBy("head").agg(F.sum("size").alias("load")).where(F.col("load") * max(1 - least[0] / least[1], 1 / CLUSTERED) > PART).select("head"))
     calm = pairs.join(large.hint("merge"), "head", "left_anti").join(nodes.select("node", "size", "keys").hint("merge"), "node").select("head", "node", "size", "keys")
     whole = pairs.join(large.hint("merge"), "head", "left_semi").select("head", F.col("head").alias("top"), "node")
-    return sorted_by(calm, "head").mapInPandas(run, "head long, top long, node long").union(whole)
+    return sorted_by(calm, "head").mapInArrow(run, "head long, top long, node long").union(whole)
 
 
 def clusters(local: DataFrame, nodes: DataFrame, more: DataFrame | None = None) -> DataFrame:
@@ -404,18 +411,19 @@ def set_links(documents: DataFrame, nodes: DataFrame, weights: np.ndarray, n: in
     columns = ["head", "top", "node", "mark", "part", "parts"]
     seats = dealt.where("node <> top").select(*columns).union(dealt.where("node = top").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select(*columns))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for (head, top, _), g in groups_of(batches, ["head", "top", "part"]):
-            ids, several = g["node"].to_numpy(), int(g["parts"].iloc[0]) > 1
-            trie, first = Trie(_sequences(g["grams"]), g["size"].tolist(), least), int(np.flatnonzero(ids == top)[0])
+            ids, several = g["node"].tolist(), int(g["parts"][0]) > 1
+            trie, first = trie_of(g["text"], hashes, weights, n, least), ids.index(top)
             links, joined = forest(trie, first, all_pairs=all_pairs)
             rows = [(ids[i], ids[j], None, None) for i, j in links]
             if several:
                 rows += [(i, None, head, top) for k, i in enumerate(ids) if i != top and (all_pairs or joined.of(k) != joined.of(first))]
-            yield pd.DataFrame(rows, columns=["a", "b", "head", "top"]).astype("Int64")
+            yield _rows(rows, "a", "b", "head", "top")
 
-    sized = sorted_by(with_grams(documents, seats, weights, n), "head", "top", "part")
-    found = cut(sized.mapInPandas(run, "a long, b long, head long, top long"))
+    met = sorted_by(with_texts(documents, seats), "head", "top", "part")
+    found = cut(met.mapInArrow(run, "a long, b long, head long, top long"))
     links = found.where("b is not null").select("a", "b")
     loose = found.where("b is null").select("head", "top", F.col("a").alias("node"))
     if not loose.isEmpty():
@@ -432,20 +440,21 @@ def loose_links(documents: DataFrame, loose: DataFrame, dealt: DataFrame, weight
     probes = placed.withColumn("part", F.explode(F.expr("filter(sequence(0, parts - 1), p -> p <> part)"))).select(*columns)
     members = dealt.join(blocks.hint("merge"), ["head", "top"]).withColumns({"block": F.explode(F.expr("sequence(0, blocks - 1)")), "probe": F.lit(False)}).select(*columns)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for _, g in groups_of(batches, ["head", "top", "part", "block"]):
-            asks, ids = g["probe"].to_numpy(dtype=bool), g["node"].to_numpy()
+            asks, ids = g["probe"], g["node"].tolist()
             if asks.all() or not asks.any():
                 continue
-            trie, joined, rows = Trie(_sequences(g["grams"]), g["size"].tolist(), least), Joined(len(g)), []
+            trie, joined, rows = trie_of(g["text"], hashes, weights, n, least), Joined(len(ids)), []
             for i in np.flatnonzero(asks):
                 for j in trie.like(int(i), lambda j: asks[j] or not all_pairs and joined.of(j) == joined.of(i)):
                     rows.append((ids[i], ids[j]))
                     joined.join(int(i), j)
-            yield pd.DataFrame(rows, columns=["a", "b"], dtype=np.int64)
+            yield _rows(rows, "a", "b")
 
-    met = with_grams(documents, probes.union(members), weights, n)
-    return sorted_by(met, "head", "top", "part", "block").mapInPandas(run, "a long, b long")
+    met = with_texts(documents, probes.union(members))
+    return sorted_by(met, "head", "top", "part", "block").mapInArrow(run, "a long, b long")
 
 
 def named_sets(documents: DataFrame, weights: np.ndarray, n: int = WORDS, least: tuple[int, int] = LEAST) -> tuple[DataFrame, DataFrame]:

@@ -129,3 +129,17 @@ def test_hashes_of_words():
     assert len(set(known.values())) == len(known) > 2000
     many = hashes.of(" ".join(f"w{i}" for i in range(200_000)))
     assert len(np.unique(many)) == 200_000
+
+
+def test_whole_sets_move_as_texts(spark, monkeypatch):
+    """What is dealt to the tasks that compare whole sets has the bytes of the texts, not eight for each n-gram."""
+    moved, dealt = [], jaccard.sorted_by
+    monkeypatch.setattr(jaccard, "sorted_by", lambda rows, *by: (moved.append(rows), dealt(rows, *by))[1])
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") + rng.choice("ijklmnop") for _ in range(400)) for _ in range(6)]
+    table = spark.createDataFrame([(2 * i + k, t + " end" * k) for i, t in enumerate(texts) for k in (0, 1)], "doc_id long, text string")
+    jaccard.similar_documents(table).collect()
+    whole = next(rows for rows in moved if "part" in rows.columns)
+    held = [c for c, of in whole.dtypes if of in ("string", "binary")]
+    sizes = whole.agg(*[F.sum(F.octet_length(c)).alias(c) for c in held]).first()
+    assert 0 < sum(sizes) <= sum(len(t) + 4 * k for t in texts for k in (0, 1))
