@@ -43,7 +43,10 @@ class Testbed:
 
     def signals_raw(self) -> DataFrame:
         """The same in the declared shape, with typed maps, and `offset` as arrival order."""
-        return self.flat().selectExpr(
+        return self._typed(self.flat())
+
+    def _typed(self, flat: DataFrame) -> DataFrame:
+        return flat.selectExpr(
             "vehicle_id", "boot_id", "seq", "scene_id", "channel", "timestamp_micros(t_us) as sensor_time", "timestamp_micros(t_us) as log_time", "timestamp_micros(ingest_us) as ingest_time",
             "map('speed', value, 'vehicle_speed', value - 3, 'mission_active', if(k % 3 <> 0, 1D, 0D), 'planned_stop', if(k % 4 = 0, 1D, 0D), 'sensor_healthy', if(k % 5 <> 0, 1D, 0D)) as values_num",
             "map('translation', array(value, cast(k as double), 0D), 'accel', array(value / 10 - 3, 0D, 9.8D)) as values_vec",
@@ -51,7 +54,8 @@ class Testbed:
         )
 
     def signals(self) -> DataFrame:
-        return final_view(self.signals_raw(), tie=("dup",))
+        """The final view, chosen among plain columns: maps are several times as large, and would all be sorted."""
+        return self._typed(final_view(self.flat(), version="ingest_us", tie=("dup",)))
 
     def perception(self) -> DataFrame:
         return self.table("lineitem").selectExpr(

@@ -4,7 +4,9 @@ import os
 
 import pytest
 
+from roadpulse.operators import aggregates
 from roadpulse.plans import catalog, extracts, ingest, registry  # noqa: F401
+from roadpulse.plans.testbed import Testbed
 
 from .oracle import compare, connect
 
@@ -25,3 +27,13 @@ def test_query(spark, con, name):
         assert compare(df, con, registry.ORACLE_SQL[name]) == ""
     else:
         assert df.count() > 0
+
+
+def test_signals_are_chosen_among_plain_columns(spark):
+    plan = Testbed(spark, SF).signals()._jdf.queryExecution().optimizedPlan().toString()
+    assert "map(" in plan and "map(" not in plan[plan.index("Window") :]
+
+
+def test_a_summary_of_keyframes_sorts_its_boxes_once(spark):
+    plan = aggregates.keyframe_summary(Testbed(spark, SF).perception())._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
