@@ -79,28 +79,16 @@ def _(t):
 
 @query("recording_topics", "select '/' || vehicle_id || '/' || channel topic, count(*) n, min(t_us) * 1000 lo, max(t_us) * 1000 hi from e group by 1")
 def _(t):
-    import pandas as pd
-
-    def read(batches):
-        for b in batches:
-            rows = [m for c in b["content"] for m in mcap.messages(bytes(c))]
-            yield pd.DataFrame([(m[0], m[3]) for m in rows], columns=["topic", "log_time"])
-
-    return _recordings(t).select("content").mapInPandas(read, "topic string, log_time long").groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.min("log_time").alias("lo"), F.max("log_time").alias("hi"))
+    read = mcap.read_contents(_recordings(t).select(F.col("segment").alias("path"), "content"))
+    return read.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.min("log_time").alias("lo"), F.max("log_time").alias("hi"))
 
 
 @query("recording_window", "select vehicle_id, seq, event_id, k from e where channel in ('pose', 'ego_pose') and t_us >= 1705000000000000 and t_us < 1705900000000000")
 def _(t):
-    import pandas as pd
-
-    def read(batches):
-        lo, hi = 1_705_000_000_000_000_000, 1_705_900_000_000_000_000
-        for b in batches:
-            rows = [(s, m[2], m[5].decode()) for s, c in zip(b["segment"], b["content"]) for m in mcap.messages(bytes(c), {f"/{s}/pose", f"/{s}/ego_pose"}, lo, hi)]
-            yield pd.DataFrame(rows, columns=["vehicle_id", "seq", "data"])
-
-    got = _recordings(t).select("segment", "content").mapInPandas(read, "vehicle_id string, seq long, data string")
-    return got.select("vehicle_id", "seq", F.from_json("data", "event_id long, k int").alias("d")).select("vehicle_id", "seq", "d.event_id", "d.k")
+    files = _recordings(t).select(F.col("segment").alias("path"), "content")
+    got = mcap.read_contents(files, lambda s: {f"/{s}/pose", f"/{s}/ego_pose"}, 1_705_000_000_000_000_000, 1_705_900_000_000_000_000)
+    d = F.from_json(F.decode("data", "UTF-8"), "event_id long, k int").alias("d")
+    return got.select(F.col("path").alias("vehicle_id"), F.col("sequence").alias("seq"), d).select("vehicle_id", "seq", "d.event_id", "d.k")
 
 
 # ---- projections ----

@@ -152,3 +152,10 @@ def test_columns_are_coded_as_records_are():
         wanted = [avro._read(c, fields) for c in cut]
         assert repr(read.to_pylist()) == repr(avro._column(wanted, read.type).to_pylist())
         assert 100 < sum(w is None for w in wanted) < 500
+
+
+def test_messages_of_many_recordings_are_held_in_bounded_numbers(spark):
+    rows = spark.range(40).selectExpr("concat('s', id % 4) as segment", "'t' as topic", "'json' as encoding", "id as sequence", "id as log_time", "encode(cast(id as string), 'UTF-8') as data")
+    files = mcap.write_segments(rows).select(F.col("segment").alias("path"), "content").coalesce(1)
+    read = mcap.read_contents(files, lambda s: None if s != "s3" else {"other"}, 0, 32, most=3)
+    assert sorted(r["sequence"] for r in read.collect()) == [k for k in range(32) if k % 4 != 3]
