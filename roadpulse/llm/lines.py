@@ -153,8 +153,8 @@ def forms_of(members: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame
     return cut(found.groupBy("node").agg(F.min("form").alias("form"), F.max("n_lines").alias("n_lines")))  # rows that are equal hold the line at one place
 
 
-def line_links(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Links (a, b) between the hashes of different lines of at least SIMILARITY; their components are those of all such links within buckets."""
+def line_components(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, component) of the hashes of different lines: what all links of at least SIMILARITY within buckets connect."""
     members = bucket_members(rows, known)
     tidy(members.sparkSession)
     forms = forms_of(members, rows, known)
@@ -170,17 +170,19 @@ def line_links(rows: DataFrame, known: DataFrame) -> DataFrame:
     links = cut(links.union(more))
     tidy(members.sparkSession)
 
-    left = still_apart(members, links)
+    components = cut(connected_components(links))
+    left = still_apart(members, components)
     if left.isEmpty():
-        return links
+        return components
     sharp = cut(sketches(forms.join(left.select("node").distinct().hint("merge"), "node", "left_semi")))
-    return links.union(similar(cut(block_pairs(left, sharp)), forms))
+    stars = components.select(F.col("node").alias("a"), F.col("component").alias("b"))  # they stand for the links that made them
+    return connected_components(stars.union(similar(cut(block_pairs(left, sharp)), forms)))
 
 
-def still_apart(members: DataFrame, links: DataFrame) -> DataFrame:
-    """All members, heads too, of the buckets that `links` leave in several components: key, node, component, and n, the bucket's size. Buckets of at most HEADS are done by then."""
+def still_apart(members: DataFrame, components: DataFrame) -> DataFrame:
+    """All members, heads too, of the buckets that `components` leave apart: key, node, component, and n, the bucket's size. Buckets of at most HEADS are done by then."""
     everyone = members.select("key", "node").union(members.where("at = 2").select("key", "head"))
-    named = everyone.join(connected_components(links).hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    named = everyone.join(components.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     named = cut(named)
     several = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where(f"lo < hi and n > {HEADS}")
     return cut(named.join(several.select("key", "n").hint("merge"), "key"))
@@ -251,7 +253,7 @@ def removed_lines(documents: DataFrame, occurrences: DataFrame | None = None) ->
     rows = keyed(documents)
     occurrences = (cut(occurrences_of(rows)) if occurrences is None else occurrences).where("node is not null")
     known = cut(known_lines(occurrences))
-    components = connected_components(line_links(rows, known))
+    components = line_components(rows, known)
     total = known.agg(F.sum("copies")).first()[0] or 0
     named = known.join(components.hint("merge"), "node", "left").where("copies > 1 or component is not null")
     named = cut(named.select("node", "copies", "mixed", F.coalesce("component", "node").alias("component")))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadpulse.llm import chat, fingerprints, lines, packing, pieces, quality, secrets, simhash, topk, toxicity
+from roadpulse.llm import chat, components, fingerprints, lines, packing, pieces, quality, secrets, simhash, topk, toxicity
 from roadpulse.llm.common import held_out, tokenizer_file
 from roadpulse.llm.components import connected_components
 
@@ -51,6 +51,29 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_small_graph_take_few_tasks(spark, monkeypatch):
+    """However many partitions shuffles have, a round's edges stand in as many as their number asks for; so tasks, and their events, don't outgrow the edges."""
+    kept = []
+
+    def counted(df, cut=components.cut):
+        kept.append(cut(df))
+        return kept[-1]
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(components, "cut", counted)
+    monkeypatch.setattr(components, "EDGES", 50)
+    try:
+        edges = [(k, k + 1) for k in range(120)] + [(1000, k) for k in range(1001, 1020)]
+        found = connected_components(spark.createDataFrame(edges, "a long, b long"))
+        assert {x["node"]: x["component"] for x in found.collect()} == {k: 0 for k in range(121)} | {k: 1000 for k in range(1000, 1020)}
+        assert max(df.rdd.getNumPartitions() for df in kept[1:]) <= 139 // 50 + 1
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 # ---- 1 chat ----
 
 
