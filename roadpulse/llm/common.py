@@ -37,10 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets the driver find plans that nothing refers to any more, so that Spark's cleaner removes their shuffle files before the next job writes its own."""
+def tidy(spark: SparkSession, wait: float = 0.3) -> None:
+    """Lets the driver find plans that nothing refers to any more, so that Spark's cleaner removes their shuffle files before the next job writes its own.
+
+    The bridge to the JVM lets go of collected objects in a thread of its own, which looks for them once a second: after a shorter `wait` they may go at the next call only.
+    """
     gc.collect()
-    time.sleep(0.3)  # the bridge to the JVM lets go of collected objects in a thread of its own
+    time.sleep(wait)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -38,6 +38,8 @@ SIMILARITY = 0.8
 ROWS, GRID, CLASSES = 4, 5, 2
 #: Shingles that one row carries while signatures are made.
 STEP = 4
+#: The bits of a shingle's hash that signatures are made of.
+UPPER = -(1 << 32)
 #: Members of a bucket, its most frequent lines, that all others of other components are compared with.
 HEADS = 4
 BLOCK = 1024
@@ -45,6 +47,8 @@ BLOCK = 1024
 WORDS = 32
 #: Lines that make up this share of all lines, at most one in it of them, are decided by broadcast.
 HOT_SHARE = 512
+#: Seconds after which a step's shuffle files, a good part of the input, are sure to be let go before the next step writes its own.
+RELEASE = 1.5
 #: The place of rows without an id.
 LAST = (1 << 63) - 1
 
@@ -62,6 +66,11 @@ def folded(line: F.Column) -> F.Column:
     return F.trim(F.lower(spaced))
 
 
+def blank(line: F.Column) -> F.Column:
+    """True of lines whose folded form is empty. Asked of the line itself, as a filter on the form would have it folded twice."""
+    return F.btrim(line, F.lit(" \t\r\f\x0b")) == ""
+
+
 def keyed(documents: DataFrame) -> DataFrame:
     """(doc_id, text) -> place, row, text: the order of ids, and what tells rows apart that aren't equal."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -71,7 +80,7 @@ def keyed(documents: DataFrame) -> DataFrame:
 def line_rows(rows: DataFrame) -> DataFrame:
     """place, row, idx, form of the lines that aren't blank."""
     lines = rows.select("place", "row", F.posexplode(F.split("text", "\n", -1)).alias("idx", "line"))
-    return lines.select("place", "row", "idx", folded(F.col("line")).alias("form")).where("form <> ''")
+    return lines.where(~blank(F.col("line"))).select("place", "row", "idx", folded(F.col("line")).alias("form"))
 
 
 def shingles(form: str) -> str:
@@ -79,12 +88,12 @@ def shingles(form: str) -> str:
 
 
 def signatures(forms: DataFrame) -> DataFrame:
-    """(form) -> node, m0, m1, ..: one row per distinct form. Each row of shingles is four bytes a character, STEP shingles wide."""
+    """(form) -> node, m0, m1, ..: one row per distinct form. Each row of shingles is four bytes a character, STEP shingles wide. Of a value the upper half counts, so that the rest is zeros, which take little room."""
     ends = F.expr(f"greatest(0, cast(octet_length(b) div 4 as int) - {SHINGLE})")
     bare = forms.select(F.xxhash64("form").alias("node"), F.encode("form", "UTF-32").alias("b")).select("node", "b", ends.alias("z"))
     starts = bare.select("node", "b", "z", F.explode(F.expr(f"sequence(0, z, {STEP})")).alias("i"))
-    hashes = starts.select("node", *[F.expr(f"xxhash64(substring(b, 4 * least(i + {k}, z) + 1, {4 * SHINGLE}))").alias(f"h{k}") for k in range(STEP)])
-    least = lambda p: F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(p)) for k in range(STEP)]))
+    hashes = starts.select("node", *[F.expr(f"xxhash64(substring(b, 4 * least(i + {k}, z) + 1, {4 * SHINGLE})) & {UPPER}").alias(f"h{k}") for k in range(STEP)])
+    least = lambda p: F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(p & UPPER)) for k in range(STEP)]))
     return hashes.groupBy("node").agg(*[least(p).alias(f"m{i}") for i, p in enumerate(points(GRID * ROWS))])
 
 
@@ -95,9 +104,9 @@ def band_values() -> list[list[int]]:
 
 
 def band_rows(signed: DataFrame) -> DataFrame:
-    """(node, copies, m0, m1, ..) -> node, copies, key: one row per band."""
-    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{v}" for v in values]) for b, values in enumerate(band_values())])
-    return signed.select("node", "copies", F.explode(keys).alias("key"))
+    """(node, copies, m0, m1, ..) -> node, key, copies: one row per band. Keys have 40 bits and stand before the copies, so that zeros come in one run; what shares a key by chance is told apart like all candidates."""
+    keys = F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(b), *[f"m{v}" for v in values]), 24) for b, values in enumerate(band_values())])
+    return signed.select("node", F.explode(keys).alias("key"), "copies")
 
 
 def shared_ends() -> dict[str, str]:
@@ -156,9 +165,9 @@ def forms_of(members: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame
 def line_components(rows: DataFrame, known: DataFrame) -> DataFrame:
     """(node, component) of the hashes of different lines: what all links of at least SIMILARITY within buckets connect."""
     members = bucket_members(rows, known)
-    tidy(members.sparkSession)
+    tidy(members.sparkSession, RELEASE)
     forms = forms_of(members, rows, known)
-    tidy(members.sparkSession)
+    tidy(members.sparkSession, RELEASE)
     marks = cut(bitmaps(forms))
     links = cut(similar(within_bound(members.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), marks), forms))
 
@@ -168,7 +177,7 @@ def line_components(rows: DataFrame, known: DataFrame) -> DataFrame:
     pairs = unlike.join(others.hint("merge"), "key").select("node", F.explode("others").alias("other")).where("node <> other")
     more = similar(within_bound(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), marks), forms)
     links = cut(links.union(more))
-    tidy(members.sparkSession)
+    tidy(members.sparkSession, RELEASE)
 
     components = cut(connected_components(links))
     left = still_apart(members, components)
@@ -243,7 +252,7 @@ def joined_by_share(rows: DataFrame, groups: DataFrame, on: list[str], size: str
 def occurrences_of(rows: DataFrame) -> DataFrame:
     """place, row, idx, node, check, n_lines of all lines that aren't blank, and of each row's first line, whose node is null if it is blank: so every row of the table has one at idx 0."""
     lines = rows.select("place", "row", F.split("text", "\n", -1).alias("lines")).select("place", "row", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("idx", "line"))
-    hashed = lines.select("place", "row", "idx", "n_lines", folded(F.col("line")).alias("form")).where("form <> '' or idx = 0")
+    hashed = lines.where(~blank(F.col("line")) | (F.col("idx") == 0)).select("place", "row", "idx", "n_lines", folded(F.col("line")).alias("form"))
     mark = lambda *c: F.when(F.col("form") != "", F.xxhash64(*c))
     return hashed.select("place", "row", "idx", mark("form").alias("node"), mark(F.lit("line"), F.col("form")).alias("check"), "n_lines")
 
@@ -257,7 +266,7 @@ def removed_lines(documents: DataFrame, occurrences: DataFrame | None = None) ->
     total = known.agg(F.sum("copies")).first()[0] or 0
     named = known.join(components.hint("merge"), "node", "left").where("copies > 1 or component is not null")
     named = cut(named.select("node", "copies", "mixed", F.coalesce("component", "node").alias("component")))
-    tidy(rows.sparkSession)
+    tidy(rows.sparkSession, RELEASE)
     touched = joined_by_share(occurrences, named, ["node"], "copies", total)
     # different lines under one hash are told apart by a second one
     touched = cut(touched.select("place", "row", "idx", "component", F.when(F.col("mixed"), F.col("check")).otherwise(0).alias("form")))

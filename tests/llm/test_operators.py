@@ -538,6 +538,24 @@ def test_line_dedup_rows(spark):
     assert sorted(tuple(r) for r in lines.dedup_lines(named).collect()) == [(1, copied, 1, 2, 3, 4), (2, "", 1, 2, 3, 4)]
 
 
+def test_lines_are_folded_once(spark):
+    """Blank lines are told by the line itself, exactly as by its form, and no filter folds it a second time."""
+    odd = ["", " ", "\t", " \t\r\f\x0b ", "\xa0", " \xa0\t", "\u2003", "a", " B\t c ", "\x0b.\r", "\x1c", "\0"]
+    df = spark.createDataFrame([(x,) for x in odd], "line string")
+    assert [x[0] for x in df.select(lines.blank(F.col("line"))).collect()] == [x[0] == "" for x in df.select(lines.folded(F.col("line"))).collect()]
+    rows = lines.keyed(spark.createDataFrame([(1, "\n".join(odd)), (2, "\t\nx")], "doc_id long, text string"))
+    for found in (lines.line_rows(rows), lines.occurrences_of(rows)):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert sorted((x["place"], x["idx"], x["node"] is None) for x in lines.occurrences_of(rows).collect()) == [(1, 0, True), *[(1, k, False) for k in (4, 5, 6, 7, 8, 9, 10, 11)], (2, 0, True), (2, 1, False)]
+
+
+def test_band_rows_and_signatures_leave_runs_of_zeros(spark):
+    """What is moved once a line and once a band: values of 32 bits, keys of 40 bits, as random bytes can't be compressed."""
+    signed = lines.signatures(spark.createDataFrame([("some line of text %d" % k,) for k in range(50)], "form string")).withColumn("copies", F.lit(1))
+    assert all(x[f"m{i}"] & 0xFFFFFFFF == 0 for x in signed.collect() for i in range(lines.GRID * lines.ROWS))
+    assert all(0 <= x["key"] < 1 << 40 for x in lines.band_rows(signed).collect())
+
+
 def test_crowded_line_buckets(spark):
     r = random.Random(9)
     base = "".join(r.choice("abcdefghij klmno") for _ in range(400)).strip()
