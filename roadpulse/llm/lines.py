@@ -5,7 +5,7 @@ than a shingle is one shingle. A signature has one least value for each of GRID
 permutations of the shingles' hashes. A permutation is an exclusive or with a point of its own, so
 every value agrees with the probability of the Jaccard similarity, whatever the sizes.
 Bands are lines of a grid of these values, any two of which share one value at most; lines of text that agree in a band are candidates, and the
-Jaccard similarity of their shingle sets decides. Links are joined into
+Jaccard similarity of their shingle sets, held as 64-bit hashes, decides. Links are joined into
 components; of each the first line, by document and position, stays.
 
 No pairs are made within a bucket. Its members are first compared with its most frequent line. Those that stay in other
@@ -43,7 +43,7 @@ UPPER = -(1 << 32)
 #: Members of a bucket, its most frequent lines, that all others of other components are compared with.
 HEADS = 4
 BLOCK = 1024
-#: 64-bit words of a line's bitmap, a power of two.
+#: 64-bit words of a line's sketch, a power of two.
 WORDS = 32
 #: Lines that make up this share of all lines, at most one in it of them, are decided by broadcast.
 HOT_SHARE = 512
@@ -84,15 +84,16 @@ def line_rows(rows: DataFrame) -> DataFrame:
 
 
 def shingles(form: str) -> str:
-    return f"if(length({form}) < {SHINGLE}, array({form}), regexp_extract_all({form}, '(?s)(?=(.{{{SHINGLE}}}))', 1))"
+    """SQL: the 64-bit hashes of a line's shingles, repeats included. The line is encoded once, by the outer step, and cut at places known beforehand."""
+    return f"transform(array(encode({form}, 'UTF-32')), b -> transform(sequence(0, greatest(0, cast(octet_length(b) div 4 as int) - {SHINGLE})), i -> xxhash64(substring(b, 4 * i + 1, {4 * SHINGLE}))))[0]"
 
 
 def signatures(forms: DataFrame) -> DataFrame:
-    """(form) -> node, m0, m1, ..: one row per distinct form. Each row of shingles is four bytes a character, STEP shingles wide. Of a value the upper half counts, so that the rest is zeros, which take little room."""
-    ends = F.expr(f"greatest(0, cast(octet_length(b) div 4 as int) - {SHINGLE})")
-    bare = forms.select(F.xxhash64("form").alias("node"), F.encode("form", "UTF-32").alias("b")).select("node", "b", ends.alias("z"))
+    """(form) -> node, m0, m1, ..: one row per distinct form. Each row of shingles is two bytes a character (four beyond U+FFFF, which count as two), STEP shingles wide. Of a value the upper half counts, so that the rest is zeros, which take little room."""
+    ends = F.expr(f"greatest(0, cast(octet_length(b) div 2 as int) - {SHINGLE})")
+    bare = forms.select(F.xxhash64("form").alias("node"), F.encode("form", "UTF-16BE").alias("b")).select("node", "b", ends.alias("z"))
     starts = bare.select("node", "b", "z", F.explode(F.expr(f"sequence(0, z, {STEP})")).alias("i"))
-    hashes = starts.select("node", *[F.expr(f"xxhash64(substring(b, 4 * least(i + {k}, z) + 1, {4 * SHINGLE})) & {UPPER}").alias(f"h{k}") for k in range(STEP)])
+    hashes = starts.select("node", *[F.expr(f"xxhash64(substring(b, 2 * least(i + {k}, z) + 1, {2 * SHINGLE})) & {UPPER}").alias(f"h{k}") for k in range(STEP)])
     least = lambda p: F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(p & UPPER)) for k in range(STEP)]))
     return hashes.groupBy("node").agg(*[least(p).alias(f"m{i}") for i, p in enumerate(points(GRID * ROWS))])
 
@@ -109,33 +110,12 @@ def band_rows(signed: DataFrame) -> DataFrame:
     return signed.select("node", F.explode(keys).alias("key"), "copies")
 
 
-def shared_ends() -> dict[str, str]:
-    """SQL: lengths of the common start p and, after it, the common end e of form_a and form_b, each bit of a length from the highest down."""
-    grown = "aggregate(sequence(cast(log2({0} + 1) as int), 0, -1), 0, (k, i) -> if(k + shiftleft(1, i) <= {0} and {1}(form_a, k + shiftleft(1, i)) = {1}(form_b, k + shiftleft(1, i)), k + shiftleft(1, i), k))"
-    return {"p": grown.format("least(la, lb)", "left"), "e": grown.format("(least(la, lb) - p)", "right")}
-
-
 def similar(pairs: DataFrame, forms: DataFrame) -> DataFrame:
-    """(a, b, most) nodes and a number of shingles that their union has at least -> those whose shingle sets have a Jaccard similarity of SIMILARITY at least.
-
-    Shingles inside a common start or end are in both sets. If the others, or those of them that only one line has, are few enough that the
-    similarity can't fall below SIMILARITY, the whole sets needn't be built; else they are.
-    """
+    """(a, b, both) nodes and the sizes of their shingle sets together -> those whose sets have a Jaccard similarity of SIMILARITY at least. The sets are of hashes, built once a pair."""
     a, b = (forms.select(F.col("node").alias(c), F.col("form").alias(f"form_{c}")) for c in ("a", "b"))
-    near = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").withColumns({"la": F.length("form_a"), "lb": F.length("form_b")})
-    ends = shared_ends()
-    # steps of their own: a filter above would else be put in place of them, and they be worked out again wherever it names them
-    near = near.select("*", F.explode(F.array(F.expr(ends["p"]))).alias("p"))
-    near = near.select("*", F.explode(F.array(F.expr(ends["e"]))).alias("e"))
-    inside = f"(greatest(p - {SHINGLE - 1}, 0) + greatest(e - {SHINGLE - 1}, 0))"
-    outside = f"(greatest(la - {SHINGLE - 1}, 1) - {inside} + greatest(lb - {SHINGLE - 1}, 1) - {inside})"
-    sure = F.expr(f"{outside} <= {1 - SIMILARITY} * most - 1e-6")
-    near = near.withColumns({f"m{c}": F.expr(f"substring(form_{c}, greatest(p - {SHINGLE - 1}, 0) + 1, least(l{c}, l{c} - e + {SHINGLE - 1}) - greatest(p - {SHINGLE - 1}, 0))") for c in ("a", "b")})
-    # both sets are built once for either question, and what stands between the common ends is asked first
-    sets = "transform(array(struct({} as sa, {} as sb)), s -> {})[0]"
-    middle = F.expr(sets.format(shingles("ma"), shingles("mb"), f"size(array_union(s.sa, s.sb)) - size(array_intersect(s.sa, s.sb)) <= {1 - SIMILARITY} * most - 1e-6"))
-    whole = F.expr(sets.format(shingles("form_a"), shingles("form_b"), f"size(array_intersect(s.sa, s.sb)) >= {SIMILARITY} * size(array_union(s.sa, s.sb))"))
-    return near.where(F.when(sure, F.lit(True)).when(middle, F.lit(True)).otherwise(whole)).select("a", "b")
+    near = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
+    shared = f"size(array_intersect({shingles('form_a')}, {shingles('form_b')}))"
+    return near.where(F.expr(f"transform(array({shared}), n -> n >= {SIMILARITY} * (both - n))[0]")).select("a", "b")
 
 
 def known_lines(occurrences: DataFrame) -> DataFrame:
@@ -168,7 +148,7 @@ def line_components(rows: DataFrame, known: DataFrame) -> DataFrame:
     tidy(members.sparkSession, RELEASE)
     forms = forms_of(members, rows, known)
     tidy(members.sparkSession, RELEASE)
-    marks = cut(bitmaps(forms))
+    marks = cut(sketches(forms))
     links = cut(similar(within_bound(members.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), marks), forms))
 
     # what isn't like its bucket's head is compared with a few more members
@@ -183,9 +163,8 @@ def line_components(rows: DataFrame, known: DataFrame) -> DataFrame:
     left = still_apart(members, components)
     if left.isEmpty():
         return components
-    sharp = cut(sketches(forms.join(left.select("node").distinct().hint("merge"), "node", "left_semi")))
     stars = components.select(F.col("node").alias("a"), F.col("component").alias("b"))  # they stand for the links that made them
-    return connected_components(stars.union(similar(cut(block_pairs(left, sharp)), forms)))
+    return connected_components(stars.union(similar(cut(block_pairs(left, marks)), forms)))
 
 
 def still_apart(members: DataFrame, components: DataFrame) -> DataFrame:
@@ -197,48 +176,32 @@ def still_apart(members: DataFrame, components: DataFrame) -> DataFrame:
     return cut(named.join(several.select("key", "n").hint("merge"), "key"))
 
 
-def bitmaps(forms: DataFrame) -> DataFrame:
-    """(node, form) -> node, size, w0..: the number of shingles, repeats included, and the bits that they fall on."""
-    ends = F.expr(f"greatest(0, cast(octet_length(b) div 4 as int) - {SHINGLE})")
-    bare = forms.select("node", F.encode("form", "UTF-32").alias("b")).select("node", "b", ends.alias("z"))
-    starts = bare.select("node", "b", "z", F.explode(F.expr(f"sequence(0, z, {STEP})")).alias("i"))
-    hashes = starts.select("node", "z", *[F.expr(f"xxhash64(substring(b, 4 * least(i + {k}, z) + 1, {4 * SHINGLE}))").alias(f"h{k}") for k in range(STEP)])
-    bit = lambda k, w: f"if(shiftright(h{k}, 6) & {WORDS - 1} = {w}, shiftleft(1L, cast(h{k} & 63 as int)), 0L)"
-    words = [F.expr(f"bit_or({' | '.join(bit(k, w) for k in range(STEP))})").alias(f"w{w}") for w in range(WORDS)]
-    return hashes.groupBy("node").agg((F.max("z") + 1).alias("size"), *words)
-
-
 def sketches(forms: DataFrame) -> DataFrame:
-    """The same, but sharper and dearer: size is the number of different shingles, and a bit the parity of those that fall on it, so that all but a few of the shingles that two lines don't share show."""
-    x = forms.select("node", F.explode(F.array_distinct(F.expr(shingles("form")))).alias("x")).select("node", F.xxhash64("x").alias("h"))
+    """(node, form) -> node, size, w0..: the number of different shingles, and a bit for each place of a hash, the parity of the shingles that fall on it. So all but a few of the shingles that two lines don't share show."""
+    h = forms.select("node", F.explode(F.array_distinct(F.expr(shingles("form")))).alias("h"))
     words = [F.expr(f"bit_xor(if(shiftright(h, 6) & {WORDS - 1} = {w}, shiftleft(1L, cast(h & 63 as int)), 0L))").alias(f"w{w}") for w in range(WORDS)]
-    return x.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *words)
+    return h.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *words)
 
 
 def bound(a: str, b: str) -> str:
-    """SQL: two lines of s shingles together are similar only if d of these are in one alone and d (1 + SIMILARITY) <= s (1 - SIMILARITY); their words differ in at most d bits."""
+    """SQL: two lines of s shingles together are similar only if the smaller has SIMILARITY of the larger's, which is asked first, and if d of them are in one alone and d (1 + SIMILARITY) <= s (1 - SIMILARITY); their words differ in at most d bits."""
     differ = " + ".join(f"bit_count({a}.w{k} ^ {b}.w{k})" for k in range(WORDS))
-    return f"({differ}) * {1 + SIMILARITY} <= ({a}.size + {b}.size) * {1 - SIMILARITY} + 1e-6"
-
-
-def bits(of: str) -> F.Column:
-    """Bits that are set: no more than the line has different shingles, whether they stand for hits or for parities."""
-    return F.expr(" + ".join(f"bit_count({of}.w{k})" for k in range(WORDS)))
+    return f"least({a}.size, {b}.size) >= {SIMILARITY} * greatest({a}.size, {b}.size) - 1e-6 and ({differ}) * {1 + SIMILARITY} <= ({a}.size + {b}.size) * {1 - SIMILARITY} + 1e-6"
 
 
 def within_bound(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The pairs (a, b) that their bitmaps don't rule out, and `most`, a number of shingles that one of them has at least."""
+    """The pairs (a, b) that their sketches don't rule out, and `both`, the sizes of the two sets together."""
     l, r = (marks.select(F.col("node").alias(c), F.struct("size", *[f"w{k}" for k in range(WORDS)]).alias(f"of_{c}")) for c in ("a", "b"))
-    return pairs.join(l.hint("merge"), "a").join(r.hint("merge"), "b").where(bound("of_a", "of_b")).select("a", "b", F.greatest(bits("of_a"), bits("of_b")).alias("most"))
+    return pairs.join(l.hint("merge"), "a").join(r.hint("merge"), "b").where(bound("of_a", "of_b")).select("a", "b", F.expr("of_a.size + of_b.size").alias("both"))
 
 
 def block_pairs(left: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs (a, b, most) of a bucket in different components that their bitmaps don't rule out. Members fall into blocks by hash, and every two blocks meet under one key."""
+    """Pairs (a, b, both) of a bucket in different components that their sketches don't rule out. Members fall into blocks by hash, and every two blocks meet under one key."""
     members = left.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     meet = members.withColumn("m", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, block) as i, greatest(o, block) as j))")))
     met = meet.join(marks.hint("merge"), "node").select("key", "m.i", "m.j", "block", "component", *marks.columns)
     on = F.expr(f"l.key = r.key and l.i = r.i and l.j = r.j and l.node < r.node and l.component <> r.component and (l.i = l.j or l.block <> r.block) and {bound('l', 'r')}")
-    return met.alias("l").join(met.alias("r").hint("merge"), on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.greatest("l.size", "r.size").alias("most")).distinct()
+    return met.alias("l").join(met.alias("r").hint("merge"), on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.expr("l.size + r.size").alias("both")).distinct()
 
 
 def joined_by_share(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:

@@ -556,6 +556,32 @@ def test_band_rows_and_signatures_leave_runs_of_zeros(spark):
     assert all(0 <= x["key"] < 1 << 40 for x in lines.band_rows(signed).collect())
 
 
+def test_lines_are_compared_as_sets_of_hashes(spark):
+    """Sizes come with the pairs, shingles aren't cut out as texts, and decisions are those of the sets of texts: at the limit too, for repeats, short lines and characters beyond U+FFFF."""
+    r = random.Random(21)
+    some = lambda n, of="abcdefghij": "".join(r.choice(of) for _ in range(n))
+    limit = some(96)  # 89 shingles
+    forms = [limit, limit + some(19), limit + some(22), limit + some(23), limit + some(40), "short", "shore", "ha " * 24 + "ha", "ha " * 9 + "ha", "a" * 8, "a" * 300]
+    for _ in range(8):
+        line = some(60, "abc\u00e9\u0e01\U0001f600\U0001f601")
+        forms += [line, line[:29] + "#" + line[30:], line + some(11), line[:50]]
+    sets = {f: {f[k : k + lines.SHINGLE] for k in range(max(1, len(f) - lines.SHINGLE + 1))} for f in forms}
+    d = spark.createDataFrame([(k, f) for k, f in enumerate(forms)], "node long, form string")
+    marks = lines.sketches(d)
+    assert {x["node"]: x["size"] for x in marks.collect()} == {k: len(sets[f]) for k, f in enumerate(forms)}
+    pairs = spark.createDataFrame(list(itertools.combinations(range(len(forms)), 2)), "a long, b long")
+    found = lines.similar(lines.within_bound(pairs, marks), d)
+    want = {(a, b) for a, b in itertools.combinations(range(len(forms)), 2) if (n := len(sets[forms[a]] & sets[forms[b]])) >= lines.SIMILARITY * (len(sets[forms[a]]) + len(sets[forms[b]]) - n)}
+    assert {tuple(x) for x in found.collect()} == want and len(want) > 10
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_beyond_the_first_plane_share_bands(spark):
+    r = random.Random(4)
+    made = [[r.choice("ab\U0001f600\U0001f601\U0001f602\U00020000\U00020001") for _ in range(120)] for _ in range(200)]
+    assert share_found(spark, [("".join(w), "".join([*w[:60], "#", *w[61:]])) for w in made]) >= 0.97
+
+
 def test_crowded_line_buckets(spark):
     r = random.Random(9)
     base = "".join(r.choice("abcdefghij klmno") for _ in range(400)).strip()
