@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of a batch of texts between Spark and Python. A batch stands on either side, and twice on Spark's while its buffer grows.
+BATCH = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH) -> Iterator[None]:
+    """Batches that Arrow passes to Python within are of about `size` bytes, however long the texts are, in place of a number of rows alone. Of what runs within, not of what is only declared there."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def tidy(spark: SparkSession, wait: float = 0.3) -> None:
     """Lets the driver find plans that nothing refers to any more, so that Spark's cleaner removes their shuffle files before the next job writes its own.
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, long_ids, read_table
+from .common import cut, long_ids, read_table, small_batches
 from .components import connected_components
 
 WORDS = 3
@@ -222,9 +222,13 @@ class Trie:
     def __init__(self, sequences: list[np.ndarray], sizes: list[int], least: tuple[int, int] = LEAST):
         self.p, self.q = least
         lengths = [len(s) for s in sequences]
-        values, dense = np.unique(np.concatenate(sequences), return_inverse=True)
+        every = np.concatenate(sequences)
+        values, dense = np.unique(every), np.empty(len(every), dtype=np.int32)
+        for at in range(0, len(every), PART // 16):  # by parts, as np.unique's own inverse takes several times the room of a group
+            dense[at : at + PART // 16] = np.searchsorted(values, every[at : at + PART // 16])
+        del every
         ends = np.cumsum([0, *lengths])
-        self.sets = [dense[a:b][::-1].astype(np.int32) for a, b in zip(ends, ends[1:])]  # the commonest first
+        self.sets = [dense[a:b][::-1] for a, b in zip(ends, ends[1:])]  # the commonest first
         self.sizes, self.whole = sizes, lengths == list(sizes)
         self.has = np.zeros(len(values), dtype=bool)
         order = sorted(range(len(sequences)), key=lambda i: self.sets[i].byteswap().tobytes())
@@ -468,9 +472,10 @@ def named_sets(documents: DataFrame, weights: np.ndarray, n: int = WORDS, least:
 def similar_documents(documents: DataFrame, n: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id."""
     documents = documents.select("doc_id", "text")
-    weights = word_weights(documents)
-    rows, nodes = named_sets(documents, weights, n, least)
-    found = connected_components(set_links(documents, nodes, weights, n, least))
+    with small_batches(documents.sparkSession):
+        weights = word_weights(documents)
+        rows, nodes = named_sets(documents, weights, n, least)
+        found = connected_components(set_links(documents, nodes, weights, n, least))
     placed = cut(nodes.select("node", "h1", "h2", "low").join(found.hint("merge"), "node", "left").select("h1", "h2", "low", F.coalesce("component", "node").alias("component")))
     names = placed.groupBy("component").agg(F.min("low").alias("component_id"))
     of_set = placed.join(names.hint("merge"), "component").select("h1", "h2", "component_id")
@@ -481,9 +486,10 @@ def similar_documents(documents: DataFrame, n: int = WORDS, least: tuple[int, in
 def similar_pairs(documents: DataFrame, n: int = WORDS, least: tuple[int, int] = LEAST) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text) -> all links (a, b) between different sets, and membership (doc_id, node, size)."""
     documents = documents.select("doc_id", "text")
-    weights = word_weights(documents)
-    rows, nodes = named_sets(documents, weights, n, least)
-    links = set_links(documents, nodes, weights, n, least, all_pairs=True)
+    with small_batches(documents.sparkSession):
+        weights = word_weights(documents)
+        rows, nodes = named_sets(documents, weights, n, least)
+        links = set_links(documents, nodes, weights, n, least, all_pairs=True)
     return links, rows.join(nodes.select("h1", "h2", "node").hint("merge"), ["h1", "h2"]).select("doc_id", "node", "size")
 
 

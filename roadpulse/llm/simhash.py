@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard as ngrams
-from .common import cut, long_ids, read_table, whole_texts
+from .common import cut, long_ids, read_table, small_batches, whole_texts
 from .components import connected_components
 
 SHINGLE = 4
@@ -206,12 +206,13 @@ def without_copies(documents: DataFrame, shingle: int = 5, least: tuple[int, int
     Texts without words are all alike. Of equal rows one stays.
     """
     base = documents.select("doc_id", "text")
-    weights = ngrams.word_weights(base)
-    rows, nodes = ngrams.named_sets(base, weights, shingle, least)
-    prints = cut(nodes.where("size > 0").groupBy("fp").agg(F.min("node").alias("node")))  # sets of one fingerprint are candidates too
-    of_print = nodes.where("size > 0").select("fp", F.col("node").alias("a")).join(prints.select("fp", F.col("node").alias("b")).hint("merge"), "fp").where("a <> b").select("a", "b")
-    found = ngrams.set_links(base, nodes, weights, shingle, least, more=links(prints).union(of_print))
-    named = connected_components(found)
+    with small_batches(documents.sparkSession):
+        weights = ngrams.word_weights(base)
+        rows, nodes = ngrams.named_sets(base, weights, shingle, least)
+        prints = cut(nodes.where("size > 0").groupBy("fp").agg(F.min("node").alias("node")))  # sets of one fingerprint are candidates too
+        of_print = nodes.where("size > 0").select("fp", F.col("node").alias("a")).join(prints.select("fp", F.col("node").alias("b")).hint("merge"), "fp").where("a <> b").select("a", "b")
+        found = ngrams.set_links(base, nodes, weights, shingle, least, more=links(prints).union(of_print))
+        named = connected_components(found)
     placed = nodes.select("node", "h1", "h2").join(named.hint("merge"), "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
     of_row = cut(rows.join(placed.hint("merge"), ["h1", "h2"]).select("component", "mark", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark").alias("place")))
     stay = of_row.groupBy("component").agg(F.min("place").alias("place")).select(F.col("place.mark").alias("mark"))

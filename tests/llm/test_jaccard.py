@@ -1,8 +1,10 @@
 """The Jaccard join against all pairs."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +145,37 @@ def test_whole_sets_move_as_texts(spark, monkeypatch):
     held = [c for c, of in whole.dtypes if of in ("string", "binary")]
     sizes = whole.agg(*[F.sum(F.octet_length(c)).alias(c) for c in held]).first()
     assert 0 < sum(sizes) <= sum(len(t) + 4 * k for t in texts for k in (0, 1))
+
+
+def test_texts_reach_python_in_batches_of_bounded_size(spark, monkeypatch):
+    """Long texts come by bytes, not 10,000 rows at a time, in op12 and in the pipeline's stage; the session's own setting is back afterwards."""
+    import corpus_pipeline
+
+    name, most, real = "spark.sql.execution.arrow.maxBytesPerBatch", [], jaccard.set_links
+    texts = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 3000).alias("t"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch({"n": [b.nbytes]})
+
+    def spied(*a, **k):
+        most.append(texts.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0])
+        return real(*a, **k)
+
+    monkeypatch.setattr(jaccard, "set_links", spied)
+    before = spark.conf.get(name)
+    d = spark.createDataFrame([(k, f"some words of text number {k} and more") for k in range(4)], "doc_id long, text string")
+    assert jaccard.similar_documents(d).count() == 4 and corpus_pipeline.drop_near_copies(spark, d, "").count() == 4
+    assert len(most) == 2 and max(most) < 5 << 20 and spark.conf.get(name) == before
+
+
+def test_a_trie_is_built_in_bounded_room():
+    """Of a group of a million n-grams less than 32 bytes each beside its sequences, and ids by the order of hashes."""
+    r = np.random.default_rng(5)
+    sequences = [r.integers(0, 1 << 63, 5000, dtype=np.uint64) for _ in range(200)]
+    tracemalloc.start()
+    trie = jaccard.Trie(sequences, [5000] * 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    values = np.unique(np.concatenate(sequences))
+    assert peak < 32_000_000 and all((values[t] == q[::-1]).all() for t, q in zip(trie.sets, sequences))
