@@ -1,4 +1,4 @@
-"""Exact Jaccard join of documents on word n-grams by prefix trees.
+"""Exact Jaccard join of documents on word n-grams by their rarest ones.
 
 A document is the set of its n-grams. All sets are in one global order, rarest first: an n-gram's weight is the sum of its words'
 logarithmic counts over all documents (words fall into a table of fixed size, which can change the order but no result), ties by
@@ -6,11 +6,10 @@ hash. Equal sets are one node.
 
 Two sets of the wanted similarity share one of the rarest tenth of their n-grams, so these are keys. The sizes that a key's sets have
 fall into classes; classes next to each other form a chain, and the smallest node of a chain is the head of all its sets. What
-may be similar therefore meets under one head at least, and a family of near copies under few. Under a head the sets stand in
-a path-compressed trie, the commonest n-grams first. A probe walks it with its overlap so far, which all sets below a node share, and leaves
-out every subtree that can't reach the overlap it needs with what remains of its longest set. This is done with the keys alone first, which
-drops most sets and joins the others into clusters, and then with the whole sets of each cluster, so that a set moves once. Two sets that
-earlier links connect needn't be compared: a family costs one walk from its first set, not all pairs.
+may be similar therefore meets under one head at least, and a family of near copies under few. Under a head a probe meets the sets that hold
+one of its keys, found by lists, and only those are counted against the overlap that they need; sets without a common key cost nothing. This is
+done with the rarest n-grams alone first, which drops most sets and joins the others into clusters, and then with the whole sets of each cluster,
+so that a set moves once. Two sets that earlier links connect needn't be compared: a family costs one probe, that of its first set, not all pairs.
 
 A cluster too large for a task is taken apart again by heads, and what is still too large is dealt to parts that all hold one set, the first. Only what isn't connected with it in its own part, then
 meets the other parts, block by block.
@@ -25,7 +24,6 @@ an empty table gives an empty result; further columns are ignored, whatever thei
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -89,17 +87,23 @@ def ngrams(words: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
     if not len(words):
         return words
     if len(words) < n:
-        size, weight = len(words), np.array([int(weights[words & np.uint64(SLOTS - 1)].sum())])
+        size, weight = len(words), np.zeros(1, dtype=np.int64)
     else:
-        size, of_word = n, weights[words & np.uint64(SLOTS - 1)].astype(np.int64)
-        weight = sum(of_word[k : len(words) - n + 1 + k] for k in range(n))
+        size, of_word = n, weights[words & np.uint64(SLOTS - 1)].astype(np.uint16 if n < 256 else np.int64)
+        weight = of_word[: len(words) - n + 1].copy()
+        for k in range(1, n):
+            weight += of_word[k : len(words) - n + 1 + k]
     count = len(words) - size + 1
     found = np.full(count, size, dtype=np.uint64)
     for k in range(size):
         found = (found ^ (found >> np.uint64(29))) * _MIX[k % 2] + words[k : k + count]
     found = (found ^ (found >> np.uint64(32))) * _MIX[2]
-    found, first = np.unique(found, return_index=True)
-    return found[np.lexsort((found, weight[first]))]
+    order = np.argsort(found)
+    found = found[order]
+    new = np.ones(count, dtype=bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    found, order = found[new], order[new]
+    return found[np.argsort(weight[order], kind="stable")]  # short numbers, which numpy sorts by their digits
 
 
 def texts_of(documents: DataFrame) -> DataFrame:
@@ -113,10 +117,16 @@ def word_weights(documents: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = WordHashes(), np.zeros(SLOTS, dtype=np.int64)
+        held, size = [], 0
         for b in batches:
             for text in b["text"]:  # one text at a time leaves Arrow's memory
-                used, n = np.unique(hashes.of(text.as_py()) & np.uint64(SLOTS - 1), return_counts=True)
-                counts[used] += n
+                held.append((hashes.of(text.as_py()) & np.uint64(SLOTS - 1)).astype(np.int32))
+                size += len(held[-1])
+                if size >= SLOTS:  # counted together, as a count reads the whole table
+                    counts += np.bincount(np.concatenate(held), minlength=SLOTS)
+                    held, size = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=SLOTS)
         used = np.flatnonzero(counts)
         yield pa.record_batch({"slot": used, "n": counts[used]})
 
@@ -131,6 +141,12 @@ def key_count(size: int, least: tuple[int, int] = LEAST) -> int:
     return size - -(-size * least[0] // least[1]) + 1
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Bits that more than half of the hashes have."""
+    bits = (np.unpackbits(hashes[at : at + 65_535].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint16) for at in range(0, len(hashes), 65_535))
+    return np.packbits(sum(bits, np.zeros(64, dtype=np.int64)) * 2 > len(hashes), bitorder="little").view(np.int64)[0]
+
+
 def sets_of(documents: DataFrame, weights: np.ndarray, n: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
     """-> doc_id, mark, size, h1, h2 (the set's digest), keys (its rarest n-grams, eight bytes each, the first of which are keys), fp (bits that more than half of its hashes have)."""
 
@@ -143,8 +159,7 @@ def sets_of(documents: DataFrame, weights: np.ndarray, n: int = WORDS, least: tu
             for text in b["text"]:
                 found = ngrams(hashes.of(text.as_py()), weights, n)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), dtype=np.int64)
-                ones = sum((np.unpackbits(found[at : at + PART // 64].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for at in range(0, len(found), PART // 64)), np.zeros(64, dtype=np.int64))
-                fp = np.packbits(ones * 2 > len(found), bitorder="little").view(np.int64)[0]
+                fp = majority(found)
                 rows.append((len(found), digest[0], digest[1], found[: max(key_count(len(found), least), len(found) // CLUSTERED + 2)].tobytes() if len(found) else b"", fp))
             size, h1, h2, keys, fp = zip(*rows) if rows else [()] * 5
             long = lambda x: np.array(x, dtype=np.int64)
@@ -201,127 +216,114 @@ def shared_heads(nodes: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     return rows.join(heads.hint("merge"), ["key", "band"]).select("head", "node").distinct()
 
 
-@dataclass
-class Branch:
-    """Sets whose sequences agree from `start` to `end`: those that end here, and branches."""
-
-    start: int
-    end: int
-    of: int
-    sets: list[int] = field(default_factory=list)
-    below: list[Branch] = field(default_factory=list)
-    lo: int = 0
-    hi: int = 0
-    longest: int = 0
-    shortest: int = 0
-
-
 class Trie:
-    """Path-compressed trie over sequences of n-grams in one order; `sizes` are those of the whole sets, whose first n-grams the sequences may be."""
+    """Index of a group: its sets as ids, and by each of their keys the sets that have it; `sizes` are those of the whole sets, whose first n-grams the sequences may be.
+
+    A probe reads the lists of its own keys, so sets that share none of them cost it nothing, however many the group has. What is left of
+    them is counted at once, by a table of the probe's n-grams.
+    """
 
     def __init__(self, sequences: list[np.ndarray], sizes: list[int], least: tuple[int, int] = LEAST):
         self.p, self.q = least
-        lengths = [len(s) for s in sequences]
-        every = np.concatenate(sequences)
-        values, dense = np.unique(every), np.empty(len(every), dtype=np.int32)
-        for at in range(0, len(every), PART // 16):  # by parts, as np.unique's own inverse takes several times the room of a group
-            dense[at : at + PART // 16] = np.searchsorted(values, every[at : at + PART // 16])
-        del every
-        ends = np.cumsum([0, *lengths])
+        self.sizes, self.lengths = np.array(sizes, dtype=np.int64), np.array([len(s) for s in sequences], dtype=np.int64)
+        self.whole = bool((self.sizes == self.lengths).all())
+        dense, count = self._ids(np.concatenate(sequences))
+        self.has = np.zeros(count, dtype=np.uint8)
+        ends = np.append(0, np.cumsum(self.lengths))
         self.sets = [dense[a:b][::-1] for a, b in zip(ends, ends[1:])]  # the commonest first
-        self.sizes, self.whole = sizes, lengths == list(sizes)
-        self.has = np.zeros(len(values), dtype=bool)
-        order = sorted(range(len(sequences)), key=lambda i: self.sets[i].byteswap().tobytes())
-        common = [0]
-        for a, b in zip(order, order[1:]):
-            n = min(lengths[a], lengths[b])
-            differ = self.sets[a][:n] != self.sets[b][:n]
-            common.append(int(differ.argmax()) if differ.any() else n)
-        self.root = Branch(0, 0, order[0])
-        open_: list[tuple[int, int, Branch]] = [(0, len(order), self.root)]
-        made = [self.root]
-        while open_:
-            a, b, parent = open_.pop()
-            here = parent.end
-            while a < b and lengths[order[a]] == here:
-                parent.sets.append(order[a])
-                a += 1
-            while a < b:
-                stop = a + 1
-                while stop < b and common[stop] > here:
-                    stop += 1
-                branch = Branch(here, lengths[order[a]] if stop == a + 1 else min(common[a + 1 : stop]), order[a])
-                parent.below.append(branch)
-                made.append(branch)
-                open_.append((a, stop, branch))
-                a = stop
-        for branch in reversed(made):
-            inside = [self.sizes[i] for i in branch.sets] + [x for c in branch.below for x in (c.lo, c.hi)]
-            long = [lengths[i] for i in branch.sets] + [x for c in branch.below for x in (c.shortest, c.longest)]
-            branch.lo, branch.hi, branch.shortest, branch.longest = min(inside), max(inside), min(long), max(long)
-
-    def needed(self, x: int, size: int) -> int:
+        keys = np.minimum(self.sizes - -(-self.sizes * self.p // self.q) + 1, self.lengths)
+        self.keys = np.append(0, np.cumsum(keys))
+        of = np.concatenate([dense[a : a + k] for a, k in zip(ends, keys)])
+        order = np.argsort(of, kind="stable").astype(np.int32)
+        edge = np.append(np.flatnonzero(np.diff(of[order], prepend=-1)), len(of)).astype(np.int32)
+        self.start, self.many = np.empty(len(of), dtype=np.int32), np.empty(len(of), dtype=np.int32)
+        self.start[order], self.many[order] = np.repeat(edge[:-1], np.diff(edge)), np.repeat(np.diff(edge), np.diff(edge))
+        self.holders = np.repeat(np.arange(len(sequences), dtype=np.int32), keys)[order]
+
+    @staticmethod
+    def _ids(every: np.ndarray) -> tuple[np.ndarray, int]:
+        """Ranks of the values among all different ones, and how many these are."""
+        order = np.argsort(every)
+        every = every[order]
+        new = np.ones(len(every), dtype=bool)
+        np.not_equal(every[1:], every[:-1], out=new[1:])
+        del every
+        ids = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        dense = np.empty(len(ids), dtype=np.int32)
+        dense[order] = ids
+        return dense, int(ids[-1]) + 1 if len(ids) else 0
+
+    def needed(self, x, size):
         """Overlap of whole sets of these sizes that are similar."""
         return -(-self.p * (x + size) // (self.p + self.q))
 
-    def like(self, i: int, skip=lambda j: False) -> list[int]:
-        """Sets that are similar to set i or, where sequences are a part of their sets, may be."""
-        x, mine = self.sizes[i], len(self.sets[i])
-        self.has[self.sets[i]] = True
-        found, walk = [], [(self.root, 0)]
-        while walk:
-            branch, overlap = walk.pop()
-            if branch.hi * self.q < self.p * x or x * self.q < self.p * branch.lo:
-                continue
-            overlap += int(np.count_nonzero(self.has[self.sets[branch.of][branch.start : branch.end]]))
-            # what may still be shared below against what must be
-            most = overlap + min(branch.longest - branch.end, mine - overlap)
-            if self.whole:
-                short = most < self.needed(x, max(branch.lo, -(-self.p * x // self.q)))
-            else:
-                short = most < min(mine, branch.shortest) - max(branch.hi - self.needed(x, branch.hi), x - self.needed(x, branch.lo))
-            if short:
-                continue
-            for j in branch.sets:
-                size = self.sizes[j]
-                need = self.needed(x, size)
-                if not self.whole:
-                    need = min(mine, len(self.sets[j])) - (max(x, size) - need)
-                if j != i and overlap >= need and min(x, size) * self.q >= self.p * max(x, size) and not skip(j):
-                    found.append(j)
-            walk += [(c, overlap) for c in branch.below]
-        self.has[self.sets[i]] = False
-        return found
+    def like(self, i: int, keep=None) -> list[int]:
+        """Sets that are similar to set i or, where sequences are a part of their sets, may be; of those that `keep` lets through, a mask of an array of sets."""
+        a, b = self.keys[i], self.keys[i + 1]
+        start, many = self.start[a:b], self.many[a:b]
+        some = many > 1
+        if not some.any():
+            return []
+        near = np.unique(self.holders[_places(start[some].astype(np.int64), many[some])])
+        x = self.sizes[i]
+        size = self.sizes[near]
+        fine = (near != i) & (np.minimum(x, size) * self.q >= self.p * np.maximum(x, size))
+        if keep is not None:
+            fine &= keep(near)
+        near, size = near[fine], size[fine]
+        if not len(near):
+            return []
+        need = self.needed(x, size)
+        if not self.whole:
+            # of the first n-grams of both, those that come before the end of either
+            need = np.minimum(self.lengths[i], self.lengths[near]) - (np.maximum(x, size) - need)
+        return near[self._shared(i, near) >= need].tolist()
+
+    def _shared(self, i: int, others: np.ndarray) -> np.ndarray:
+        """N-grams that set i shares with each of the others, of which a bounded number is read at once."""
+        self.has[self.sets[i]] = 1
+        before = np.append(0, np.cumsum(self.lengths[others]))
+        out, at = np.empty(len(others), dtype=np.int64), 0
+        while at < len(others):
+            end = max(at + 1, int(np.searchsorted(before, before[at] + PART // 16, "right")) - 1)
+            read = np.concatenate([self.sets[j] for j in others[at:end]])
+            out[at:end] = np.add.reduceat(self.has[read], before[at:end] - before[at], dtype=np.int64)
+            at = end
+        self.has[self.sets[i]] = 0
+        return out
+
+
+def _places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of all items of lists that start at `starts`."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]))
 
 
 class Joined:
-    """Union-find of a group's sets."""
+    """Components of a group's sets: `of` has the first of each set's component."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def of(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+        self.of = np.arange(n)
 
-    def join(self, i: int, j: int) -> None:
-        a, b = self.of(i), self.of(j)
-        self.up[max(a, b)] = min(a, b)
+    def join(self, i: int, others: list[int]) -> None:
+        tops = np.unique(self.of[[i, *others]])
+        if len(tops) > 1:
+            self.of[np.isin(self.of, tops)] = tops[0]
 
 
-def forest(trie: Trie, first: int, probes: list[int] | None = None, all_pairs: bool = False) -> tuple[list[tuple[int, int]], Joined]:
-    """Links of the trie's sets whose components are those of all links, or all links; from `first`, then from every probe that isn't connected with it."""
+def forest(trie: Trie, first: int, all_pairs: bool = False) -> tuple[list[tuple[int, int]], Joined]:
+    """Links of the trie's sets whose components are those of all links, or all links; from `first`, then from every set that isn't connected with it."""
     joined, links = Joined(len(trie.sets)), []
-    rest = range(len(trie.sets)) if probes is None else probes
-    for i in [first, *(j for j in rest if j != first)] if probes is None else rest:
-        if not all_pairs and i != first and joined.of(i) == joined.of(first):
+    asked = np.zeros(len(trie.sets), dtype=bool)
+    for i in [first, *(j for j in range(len(trie.sets)) if j != first)]:
+        if not all_pairs and i != first and joined.of[i] == joined.of[first]:
             continue
-        # found in one walk: none of them was connected with i when it began
-        for j in trie.like(i, (lambda j: j <= i and probes is None) if all_pairs else (lambda j: joined.of(j) == joined.of(i))):
-            links.append((i, j))
-            joined.join(i, j)
+        # what was asked before has met this set already
+        found = trie.like(i, lambda js: ~asked[js] & (True if all_pairs else joined.of[js] != joined.of[i]))
+        asked[i] = True
+        if found:
+            links += [(i, j) for j in found]
+            joined.join(i, found)
     return links, joined
 
 
@@ -378,7 +380,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, least: tuple[int, int] = LEAST) -
             trie = Trie(_sequences(g["keys"]), g["size"].tolist(), least)
             trie.whole = False
             _, joined = forest(trie, int(np.flatnonzero(ids == head)[0]))
-            tops = np.array([joined.of(i) for i in range(len(ids))])
+            tops = joined.of
             kept = np.bincount(tops)[tops] > 1
             yield pa.record_batch({"head": np.full(int(kept.sum()), head), "top": ids[tops[kept]], "node": ids[kept]})
 
@@ -423,7 +425,7 @@ def set_links(documents: DataFrame, nodes: DataFrame, weights: np.ndarray, n: in
             links, joined = forest(trie, first, all_pairs=all_pairs)
             rows = [(ids[i], ids[j], None, None) for i, j in links]
             if several:
-                rows += [(i, None, head, top) for k, i in enumerate(ids) if i != top and (all_pairs or joined.of(k) != joined.of(first))]
+                rows += [(i, None, head, top) for k, i in enumerate(ids) if i != top and (all_pairs or joined.of[k] != joined.of[first])]
             yield _rows(rows, "a", "b", "head", "top")
 
     met = sorted_by(with_texts(documents, seats), "head", "top", "part")
@@ -451,10 +453,10 @@ def loose_links(documents: DataFrame, loose: DataFrame, dealt: DataFrame, weight
             if asks.all() or not asks.any():
                 continue
             trie, joined, rows = trie_of(g["text"], hashes, weights, n, least), Joined(len(ids)), []
-            for i in np.flatnonzero(asks):
-                for j in trie.like(int(i), lambda j: asks[j] or not all_pairs and joined.of(j) == joined.of(i)):
-                    rows.append((ids[i], ids[j]))
-                    joined.join(int(i), j)
+            for i in np.flatnonzero(asks).tolist():
+                found = trie.like(i, lambda js: ~asks[js] & (True if all_pairs else joined.of[js] != joined.of[i]))
+                rows += [(ids[i], ids[j]) for j in found]
+                joined.join(i, found)
             yield _rows(rows, "a", "b")
 
     met = with_texts(documents, probes.union(members))

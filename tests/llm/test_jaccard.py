@@ -1,6 +1,7 @@
 """The Jaccard join against all pairs."""
 
 import random
+import sys
 import tracemalloc
 
 import numpy as np
@@ -179,3 +180,25 @@ def test_a_trie_is_built_in_bounded_room():
     tracemalloc.stop()
     values = np.unique(np.concatenate(sequences))
     assert peak < 32_000_000 and all((values[t] == q[::-1]).all() for t, q in zip(trie.sets, sequences))
+
+
+def test_sets_without_a_common_key_cost_a_probe_nothing():
+    """Steps of a group of sets that are like none of the others grow with their number, not its square; what all have in common doesn't count."""
+    r, steps = np.random.default_rng(7), {}
+    for n in (150, 600):
+        common = np.arange(10, dtype=np.uint64)
+        sets = [np.concatenate([r.integers(1000, 1 << 60, 30, dtype=np.uint64), common]) for _ in range(n)]
+        sets[-1] = np.concatenate([[np.uint64(7)], sets[0][1:]])  # one pair is alike
+        trie, calls = jaccard.Trie(sets, [40] * n), [0]
+
+        def count(frame, event, arg, calls=calls):
+            calls[0] += event in ("call", "c_call")
+
+        sys.setprofile(count)
+        try:
+            links, _ = jaccard.forest(trie, 1)
+        finally:
+            sys.setprofile(None)
+        assert links == [(0, n - 1)]
+        steps[n] = calls[0]
+    assert steps[600] < 6 * steps[150]
