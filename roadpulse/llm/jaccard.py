@@ -147,8 +147,8 @@ def majority(hashes: np.ndarray) -> int:
     return np.packbits(sum(bits, np.zeros(64, dtype=np.int64)) * 2 > len(hashes), bitorder="little").view(np.int64)[0]
 
 
-def sets_of(documents: DataFrame, weights: np.ndarray, n: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
-    """-> doc_id, mark, size, h1, h2 (the set's digest), keys (its rarest n-grams, eight bytes each, the first of which are keys), fp (bits that more than half of its hashes have)."""
+def sets_of(documents: DataFrame, weights: np.ndarray, n: int = WORDS, least: tuple[int, int] = LEAST, prints: bool = True) -> DataFrame:
+    """-> doc_id, mark, size, h1, h2 (the set's digest), keys (its rarest n-grams, eight bytes each, the first of which are keys), fp (bits that more than half of its hashes have; zero without `prints`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -159,7 +159,7 @@ def sets_of(documents: DataFrame, weights: np.ndarray, n: int = WORDS, least: tu
             for text in b["text"]:
                 found = ngrams(hashes.of(text.as_py()), weights, n)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), dtype=np.int64)
-                fp = majority(found)
+                fp = majority(found) if prints else 0
                 rows.append((len(found), digest[0], digest[1], found[: max(key_count(len(found), least), len(found) // CLUSTERED + 2)].tobytes() if len(found) else b"", fp))
             size, h1, h2, keys, fp = zip(*rows) if rows else [()] * 5
             long = lambda x: np.array(x, dtype=np.int64)
@@ -463,9 +463,9 @@ def loose_links(documents: DataFrame, loose: DataFrame, dealt: DataFrame, weight
     return sorted_by(met, "head", "top", "part", "block").mapInArrow(run, "a long, b long")
 
 
-def named_sets(documents: DataFrame, weights: np.ndarray, n: int = WORDS, least: tuple[int, int] = LEAST) -> tuple[DataFrame, DataFrame]:
+def named_sets(documents: DataFrame, weights: np.ndarray, n: int = WORDS, least: tuple[int, int] = LEAST, prints: bool = True) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, mark, size, h1, h2), and one row per set, the empty one too: node, h1, h2, low (the smallest id), mark, size, keys, fp."""
-    rows = cut(sets_of(documents, weights, n, least))
+    rows = cut(sets_of(documents, weights, n, least, prints))
     same = ["size", "keys", "fp"]
     groups = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.min("mark").alias("mark"), *[F.first(c).alias(c) for c in same])
     return rows.select("doc_id", "mark", "size", "h1", "h2"), cut(groups).withColumn("node", F.monotonically_increasing_id())
@@ -476,7 +476,7 @@ def similar_documents(documents: DataFrame, n: int = WORDS, least: tuple[int, in
     documents = documents.select("doc_id", "text")
     with small_batches(documents.sparkSession):
         weights = word_weights(documents)
-        rows, nodes = named_sets(documents, weights, n, least)
+        rows, nodes = named_sets(documents, weights, n, least, prints=False)
         found = connected_components(set_links(documents, nodes, weights, n, least))
     placed = cut(nodes.select("node", "h1", "h2", "low").join(found.hint("merge"), "node", "left").select("h1", "h2", "low", F.coalesce("component", "node").alias("component")))
     names = placed.groupBy("component").agg(F.min("low").alias("component_id"))
@@ -490,7 +490,7 @@ def similar_pairs(documents: DataFrame, n: int = WORDS, least: tuple[int, int] =
     documents = documents.select("doc_id", "text")
     with small_batches(documents.sparkSession):
         weights = word_weights(documents)
-        rows, nodes = named_sets(documents, weights, n, least)
+        rows, nodes = named_sets(documents, weights, n, least, prints=False)
         links = set_links(documents, nodes, weights, n, least, all_pairs=True)
     return links, rows.join(nodes.select("h1", "h2", "node").hint("merge"), ["h1", "h2"]).select("doc_id", "node", "size")
 

@@ -202,3 +202,16 @@ def test_sets_without_a_common_key_cost_a_probe_nothing():
         assert links == [(0, n - 1)]
         steps[n] = calls[0]
     assert steps[600] < 6 * steps[150]
+
+
+def test_sets_without_fingerprints_are_the_same_sets(spark, monkeypatch):
+    """op12 reads no fingerprint, so none is made for it."""
+    rows = list(enumerate(chains(random.Random(2), 3, 4, 60) + ODD))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = jaccard.word_weights(docs)
+    plain_, marked = (jaccard.sets_of(docs, weights, prints=p).toPandas().sort_values("doc_id") for p in (False, True))
+    assert (plain_["fp"] == 0).all() and (marked["fp"] != 0).any()
+    assert plain_.drop(columns="fp").map(str).equals(marked.drop(columns="fp").map(str))
+    asked, real = [], jaccard.sets_of
+    monkeypatch.setattr(jaccard, "sets_of", lambda *a, **k: (asked.append(a), real(*a, **k))[1])
+    assert jaccard.similar_documents(docs).count() == len(rows) and asked[0][-1] is False
