@@ -14,8 +14,9 @@ QUATERNIONS = ("rotation", "q", "orientation")
 
 def header(name: str) -> Column:
     """Text of the last header of a name; null if there is none or it has no value."""
-    mine = F.filter("headers", lambda h: h["key"] == name)
-    return F.decode(F.try_element_at(mine, F.lit(-1))["value"], "UTF-8")
+    keys = F.col("headers")["key"]  # no lambda: what is known of headers when a query is planned, Spark folds away
+    from_end = F.array_position(F.reverse(keys), name)  # 0 if there is none, so the place is behind the last
+    return F.decode(F.get("headers", (F.size(keys) - from_end).cast("int"))["value"], "UTF-8")
 
 
 def envelope(records: DataFrame) -> DataFrame:

@@ -59,13 +59,13 @@ def _(t: Testbed):
 
 @query("stored_boxes", f"select vehicle_id, seq, sample_id, t_us, track_id, category, visibility, cast(num_lidar_pts as bigint) num_lidar_pts, cast(num_radar_pts as bigint) num_radar_pts, size_l from perception where {_BOX} is null")
 def _(t):
-    b = pipelines.bound(pipelines.decoded(_all_kinds(t)), "perception")
+    b = pipelines.bound(pipelines.decoded(_all_kinds(t), only="perception"), "perception")
     return b.select("vehicle_id", "seq", "sample_id", F.unix_micros("sensor_time").alias("t_us"), "track_id", "category", "visibility", "num_lidar_pts", "num_radar_pts", "size_l")
 
 
 @query("stored_clips", f"select vehicle_id, seq, segment_id, start_us, end_us, case when o_orderkey % 3 = 0 then 'CAM_FRONT,LIDAR_TOP' else 'CAM_FRONT' end channels, size_bytes, state, cast(date_trunc('day', make_timestamp(start_us)) as date) date from segments where {_SEG} is null")
 def _(t):
-    b = pipelines.bound(pipelines.decoded(_all_kinds(t)), "segment")
+    b = pipelines.bound(pipelines.decoded(_all_kinds(t), only="segment"), "segment")
     return b.select("vehicle_id", "seq", "segment_id", F.unix_micros("t_start").alias("start_us"), F.unix_micros("t_end").alias("end_us"), F.array_join("sensor_channels", ",").alias("channels"), "size_bytes", "state", "date")
 
 

@@ -34,9 +34,16 @@ def deduplicated(records: DataFrame, window: int = 4096) -> DataFrame:
     return passed.select("topic", "partition", "offset", "key", "value", F.from_json("headers_json", HEADERS).alias("headers"), F.timestamp_micros("arrived_us").alias("timestamp"), "verdict")
 
 
-def decoded(records: DataFrame) -> DataFrame:
-    """Envelope, the decoded record of its kind, a place in degrees, and of bad records error_class, error_step and error_message: one pass, no shuffle."""
+def decoded(records: DataFrame, only: str | None = None) -> DataFrame:
+    """Envelope, the decoded record of its kind, a place in degrees, and of bad records error_class, error_step and error_message: one pass, no shuffle.
+
+    For a reader of one kind: given `only`, records that aren't routed to it are left out before anything is decoded.
+    """
+    if only is not None:  # by the header alone, which needs no envelope: what has none of the kind isn't even checked
+        records = records.where(validate.route(validate.header("kind")) == only)
     e = validate.envelope(records).withColumn("routed", validate.route(F.col("kind")))
+    if only is not None:
+        e = e.where(F.col("routed") == only)
     e = e.withColumn("record", avro.decoded(F.col("routed"), F.col("value")))
     e = e.select("*", "record.*").drop("record")
     rules = {

@@ -159,3 +159,26 @@ def test_messages_of_many_recordings_are_held_in_bounded_numbers(spark):
     files = mcap.write_segments(rows).select(F.col("segment").alias("path"), "content").coalesce(1)
     read = mcap.read_contents(files, lambda s: None if s != "s3" else {"other"}, 0, 32, most=3)
     assert sorted(r["sequence"] for r in read.collect()) == [k for k in range(32) if k % 4 != 3]
+
+
+def test_a_reader_of_one_kind_decodes_only_that_kind_and_once(spark, sf_dir="/root/testdata/sf0.001"):
+    """Boxes: records of other kinds are gone before anything is coded, and each box is encoded once and decoded once."""
+    import __spark_entry__
+
+    for name, table in (("stored_boxes", "lineitem"), ("stored_clips", "orders")):
+        plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 2 and f"{table}.parquet" in plan and "events.parquet" not in plan
+
+
+def test_last_header_of_a_name(spark):
+    """Of several headers the last counts, even if it has no value; other names, no headers and null ones are nothing."""
+    from pyspark.sql import functions as F
+
+    from roadpulse.operators import validate
+
+    cases = [[("a", b"1"), ("b", b"2"), ("a", b"3")], [("a", b"1"), ("a", None)], [("b", b"2")], [(None, b"9"), ("a", b"4"), None], [None], [], None]
+    d = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, headers array<struct<key string, value binary>>").repartition(2)
+    got = {r["i"]: r["h"] for r in d.select("i", validate.header("a").alias("h")).collect()}
+    assert got == {0: "3", 1: None, 2: None, 3: "4", 4: None, 5: None, 6: None}
+    mine = F.filter("headers", lambda h: h["key"] == "a")  # the form with a lambda
+    assert got == {r["i"]: r["h"] for r in d.select("i", F.decode(F.try_element_at(mine, F.lit(-1))["value"], "UTF-8").alias("h")).collect()}
